@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, license_scan, mixing, quality_classifier, quality_rules, sharding, warc
+from corpusloom.llm import decontaminate, license_scan, mixing, ngram_join, quality_classifier, quality_rules, sharding, warc
 from corpusloom.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -27,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", license_scan.scan(F.col("text")).alias("r"))
     return docs.select("doc_id", *license_scan.digest(F.col("r")))
