@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, license_scan, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_shards, warc
+from corpusloom.llm import decontaminate, license_scan, mixing, ngram_join, passages, quality_classifier, quality_rules, sharding, token_shards, warc
 from corpusloom.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -51,6 +51,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard_1", "shard_2")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.verified(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
 
