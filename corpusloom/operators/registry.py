@@ -106,7 +106,7 @@ def job_progress(stages: DataFrame, now: Column) -> DataFrame:
     progress = F.create_map(*[F.lit(x) for pair in PROGRESS for x in pair])
     last = stages.groupBy("job_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.min("ts").alias("begun"), F.max("ts").alias("ended"))
     end = F.when(F.col("stage") == "completed", F.col("ended").cast("timestamp")).otherwise(now)
-    return last.select("job_id", "stage", progress[F.col("stage")].alias("progress"), (F.unix_millis(end) - F.unix_millis(F.col("begun").cast("timestamp"))).alias("duration_ms"))
+    return last.select("job_id", "stage", progress[F.col("stage")].alias("progress"), F.floor((F.unix_micros(end) - F.unix_micros(F.col("begun").cast("timestamp"))) / 1000).alias("duration_ms"))
 
 
 def stage_timings(versions: DataFrame, stages: list[str]) -> DataFrame:

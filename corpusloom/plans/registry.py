@@ -205,7 +205,7 @@ def job_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH s AS (SELECT user_id AS job_id, event_id, ts, {_STAGE_SQL} AS stage FROM events),
 j AS (SELECT job_id, arg_max(stage, (ts, event_id)) AS stage, min(ts) AS begun, max(ts) AS ended FROM s GROUP BY job_id)
-SELECT job_id, stage, {_PROGRESS_SQL}::INT AS progress, epoch_ms(CASE WHEN stage = 'completed' THEN ended ELSE TIMESTAMP '{NOW}' END) - epoch_ms(begun) AS duration_ms FROM j"""
+SELECT job_id, stage, {_PROGRESS_SQL}::INT AS progress, (epoch_us(CASE WHEN stage = 'completed' THEN ended ELSE TIMESTAMP '{NOW}' END) - epoch_us(begun)) // 1000 AS duration_ms FROM j"""
 )
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.job_progress(job_stages(spark, sf_dir), F.lit(NOW).cast("timestamp"))

@@ -115,7 +115,7 @@ def detect_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\b[a-z]{{4,}}\b') AS l FROM documents),
+    rf"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'), lambda x: regexp_full_match(x, '[a-z]{{4,}}')) AS l FROM documents),
 t AS (SELECT doc_id, i, l[i] AS word FROM w, unnest(range(1, len(l) + 1)) AS u(i)),
 c AS (SELECT doc_id, word, count(*) AS n, min(i) AS pos FROM t WHERE word NOT IN {T.STOP_WORDS} GROUP BY ALL)
 SELECT doc_id, rank, word, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM c) WHERE rank <= 10"""
