@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import base, chunking, evidence, registry, retrieval, texts  # noqa: F401
+from corpusloom.plans import base, chunking, conversations, evidence, querylog, registry, retrieval, streams, telemetry, texts  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:
