@@ -35,9 +35,11 @@ from corpusloom.llm.components import components
 
 HOT = 64
 MAX_HOT = 1_000_000
-LIST = 512
+LIST = 256
 BLOCK = 512
-FLUSH = 4_000_000
+FLUSH = 1_000_000
+#: Pairs that a task holds before it writes them out.
+PAIRS = 200_000
 TOP = 1 << 62
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _CAND = np.dtype([("doc", "<i8"), ("last", "<i8"), ("n", "<i4"), ("c", "<i4")])
@@ -264,7 +266,7 @@ def overlaps(table: DataFrame, percent: int) -> DataFrame:
             for k in np.unique(length[length > 1]):
                 i, j = np.triu_indices(k, 1)
                 starts = first[length == k]
-                step = max(1, 1_000_000 // len(i))
+                step = max(1, PAIRS // len(i))
                 for at in range(0, len(starts), step):
                     s = starts[at : at + step, None]
                     a, b = (s + i).ravel(), (s + j).ravel()
@@ -276,7 +278,7 @@ def overlaps(table: DataFrame, percent: int) -> DataFrame:
                     a, b = np.where(swap, b, a), np.where(swap, a, b)
                     pairs.append((doc[a], doc[b], last[a], last[b], n[a], n[b]))
                     size += len(a)
-                    if size >= 1_000_000:
+                    if size >= PAIRS:
                         yield emit(pairs)
                         pairs, size = [], 0
         if size:
