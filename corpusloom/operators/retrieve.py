@@ -79,7 +79,7 @@ def cells(corpus: DataFrame, n_cells: int, vector: str = "embedding", sample_row
     return np.array(KMeans(k=n_cells, seed=seed, maxIter=20).fit(sample).clusterCenters())
 
 
-def dense_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 16, probes: int = 6, self_match: bool = True) -> DataFrame:
+def dense_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 16, probes: int = 10, self_match: bool = True) -> DataFrame:
     """Approximate top k: a query is compared with the chunks of its `probes` nearest cells only."""
     centres = cells(corpus, n_cells)
 

@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-BY = Window.partitionBy("conv_id").orderBy("turn")
-BEFORE = BY.rowsBetween(Window.unboundedPreceding, -1)
 PRONOUNS = ("it", "they", "he", "she", "this", "that", "its", "their")
 SUMMARY_WORDS = ("brief", "summarize", "short", "summary", "detail")
 TOPICS = (("Policy", "policy"), ("Company Info", "project|service"), ("HR Policies", "hr|leave"), ("Security", "security"))
 PLEASANTRIES = ("hi", "hello", "thanks", "thank you", "goodbye", "ok")
 
 
+def by_session() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def before() -> WindowSpec:
+    return by_session().rowsBetween(Window.unboundedPreceding, -1)
+
+
 def history_window(turns: DataFrame, n: int = 6) -> DataFrame:
     """User turns with the up to n messages before each."""
     item = F.concat_ws(": ", "role", "text")
-    return turns.withColumn("history", F.collect_list(item).over(BY.rowsBetween(-n, -1))).filter("role = 'user'")
+    return turns.withColumn("history", F.collect_list(item).over(by_session().rowsBetween(-n, -1))).filter("role = 'user'")
 
 
 def _words(text: Column) -> Column:
@@ -27,7 +33,7 @@ def _words(text: Column) -> Column:
 def resolve_followup(turns: DataFrame) -> DataFrame:
     """User turns with `resolved`: a short, pronominal or summarising one gets the last substantive user turn."""
     bare = F.trim(F.regexp_replace(F.lower("text"), r"\b(hi|hello|gm|hey|tell|about|what|is|the)\b", ""))
-    topic = F.last(F.when((F.col("role") == "user") & (F.length(bare) > 3), F.col("text")), ignorenulls=True).over(BEFORE)
+    topic = F.last(F.when((F.col("role") == "user") & (F.length(bare) > 3), F.col("text")), ignorenulls=True).over(before())
     low = F.lower("text")
     depends = low.rlike(rf"\b({'|'.join(PRONOUNS)})\b") | (_words(F.col("text")) <= 5) | low.rlike("|".join(SUMMARY_WORDS))
     clean = F.regexp_replace("topic__", r"[#*>\n]", " ")
@@ -37,7 +43,7 @@ def resolve_followup(turns: DataFrame) -> DataFrame:
 
 def substitute_pronoun(turns: DataFrame) -> DataFrame:
     """User turns with `rewritten`: pronouns replaced by the noun phrase of the question before, or "of" it added."""
-    users = turns.filter("role = 'user'").withColumn("before__", F.lag("text").over(BY))
+    users = turns.filter("role = 'user'").withColumn("before__", F.lag("text").over(by_session()))
     noun = F.trim(F.replace(F.regexp_replace("before__", r"(?i)^(what|who|where|when|why|how|tell me about|explain|summarize) (is|was|are|does|the|a|an)?\s*", ""), F.lit("?")))
     low = F.lower("text")
     # What is put in is plain text to the pattern.
@@ -57,7 +63,7 @@ def recent_entity(turns: DataFrame, entities: list[str]) -> DataFrame:
     pattern = "|".join(rf"\b{e}\b" for e in entities)
     found = F.element_at(F.regexp_extract_all(F.lower("text"), F.lit(f"({pattern})"), F.lit(1)), -1)
     own = F.when(F.lower("text").rlike(pattern), found)
-    out = turns.withColumn("own__", own).withColumn("recent_entity", F.last("own__", ignorenulls=True).over(BEFORE))
+    out = turns.withColumn("own__", own).withColumn("recent_entity", F.last("own__", ignorenulls=True).over(before()))
     pronoun = F.lower("text").rlike(r"\b(it|they|them|this|that|he|she)\b")
     return out.withColumn("ambiguous", pronoun & F.col("recent_entity").isNull()).drop("own__")
 
@@ -72,7 +78,7 @@ def topic_of(text: Column, topics: tuple = TOPICS) -> Column:
 
 def topic_switches(turns: DataFrame, topics: tuple = TOPICS) -> DataFrame:
     users = turns.filter("role = 'user'").withColumn("topic", topic_of(F.col("text"), topics))
-    users = users.withColumn("active_topic", F.last("topic", ignorenulls=True).over(BEFORE))
+    users = users.withColumn("active_topic", F.last("topic", ignorenulls=True).over(before()))
     return users.withColumn("switched", F.coalesce(F.col("topic") != F.col("active_topic"), F.lit(False)))
 
 
@@ -91,13 +97,13 @@ def resolution_confidence(turns: DataFrame, entities: list[str], topics: tuple =
 
 def pair_turns(turns: DataFrame) -> DataFrame:
     """User turns with the assistant's reply that follows, if one does."""
-    reply = F.when(F.lead("role").over(BY) == "assistant", F.lead("text").over(BY))
+    reply = F.when(F.lead("role").over(by_session()) == "assistant", F.lead("text").over(by_session()))
     return turns.withColumn("reply", reply).filter("role = 'user'")
 
 
 def session_tokens(turns: DataFrame, limit: int = 4000) -> DataFrame:
     """(conv_id, tokens, over_turn): the running estimate at the end and the turn at which it passes the limit."""
-    run = turns.withColumn("tokens", F.floor(_words(F.col("text")) * 1.3)).withColumn("total", F.sum("tokens").over(BY))
+    run = turns.withColumn("tokens", F.floor(_words(F.col("text")) * 1.3)).withColumn("total", F.sum("tokens").over(by_session()))
     return run.groupBy("conv_id").agg(F.max("total").alias("tokens"), F.min(F.when(F.col("total") > limit, F.col("turn"))).alias("over_turn"))
 
 
