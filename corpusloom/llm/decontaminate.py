@@ -123,6 +123,8 @@ def scan(
     One block (the usual case) is scanned without any shuffle. With more, the rows that a block hits are joined back by
     the text's digest; so no more than one automaton is in a worker's memory.
     """
+    if clash := {out, f"{out}_key"} & set(documents.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already; pass another name")
     spark = documents.sparkSession
     parts = blocks(benchmark, window, block_chars, item_col, item_text_col)
     raw = utf8(F.col(text_col))

@@ -156,6 +156,8 @@ def mix(
 
 def repeated(documents: DataFrame, most: int = MOST, seed: str = SEED, **options) -> DataFrame:
     """The rows of the mix: a document's row once for each copy, with `shard` and `position` (its keyed order there)."""
+    if clash := {"shard", "position", "copy__", "id__", "shards__"} & set(documents.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already; rename them first")
     copies = mix(documents, most=most, seed=seed, **options)
     taken = F.filter(F.array(*[F.col(f"shard_{c}") for c in range(1, most + 1)]), lambda s: s.isNotNull())
     # Rows that repeat an id share its copies.

@@ -86,10 +86,10 @@ def base_failed() -> Column:
 
 def _shares() -> dict[str, Column]:
     return {
-        "symbols": F.expr(f"least({MAX_STEP}, 1000 * n_symbols div word_chars)"),
-        "lines": F.expr("1000 * n_dup_lines div n_lines"),
-        "repeats": F.expr("1000 * n_repeat_words div n_words"),
-        "length": F.expr(f"least({MAX_STEP}, 10 * word_chars div n_words)"),
+        "symbols": F.expr(f"least({MAX_STEP}, 1000 * n_symbols div nullif(word_chars, 0))"),
+        "lines": F.expr("1000 * n_dup_lines div nullif(n_lines, 0)"),
+        "repeats": F.expr("1000 * n_repeat_words div nullif(n_words, 0)"),
+        "length": F.expr(f"least({MAX_STEP}, 10 * word_chars div nullif(n_words, 0))"),
     }
 
 
