@@ -58,12 +58,13 @@ SELECT doc_id, slot, 'shard-' || lpad(({_OWNERS})[slot + 1]::VARCHAR, 2, '0') AS
 def _fence(keys: str, name: str) -> str:
     k = f"{keys}, " if keys else ""
     r = quality_rules
+    margins = " ".join(f"WHEN '{s}' THEN {m}" for s, m in r.MARGINS.items())
     return f"""
 {name}_s AS (SELECT {k}share, step, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {k}share ORDER BY step) AS below, sum(n) OVER (PARTITION BY {k}share) AS total FROM {name}_s),
 {name}_q AS (SELECT {k}share, max(total) AS n, min(step) FILTER (below * 4 >= total) AS q1, min(step) FILTER (below * 4 >= total * 3) AS q3
         FROM {name}_c GROUP BY ALL),
-{name} AS (SELECT {k}share, n AS {name}_n, q3 + {r.FENCES} * (q3 - q1) + {r.MARGIN} AS {name}_most FROM {name}_q)"""
+{name} AS (SELECT {k}share, n AS {name}_n, q3 + {r.FENCES} * (q3 - q1) + CASE share {margins} END AS {name}_most FROM {name}_q)"""
 
 
 _MOST = "CASE " + " ".join(f"WHEN {k}_n >= {quality_rules.MIN_ROWS} THEN {k}_most" for k in ("own", "lang", "every")) + " END"

@@ -5,7 +5,7 @@ thousandths, the mean length of words in tenths. A group's sketch of a share is
 step of word lengths is open): sketches add up, so rows are pre-aggregated before the shuffle and a language's sketch is
 the sum of its sources'. A group (language and source) with fewer than ``min_rows`` texts uses its language's sketch, a
 language with fewer uses the whole corpus's, and with fewer still nothing is held against its texts. The threshold is
-upper quartile + ``fences`` times the quartiles' distance + ``margin``: what stands out from its own group fails, while a
+upper quartile + ``fences`` times the quartiles' distance + the share's margin: what stands out from its own group fails, while a
 group of even quality loses nothing.
 
 Defined cases: a null text has no words; texts without a word aren't in a sketch and fail the base rule; repeated rows
@@ -23,7 +23,8 @@ from corpusloom.llm.common import BROADCAST_ROWS, join_small, null_key, written
 
 MIN_ROWS = 100
 FENCES = 3
-MARGIN = 50
+#: Steps that a text may stand beyond its group's fence: symbols are telling, while some lines and words may repeat.
+MARGINS = {"symbols": 50, "lines": 400, "repeats": 300, "length": 50}
 MAX_STEP = 1000
 SHARES = ("symbols", "lines", "repeats", "length")
 #: ASCII white space.
@@ -100,21 +101,22 @@ def sketches(measured: DataFrame) -> DataFrame:
     return flat.groupBy("lang_key", "source_key", F.col("s.share").alias("share"), F.col("s.step").alias("step")).agg(F.count("*").alias("rows"))
 
 
-def _fence(sketch: DataFrame, keys: list[str], name: str, fences: int, margin: int) -> DataFrame:
+def _fence(sketch: DataFrame, keys: list[str], name: str, fences: int, margins: dict[str, int]) -> DataFrame:
     """Rows and threshold of each group of a sketch."""
     by = Window.partitionBy(*keys, "share")
     merged = sketch.groupBy(*keys, "share", "step").agg(F.sum("rows").alias("rows"))
     summed = merged.withColumn("below", F.sum("rows").over(by.orderBy("step"))).withColumn("all", F.sum("rows").over(by))
     q = [F.min(F.when(F.col("below") * 4 >= F.col("all") * k, F.col("step"))) for k in (1, 3)]
     out = summed.groupBy(*keys, "share").agg(F.max("all").alias(f"{name}_rows"), q[0].alias("q1"), q[1].alias("q3"))
-    return out.select(*keys, "share", f"{name}_rows", F.expr(f"q3 + {fences} * (q3 - q1) + {margin}").alias(f"{name}_most"))
+    margin = F.create_map(*[F.lit(x) for pair in margins.items() for x in pair])[F.col("share")]
+    return out.select(*keys, "share", f"{name}_rows", (F.col("q3") + fences * (F.col("q3") - F.col("q1")) + margin).alias(f"{name}_most"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, fences: int = FENCES, margin: int = MARGIN) -> DataFrame:
+def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, fences: int = FENCES, margins: dict[str, int] = MARGINS) -> DataFrame:
     """One row for each language and source with its threshold of each share; null where nothing is held against it."""
-    own = _fence(sketch, ["lang_key", "source_key"], "own", fences, margin)
-    lang = _fence(sketch, ["lang_key"], "lang", fences, margin)
-    every = _fence(sketch, [], "every", fences, margin)
+    own = _fence(sketch, ["lang_key", "source_key"], "own", fences, margins)
+    lang = _fence(sketch, ["lang_key"], "lang", fences, margins)
+    every = _fence(sketch, [], "every", fences, margins)
     both = own.join(lang, ["lang_key", "share"]).join(every, "share")
     most = F.coalesce(*[F.when(F.col(f"{k}_rows") >= min_rows, F.col(f"{k}_most")) for k in ("own", "lang", "every")])
     at = [F.max(F.when(F.col("share") == k, most)).alias(f"most_{k}") for k in SHARES]
@@ -129,7 +131,7 @@ def judge(
     source_col: str = "source",
     min_rows: int = MIN_ROWS,
     fences: int = FENCES,
-    margin: int = MARGIN,
+    margins: dict[str, int] = MARGINS,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per row: the id, the counts, each share with its threshold, base_failed and kept."""
@@ -139,7 +141,7 @@ def judge(
     plain = texts.select(id_col, "lang_key", "source_key", *[c.alias(k) for k, c in counts().items()])
     # The texts are read and measured once; the counts are a small table.
     measured = written(plain, "counts").withColumns({f"share_{k}": c for k, c in _shares().items()})
-    most = written(thresholds(sketches(measured), min_rows, fences, margin), "thresholds")
+    most = written(thresholds(sketches(measured), min_rows, fences, margins), "thresholds")
     keys = ["lang_key", "source_key"]
     joined = join_small(measured, most, keys, F.xxhash64(F.col(id_col), "n_words", "word_chars"), broadcast_rows)
     odd = [F.coalesce(F.col(f"share_{k}") > F.col(f"most_{k}"), F.lit(False)) for k in SHARES]
