@@ -21,9 +21,12 @@ SEMANTIC_TOKENS, REINDEX_TOKENS = 350, 200
 def chunk_fixed(documents: DataFrame, size: int = 3000) -> DataFrame:
     """chunk_index, chunk_text: pieces of `size` characters; the other columns are kept."""
     at = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.length("text") / size) - 1)
-    pieces = F.explode(F.when(F.length("text") > 0, at).otherwise(F.array().cast("array<bigint>")))
-    rows = documents.withColumn("chunk_index", pieces)
-    return rows.withColumn("chunk_text", F.substring(F.col("text"), (F.col("chunk_index") * size + 1).cast("int"), F.lit(size))).drop("text")
+    pieces = F.transform(at, lambda i: F.substring(F.col("text"), (i * size + 1).cast("int"), F.lit(size)))
+    # The pieces are exploded, not the text with a number for each: a long text isn't copied once a chunk.
+    cut = F.when(F.length("text") > 0, pieces).otherwise(F.array().cast("array<string>"))
+    others = [c for c in documents.columns if c != "text"]
+    rows = documents.select(*others, F.posexplode(cut).alias("chunk_index", "chunk_text"))
+    return rows.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
 def split_recursive(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, str]]:

@@ -39,7 +39,7 @@ def clean_corpus(pages: DataFrame, min_share: float = 0.5) -> DataFrame:
 def top_keywords(documents: DataFrame, k: int = 10) -> DataFrame:
     """(doc_id, rank, word, n): most frequent words of four letters or more, ties by first appearance."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b[a-z]{4,}\b"), F.lit(0))
-    places = documents.select("doc_id", F.posexplode(words).alias("at", "word")).filter(~F.col("word").isin(*T.STOP_WORDS))
+    places = documents.select("doc_id", F.posexplode_outer(words).alias("at", "word")).filter(~F.col("word").isin(*T.STOP_WORDS))
     counts = places.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "at"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k).select("doc_id", "rank", "word", "n")

@@ -122,8 +122,9 @@ def indexed_vocabulary(chunks: DataFrame) -> DataFrame:
 
 
 def corpus_words(text: Column) -> Column:
-    """The distinct words of one text; distinct() over them gives the corpus's."""
-    return F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0))))
+    """The distinct words of one text (null if it has none); distinct() over them gives the corpus's. Outer, as from an
+    inner explode Spark infers a filter that matches the words once more."""
+    return F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0))))
 
 
 def upload_audit(log: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
+from corpusloom.sources.tables import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -113,14 +114,16 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
 def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, len): only of terms that a query asks for."""
     words = chunks.select("chunk_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w"))
-    flat = words.select("chunk_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    # An outer explode: from an inner one Spark infers a filter that matches the words once more.
+    flat = words.select("chunk_id", F.size("w").alias("len"), F.explode_outer("w").alias("term"))
     # Before the shuffle by term and chunk, words that no query asks for are gone.
     asked = flat.join(terms.select("term").distinct(), "term", "left_semi")
-    return asked.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # Written, as the corpus would be read again for the terms' frequencies.
+    return written(asked.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "postings")
 
 
 def corpus_size(chunks: DataFrame) -> DataFrame:
-    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
+    n = F.regexp_count(F.lower("text"), F.lit("[a-z0-9]+"))
     return chunks.agg(F.count("*").alias("n_chunks"), F.avg(n).alias("avg_len"))
 
 
@@ -164,7 +167,7 @@ def web_groups(queries: DataFrame) -> DataFrame:
 def keyword_topk_websearch(queries: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
     """(query_id, chunk_id, score, rank): all plain terms and phrases, one of each "or", none of the excluded; by occurrences."""
     groups = web_groups(queries)
-    words = chunks.select("chunk_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("at", "term"))
+    words = chunks.select("chunk_id", F.posexplode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("at", "term"))
     asked = words.join(groups.select("term").distinct(), "term", "left_semi")
     met = asked.join(groups, "term")
     # A phrase stands where all its words give the same start.

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 FIXED = """chunks AS (SELECT doc_id, i AS chunk_index, substr(text, i * 3000 + 1, 3000) AS text, doc_id || '-' || i AS chunk_id
   FROM documents, unnest(range(0, ceil(length(text) / 3000)::BIGINT)) AS t(i))"""
 
 
 def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = chunk.chunk_fixed(table(spark, sf_dir, "documents"))
+    cut = chunk.chunk_fixed(spread(table(spark, sf_dir, "documents")))
     return cut.select("doc_id", "chunk_index", F.col("chunk_text").alias("text"), F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query()

@@ -12,7 +12,7 @@ from corpusloom.operators import querylog as Q
 from corpusloom.operators.registry import corpus_words as words_of
 from corpusloom.operators.retrieve import dimension
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 KEYS = ["conv_id", "turn"]
 #: Phrases, business words and entries that the invented prose holds.
@@ -136,7 +136,7 @@ def flag_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of the corpus that three documents or more hold are known; those over five letters carry content.
 def known_words(spark: SparkSession, sf_dir: str, shortest: int = 1) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("word"))
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words_of(F.col("text")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).filter((F.col("n") >= 3) & (F.length("word") >= shortest)).select("word")
 
 

@@ -235,7 +235,7 @@ def indexed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\w+')) AS word FROM documents")
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(R.corpus_words(F.col("text")).alias("word")).distinct()
+    return table(spark, sf_dir, "documents").select(R.corpus_words(F.col("text")).alias("word")).filter("word is not null").distinct()
 
 
 @query(

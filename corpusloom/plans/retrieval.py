@@ -9,7 +9,7 @@ from corpusloom.functions.text import STOP_WORDS
 from corpusloom.operators import chunk
 from corpusloom.operators import retrieve as R
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 K = 10
 
@@ -27,7 +27,7 @@ def q_sql(words: int | None = 4, name: str = "q") -> str:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, version_id, chunk_index, filename, heading, section, chunk_type, status, text)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.regexp_extract("text", r"^[^.\n]*", 0).alias("heading"), "text", F.length("text").alias("n"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", F.regexp_extract("text", r"^[^.\n]*", 0).alias("heading"), "text", F.length("text").alias("n"))
     cut = chunk.chunk_fixed(docs)
     return cut.select(
         F.concat_ws("-", "doc_id", "chunk_index").alias("chunk_id"),

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import clean, embed
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its files give fewer: worth a shuffle before costly expressions on
+    small inputs. A large table has more splits than cores and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share, deleted when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
