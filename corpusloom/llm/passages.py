@@ -5,10 +5,14 @@
 2. Each seed that several documents hold has a lead, the document with the smallest id and its first place there. Joining
    seeds with leads gives anchors (place here, place in the lead): as many as seeds, however many documents share one.
 3. Chains: anchors of a document and a lead that ascend in both texts are chained for the best score, K for an anchor less
-   GAP for each word skipped in either text. A Fenwick tree over the lead's places holds the best chain so far.
+   GAP for each word skipped in either text. A Fenwick tree over the lead's places holds the best chain so far. A lone
+   anchor is a chain, too.
 4. Alignment: word hashes of both sides of a chain are compared along its diagonals, and outwards from its ends until the
    score drops by DROP. A passage has at least ``MIN_WORDS`` words here, of which ``MIN_SHARE`` match.
-5. Passages of a document are merged; those of a document stand for all that have the same words.
+5. Runs: what leads hide. All seeds of a passage may lead to documents that hold pieces of it only, so wherever seeds that
+   several documents hold follow each other and no passage was found, the runs of MIN_WORDS words themselves are hashed
+   and joined; runs that several documents hold are anchors of steps 3 and 4, and passages in any case.
+6. Passages of a document are merged; those of a document stand for all that have the same words.
 
 Defined cases: a null or empty text has no passage; rows that repeat an id or a text have equal passages (each row of a
 text of MIN_WORDS or more that others repeat is a passage as a whole); of equal chains the earliest wins; an empty table
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import WORD, utf8, words, written
+from corpusloom.llm.common import BROADCAST_ROWS, WORD, utf8, words, written
 
 K = 8
 WINDOW = 12
@@ -35,9 +39,13 @@ GAP = 0.1
 MIN_WORDS = 50
 MIN_SHARE = 0.8
 DROP = 12
+#: Kept seeds of a run of words are less than this apart (two windows, where one seed is said over and over).
+REACH = 2 * WINDOW
 #: Words beyond a chain's ends that the alignment sees, and the grid to which a lead's regions are widened.
 MARGIN = 64
 GRID = 64
+#: Bytes of regions that a task hands on at once.
+REGION_BYTES = 1 << 22
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,9 +78,9 @@ def seeds(h: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
     return grams[at].view(np.int64), at.astype(np.int32)
 
 
-def chains(here: list[int], there: list[int], k: int = K, gap: float = GAP) -> list[list[int]]:
+def chains(here: list[int], there: list[int], k: int = K, gap: float = GAP, least: int = 2) -> list[list[int]]:
     """Chains of the anchors (here[i], there[i]), best first, each as anchor numbers in ascending order; every anchor is
-    in one chain at most and chains have two anchors or more."""
+    in one chain at most and chains have `least` anchors or more."""
     order = sorted(range(len(here)), key=lambda i: (here[i], -there[i]))
     rank = {v: r + 1 for r, v in enumerate(sorted(set(there)))}
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(rank) + 1)
@@ -100,7 +108,7 @@ def chains(here: list[int], there: list[int], k: int = K, gap: float = GAP) -> l
             used.add(i)
             chain.append(i)
             i = before[i]
-        if len(chain) > 1:
+        if len(chain) >= least:
             out.append(chain[::-1])
     return out
 
@@ -183,23 +191,153 @@ def _chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, lead, anchors in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             here, there = [a["place"] for a in anchors], [a["there"] for a in anchors]
-            for chain in chains(here, there):
+            for chain in chains(here, there, least=1):
                 out.append((doc, lead, [here[i] for i in chain], [there[i] for i in chain]))
         if out:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+def stretches(places: np.ndarray, shared: np.ndarray, n: int, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(start, end) of the stretches, in words, of a text of n words with seeds at `places` outside which no run of
+    min_words words has `shared` seeds only."""
+    bound = np.r_[-1, np.setdiff1d(places, shared), max(n - K + 1, 0)].tolist()
+    return [(a + 1, b + K - 1) for a, b in zip(bound, bound[1:], strict=False) if b + K - 2 - a >= min_words]
+
+
+def close(places: np.ndarray, low: int, high: int, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """The parts of a stretch, in words, outside which no run of min_words words has all its seeds among `places`."""
+    p = np.unique(places[(places >= low) & (places + K <= high)])
+    if not len(p):
+        return []
+    parted = np.flatnonzero(np.diff(p) >= REACH)
+    ends = zip(p[np.r_[0, parted + 1]].tolist(), p[np.r_[parted, len(p) - 1]].tolist(), strict=True)
+    return [(a, b) for a, b in ((max(low, a - REACH + 1), min(high, b + K + REACH - 1)) for a, b in ends) if b - a >= min_words]
+
+
+def hidden(places: np.ndarray, parts: list[tuple[int, int]], found: list[tuple[int, int]], min_words: int = MIN_WORDS) -> np.ndarray:
+    """For each place whether its seed is in a run of a stretch that no passage of `found` holds as a whole."""
+    out = np.zeros(len(places), bool)
+    for low, high in parts:
+        free = np.ones(high - min_words - low + 1, bool)
+        for a, b in found:
+            free[max(a - low, 0) : max(b - min_words + 1 - low, 0)] = False
+        upto = np.r_[0, np.cumsum(free)]
+        at = np.flatnonzero((places >= low) & (places + K <= high))
+        first = np.maximum(places[at] + K - min_words - low, 0)
+        last = np.minimum(places[at] - low + 1, len(free))
+        out[at] |= upto[last] > upto[np.minimum(first, last)]
+    return out
+
+
+def runs(h: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of m words."""
+    n = max(len(h) - m + 1, 0)
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i in range(m if n else 0):
+        one = one * _MUL + h[i : i + n]
+        two = two * np.uint64(0xD6E8FEB86659FD93) + (h[i : i + n] ^ (h[i : i + n] >> np.uint64(32)))
+    return one.view(np.int64), two.view(np.int64)
+
+
+_PARTS = "array<struct<low: int, high: int>>"
+_PART = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+
+
+def _hidden(min_words: int):
+    """(doc, parts, seeds): a text's stretches of shared seeds, and the seeds there that no passage holds."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 4)], batch.column(3), strict=True)
+            for doc, n, raw, found, held in columns:
+                m = len(raw) // 12
+                seed, place = np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.int32, m, 8 * m)
+                parts = stretches(place, held.values.to_numpy(zero_copy_only=False), n, min_words)
+                if parts:
+                    at = hidden(place, parts, [(r["start_word"], r["end_word"]) for r in found or ()], min_words)
+                    out.append((doc, [{"low": a, "high": b} for a, b in parts], np.unique(seed[at])))
+            if out:
+                kinds = (pa.int64(), _PART, pa.list_(pa.int64()))
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc", "parts", "seeds"])
+
+    return run
+
+
+def _close(min_words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, parts, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                p = places.values.to_numpy(zero_copy_only=False)
+                if kept := [{"low": a, "high": b} for r in parts for a, b in close(p, r["low"], r["high"], min_words)]:
+                    out.append((doc, kept))
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), _PART), strict=True)], ["id", "parts"])
+
+    return run
+
+
+def _runs(min_words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.int32)]
+            for doc, raw, parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                h = word_hashes(raw)
+                for r in parts:
+                    one, two = runs(h[r["low"] : r["high"]], min_words)
+                    for c, v in zip(out, (one, two, np.full(len(one), doc), np.arange(len(one), dtype=np.int32) + np.int32(r["low"])), strict=True):
+                        c.append(v)
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], ["one", "two", "doc", "place"])
+
+    return run
+
+
+def _ends(min_words: int):
+    """Runs that follow each other as one: (doc, lead, start, end, there, upto), where its first run begins and its last
+    one ends in the lead, and, once for a document and a lead, all that the runs hold of the lead (parts)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["doc", "lead", "start", "end", "there", "upto", "parts"], [pa.int64(), pa.int64(), *[pa.int32()] * 4, _PART]
+        for batch in batches:
+            out = []
+            for doc, lead, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                at, there = (anchors.values.field(k).to_numpy(zero_copy_only=False) for k in ("place", "there"))
+                order = np.argsort(at)
+                at, there, theirs = at[order], there[order], np.unique(there)
+                first, last = _islands(at)
+                low, high = _islands(theirs)
+                parts = [{"low": a, "high": b + min_words} for a, b in zip(theirs[low].tolist(), theirs[high].tolist(), strict=True)]
+                for i, j in zip(first.tolist(), last.tolist(), strict=True):
+                    out.append((doc, lead, int(at[i]), int(at[j]) + min_words, int(there[i]), int(there[j]) + min_words, parts))
+                    parts = []
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def _islands(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row of successive numbers begins and ends."""
+    parted = np.flatnonzero(np.diff(ascending) != 1)
+    return np.r_[0, parted + 1], np.r_[parted, len(ascending) - 1]
+
+
 def _regions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of a region of a text: (id, low, hashes)."""
+    """The word hashes of regions of texts: (id, low, high, hashes)."""
+    names, kinds = ["id", "low", "high", "hashes"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
-        out, memo = [], (None, None)
-        for i, raw, low, high in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if memo[0] != raw:
-                memo = (raw, word_hashes(raw))
-            out.append((i, low, high, memo[1][low:high].tobytes()))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        out, held = [], 0
+        for i, raw, parts in zip(*batch.columns, strict=True):
+            i, h = i.as_py(), word_hashes(raw.as_py())
+            for r in parts.as_py():
+                out.append((i, r["low"], r["high"], h[r["low"] : r["high"]].tobytes()))
+                held += len(out[-1][3])
+                if held > REGION_BYTES:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out, held = [], 0
         if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "low", "high", "hashes"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def _aligned(min_words: int, min_share: float):
@@ -208,7 +346,8 @@ def _aligned(min_words: int, min_share: float):
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
             out = []
-            for doc, lead, here, there, low, x, lead_low, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for row in zip(*batch.columns, strict=True):
+                doc, lead, here, there, low, x, lead_low, y = (v.as_py() for v in row)
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 for a, b, c, d, m in align(x, y, [p - low for p in here], [p - lead_low for p in there]):
                     if min(b - a, d - c) >= min_words and m >= min_share * max(b - a, d - c):
@@ -219,21 +358,14 @@ def _aligned(min_words: int, min_share: float):
     return run
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row for each passage of each document that other documents share: id_col, start_word, end_word (words from 0,
-    end not included), n_words, and first_doc, the smallest id among the leads (the id itself where the passage leads)."""
-    texts = documents.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw")).filter("id is not null")
-    each = written(texts.mapInArrow(_cut, "id bigint, n int, word_key binary, seeds binary"), "seeds")
-    keyed = each.filter("n > 0").groupBy("word_key")
-    rows = written(keyed.agg(F.min("id").alias("doc"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("seeds").alias("seeds")), "texts")
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text for each id of a written table of different ids."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi").dropDuplicates(["id"])
 
-    places = rows.select("doc", "seeds").mapInArrow(_explode, "seed bigint, doc bigint, place int")
-    leads = places.groupBy("seed").agg(F.min(F.struct("doc", "place")).alias("lead"), F.max("doc").alias("last"))
-    leads = leads.filter("lead.doc < last").select("seed", F.col("lead.doc").alias("lead"), F.col("lead.place").alias("there"))
-    # Written, so that the join below is one of two plain shuffles, whose skewed seeds Spark splits.
-    leads = written(leads, "leads")
-    anchors = places.join(leads, "seed").filter("doc <> lead")
-    paired = anchors.groupBy("doc", "lead").agg(F.collect_list(F.struct("place", "there")).alias("anchors")).filter(F.size("anchors") > 1)
+
+def _passages(texts: DataFrame, anchors: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    """The passages along the anchors (doc, lead, place, there)."""
+    paired = anchors.groupBy("doc", "lead").agg(F.collect_list(F.struct("place", "there")).alias("anchors"))
     found = written(paired.mapInArrow(_chained, "doc bigint, lead bigint, here array<int>, there array<int>"), "chains")
 
     def wide(places: str, grid: int) -> list[Column]:
@@ -249,25 +381,70 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         found.select(F.col("lead").alias("id"), F.col("lead_low").alias("low"), F.col("lead_high").alias("high"))
     )
     wanted = wanted.distinct()
-    held = texts.dropDuplicates(["id"]).join(wanted, "id").select("id", "raw", "low", "high")
+    # A text comes once, with all its regions.
+    wanted = written(wanted.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("parts")), "wanted")
+    held = _of(texts, wanted.select("id")).join(wanted, "id").select("id", "raw", "parts")
     regions = written(held.mapInArrow(_regions, "id bigint, low int, high int, hashes binary"), "regions")
     mine = regions.select(F.col("id").alias("doc"), "low", "high", F.col("hashes").alias("x"))
     theirs = regions.select(F.col("id").alias("lead"), F.col("low").alias("lead_low"), F.col("high").alias("lead_high"), F.col("hashes").alias("y"))
     both = found.join(mine, ["doc", "low", "high"]).join(theirs, ["lead", "lead_low", "lead_high"])
     schema = "doc bigint, start int, end int, lead bigint, lead_start int, lead_end int, matches int"
     aligned = both.select("doc", "lead", "here", "there", "low", "x", "lead_low", "y").mapInArrow(_aligned(min_words, min_share), schema)
-    aligned = written(aligned, "aligned")
+    return written(aligned, "aligned")
 
-    whole = rows.filter((F.col("doc") < F.col("last")) & (F.col("n") >= min_words)).select("doc", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("doc").alias("lead"))
-    parts = aligned.select("doc", "start", "end", "lead")
-    parts = parts.unionByName(aligned.select(F.col("lead").alias("doc"), F.col("lead_start").alias("start"), F.col("lead_end").alias("end"), "lead")).unionByName(whole)
+
+def _sides(aligned: DataFrame) -> DataFrame:
+    """Passages (doc, start, end, lead) on both sides."""
+    theirs = aligned.select(F.col("lead").alias("doc"), F.col("lead_start").alias("start"), F.col("lead_end").alias("end"), "lead")
+    return aligned.select("doc", "start", "end", "lead").unionByName(theirs)
+
+
+def _merged(parts: DataFrame) -> DataFrame:
     # As many rows a document as it has words, at most.
     parts = parts.groupBy("doc", "start").agg(F.max("end").alias("end"), F.min("lead").alias("lead"))
     by = Window.partitionBy("doc").orderBy("start")
     reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
     islands = parts.withColumn("new", new).withColumn("island", F.sum("new").over(by))
-    merged = islands.groupBy("doc", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("lead").alias("first_doc"))
+    return islands.groupBy("doc", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("lead").alias("first_doc"))
+
+
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """One row for each passage of each document that other documents share: id_col, start_word, end_word (words from 0,
+    end not included), n_words, and first_doc, the smallest id among the leads (the id itself where the passage leads)."""
+    texts = documents.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw")).filter("id is not null")
+    each = written(texts.mapInArrow(_cut, "id bigint, n int, word_key binary, seeds binary"), "seeds")
+    keyed = each.filter("n > 0").groupBy("word_key")
+    rows = written(keyed.agg(F.min("id").alias("doc"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("seeds").alias("seeds")), "texts")
+
+    places = rows.select("doc", "seeds").mapInArrow(_explode, "seed bigint, doc bigint, place int")
+    leads = places.groupBy("seed").agg(F.min(F.struct("doc", "place")).alias("lead"), F.max("doc").alias("last"))
+    leads = leads.filter("lead.doc < last").select("seed", F.col("lead.doc").alias("lead"), F.col("lead.place").alias("there"))
+    # Written, so that the join below is one of two plain shuffles, whose skewed seeds Spark splits.
+    leads = written(leads, "leads")
+    shared = written(places.join(leads, "seed"), "shared")
+    aligned = _passages(texts, shared.filter("doc <> lead").select("doc", "lead", "place", "there"), min_words, min_share)
+    whole = rows.filter((F.col("doc") < F.col("last")) & (F.col("n") >= min_words)).select("doc", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("doc").alias("lead"))
+
+    found = _merged(_sides(aligned).unionByName(whole)).groupBy("doc").agg(F.collect_list(F.struct("start_word", "end_word")).alias("found"))
+    held = shared.groupBy("doc").agg(F.collect_list("place").alias("held")).join(found, "doc", "left")
+    held = rows.select("doc", "n", "seeds").join(held, "doc").select("doc", "n", "seeds", "held", "found")
+    unled = written(held.mapInArrow(_hidden(min_words), f"doc bigint, parts {_PARTS}, seeds array<bigint>"), "unled")
+    sought = written(unled.select(F.explode("seeds").alias("seed")).distinct(), "sought")
+    near = shared.join(sought, "seed").groupBy("doc").agg(F.collect_list("place").alias("places")).join(unled, "doc")
+    parts = written(near.select("doc", "parts", "places").mapInArrow(_close(min_words), f"id bigint, parts {_PARTS}"), "stretches")
+    hashed = written(_of(texts, parts.select("id")).join(parts, "id").select("id", "raw", "parts").mapInArrow(_runs(min_words), "one bigint, two bigint, doc bigint, place int"), "runs")
+    first = hashed.groupBy("one", "two").agg(F.min(F.struct("doc", "place")).alias("lead"), F.max("doc").alias("last"))
+    first = written(first.filter("lead.doc < last").select("one", "two", F.col("lead.doc").alias("lead"), F.col("lead.place").alias("there")), "firsts")
+    same = hashed.join(first, ["one", "two"]).filter("doc <> lead").groupBy("doc", "lead").agg(F.collect_list(F.struct("place", "there")).alias("anchors"))
+    same = written(same.mapInArrow(_ends(min_words), f"doc bigint, lead bigint, start int, end int, there int, upto int, parts {_PARTS}"), "same")
+    sides = _sides(aligned).unionByName(whole)
+    if not same.isEmpty():
+        ends = F.array(F.struct(F.col("start").alias("place"), "there"), F.struct((F.col("end") - K).alias("place"), (F.col("upto") - K).alias("there")))
+        more = _passages(texts, same.select("doc", "lead", F.explode(ends).alias("a")).select("doc", "lead", "a.place", "a.there"), min_words, min_share)
+        theirs = same.select("lead", F.explode("parts").alias("p")).select(F.col("lead").alias("doc"), F.col("p.low").alias("start"), F.col("p.high").alias("end"), "lead")
+        sides = sides.unionByName(_sides(more)).unionByName(same.select("doc", "start", "end", "lead")).unionByName(theirs)
+    merged = _merged(sides)
     copies = each.join(rows.select("word_key", "doc"), "word_key").select("id", "doc")
     kind = documents.schema[id_col].dataType
     return copies.join(merged, "doc").select(

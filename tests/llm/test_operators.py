@@ -297,6 +297,50 @@ def test_passages(spark):
     assert passages.find(docs(spark, [])).count() == 0
 
 
+def test_passages_whose_seeds_lead_to_pieces(spark):
+    rng = random.Random(81)
+    w = prose(rng, 60).split()
+    a1, a2 = (f"{prose(rng, 40)} {' '.join(p)} {prose(rng, 40)}" for p in (w[:30], w[30:]))
+    b, c = (f"{prose(rng, n)} {' '.join(w)} {prose(rng, n)}" for n in (20, 35))
+    got = {r.doc_id: r for r in passages.find(docs(spark, [a1, a2, b, c])).collect()}
+    assert set(got) == {2, 3}
+    for doc, start in ((2, 20), (3, 35)):
+        assert got[doc].first_doc == 2 and got[doc].start_word <= start and got[doc].end_word >= start + 60 and got[doc].n_words <= 64
+    cut = {r.doc_id: r.text for r in passages.cut_repeats(docs(spark, [a1, a2, b, c])).collect()}
+    assert cut[0] == a1 and cut[1] == a2 and cut[2] == b and " ".join(w[5:55]) not in cut[3]
+
+
+def test_passages_of_one_anchor(spark):
+    rng = random.Random(82)
+    w = prose(rng, 60, 5000).split()
+    # Of the runs of words between the edits, the middle one alone is long enough for a seed.
+    edited = [f"x{i}" if i in (6, 13, 20, 41, 48, 55) else v for i, v in enumerate(w)]
+    texts = [f"{prose(rng, 30, 5000)} {' '.join(v)} {prose(rng, 30, 5000)}" for v in (w, edited)]
+    h = [passages.seeds(passages.word_hashes(t.encode())) for t in texts]
+    assert len(np.intersect1d(h[0][0], h[1][0])) == 1
+    got = {r.doc_id: r for r in passages.find(docs(spark, texts)).collect()}
+    assert set(got) == {0, 1} and all(r.start_word <= 31 and r.end_word >= 89 for r in got.values())
+
+
+def test_passages_every_exact_run(spark):
+    rng = random.Random(83)
+    texts = []
+    for _ in range(60):
+        t = []
+        for _ in range(rng.randrange(1, 5)):
+            old = rng.choice(texts).split() if texts and rng.random() < 0.8 else ["again"] * rng.randrange(80)
+            at = rng.randrange(max(1, len(old) - 20))
+            t += old[at : at + rng.randrange(20, 70)] + prose(rng, rng.randrange(30)).split()
+        texts.append(" ".join(t))
+    held = defaultdict(set)
+    for i, t in enumerate(texts):
+        for a in range(len(t.split()) - 49):
+            held[tuple(t.split()[a : a + 50])].add((i, a))
+    want = {(i, p) for at in held.values() if len({i for i, _ in at}) > 1 for i, a in at for p in range(a, a + 50)}
+    got = {(r.doc_id, p) for r in passages.find(docs(spark, texts)).collect() for p in range(r.start_word, r.end_word)}
+    assert want and want <= got
+
+
 def test_chains_with_gap_costs():
     assert passages.chains([0, 10, 20], [5, 15, 25]) == [[0, 1, 2]]
     assert sorted(map(sorted, passages.chains([0, 10, 500, 510], [0, 10, 500, 510]))) == [[0, 1], [2, 3]]
