@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -95,8 +96,26 @@ def sessions(turns: DataFrame, idle: str = "1 hour", keep: int = 20) -> DataFram
 
 
 def dedupe_ttl(requests: DataFrame, ttl: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
-    """The requests that a cache with this time to live would have to answer anew."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys or ["key"])
+    """The requests (ts) that a cache with this time to live would have to answer anew. Each batch is walked in time order;
+    a request is a hit if an answer was stored at most ttl before it, and the clock restarts on a miss only. A key's state
+    is the times of its stored answers, so no row is dropped as late: one that comes in a later batch than its time is held
+    against the answers stored up to its own time, and verdicts given before stand."""
+    keep = pd.Timedelta(ttl).value // 1000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stored = [int(t) for t in state.get[0].split(",")] if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        missed = []
+        for at in rows["ts"].to_numpy("datetime64[us]").astype("int64").tolist():
+            i = bisect.bisect_right(stored, at)
+            missed.append(not i or at - stored[i - 1] > keep)
+            if missed[-1]:
+                stored.insert(i, at)
+        state.update((",".join(map(str, stored)),))
+        yield rows[missed]
+
+    grouped = requests.filter("ts is not null").groupBy(*(keys or ["key"]))
+    return grouped.applyInPandasWithState(step, requests.schema, "stored string", "append", GroupStateTimeout.NoTimeout)
 
 
 def metrics(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -1,5 +1,8 @@
 """Query-log, session, telemetry and streaming operators on small tables."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dictionaries as D
@@ -7,6 +10,7 @@ from corpusloom.operators import metrics as M
 from corpusloom.operators import querylog as Q
 from corpusloom.operators import sessions as S
 from corpusloom.operators.retrieve import dimension
+from corpusloom.streaming import jobs
 
 KEYS = ["conv_id", "turn"]
 
@@ -93,3 +97,17 @@ def test_walks(spark):
     log = spark.createDataFrame([("k", 0.0, False), ("k", 10.0, False), ("k", 15.0, False), ("k", 21.0, False), ("f", 0.0, True), ("f", 1.0, False)], "key string, at double, failed boolean")
     hits = {r.key: (r.requests, r.hits) for r in M.cache_simulate(log, 10).collect()}
     assert hits == {"k": (4, 2), "f": (2, 0)}
+
+
+def test_dedupe_ttl_against_the_batch_cache(spark, tmp_path):
+    rng = random.Random(3)
+    rows = sorted(((rng.randrange(4), 1_700_000_000 + rng.randrange(40) * 1800) for _ in range(200)), key=lambda r: r[1])
+    frame = spark.createDataFrame(rows, "key int, at long").withColumn("ts", F.timestamp_seconds("at"))
+    want = {r.key: r.requests - r.hits for r in M.cache_simulate(frame.withColumn("failed", F.lit(False)), 3600).collect()}
+    for name, cuts in (("one", [0, 200]), ("two", [0, 90, 200])):
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            spark.createDataFrame(rows[a:b], "key int, at long").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}.parquet")
+        got = []
+        stream = jobs.table_stream(spark, str(tmp_path), name, 1)
+        jobs.drain(jobs.dedupe_ttl(stream), lambda batch, number: got.extend(batch.collect()))
+        assert Counter(r.key for r in got) == want and max(want.values()) > 1
