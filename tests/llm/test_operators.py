@@ -300,7 +300,7 @@ def test_passages(spark):
 def test_passages_whose_seeds_lead_to_pieces(spark):
     rng = random.Random(81)
     w = prose(rng, 60).split()
-    a1, a2 = (f"{prose(rng, 40)} {' '.join(p)} {prose(rng, 40)}" for p in (w[:30], w[30:]))
+    a1, a2 = (f"{prose(rng, 40)} {' '.join(p)} {prose(rng, 40)}" for p in (w[:34], w[26:]))
     b, c = (f"{prose(rng, n)} {' '.join(w)} {prose(rng, n)}" for n in (20, 35))
     got = {r.doc_id: r for r in passages.find(docs(spark, [a1, a2, b, c])).collect()}
     assert set(got) == {2, 3}
