@@ -56,7 +56,7 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.verified(table(spark, sf_dir, "documents").select("doc_id", "text"), stable=True)
+    return token_shards.verified(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,13 @@ state. Shard s holds the slots from s * records on, as little-endian ids of 2 or
 offset is arithmetic and a reader resumes anywhere. A task writes a shard under a temporary name and moves it; the
 manifest is a table of what finished tasks wrote.
 
-The texts are encoded twice (once to count) rather than kept, which needs less disk. Both passes must see the same rows
-in the same partitions, which a table read from files gives; other inputs are written first (``stable=False``). The second
-pass checks that it finds as many sequences as the first and fails otherwise.
+Each text is encoded once. The sequences of a partition are written in compressed runs of ``RUN`` to a table, which also
+gives their numbers; a task then deals its sequences to shards, in one compressed row for each shard, so the shuffle
+moves compressed ids, too. A shard is in memory as a whole when it is written (records * length ids).
 
 Defined cases: a null text is an empty one and gives only `end`; repeated rows are encoded each; a document may span
-many sequences, and a sequence many documents; an empty table writes no shard and gives no rows.
+many sequences, and a sequence many documents, whatever a text's length; an empty table writes no shard and gives no
+rows; columns other than id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,10 @@ LENGTH = 1024
 RECORDS = 8192
 ROUNDS = 6
 END = 50256
+#: Sequences that are compressed together, and bytes of ids that a task holds before it deals them to shards.
+RUN = 256
+HELD = 32 << 20
+LEVEL = 3
 
 
 # --- the permutation
@@ -84,7 +91,11 @@ def _encoding(ranks: bytes) -> tiktoken.Encoding:
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").first()["content"])
+    """A file of the driver's disk, or with a scheme one of a shared store."""
+    if "://" in path:
+        return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+    with open(path, "rb") as f:
+        return f.read()
 
 
 @dataclass(frozen=True)
@@ -108,100 +119,123 @@ class Layout:
         return slot // self.records, slot % self.records * self.stride
 
 
-def _counts(texts: DataFrame, ranks, length: int) -> DataFrame:
-    """(part, sequences) of each input partition."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                n += len(_encoding(ranks.value).encode_ordinary(text or "")) + 1
-        if n:
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-n // length)], pa.int64())], ["part", "sequences"])
-
-    return texts.mapInArrow(count, "part int, sequences bigint")
+def _packed(texts: DataFrame, ranks, length: int, end: int, width: int) -> DataFrame:
+    """(part, first, n, docs, many, ids): runs of an input partition's sequences, the first one's number there, and for each
+    the id of its first text and how many texts it touches."""
+    code, kind = "H" if width == 2 else "I", f"<u{width}"
+    doc = texts.schema["doc_id"].dataType.simpleString()
 
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, encode = TaskContext.get().partitionId(), _encoding(ranks.value).encode_ordinary
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
+        held, docs, ends, number, id_type = array(code), [], [], 0, None
+
+        def cut(n: int) -> pa.RecordBatch:
+            nonlocal held, docs, ends, number
+            bounds, starts = np.array(ends, np.int64), np.arange(n, dtype=np.int64) * length
+            first = np.searchsorted(bounds, starts, side="right")
+            last = np.searchsorted(bounds, np.minimum(starts + length, bounds[-1]) - 1, side="right")
+            ids = np.array(held[: n * length], kind).tobytes()
+            columns = [
+                pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([n], pa.int64()),
+                pa.array([[docs[i] for i in first]], pa.list_(id_type)), pa.array([last - first + 1], pa.list_(pa.int32())), pa.array([compress(ids)], pa.binary()),
+            ]
+            done = int(np.searchsorted(bounds, n * length, side="right"))
+            held, docs, ends, number = held[n * length :], docs[done:], (bounds[done:] - n * length).tolist(), number + n
+            return pa.record_batch(columns, ["part", "first", "n", "docs", "many", "ids"])
 
-def _packed(texts: DataFrame, ranks, starts: dict, layout: Layout, end: int) -> DataFrame:
-    """(slot, shard, sequence, doc_id, docs, ids): each sequence with the id of its first text and how many it touches."""
+        for batch in batches:
+            id_type = batch.schema.field(0).type
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.extend(encode(text or ""))
+                held.append(end)
+                docs.append(i)
+                ends.append(len(held))
+                while len(held) >= RUN * length:
+                    yield cut(RUN)
+        if held:
+            n = -(-len(held) // length)
+            held.extend([end] * (n * length - len(held)))
+            yield cut(n)
+
+    return texts.mapInArrow(pack, f"part int, first bigint, n bigint, docs array<{doc}>, many array<int>, ids binary")
+
+
+def _dealt(packed: DataFrame, starts, layout: Layout) -> DataFrame:
+    """(shard, slots, sequences, docs, many, ids): a task's sequences of one shard in a row, ordered by slot."""
     kind = f"<u{layout.width}"
-    names = ["slot", "shard", "sequence", "doc_id", "docs", "crc", "ids"]
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        start, expected = starts.value.get(part, (0, 0))
-        number, length = 0, layout.length
-        held, docs, size = [], [], 0  # arrays of ids; for each its text's id
-
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal number, held, docs, size
-            ids = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-            if last and len(ids) % length:
-                fill = length - len(ids) % length
-                ids, owner = np.r_[ids, np.full(fill, end, ids.dtype)], np.r_[owner, np.full(fill, owner[-1])]
-            n = len(ids) // length
-            rest = ids[n * length :]
-            rows, own = ids[: n * length].reshape(n, length), owner[: n * length].reshape(n, length)
-            sequence = start + number + np.arange(n)
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, expand = zstandard.ZstdCompressor(level=LEVEL).compress, zstandard.ZstdDecompressor().decompress
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            sequence, docs, many, ids = (pa.concat_arrays(c) if isinstance(c[0], pa.Array) else np.concatenate(c) for c in zip(*held, strict=True))
             slot = permute(sequence, layout.sequences, layout.key)
-            raw = [r.tobytes() for r in rows]
-            first, many = [docs[i] for i in own[:, 0]], own[:, -1] - own[:, 0] + 1
-            yield pa.record_batch(
-                [pa.array(slot), pa.array(slot // layout.records), pa.array(sequence), pa.array(first, id_type), pa.array(many.astype(np.int32)), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(raw, pa.binary())],
-                names,
-            )
-            number += n
-            held, docs, size = ([rest], [docs[owner[-1]]], len(rest)) if len(rest) else ([], [], 0)
-
-        id_type = None
+            o = np.argsort(slot)
+            slot, sequence, many, ids, docs = slot[o], sequence[o], many[o], ids[o], docs.take(pa.array(o))
+            shard = slot // layout.records
+            at = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+            offsets = pa.array(at, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, c if isinstance(c, pa.Array) else pa.array(c)) for c in (slot, sequence, docs, many)]
+            blocks = pa.array([compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            return pa.record_batch([pa.array(shard[at[:-1]]), *lists, blocks], ["shard", "slots", "sequences", "docs", "many", "ids"])
+
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*_encoding(ranks.value).encode_ordinary(text or ""), end], kind)
-                held.append(ids)
-                docs.append(doc)
-                size += len(ids)
-                if size >= 256 * length:
-                    yield from cut(False)
-        if size:
-            yield from cut(True)
-        if number != expected:
-            raise RuntimeError(f"partition {part} changed between the passes: {number} sequences, not {expected}")
+            part, first, n = (batch.column(i).to_pylist() for i in (0, 1, 2))
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(expand(batch.column(5)[i].as_py()), kind).reshape(n[i], layout.length)
+                held.append((starts.value[part[i]] + first[i] + np.arange(n[i]), batch.column(3)[i].values, batch.column(4)[i].values.to_numpy(), ids))
+                size += ids.nbytes
+                if size >= HELD:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    doc = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(pack, f"slot bigint, shard bigint, sequence bigint, doc_id {doc}, docs int, crc bigint, ids binary")
+    docs = packed.schema["docs"].dataType.simpleString()
+    return packed.mapInArrow(deal, f"shard bigint, slots array<bigint>, sequences array<bigint>, docs {docs}, many array<int>, ids binary")
 
 
 def _write(rows: DataFrame, path: str, layout: Layout) -> DataFrame:
     """Writes the shards; (slot, shard, sequence, doc_id, docs, crc) of each record in them is what comes back."""
+    kind = f"<u{layout.width}"
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(path)
         fs.create_dir(folder)
-        shard = sink = temporary = None
-
-        def close():
-            if sink is not None:
-                sink.close()
-                fs.move(temporary, f"{folder}/shard-{shard:08d}.bin")
+        expand = zstandard.ZstdDecompressor().decompress
+        shard, held = None, []
+
+        def close() -> pa.RecordBatch:
+            slot, sequence, docs, many = (pa.concat_arrays([h[i] for h in held]) for i in range(4))
+            ids = np.concatenate([np.frombuffer(h[4], kind).reshape(-1, layout.length) for h in held])
+            o = np.argsort(slot.to_numpy())
+            slot, sequence, docs, many, ids = slot.take(pa.array(o)), sequence.take(pa.array(o)), docs.take(pa.array(o)), many.take(pa.array(o)), ids[o]
+            due = np.arange(shard * layout.records, min((shard + 1) * layout.records, layout.sequences))
+            if not np.array_equal(slot.to_numpy(), due):
+                raise RuntimeError(f"shard {shard} has not the slots that are due")
+            temporary = f"{folder}/{uuid.uuid4().hex}.tmp"
+            with fs.open_output_stream(temporary, compression=None) as sink:
+                sink.write(ids.tobytes())
+            fs.move(temporary, f"{folder}/shard-{shard:08d}.bin")
+            crc = pa.array([zlib.crc32(r) for r in ids], pa.int64())
+            return pa.record_batch([slot, pa.array(np.full(len(o), shard)), sequence, docs, many, crc], ["slot", "shard", "sequence", "doc_id", "docs", "crc"])
 
         for batch in batches:
-            for at, s, ids in zip(batch.column("slot").to_pylist(), batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for i, s in enumerate(batch.column(0).to_pylist()):
                 if s != shard:
-                    close()
-                    shard, temporary, due = s, f"{folder}/{uuid.uuid4().hex}.tmp", s * layout.records
-                    sink = fs.open_output_stream(temporary, compression=None)
-                if at != due or len(ids) != layout.stride:
-                    raise RuntimeError(f"slot {at} is not the next one, {due}")
-                sink.write(ids)
-                due += 1
-            yield batch.drop_columns(["ids"])
-        close()
+                    if held:
+                        yield close()
+                    shard, held = s, []
+                held.append([*(batch.column(k)[i].values for k in (1, 2, 3, 4)), expand(batch.column(5)[i].as_py())])
+        if held:
+            yield close()
 
-    # The shards are ranges of slots, so dealing by shard and sorting is a range partitioning without a sampling pass.
-    dealt = rows.repartition("shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, rows.drop("ids").schema)
+    doc = rows.schema["docs"].dataType.elementType.simpleString()
+    # The shards are ranges of slots, so dealing by shard is a range partitioning without a sampling pass.
+    dealt = rows.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(write, f"slot bigint, shard bigint, sequence bigint, doc_id {doc}, docs int, crc bigint")
 
 
 def read_shards(spark: SparkSession, path: str, layout: Layout, first_slot: int = 0) -> DataFrame:
@@ -235,20 +269,19 @@ def materialise(
     end: int = END,
     id_col: str = "doc_id",
     text_col: str = "text",
-    stable: bool = False,
 ) -> tuple[Layout, DataFrame]:
     """Writes the shards of `documents` under `path`; the layout and the manifest, one row a sequence."""
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts if stable else written(texts, "texts")
     ranks = spark.sparkContext.broadcast(read_bytes(spark, ranks_path))
+    width = 2 if end < 65536 else 4
+    packed = written(_packed(texts, ranks, length, end, width), "packed")
     # One row for each input partition: the driver's own bookkeeping.
-    counts, starts, total = sorted(written(_counts(texts, ranks, length), "counts").collect()), {}, 0
-    for part, n in counts:
-        starts[part] = (total, n)
-        total += n
-    layout = Layout(total, length, records, 2 if end < 65536 else 4, key)
-    rows = _packed(texts, ranks, spark.sparkContext.broadcast(starts), layout, end)
+    starts, total = {}, 0
+    for part, n in sorted(packed.groupBy("part").agg(F.sum("n")).collect()):
+        starts[part], total = total, total + n
+    layout = Layout(total, length, records, width, key)
+    rows = _dealt(packed, spark.sparkContext.broadcast(starts), layout)
     return layout, written(_write(rows, path, layout), "manifest")
 
 

@@ -365,7 +365,8 @@ def test_token_shards(spark):
         x = token_shards.permute(np.arange(n), n, 42)
         assert sorted(x) == list(range(n)) and (token_shards.permute(x, n, 42, backwards=True) == np.arange(n)).all()
     rng = random.Random(10)
-    texts = [None, "", "héllo wörld"] + [prose(rng, rng.randrange(1, 400)) for _ in range(60)]
+    texts = [None, "", "héllo wörld", prose(rng, 60_000), "x" * 20_000] + [prose(rng, rng.randrange(1, 400)) for _ in range(60)]
+    texts += texts[5:8]
     path = new_path(spark, "tokens")
     d = docs(spark, texts).repartition(3)
     layout, manifest = token_shards.materialise(d, path, length=64, records=50)
@@ -387,6 +388,24 @@ def test_token_shards(spark):
     assert sorted(r.slot for r in later) == list(range(70, layout.sequences))
     assert all(r.crc == r.read_crc for r in token_shards.verified(d, length=64, records=50).collect())
     assert token_shards.verified(d.limit(0)).count() == 0
+    clash = d.withColumns({c: F.lit(1) for c in ("slot", "shard", "ids", "docs", "part")})
+    assert token_shards.verified(clash, length=64, records=50).count() == layout.sequences
+    named = d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id for r in token_shards.verified(named, length=64, records=50).collect()} <= {f"d{i}" for i in range(len(texts))}
+
+
+def test_token_shards_owners(spark, monkeypatch):
+    """The first text of each sequence and how many it touches, against a walk through all ids; small runs and flushes."""
+    monkeypatch.setattr(token_shards, "RUN", 3)
+    rng = random.Random(11)
+    texts = [prose(rng, rng.choice((0, 1, 5, 30, 400))) for _ in range(80)]
+    with open(token_shards.RANKS, "rb") as f:
+        encoding = token_shards._encoding(f.read())
+    owner = [i for i, t in enumerate(texts) for _ in range(len(encoding.encode_ordinary(t)) + 1)]
+    layout, manifest = token_shards.materialise(docs(spark, texts).coalesce(1), new_path(spark, "tokens"), length=16, records=7)
+    rows = sorted(manifest.collect(), key=lambda r: r.sequence)
+    assert layout.sequences == len(rows) == -(-len(owner) // 16)
+    assert [(r.doc_id, r.docs) for r in rows] == [(o[0], o[-1] - o[0] + 1) for o in (owner[i : i + 16] for i in range(0, len(owner), 16))]
 
 
 # --- 10
