@@ -55,19 +55,30 @@ SELECT doc_id, slot, 'shard-' || lpad(({_OWNERS})[slot + 1]::VARCHAR, 2, '0') AS
 """
 
 
-def _fence(keys: str, name: str) -> str:
+_R = quality_rules
+
+
+def _level(keys: str, name: str) -> str:
     k = f"{keys}, " if keys else ""
-    r = quality_rules
-    margins = " ".join(f"WHEN '{s}' THEN {m}" for s, m in r.MARGINS.items())
+    q = ", ".join(f"min(step) FILTER (below * 100 >= total * {p})::DOUBLE AS {name}_{p}" for p in _R.QUANTILES)
     return f"""
 {name}_s AS (SELECT {k}share, step, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_c AS (SELECT *, sum(n) OVER (PARTITION BY {k}share ORDER BY step) AS below, sum(n) OVER (PARTITION BY {k}share) AS total FROM {name}_s),
-{name}_q AS (SELECT {k}share, max(total) AS n, min(step) FILTER (below * 4 >= total) AS q1, min(step) FILTER (below * 4 >= total * 3) AS q3
-        FROM {name}_c GROUP BY ALL),
-{name} AS (SELECT {k}share, n AS {name}_n, q3 + {r.FENCES} * (q3 - q1) + CASE share {margins} END AS {name}_most FROM {name}_q)"""
+{name} AS (SELECT {k}share, max(total)::DOUBLE AS {name}_n, {q} FROM {name}_c GROUP BY ALL)"""
+
+
+def _drawn(name: str, towards: str) -> str:
+    return ", ".join(f"({name}_n * {name}_{p} + {_R.PULL} * {towards}_{p}) / ({name}_n + {_R.PULL}) AS {name}_{p}" for p in _R.QUANTILES)
+
+
+def _failed(share: str) -> str:
+    n, of, unit = _R.SHARES[share]
+    usual, w = f"(usual_{share} * {of} / {unit})", "(2 * line_words)" if share == "repeats" else "1::DOUBLE"
+    return f"coalesce({n} > {usual} + {_R.SIGMAS} * sqrt({usual} * {w} + {w} * {w}), FALSE)"
 
 
-_MOST = "CASE " + " ".join(f"WHEN {k}_n >= {quality_rules.MIN_ROWS} THEN {k}_most" for k in ("own", "lang", "every")) + " END"
+_STEPS = ", ".join(f"{{'share': '{k}', 'step': least({_R.MAX_STEP}, {unit} * {n} // {of})}}" for k, (n, of, unit) in _R.SHARES.items())
+_USUAL = ", ".join(f"max(usual) FILTER (share = '{k}') AS usual_{k}" for k in _R.RULES)
 OP6 = rf"""
 WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS lk, coalesce('=' || source, '') AS sk, coalesce(text, '') AS text,
              regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS w,
@@ -75,21 +86,22 @@ WITH t AS (SELECT doc_id, coalesce('=' || lang, '') AS lk, coalesce('=' || sourc
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, unnest(range(0, 3)) AS u(k) GROUP BY doc_id),
-m AS (SELECT doc_id, lk, sk, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+m AS (SELECT doc_id, lk, sk, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
       FROM t LEFT JOIN c USING (doc_id)),
-x AS (SELECT doc_id, lk, sk, unnest([
-        {{'share': 'symbols', 'step': least(1000, 1000 * n_symbols // word_chars)}}, {{'share': 'lines', 'step': 1000 * n_dup_lines // n_lines}},
-        {{'share': 'repeats', 'step': 1000 * n_repeat_words // n_words}}, {{'share': 'length', 'step': least(1000, 10 * word_chars // n_words)}}], recursive := true)
-      FROM m WHERE n_words > 0),
-sketch AS (SELECT lk, sk, share, step, count(*) AS n FROM x GROUP BY ALL), {_fence("lk, sk", "own")}, {_fence("lk", "lang")}, {_fence("", "every")},
-most AS (SELECT lk, sk, share, {_MOST} AS most FROM own JOIN lang USING (lk, share) JOIN every USING (share)),
-bad AS (SELECT DISTINCT doc_id FROM x JOIN most USING (lk, sk, share) WHERE step > most)
+d AS (SELECT lk, sk, text, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_lines) AS n_lines,
+             any_value(n_dup_lines) AS n_dup_lines, any_value(n_repeat_words) AS n_repeat_words FROM m WHERE n_words > 0 GROUP BY ALL),
+x AS (SELECT lk, sk, unnest([{_STEPS}], recursive := true) FROM d),
+sketch AS (SELECT lk, sk, share, step, count(*) AS n FROM x GROUP BY ALL), {_level("lk, sk", "own")}, {_level("lk", "lang")}, {_level("", "every")},
+dl AS (SELECT * EXCLUDE ({", ".join(f"lang_{p}" for p in _R.QUANTILES)}), {_drawn("lang", "every")} FROM own JOIN lang USING (lk, share) JOIN every USING (share)),
+dr AS (SELECT lk, sk, share, lang_95, {_drawn("own", "lang")} FROM dl),
+us AS (SELECT lk, sk, share, own_50, least(own_50 + {_R.FENCES} * (own_50 - own_10), {_R.BOUND} * lang_95) AS usual FROM dr),
+most AS (SELECT lk, sk, {_USUAL}, max(own_50) FILTER (share = 'width') AS line_words FROM us GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.doc_id IS NULL AS kept
-FROM m LEFT JOIN bad USING (doc_id)
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR {" OR ".join(map(_failed, _R.RULES))}) AS kept
+FROM m LEFT JOIN most USING (lk, sk)
 """
 
 

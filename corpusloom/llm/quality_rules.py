@@ -1,32 +1,47 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Each text gives counts and, from them, four shares in integer steps: symbols, repeated lines and repeated words in
-thousandths, the mean length of words in tenths. A group's sketch of a share is its histogram over these steps (the last
-step of word lengths is open): sketches add up, so rows are pre-aggregated before the shuffle and a language's sketch is
-the sum of its sources'. A group (language and source) with fewer than ``min_rows`` texts uses its language's sketch, a
-language with fewer uses the whole corpus's, and with fewer still nothing is held against its texts. The threshold is
-upper quartile + ``fences`` times the quartiles' distance + the share's margin: what stands out from its own group fails, while a
-group of even quality loses nothing.
-
-Defined cases: a null text has no words; texts without a word aren't in a sketch and fail the base rule; repeated rows
-count each; a null language or source is a group of its own; ties at a threshold are kept; an empty table gives none.
+Each text gives counts and, from them, shares in integer steps: symbols, repeated lines and repeated words in thousandths,
+the mean length of words in tenths, the words of a line. A group's sketch of a share is its histogram over these steps
+(the last step is open): sketches add up, so rows are pre-aggregated before the shuffle, and the sketch of a language is
+the sum of its sources', that of the corpus the sum of all. Equal texts of a group count once, so copies can't make
+themselves the rule.
+
+A sketch gives the quantiles at 10, 50 and 95 %. A language's are drawn towards the corpus's and a group's (language and
+source) towards its language's by ``pull`` texts, so a group of any size has thresholds of its own, and small ones lean on
+what is known. The usual rate of a share is the median + ``fences`` times the distance from the 10 % quantile to it: only
+the lower half decides, which less than half of junk doesn't reach. It is at most ``bound`` times what 95 % of the
+language's texts keep to, so that a group of junk can't switch its rule off. A text fails if its count is above the usual
+rate by more than ``sigmas`` standard deviations of a count of events: sqrt(usual * w + w * w) for events of weight w, which
+is 1 and for repeated words twice the words of a usual line. So one repeated line in a short text isn't held against it.
+
+Defined cases: a null text has no words; texts without a word aren't in a sketch and fail the base rule; whole texts of any
+length are measured; rows that repeat get the same verdict each; a null language or source is a group of its own; ties at
+a threshold are kept; an empty table gives no rows. Only the four named columns are read, so no other name can clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from corpusloom.llm.common import BROADCAST_ROWS, join_small, null_key, written
 
-MIN_ROWS = 100
-FENCES = 3
-#: Steps that a text may stand beyond its group's fence: symbols are telling, while some lines and words may repeat.
-MARGINS = {"symbols": 50, "lines": 400, "repeats": 300, "length": 50}
+#: Texts by which a group's quantiles are drawn towards its language's, and a language's towards the corpus's.
+PULL = 10
+FENCES = 6
+SIGMAS = 3
+BOUND = 2
+QUANTILES = (10, 50, 95)
 MAX_STEP = 1000
-SHARES = ("symbols", "lines", "repeats", "length")
+#: Share -> (its count, what it is a share of, steps in 1); `width` gives no rule but the words of a usual line.
+SHARES = {
+    "symbols": ("n_symbols", "word_chars", 1000),
+    "lines": ("n_dup_lines", "n_lines", 1000),
+    "repeats": ("n_repeat_words", "n_words", 1000),
+    "length": ("word_chars", "n_words", 10),
+    "width": ("n_words", "n_lines", 1),
+}
+RULES = [k for k in SHARES if k != "width"]
 #: ASCII white space.
 BLANK = " \t\n\x0b\f\r"
 
@@ -85,42 +100,60 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _shares() -> dict[str, Column]:
-    return {
-        "symbols": F.expr(f"least({MAX_STEP}, 1000 * n_symbols div nullif(word_chars, 0))"),
-        "lines": F.expr("1000 * n_dup_lines div nullif(n_lines, 0)"),
-        "repeats": F.expr("1000 * n_repeat_words div nullif(n_words, 0)"),
-        "length": F.expr(f"least({MAX_STEP}, 10 * word_chars div nullif(n_words, 0))"),
-    }
+def _steps() -> Column:
+    """Each share of a text with its step."""
+    at = lambda n, of, unit: F.expr(f"cast(least({MAX_STEP}, {unit} * {n} div {of}) as int)")
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("share"), at(*v).alias("step")) for k, v in SHARES.items()]))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang_key, source_key, share, step) -> rows; bounded by the groups times MAX_STEP."""
-    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("share"), F.col(f"share_{k}").alias("step")) for k in SHARES]))
-    flat = measured.filter("n_words > 0").select("lang_key", "source_key", steps.alias("s"))
+    counted = [n for n in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
+    texts = measured.filter("n_words > 0").groupBy("lang_key", "source_key", "text_hash").agg(*[F.first(n).alias(n) for n in counted])
+    flat = texts.select("lang_key", "source_key", _steps().alias("s"))
     return flat.groupBy("lang_key", "source_key", F.col("s.share").alias("share"), F.col("s.step").alias("step")).agg(F.count("*").alias("rows"))
 
 
-def _fence(sketch: DataFrame, keys: list[str], name: str, fences: int, margins: dict[str, int]) -> DataFrame:
-    """Rows and threshold of each group of a sketch."""
-    by = Window.partitionBy(*keys, "share")
+def _quantiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Texts and quantiles of each group of a sketch; a histogram has MAX_STEP + 1 steps at most."""
     merged = sketch.groupBy(*keys, "share", "step").agg(F.sum("rows").alias("rows"))
-    summed = merged.withColumn("below", F.sum("rows").over(by.orderBy("step"))).withColumn("all", F.sum("rows").over(by))
-    q = [F.min(F.when(F.col("below") * 4 >= F.col("all") * k, F.col("step"))) for k in (1, 3)]
-    out = summed.groupBy(*keys, "share").agg(F.max("all").alias(f"{name}_rows"), q[0].alias("q1"), q[1].alias("q3"))
-    margin = F.create_map(*[F.lit(x) for pair in margins.items() for x in pair])[F.col("share")]
-    return out.select(*keys, "share", f"{name}_rows", (F.col("q3") + fences * (F.col("q3") - F.col("q1")) + margin).alias(f"{name}_most"))
+    held = merged.groupBy(*keys, "share").agg(F.sum("rows").alias(f"{name}_n"), F.sort_array(F.collect_list(F.struct("step", "rows"))).alias("h"))
+
+    def at(percent: int) -> Column:
+        return F.expr(
+            f"aggregate(h, named_struct('below', 0L, 'step', -1), (a, x) -> if(a.step >= 0, a, named_struct('below', a.below + x.rows, "
+            f"'step', if((a.below + x.rows) * 100 >= {name}_n * {percent}, x.step, -1))), a -> double(a.step))"
+        )
+
+    return held.select(*keys, "share", f"{name}_n", *[at(p).alias(f"{name}_{p}") for p in QUANTILES])
+
+
+def _drawn(df: DataFrame, name: str, towards: str, pull: float) -> DataFrame:
+    n = F.col(f"{name}_n")
+    return df.withColumns({f"{name}_{p}": (n * F.col(f"{name}_{p}") + pull * F.col(f"{towards}_{p}")) / (n + pull) for p in QUANTILES})
+
 
+def thresholds(sketch: DataFrame, pull: float = PULL, fences: float = FENCES, bound: float = BOUND) -> DataFrame:
+    """One row for each language and source: the usual step of each share (usual_...) and the words of a usual line."""
+    own = _quantiles(sketch, ["lang_key", "source_key"], "own")
+    lang = _quantiles(sketch, ["lang_key"], "lang")
+    every = _quantiles(sketch, [], "every")
+    both = own.join(lang, ["lang_key", "share"]).join(F.broadcast(every), "share")
+    both = _drawn(_drawn(both, "lang", "every", pull), "own", "lang", pull)
+    usual = F.least(F.col("own_50") + fences * (F.col("own_50") - F.col("own_10")), bound * F.col("lang_95"))
+    at = [F.max(F.when(F.col("share") == k, usual)).alias(f"usual_{k}") for k in RULES]
+    return both.groupBy("lang_key", "source_key").agg(*at, F.max(F.when(F.col("share") == "width", F.col("own_50"))).alias("line_words"))
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, fences: int = FENCES, margins: dict[str, int] = MARGINS) -> DataFrame:
-    """One row for each language and source with its threshold of each share; null where nothing is held against it."""
-    own = _fence(sketch, ["lang_key", "source_key"], "own", fences, margins)
-    lang = _fence(sketch, ["lang_key"], "lang", fences, margins)
-    every = _fence(sketch, [], "every", fences, margins)
-    both = own.join(lang, ["lang_key", "share"]).join(every, "share")
-    most = F.coalesce(*[F.when(F.col(f"{k}_rows") >= min_rows, F.col(f"{k}_most")) for k in ("own", "lang", "every")])
-    at = [F.max(F.when(F.col("share") == k, most)).alias(f"most_{k}") for k in SHARES]
-    return both.groupBy("lang_key", "source_key").agg(*at)
+
+def _failed(share: str, sigmas: float) -> Column:
+    n, of, unit = SHARES[share]
+    usual = F.col(f"usual_{share}") * F.col(of) / unit
+    w = 2 * F.col("line_words") if share == "repeats" else F.lit(1.0)
+    return F.coalesce(F.col(n) > usual + sigmas * F.sqrt(usual * w + w * w), F.lit(False))
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def judge(
@@ -129,29 +162,37 @@ def judge(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    min_rows: int = MIN_ROWS,
-    fences: int = FENCES,
-    margins: dict[str, int] = MARGINS,
+    pull: float = PULL,
+    fences: float = FENCES,
+    sigmas: float = SIGMAS,
+    bound: float = BOUND,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Per row: the id, the counts, each share with its threshold, base_failed and kept."""
-    texts = documents.select(
-        F.col(id_col), null_key(F.col(lang_col)).alias("lang_key"), null_key(F.col(source_col)).alias("source_key"), *parts(F.col(text_col))
-    )
-    plain = texts.select(id_col, "lang_key", "source_key", *[c.alias(k) for k, c in counts().items()])
+    """Per row: the id, the counts, the usual step of each share, failed_... of each rule, base_failed and kept."""
+    return _judged(documents, id_col, text_col, lang_col, source_col, pull, fences, sigmas, bound, broadcast_rows).drop("lang_key", "source_key", "text_hash")
+
+
+def _judged(documents, id_col, text_col, lang_col, source_col, pull, fences, sigmas, bound, broadcast_rows) -> DataFrame:
+    text = F.col(text_col)
+    keys = [null_key(F.col(lang_col)).alias("lang_key"), null_key(F.col(source_col)).alias("source_key")]
+    texts = documents.select(F.col(id_col).alias("id__"), *keys, _hash(text).alias("text_hash"), *parts(text))
     # The texts are read and measured once; the counts are a small table.
-    measured = written(plain, "counts").withColumns({f"share_{k}": c for k, c in _shares().items()})
-    most = written(thresholds(sketches(measured), min_rows, fences, margins), "thresholds")
-    keys = ["lang_key", "source_key"]
-    joined = join_small(measured, most, keys, F.xxhash64(F.col(id_col), "n_words", "word_chars"), broadcast_rows)
-    odd = [F.coalesce(F.col(f"share_{k}") > F.col(f"most_{k}"), F.lit(False)) for k in SHARES]
-    failed = odd[0] | odd[1] | odd[2] | odd[3]
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~failed).drop(*keys)
-
-
-def filter_documents(documents: DataFrame, **options) -> DataFrame:
-    """The rows of `documents` whose id is kept in every row that carries it."""
-    if not isinstance(documents.schema["doc_id"].dataType, T.AtomicType):
-        raise TypeError("doc_id must be a plain value")
-    failed = judge(documents, **options).filter("not kept").select(F.col("doc_id").alias("failed__")).distinct()
-    return documents.join(failed, documents["doc_id"].eqNullSafe(failed["failed__"]), "left_anti")
+    measured = written(texts.select("id__", "lang_key", "source_key", "text_hash", *[c.alias(k) for k, c in counts().items()]), "counts")
+    usual = written(thresholds(written(sketches(measured), "sketch"), pull, fences, bound), "thresholds")
+    joined = join_small(measured, usual, ["lang_key", "source_key"], F.col("text_hash"), broadcast_rows)
+    joined = joined.withColumn("base_failed", base_failed()).withColumns({f"failed_{k}": _failed(k, sigmas) for k in RULES})
+    good = ~F.col("base_failed")
+    for k in RULES:
+        good &= ~F.col(f"failed_{k}")
+    return joined.withColumn("kept", good).withColumnRenamed("id__", id_col)
+
+
+def filter_documents(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The rows of `documents` that are kept. A verdict depends on text, language and source alone, so rows are told apart by
+    these and not by an id."""
+    given = {"pull": PULL, "fences": FENCES, "sigmas": SIGMAS, "bound": BOUND, "broadcast_rows": BROADCAST_ROWS} | options
+    numbered = documents.select(F.lit(0).alias("n"), *[F.col(c).alias(k) for c, k in ((text_col, "t"), (lang_col, "l"), (source_col, "s"))])
+    failed = _judged(numbered, "n", "t", "l", "s", **given).filter("not kept")
+    failed = written(failed.select(F.col("lang_key").alias("l__"), F.col("source_key").alias("s__"), F.col("text_hash").alias("h__")).distinct(), "failed")
+    same = (null_key(documents[lang_col]) == failed["l__"]) & (null_key(documents[source_col]) == failed["s__"]) & (_hash(documents[text_col]) == failed["h__"])
+    return documents.join(failed, same, "left_anti")

@@ -217,27 +217,86 @@ def test_sharding(spark):
 def brute_counts(t):
     w = tokens((t or "").encode())
     lines = [x for x in (t or "").split("\n") if tokens(x.encode())]
-    grams = Counter(tuple((t or "").split()[i : i + 3]) for i in range(len(w) - 2))
-    hit = {i + k for i in range(len(w) - 2) if grams[tuple((t or "").split()[i : i + 3])] > 1 for k in range(3)}
+    each = (t or "").split()
+    grams = Counter(tuple(each[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + k for i in range(len(w) - 2) if grams[tuple(each[i : i + 3])] > 1 for k in range(3)}
     return (len(w), len("".join((t or "").split())), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit))
 
 
+def brute_verdicts(rows):
+    """kept of (text, lang, source) rows, by the rules as the module states them."""
+    R = quality_rules
+    each = []
+    for t, lang, source in rows:
+        n, chars, symbols, dup, rep = brute_counts(t)
+        lines = len([x for x in (t or "").split("\n") if x.split()])
+        each.append({"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": rep, "n_lines": lines, "lang": lang, "source": source, "text": t or ""})
+    distinct = {(e["lang"], e["source"], e["text"]): e for e in each if e["n_words"]}.values()
+
+    def quantiles(share, group):
+        n, of, unit = R.SHARES[share]
+        v = sorted(min(R.MAX_STEP, unit * e[n] // e[of]) for e in group)
+        return len(v), [v[-(-len(v) * p // 100) - 1] for p in R.QUANTILES]
+
+    def drawn(share, group, towards):
+        n, q = quantiles(share, group)
+        return [(n * a + R.PULL * b) / (n + R.PULL) for a, b in zip(q, towards, strict=True)]
+
+    out = []
+    for e in each:
+        kept = e["n_words"] >= 50 and 2 * e["n_repeat_words"] <= e["n_words"]
+        usual = {}
+        for k in R.SHARES if kept else ():
+            lang = drawn(k, [x for x in distinct if x["lang"] == e["lang"]], quantiles(k, distinct)[1])
+            own = drawn(k, [x for x in distinct if (x["lang"], x["source"]) == (e["lang"], e["source"])], lang)
+            usual[k] = own[1] if k == "width" else min(own[1] + R.FENCES * (own[1] - own[0]), R.BOUND * lang[2])
+        for k in R.RULES if kept else ():
+            n, of, unit = R.SHARES[k]
+            rate, w = usual[k] * e[of] / unit, 2 * usual["width"] if k == "repeats" else 1
+            kept = kept and e[n] <= rate + R.SIGMAS * (rate * w + w * w) ** 0.5
+        out.append(kept)
+    return out
+
+
 def test_quality_rules(spark):
     rng = random.Random(6)
-    clean = [prose(rng, 80) for _ in range(120)]
+    line = " ".join(f"l{i}" for i in range(12))
+    clean = [prose(rng, 80) for _ in range(60)] + [f"{line}\n{prose(rng, 70)}\n{line}\n{prose(rng, 30)}" for _ in range(20)]
+    code = [" ".join(f"v{rng.randrange(900)} {rng.choice('#*$<>')}" for _ in range(60)) for _ in range(40)]
     texts = [None, "", " \n\t", "a b c a b c", "a a a a", "x\nx\n \nx y", "é ü # * $", prose(rng, 60) + " ###" * 60, "same line here\n" * 40 + prose(rng, 60), prose(rng, 20000)] + clean
-    d = docs(spark, texts, lambda i: None if i % 3 == 0 else "s")
+    rows = [(t, "en", None if i % 3 == 0 else "s") for i, t in enumerate(texts)] + [(t, "en", "code") for t in code] + [(code[0], "fr", "code"), (prose(rng, 60), None, "t")]
+    # A group in which copies of one junk text are the most, and one that junk fills.
+    rows += [("junk ## " * 60, "en", "copies")] * 50 + [(prose(rng, 90), "en", "copies") for _ in range(20)]
+    rows += [(" ".join(f"j{rng.randrange(900)} ####" for _ in range(60)), "en", "dirty") for _ in range(6)]
+    d = spark.createDataFrame([(i, *r, 1, 1) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_words int, text__ int")
     got = {r.doc_id: r for r in quality_rules.judge(d).collect()}
-    for i, t in enumerate(texts):
+    for i, (t, _, _) in enumerate(rows):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(t), t
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-    assert not got[7].kept and not got[8].kept and all(got[i].kept for i in range(10, len(texts)))
+    assert [got[i].kept for i in range(len(rows))] == brute_verdicts(rows)
+    n, m = len(texts), len(code)
+    assert not got[7].kept and not got[8].kept and all(got[i].kept for i in range(9, n))
+    # Many symbols are usual in one source only.
+    assert all(got[i].kept for i in range(n, n + m)) and not got[n + m].kept
+    assert not any(r.kept for i, r in got.items() if "junk" in (rows[i][0] or "") or rows[i][2] == "dirty")
     salted = {r.doc_id: r.kept for r in quality_rules.judge(d, broadcast_rows=0).collect()}
     assert salted == {i: r.kept for i, r in got.items()}
-    assert quality_rules.judge(d.limit(0)).count() == 0
-    assert quality_rules.judge(d.unionByName(d)).count() == 2 * len(texts)
-    assert quality_rules.filter_documents(d).count() == sum(r.kept for r in got.values())
+    assert quality_rules.filter_documents(d.limit(0)).count() == 0
+    nameless = d.withColumn("doc_id", F.when(F.col("doc_id") >= 10, F.col("doc_id")))
+    kept = quality_rules.filter_documents(nameless.unionByName(nameless))
+    assert kept.columns == d.columns and kept.count() == 2 * sum(r.kept for r in got.values())
+
+
+@pytest.mark.parametrize("size", [30, 120, 500])
+def test_quality_rules_groups_decide(spark, size):
+    """Of two sources of any size, what is usual in one fails in the other."""
+    rng = random.Random(size)
+    dense = lambda: " ".join(f"v{rng.randrange(900)}" + " #" * rng.randrange(2) for _ in range(100))
+    rows = [(i, prose(rng, 100), "en", "prose") for i in range(size)] + [(size + i, dense(), "en", "dense") for i in range(size)]
+    rows += [(2 * size + i, prose(rng, 100), "en", "more") for i in range(1, size)] + [(2 * size, dense(), "en", "prose")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(2 * size)) and got[2 * size].failed_symbols
 
 
 # --- 7
