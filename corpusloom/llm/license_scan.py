@@ -1,25 +1,32 @@
 """License scans: ordered signature rules over the words of a text.
 
-A text is normalised to lower-cased words between single blanks, so punctuation and line breaks don't matter. Each rule is
-a regular expression with a keyword; rules run only on texts that hold their keyword. Of two detections, one that lies
-within the words of another of the same or a higher priority is dropped. The rules come from the families below, times
-the ways in which a license is named (an SPDX tag, a grant, a bare name), by ``rules()``.
+A text is normalised to lower-cased words between single blanks, so punctuation and line breaks don't matter. The rules of
+``license_rules`` are hand-written regular expressions over names, notices and the licenses' own texts, each with a keyword
+that its matches hold; one Aho-Corasick automaton finds the keywords, and only their rules run. Of two detections, one that
+lies within the words of another of the same or a higher priority is dropped, by a bisection over the intervals kept so
+far, so a text of any length takes time in proportion.
 
 Defined cases: a null or empty text has no words and no detection; repeated rows each get their own result; of
-detections with equal priority and words the rule that comes first stays; whole texts of any length are scanned.
+detections with equal priority and words the rule that comes first stays; whole texts of any length are scanned; an empty
+table gives no rows. The result is one struct column under a name of the caller's, so no name can clash.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import utf8, words
+from corpusloom.llm.license_rules import RULES
 
 #: Phrases that always count, with their labels (fixed values).
 BASE = (
@@ -28,116 +35,78 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-
-#: label, names (regular expressions over words), versions ("" for none), keyword of the prefilter.
-FAMILIES = (
-    ("agpl", "(?:gnu )?affero general public license|agpl", "1.0 3.0", "affero agpl"),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license|lgpl", "2.0 2.1 3.0", "lesser library lgpl"),
-    ("gpl", "(?:gnu )?general public license|gnu gpl|gpl", "1.0 2.0 3.0", "general gpl"),
-    ("gfdl", "(?:gnu )?free documentation license|gfdl", "1.1 1.2 1.3", "documentation gfdl"),
-    ("apache", "apache (?:software )?license|apache", "1.0 1.1 2.0", "apache"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv\\w*)", "2.0 2.5 3.0 4.0", "cc creative"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)", "2.0 2.5 3.0 4.0", "cc creative"),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by nc|attribution non ?commercial)", "2.0 2.5 3.0 4.0", "cc creative"),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by nd|attribution no ?deriv\\w*)", "2.0 2.5 3.0 4.0", "cc creative"),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by sa|attribution share ?alike)", "2.0 2.5 3.0 4.0", "cc creative"),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)", "2.0 2.5 3.0 4.0", "cc creative"),
-    ("cc0", "cc0|cc zero|creative commons zero", "1.0", "cc0 cc creative"),
-    ("mit", "(?:the )?mit license|mit licence|expat license", "", "mit expat"),
-    ("bsd-2-clause", "bsd 2 clause(?: license)?|simplified bsd license|freebsd license", "", "bsd freebsd"),
-    ("bsd-3-clause", "bsd 3 clause(?: license)?|(?:new|revised|modified) bsd license", "", "bsd"),
-    ("bsd-4-clause", "bsd 4 clause(?: license)?|original bsd license", "", "bsd"),
-    ("isc", "isc license", "", "isc"),
-    ("mpl", "mozilla public license|mpl", "1.0 1.1 2.0", "mozilla mpl"),
-    ("epl", "eclipse public license|epl", "1.0 2.0", "eclipse epl"),
-    ("eupl", "european union public licen[cs]e|eupl", "1.0 1.1 1.2", "european eupl"),
-    ("cddl", "common development and distribution license|cddl", "1.0 1.1", "distribution cddl"),
-    ("cpl", "common public license", "1.0", "common"),
-    ("osl", "open software license|osl", "1.0 2.0 2.1 3.0", "open osl"),
-    ("afl", "academic free license|afl", "1.2 2.0 2.1 3.0", "academic afl"),
-    ("artistic", "artistic license", "1.0 2.0", "artistic"),
-    ("bsl", "boost software license|bsl", "1.0", "boost bsl"),
-    ("ofl", "(?:sil )?open font license|ofl", "1.0 1.1", "font ofl"),
-    ("odbl", "open (?:data commons )?(?:open )?database license|odbl", "1.0", "database odbl"),
-    ("odc-by", "open data commons attribution license|odc by", "1.0", "commons odc"),
-    ("pddl", "public domain dedication and license|pddl", "1.0", "dedication pddl"),
-    ("unlicense", "unlicense", "", "unlicense"),
-    ("wtfpl", "do what the fuck you want to public license|wtfpl", "", "wtfpl want"),
-    ("zlib", "zlib license|zlib libpng license", "", "zlib"),
-    ("ms-pl", "microsoft public license|ms pl", "", "microsoft ms"),
-    ("ms-rl", "microsoft reciprocal license|ms rl", "", "microsoft ms"),
-    ("ncsa", "university of illinois ncsa(?: open source)? license|ncsa license", "", "ncsa"),
-    ("postgresql", "postgresql license", "", "postgresql"),
-    ("python", "python software foundation license|psf license", "2.0", "python psf"),
-    ("php", "php license", "3.0 3.01", "php"),
-    ("ruby", "ruby license", "", "ruby"),
-    ("public-domain", "public domain", "", "domain"),
-    ("all-rights-reserved", "all rights reserved", "", "reserved"),
-)
-
-#: Way of naming -> (priority, score, what stands before the name).
-WAYS = {
-    "tag": (3, 1.0, "spdx license identifier "),
-    "grant": (2, 0.9, "(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistribute it)(?: \\w+){0,4}? (?:under|by)(?: the)?(?: terms of)?(?: the)? "),
-    "name": (1, 0.7, ""),
-}
+#: Kind of a rule -> (priority, score).
+KINDS = {"tag": (6, 1.0), "body": (5, 0.95), "notice": (4, 0.9), "version": (3, 0.8), "name": (2, 0.6), "hint": (1, 0.3)}
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    way: str
+    kind: str
     priority: int
     score: float
-    keywords: tuple[bytes, ...]
+    keyword: str
     pattern: re.Pattern
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: by priority, then versioned before unversioned, then as the families stand."""
+    """All rules as they stand."""
     out = []
-    for way, (priority, score, before) in WAYS.items():
-        for label, names, versions, keys in FAMILIES:
-            for version in [*versions.split(), ""]:
-                number = version.replace(".0", "(?: 0)?").replace(".", " ")
-                after = f"(?: (?:international|unported|licence|license))?(?: version| v)? ?(?<![0-9])v?{number}(?: or later| only)?" if version else ""
-                pattern = re.compile(f"(?<= )(?:{before})(?:{names}){after}(?= )".encode())
-                out.append(
-                    Rule(
-                        f"{label}-{version}" if version else label,
-                        way,
-                        2 * priority + bool(version),
-                        score if version or not versions else score - 0.2,
-                        tuple(f" {k}".encode() for k in keys.split()),
-                        pattern,
-                    )
-                )
-    return tuple(sorted(out, key=lambda r: -r.priority))
+    for line in RULES.strip().splitlines():
+        kind, label, keyword, pattern = line.split(" ", 3)
+        pattern = re.sub(r"<(\d+)>", r"(?:[^ ]+ ){0,\1}?", pattern)
+        out.append(Rule(label, kind, *KINDS[kind], f" {keyword.replace('_', ' ')} ", re.compile(f"(?<= )(?:{pattern})(?= )".encode())))
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)
-def _by_keyword() -> dict[bytes, list[int]]:
-    out: dict[bytes, list[int]] = {}
+def _keywords():
+    machine = ahocorasick.Automaton()
+    by: dict[str, list[int]] = {}
     for i, rule in enumerate(rules()):
-        for key in rule.keywords:
-            out.setdefault(key, []).append(i)
-    return out
+        by.setdefault(rule.keyword, []).append(i)
+    for key, at in by.items():
+        machine.add_word(key, at)
+    machine.make_automaton()
+    return machine
+
+
+def suppressed(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of detections (priority, rule, start, end), those within none of the same or a higher priority, in order of words."""
+    kept: list[tuple[int, int, int, int]] = []
+    starts: list[int] = []
+    reach: list[int] = []  # the furthest end of an interval kept that starts at starts[i] or before
+    for _, level in groupby(sorted(found, key=lambda x: (-x[0], x[2], -x[3], x[1])), key=lambda x: x[0]):
+        before, furthest = (starts, reach), -1
+        for one in level:
+            at = bisect_right(before[0], one[2]) - 1
+            if one[3] > max(furthest, before[1][at] if at >= 0 else -1):
+                kept.append(one)
+                furthest = one[3]
+        starts, reach, furthest = [], [], -1
+        for one in sorted(kept, key=lambda x: x[2]):
+            furthest = max(furthest, one[3])
+            starts.append(one[2])
+            reach.append(furthest)
+    return sorted(kept, key=lambda x: (x[2], x[3], x[1]))
+
+
+def blanks(text: bytes) -> np.ndarray:
+    """Where the blanks of a normalised text are: word i follows blank i."""
+    return np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
 
 
 def detections(text: bytes, gated: bool = True) -> list[tuple[int, int, int]]:
     """(rule, first word, word after the last) of a normalised text, in order of words; contained ones are suppressed."""
-    run = sorted({i for key, at in _by_keyword().items() if key in text for i in at}) if gated else range(len(rules()))
-    found = []
-    for i in run:
-        for m in rules()[i].pattern.finditer(text):
-            first = text.count(b" ", 0, m.start()) - 1
-            found.append((i, first, first + m[0].count(b" ") + 1))
-    kept: list[tuple[int, int, int]] = []
-    for i, a, b in sorted(found, key=lambda x: (-rules()[x[0]].priority, x[1] - x[2], x[1], x[0])):
-        if not any(c <= a and b <= d for _, c, d in kept):
-            kept.append((i, a, b))
-    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+    run = range(len(rules())) if not gated else sorted({i for _, at in _keywords().iter(text.decode("latin-1")) for i in at})
+    met = [(i, *m.span()) for i in run for m in rules()[i].pattern.finditer(text)]
+    if not met:
+        return []
+    edge = blanks(text)
+    start, end = np.searchsorted(edge, [m[1] for m in met]), np.searchsorted(edge, [m[2] for m in met])
+    found = [(rules()[m[0]].priority, m[0], int(a) - 1, int(b)) for m, a, b in zip(met, start, end, strict=True)]
+    return [(i, a, b) for _, i, a, b in suppressed(found)]
 
 
 def base_places(text: bytes) -> list[tuple[int, str]]:
@@ -146,8 +115,11 @@ def base_places(text: bytes) -> list[tuple[int, str]]:
     for phrase, label in BASE:
         key, at = f" {phrase} ".encode(), -1
         while (at := text.find(key, at + 1)) >= 0:
-            out.append((text.count(b" ", 0, at), label))
-    return sorted(out)
+            out.append((at, label))
+    if not out:
+        return out
+    word = np.searchsorted(blanks(text), [at for at, _ in out])
+    return sorted((int(w), label) for w, (_, label) in zip(word, out, strict=True))
 
 
 def scan_text(raw: bytes | None) -> dict:
@@ -157,7 +129,7 @@ def scan_text(raw: bytes | None) -> dict:
     return {
         "n_words": len(w),
         "base": [{"word": i, "label": label} for i, label in base_places(text)],
-        "found": [{"label": r.label, "way": r.way, "start": a, "end": b, "score": r.score} for r, a, b in found],
+        "found": [{"label": r.label, "way": r.kind, "start": a, "end": b, "score": r.score} for r, a, b in found],
     }
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -168,6 +170,16 @@ def test_components(spark):
 # --- 4
 
 
+def license_text(t):
+    return b" " + b" ".join(words(t.encode())) + b" "
+
+
+def brute_base(t):
+    """(word, label) of each base phrase, by comparing words."""
+    w = words((t or "").encode())
+    return sorted((i, label) for phrase, label in license_scan.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.encode().split())
+
+
 def test_license_scan(spark):
     texts = [None, "", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: Apache-2.0", "Released under the MIT License. mit license MIT-LICENSE", "mit freundlichen", "x " * 20000 + "BSD 3-Clause", "cc by cc by"]
     got = docs(spark, texts).select("doc_id", *license_scan.digest(license_scan.scan(F.col("text")))).orderBy("doc_id").collect()
@@ -176,15 +188,74 @@ def test_license_scan(spark):
         (0, None, None, "", "apache-2.0"), (3, 3, 7, "mit", "mit"), (0, None, None, "", ""), (0, None, None, "", "bsd-3-clause"), (2, 0, 2, "cc-by", "cc-by"),
     ]
     assert all(0 <= r.score <= 1 for r in got) and got[4].score == 1.0 and got[0].score == 0.0
-    assert len(license_scan.rules()) >= 200
-    for t in texts[2:]:
-        text = b" " + b" ".join(words(t.encode())) + b" "
-        assert license_scan.detections(text) == license_scan.detections(text, gated=False)
-        spans = [(license_scan.rules()[i].priority, a, b) for i, a, b in license_scan.detections(text)]
-        assert not any(x != y and x[0] <= y[0] and y[1] <= x[1] and x[2] <= y[2] for x in spans for y in spans)
     assert docs(spark, []).select(license_scan.scan(F.col("text"))).count() == 0
 
 
+def test_license_scan_over_the_corpus(spark, data):
+    """Base places of every document by comparing words, and its detections without the prefilter and by all pairs."""
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", license_scan.scan(F.col("text")).alias("r"))
+    rows = d.select("doc_id", "text", "r", *license_scan.digest(F.col("r"))).collect()
+    for r in rows:
+        base = brute_base(r.text)
+        assert [(b.word, b.label) for b in r.r.base] == base and r.n_base == len(base) and r.n_words == len(words((r.text or "").encode()))
+        assert (r.first_word, r.last_word) == ((min(base)[0], max(base)[0]) if base else (None, None))
+        assert r.base_labels == ",".join(sorted({b for _, b in base})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert [(f.start, f.end) for f in r.r.found] == [x[1:] for x in license_scan.detections(license_text(r.text or ""), gated=False)]
+
+
+LICENSES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "bsd-4-clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance",
+    "gpl-3.0": "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "gpl-2.0": "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "lgpl-2.1": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "agpl-3.0": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "epl": "The accompanying program is provided under the terms of this Eclipse Public License",
+    "zlib": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-sa-4.0": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "cc-by-nc-nd": "under a Creative Commons Attribution-NonCommercial-NoDerivatives International License",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "wtfpl": "You just DO WHAT THE FUCK YOU WANT TO.",
+    "postgresql": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
+    "json": "The Software shall be used for Good, not Evil.",
+}
+
+
+def test_license_rules():
+    rules = license_scan.rules()
+    assert len(rules) == len({r.pattern for r in rules}) >= 250
+    for label, t in LICENSES.items():
+        text = license_text(f"été du code\n{t}\nréservés")
+        found = [rules[i].label for i, _, _ in license_scan.detections(text)]
+        assert label in found, (label, found)
+        assert license_scan.detections(text) == license_scan.detections(text, gated=False)
+    for r in rules:
+        # The keyword is among the words that no match can lack.
+        needed = r.pattern.pattern.decode()
+        while (shorter := re.sub(r"\(\?:[^()]*\)(\?|\{0,\d+\}\??)", "", needed)) != needed:
+            needed = shorter
+        assert r.keyword.strip() in needed, r
+
+
+def test_license_suppression():
+    rng = random.Random(4)
+    for _ in range(200):
+        found = [(rng.randrange(3), i, a := rng.randrange(30), a + rng.randrange(1, 8)) for i in range(25)]
+        want = [x for x in found if not any(y != x and y[2] <= x[2] and x[3] <= y[3] and (y[0] > x[0] or y[0] == x[0] and ((y[2], y[3]) != (x[2], x[3]) or y[1] < x[1])) for y in found)]
+        assert license_scan.suppressed(found) == sorted(want, key=lambda x: (x[2], x[3], x[1]))
+    began = time.perf_counter()
+    long = license_scan.scan_text(b"cc by under the terms of the gnu general public license " * 100_000)
+    assert long["n_words"] == 1_100_000 and len(long["base"]) == 200_000 and time.perf_counter() - began < 60
+
+
 # --- 5
 
 
