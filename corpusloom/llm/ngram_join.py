@@ -7,17 +7,21 @@ overlap of two documents. Only what size-derived bounds leave is multiplied:
    at least ``HOT`` documents are broadcast (at most ``MAX_HOT``, the most frequent ones: an order, so never an error).
 2. Columns are ordered, rare ones first. Documents that reach the threshold share one of the first n - ceil(t n) + 1
    n-grams of either, so only these are entries. Documents with equal sets are one row from here on.
-3. The entries of a column meet in one run; long columns are cut into square blocks of ``LIST`` rows. A run gives each of
-   its rows the list of the others of a fitting size, so rows stay as many as entries.
-4. A row adds up its overlaps. A pair whose count, plus what both can still share behind the shorter prefix, is below
+3. The entries of a column meet in one run. A run of up to ``SHORT`` rows gives each of its rows the list of the others of
+   a fitting size, so rows stay as many as entries.
+4. Longer runs are first multiplied with a leader for each class of sizes only, and what links is contracted; after
+   ``ROUNDS`` rounds with other leaders, just pairs of rows in different components are left, so a cluster of near copies
+   costs a few entries a row and not all its pairs. They are listed as in 3, in square blocks of ``LIST`` rows.
+5. A row adds up its overlaps. A pair whose count, plus what both can still share behind the shorter prefix, is below
    the overlap that the sizes ask for is dropped.
-5. What is left is multiplied exactly, in blocks of at most ``BLOCK`` rows of one neighbourhood: the whole sets of the
-   block's documents come together once, pairs already connected in the block are skipped, and links come out as a
-   spanning forest. Components of all forests give the classes.
+6. What is left is multiplied exactly, in blocks of some ``BLOCK`` rows by ``BLOCK`` rows of one neighbourhood, or fewer
+   with large sets: the whole sets of a block's documents come together once, pairs already connected in the block are
+   skipped, and links come out as a spanning forest. Components of all forests give the classes.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing (its component is its id);
 fewer words than n are one n-gram; rows that repeat a set (or an id) share its component; a null id gets no component;
-an empty table gives no rows. Ids are integers. N-grams are compared by 64-bit hashes.
+texts are read whole, however long; an empty table gives no rows. Only the id and the text are read, so no other column's
+name can clash. Ids are integers. N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,13 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import tokens, utf8, written
+from corpusloom.llm.common import join_small, tokens, utf8, written
 from corpusloom.llm.components import components
 
 HOT = 64
 MAX_HOT = 1_000_000
+SHORT = 32
+ROUNDS = 3
 LIST = 256
 BLOCK = 512
+#: N-grams to a row of a block on average, at most.
+SET = 1024
 FLUSH = 1_000_000
 #: Pairs that a task holds before it writes them out.
 PAIRS = 200_000
@@ -175,7 +183,7 @@ class Order:
         rank = np.empty(len(fp), np.int64)
         rank[by] = np.arange(len(fp))
         o = np.argsort(fp)
-        self.fp, self.rank, self.df, self.shift = fp[o].astype(np.uint64), rank[o], df[by], np.uint64(32 - bits)
+        self.fp, self.rank, self.shift = fp[o].astype(np.uint64), rank[o], np.uint64(32 - bits)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """The columns' numbers in order."""
@@ -194,59 +202,76 @@ class Order:
 
 
 def prefixes(texts: DataFrame, order, width: int, percent: int) -> DataFrame:
-    """(id, n, set_key, last, prefix) of each row; last is the last column of the prefix."""
+    """(id, n, rare, set_key, last, prefix) of each row: rare counts its columns that aren't frequent, last is the last column of
+    the prefix."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, key, last, prefix = [], [], [], []
+            n, rare, key, last, prefix = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 s = shingle_set(raw, width)
-                k = order.value.keys(s)[: prefix_length(len(s), percent) if len(s) else 0]
+                k = order.value.keys(s)
+                rare.append(int(np.searchsorted(k, TOP)))
+                k = k[: prefix_length(len(s), percent) if len(s) else 0]
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 last.append(int(k[-1]) if len(k) else -1)
                 prefix.append(k.tobytes())
-            yield _rows(["id", "n", "set_key", "last", "prefix"], batch.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(last, pa.int64()), pa.array(prefix, pa.binary()))
+            yield _rows(["id", "n", "rare", "set_key", "last", "prefix"], batch.column(0), pa.array(n, pa.int32()), pa.array(rare, pa.int32()), pa.array(key, pa.binary()), pa.array(last, pa.int64()), pa.array(prefix, pa.binary()))
 
-    return texts.select("id", "raw").mapInArrow(cut, "id bigint, n int, set_key binary, last bigint, prefix binary")
+    return texts.select("id", "raw").mapInArrow(cut, "id bigint, n int, rare int, set_key binary, last bigint, prefix binary")
 
 
-# --- 3. and 4. the bounded product
+# --- 3. to 5. the bounded product
 
 
-def entries(rows: DataFrame, order, block: int) -> DataFrame:
-    """(column, part, cross, chunk, doc, last, n): a document's entry in each column of its prefix. A column that can
-    have over `block` rows is cut into chunks, and an entry goes to each pair of chunks that its own is in."""
+def _lists(values: pa.Array | np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column in a row, and how many each row has."""
+    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+
+
+def _hashed(*values: np.ndarray) -> np.ndarray:
+    h = np.zeros(np.broadcast(*values).shape, np.uint64)
+    for i, v in enumerate(values):
+        h = (h ^ v.astype(np.uint64)) * _MIX[i] + _MIX[4]
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """(column, doc, last, n): a document's entry in each column of its prefix."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = order.value.df
-        names = ["column", "part", "cross", "chunk", "doc", "last", "n"]
         for batch in batches:
             column, size = _joined(batch.column(3), np.int64)
-            doc, last, n = (np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1, 2))
-            chunks = np.ones(len(column), np.int64)
-            hot = column >= TOP
-            chunks[hot] = -(-df[column[hot] - TOP] // block)
-            one = chunks == 1
-            zero = np.zeros(int(one.sum()), np.int32)
-            yield _rows(names, column[one], zero, zero.astype(bool), zero, doc[one], last[one], n[one])
-            for k in np.unique(chunks[~one]):
-                at = np.repeat(np.flatnonzero(chunks == k), k)
-                own = ((doc[at].astype(np.uint64) * _MIX[0]) >> np.uint64(33)).astype(np.int64) % k
-                other = np.tile(np.arange(k), len(at) // k)
-                part = np.minimum(own, other) * k + np.maximum(own, other)
-                yield _rows(names, column[at], part.astype(np.int32), own != other, own.astype(np.int32), doc[at], last[at], n[at])
-
-    schema = "column bigint, part int, cross boolean, chunk int, doc bigint, last bigint, n int"
-    return rows.select("doc", "last", "n", "prefix").mapInArrow(spread, schema)
-
-
-def overlaps(table: DataFrame, percent: int) -> DataFrame:
-    """(owner, last, n, others): for each run of a column, the fitting other rows of each row, with counts."""
-    names = ["owner", "last", "n", "others"]
-
-    def emit(pairs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        own, other, own_last, other_last, own_n, other_n = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            yield _rows(["column", "doc", "last", "n"], column, *(np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1, 2)))
+
+    return rows.select("doc", "last", "n", "prefix").mapInArrow(spread, "column bigint, doc bigint, last bigint, n int")
+
+
+class _Emitter:
+    """Gathers pairs and gives them out as (owner, last, n, others): the fitting other rows of each row, with counts."""
+
+    def __init__(self, percent: int):
+        self.percent, self.pairs, self.size = percent, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, last: np.ndarray, n: np.ndarray, fit: np.ndarray | bool = True) -> None:
+        small, large = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
+        fit = fit & (100 * small >= self.percent * large) & (doc[a] != doc[b])
+        a, b = a[fit], b[fit]
+        lo, hi = np.minimum(doc[a], doc[b]).astype(np.uint64), np.maximum(doc[a], doc[b]).astype(np.uint64)
+        swap = ((((lo * _MIX[0] + hi * _MIX[1]) >> np.uint64(40)) & np.uint64(1)) == 1) != (doc[a] < doc[b])
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        self.pairs.append((doc[a], doc[b], last[a], last[b], n[a], n[b]))
+        self.size += len(a)
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        own, other, own_last, other_last, own_n, other_n = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
+        self.pairs, self.size = [], 0
         o = np.lexsort((other, own))
         own, other, own_last, other_last, own_n, other_n = (c[o] for c in (own, other, own_last, other_last, own_n, other_n))
         first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (other[1:] != other[:-1])])
@@ -254,42 +279,125 @@ def overlaps(table: DataFrame, percent: int) -> DataFrame:
         cand["doc"], cand["last"], cand["n"], cand["c"] = other[first], other_last[first], other_n[first], np.diff(np.r_[first, len(own)])
         own, own_last, own_n = own[first], own_last[first], own_n[first]
         start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        return _rows(names, own[start], own_last[start], own_n[start], _slices(cand, np.r_[start[1:], len(own)]))
+        return own[start], own_last[start], own_n[start], _slices(cand, np.r_[start[1:], len(own)])
+
+
+def _pairs_within(first: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of places within runs, some PAIRS at a time."""
+    for k in np.unique(length[length > 1]):
+        i, j = np.triu_indices(k, 1)
+        starts = first[length == k]
+        step = max(1, PAIRS // len(i))
+        for at in range(0, len(starts), step):
+            s = starts[at : at + step, None]
+            yield (s + i).ravel(), (s + j).ravel()
+
+
+_PAIR_LISTS = ["owner", "last", "n", "others"]
+
+
+def runs(table: DataFrame, percent: int, short: int) -> DataFrame:
+    """(column, owner, last, n, others): of short runs the lists of pairs, of longer ones the entries, with others null."""
+    names = ["column", *_PAIR_LISTS]
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, size = [], 0
+        out = _Emitter(percent)
+
+        def emit() -> pa.RecordBatch:
+            lists = out.lists()
+            return _rows(names, pa.nulls(len(lists[0]), pa.int64()), *lists)
+
+        for run in whole_runs(batches, ["column"]):
+            column, doc, last, n = (_numpy(run, c) for c in ("column", "doc", "last", "n"))
+            first = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+            length = np.diff(np.r_[first, len(column)])
+            long = np.repeat(length > short, length)
+            if long.any():
+                yield _rows(names, column[long], doc[long], last[long], n[long], pa.nulls(int(long.sum()), pa.binary()))
+            for a, b in _pairs_within(first, np.where(length > short, 0, length)):
+                out.add(a, b, doc, last, n)
+                if out.size >= PAIRS:
+                    yield emit()
+        if out.size:
+            yield emit()
+
+    sorted_runs = table.repartition("column").sortWithinPartitions("column")
+    return sorted_runs.mapInArrow(multiply, "column bigint, owner bigint, last bigint, n int, others binary")
+
+
+def stars(long: DataFrame, rows: DataFrame, percent: int, salt: int) -> DataFrame:
+    """(owner, n, others, sizes): rows of long runs (column, doc, n, root) with the leader of their size class in the run, and
+    leaders with those of the next class, where they are in different components. First, the leader is the row with the fewest
+    rare n-grams: copies have edits of their own, their original hasn't. Later ones are drawn by `salt`."""
+    size_class = F.floor(F.log("n") / float(np.log(100 / min(percent, 99)))).cast("int")
+    classed = long.select("column", "doc", "n", "root", size_class.alias("class"))
+    order = [F.xxhash64("doc", "column", F.lit(salt))]
+    if salt == 0:
+        classed = written(classed.join(rows.groupBy("doc").agg(F.min("rare").alias("rare")), "doc"), "classed")
+        order = [F.col("rare"), F.xxhash64("doc")]
+    led = classed.groupBy("column", "class").agg(F.min_by(F.struct("doc", "n", "root"), F.struct(*order)).alias("leader"))
+    led = written(led, "leaders")
+    pairs = join_small(classed.drop("rare"), led, ["column", "class"], F.col("doc")).select(F.struct("doc", "n", "root").alias("own"), "leader")
+    above = led.select("column", (F.col("class") + 1).alias("class"), F.col("leader").alias("own"))
+    pairs = pairs.unionByName(above.join(led, ["column", "class"]).select("own", "leader")).filter("own.root <> leader.root")
+    pairs = pairs.filter(100 * F.least("own.n", "leader.n") >= percent * F.greatest("own.n", "leader.n"))
+    lists = pairs.groupBy(F.col("own.doc").alias("owner"), F.col("own.n").alias("n")).agg(F.collect_set(F.struct("leader.doc", "leader.n")).alias("o"))
+    return lists.select("owner", "n", F.col("o.doc").alias("others"), F.col("o.n").alias("sizes"))
+
+
+def mixed(long: DataFrame) -> DataFrame:
+    """Rows of the runs (column, doc, last, n, root) that hold several components, with the largest one (major), its rows (large)
+    and the others' (small)."""
+    counted = long.groupBy("column", "root").agg(F.count("*").alias("k"))
+    of = counted.groupBy("column").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.max("k").alias("large"), F.sum("k").alias("k"))
+    of = written(of.filter("k > large").select("column", "major", "large", (F.col("k") - F.col("large")).alias("small")), "mixed")
+    return join_small(long, of, ["column"], F.col("doc")).filter("major is not null")
+
+
+def crossing(rows: DataFrame, percent: int, size: int) -> DataFrame:
+    """(owner, last, n, others) of the pairs in different components of mixed() runs. Rows outside a run's largest component
+    meet each other and that component in blocks of `size` rows a side."""
+    names = ["column", "part", "cross", "side", "doc", "last", "n", "root"]
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, doc, last, n, root, major, large, small = (c.to_numpy() for c in batch.columns)
+            few, many, minor = -(-small // size), -(-large // size), root != major
+            own = (_hashed(doc) >> np.uint64(33)).astype(np.int64) % np.where(minor, few, many)
+            copies = np.where(minor, few + many, few)
+            upto = np.cumsum(copies)
+            bounds = np.unique(np.r_[0, np.searchsorted(upto, np.arange(PAIRS, upto[-1] + PAIRS, PAIRS)), len(doc)])
+            for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+                at = np.repeat(np.arange(begin, end), copies[begin:end])
+                c = np.arange(len(at)) - np.repeat(upto[begin:end] - copies[begin:end] - (upto[begin - 1] if begin else 0), copies[begin:end])
+                f, m, o, is_minor = few[at], many[at], own[at], minor[at]
+                among = is_minor & (c < f)
+                part = np.where(among, np.minimum(o, c) * f + np.maximum(o, c), f * f + np.where(is_minor, o * m + c - f, c * m + o))
+                cross = ~among | (o != c)
+                side = np.where(among, o, np.where(is_minor, 0, 1)).astype(np.int32)
+                yield _rows(names, column[at], part, cross, side, doc[at], last[at], n[at], root[at])
+
+    def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Emitter(percent)
         for run in whole_runs(batches, ["column", "part"]):
-            column, part, chunk, doc, last, n = (_numpy(run, c) for c in ("column", "part", "chunk", "doc", "last", "n"))
+            column, part, side, doc, last, n, root = (_numpy(run, c) for c in ("column", "part", "side", "doc", "last", "n", "root"))
             cross = run.column("cross").to_numpy()
             first = np.flatnonzero(np.r_[True, (column[1:] != column[:-1]) | (part[1:] != part[:-1])])
-            length = np.diff(np.r_[first, len(column)])
-            for k in np.unique(length[length > 1]):
-                i, j = np.triu_indices(k, 1)
-                starts = first[length == k]
-                step = max(1, PAIRS // len(i))
-                for at in range(0, len(starts), step):
-                    s = starts[at : at + step, None]
-                    a, b = (s + i).ravel(), (s + j).ravel()
-                    fit = 100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64)
-                    fit &= (doc[a] != doc[b]) & (~cross[a] | (chunk[a] != chunk[b]))
-                    a, b = a[fit], b[fit]
-                    lo, hi = np.minimum(doc[a], doc[b]).astype(np.uint64), np.maximum(doc[a], doc[b]).astype(np.uint64)
-                    swap = ((((lo * _MIX[0] + hi * _MIX[1]) >> np.uint64(40)) & np.uint64(1)) == 1) != (doc[a] < doc[b])
-                    a, b = np.where(swap, b, a), np.where(swap, a, b)
-                    pairs.append((doc[a], doc[b], last[a], last[b], n[a], n[b]))
-                    size += len(a)
-                    if size >= PAIRS:
-                        yield emit(pairs)
-                        pairs, size = [], 0
-        if size:
-            yield emit(pairs)
+            for a, b in _pairs_within(first, np.diff(np.r_[first, len(column)])):
+                out.add(a, b, doc, last, n, (root[a] != root[b]) & (~cross[a] | (side[a] != side[b])))
+                if out.size >= PAIRS:
+                    yield _rows(_PAIR_LISTS, *out.lists())
+        if out.size:
+            yield _rows(_PAIR_LISTS, *out.lists())
 
-    runs = table.repartition("column", "part").sortWithinPartitions("column", "part")
-    return runs.mapInArrow(multiply, "owner bigint, last bigint, n int, others binary")
+    schema = "column bigint, part bigint, cross boolean, side int, doc bigint, last bigint, n int, root bigint"
+    spread_out = rows.select("column", "doc", "last", "n", "root", "major", "large", "small").mapInArrow(spread, schema)
+    sorted_runs = spread_out.repartition("column", "part").sortWithinPartitions("column", "part")
+    return sorted_runs.mapInArrow(multiply, "owner bigint, last bigint, n int, others binary")
 
 
 def bounded(lists: DataFrame, percent: int) -> DataFrame:
-    """(owner, others): partners whose count, plus all that both can share behind the shorter prefix, is enough."""
+    """(owner, n, others, sizes): partners whose count, plus all that both can share behind the shorter prefix, is enough."""
 
     def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches, ["owner"]):
@@ -303,34 +411,64 @@ def bounded(lists: DataFrame, percent: int) -> DataFrame:
             m = cand["n"].astype(np.int64)
             rest = np.where(last <= cand["last"], n - prefix_length(n, percent), m - prefix_length(m, percent))
             keep = count + rest >= overlap_needed(n, m, percent)
-            own, other = own[keep], np.ascontiguousarray(cand["doc"][keep])
+            own, n, other, m = own[keep], n[keep], np.ascontiguousarray(cand["doc"][keep]), m[keep]
             if len(own):
                 start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                yield _rows(["owner", "others"], own[start], _slices(other, np.r_[start[1:], len(own)]))
+                ends = np.r_[start[1:], len(own)]
+                yield _rows(["owner", "n", "others", "sizes"], own[start], n[start].astype(np.int32), _lists(other, ends), _lists(m.astype(np.int32), ends))
 
-    runs = lists.repartition("owner").sortWithinPartitions("owner")
-    return runs.mapInArrow(prune, "owner bigint, others binary")
+    sorted_runs = lists.repartition("owner").sortWithinPartitions("owner")
+    return sorted_runs.mapInArrow(prune, "owner bigint, n int, others array<bigint>, sizes array<int>")
 
 
-# --- 5. exact blocks
+# --- 6. exact blocks
 
 
-def _neighbourhoods(candidates: DataFrame, block: int) -> DataFrame:
-    """(owner, others, block): owners near each other get one block number; large neighbourhoods get several."""
+def _labels(candidates: DataFrame) -> DataFrame:
+    """(owner, label): the smallest neighbour of each owner of candidates (or itself)."""
 
     def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            other, size = _joined(batch.column(1), np.int64)
+            other, size = _flat(batch.column(1))
             own = np.repeat(batch.column(0).to_numpy(), size)
             doc, label = np.r_[own, other], np.minimum(np.r_[other, own], np.r_[own, other])
             o = np.lexsort((label, doc))
             first = np.flatnonzero(np.r_[True, doc[o][1:] != doc[o][:-1]]) if len(o) else o
             yield _rows(["owner", "label"], doc[o][first], label[o][first])
 
-    labels = candidates.mapInArrow(least, "owner bigint, label bigint").groupBy("owner").agg(F.min("label").alias("label"))
-    sized = labels.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts"))
-    part = F.pmod(F.xxhash64("owner"), F.col("parts"))
-    return candidates.join(labels, "owner").join(sized, "label").select("owner", "others", F.xxhash64("label", part).alias("block"))
+    return candidates.select("owner", "others").mapInArrow(least, "owner bigint, label bigint").groupBy("owner").agg(F.min("label").alias("label"))
+
+
+def _blocks(candidates: DataFrame, block: int) -> DataFrame:
+    """(block, owner, others): neighbourhoods with many or large rows, on the owners' side or the others', get many blocks."""
+
+    def sides(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, own, n = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            other, size = _flat(batch.column(3))
+            rows = np.column_stack([np.r_[label, np.repeat(label, size)], np.r_[np.zeros(len(own), np.int64), np.ones(len(other), np.int64)], np.r_[own, other], np.r_[n, batch.column(4).flatten().to_numpy()]])
+            rows = np.unique(rows, axis=0)
+            yield _rows(["label", "side", "doc", "n"], *(np.ascontiguousarray(rows[:, i]) for i in range(4)))
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, own, left, right = (batch.column(i).to_numpy() for i in (0, 1, 2, 3))
+            other, size = _flat(batch.column(4))
+            row = np.repeat(np.arange(len(own)), size)
+            i, j = _hashed(own) % left.astype(np.uint64), _hashed(other) % right[row].astype(np.uint64)
+            o = np.lexsort((other, j, row))
+            row, j, other = row[o], j[o], other[o]
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (j[1:] != j[:-1])]) if len(row) else row
+            at = row[start]
+            key = _hashed(label[at], i[at], j[start]).view(np.int64)
+            yield _rows(["block", "owner", "others"], key, own[at], _lists(other, np.r_[start[1:], len(other)]) if len(start) else pa.array([], pa.list_(pa.int64())))
+
+    labelled = written(candidates.join(_labels(candidates), "owner"), "labelled")
+    rows = labelled.select("label", "owner", "n", "others", "sizes").mapInArrow(sides, "label bigint, side bigint, doc bigint, n bigint").distinct()
+    parts = [F.ceil(F.greatest(F.count_if(F.col("side") == s) / block, F.sum(F.when(F.col("side") == s, F.col("n"))) / (block * SET))) for s in (0, 1)]
+    sized = rows.groupBy("label").agg(parts[0].alias("left"), parts[1].alias("right"))
+    placed = join_small(labelled, written(sized, "sizes"), ["label"], F.col("owner"))
+    return placed.select("label", "owner", "left", "right", "others").mapInArrow(split, "block bigint, owner bigint, others array<bigint>")
 
 
 def _members(blocks: DataFrame) -> DataFrame:
@@ -338,12 +476,12 @@ def _members(blocks: DataFrame) -> DataFrame:
 
     def unique(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            other, size = _joined(batch.column(1), np.int64)
-            block, own = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            block, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            other, size = _flat(batch.column(2))
             pairs = np.unique(np.column_stack([np.r_[block, np.repeat(block, size)], np.r_[own, other]]), axis=0)
             yield _rows(["block", "doc"], np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
-    return blocks.select("owner", "others", "block").mapInArrow(unique, "block bigint, doc bigint").distinct()
+    return blocks.select("block", "owner", "others").mapInArrow(unique, "block bigint, doc bigint").distinct()
 
 
 def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -359,14 +497,13 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             edges = []
-            for at, kind, doc, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for at, doc, data, others in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if at != block:
                     block, have, parent = at, {}, {}
-                values = np.frombuffer(data, np.uint64 if kind == 0 else np.int64)
-                if kind == 0:
-                    have.setdefault(doc, []).append(values)
+                if data is not None:
+                    have.setdefault(doc, []).append(np.frombuffer(data, np.uint64))
                     continue
-                for other in values.tolist():
+                for other in others:
                     if root(doc) == root(other):
                         continue
                     for x in have.get(doc, ()):
@@ -377,9 +514,19 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if edges:
                 yield _rows(["a", "b"], *[pa.array(c, pa.int64()) for c in zip(*edges, strict=True)])
 
-    rows = sets.select("block", F.lit(0).alias("kind"), "doc", "data")
-    rows = rows.unionByName(blocks.select("block", F.lit(1).alias("kind"), F.col("owner").alias("doc"), F.col("others").alias("data")))
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "doc").mapInArrow(multiply, "a bigint, b bigint")
+    rows = sets.select("block", "doc", "data", F.lit(None).cast("array<bigint>").alias("others"))
+    rows = rows.unionByName(blocks.select("block", F.col("owner").alias("doc"), F.lit(None).cast("binary").alias("data"), "others"))
+    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("data").isNull(), "doc")
+    return dealt.mapInArrow(multiply, "a bigint, b bigint")
+
+
+def multiplied(candidates: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """The links (a, b) among candidates (owner, n, others, sizes), a written table, by their whole sets."""
+    blocks = written(_blocks(candidates, block), "blocks")
+    members = written(_members(blocks), "members")
+    needed = members.select(F.col("doc").alias("id")).distinct()
+    sets = _sets(texts.join(needed, "id", "left_semi"), width).distinct().join(members, "doc")
+    return written(_links(blocks, sets, percent), "links")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -392,9 +539,9 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def range_bits(texts: DataFrame) -> int:
-    """log2 of the hash ranges, from Spark's estimate of the input: some two million n-grams a range."""
-    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(28, max(8, (size // 6_000_000).bit_length()))
+    """log2 of the hash ranges: some two million n-grams a range, if a word has six bytes."""
+    size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    return min(28, max(8, (size // 12_000_000).bit_length()))
 
 
 def join(
@@ -406,27 +553,45 @@ def join(
     hot: int = HOT,
     max_hot: int = MAX_HOT,
     block: int = BLOCK,
+    short: int = SHORT,
+    rounds: int = ROUNDS,
+    size: int = LIST,
 ) -> DataFrame:
     """Per row: id_col, n_shingles and component_id, the smallest id that links (Jaccard >= percent / 100) reach."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), utf8(F.col(text_col)).alias("raw"))
-    bits = range_bits(documents)
+    bits = range_bits(texts)
     counted = written(frequent(texts.filter("id is not null"), width, hot, bits), "frequent")
     top = counted.orderBy(F.desc("df"), "fp").limit(max_hot).toArrow()
     order = spark.sparkContext.broadcast(Order(_numpy(top, "fp"), _numpy(top, "df"), bits))
 
     each = written(prefixes(texts, order, width, percent), "prefixes")
     distinct = each.filter("n > 0 and id is not null").groupBy("set_key")
-    rows = written(distinct.agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("prefix").alias("prefix")), "rows")
-
-    candidates = written(bounded(overlaps(entries(rows, order, LIST), percent), percent), "candidates")
-    blocks = written(_neighbourhoods(candidates, block), "blocks")
-    members = written(_members(blocks), "members")
-    needed = members.select(F.col("doc").alias("id")).distinct()
-    sets = _sets(texts.join(needed, "id", "left_semi"), width).distinct().join(members, "doc")
-    roots = components(_links(blocks, sets, percent))
+    rows = written(distinct.agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("last").alias("last"), F.first("prefix").alias("prefix")), "rows")
+
+    met = written(runs(entries(rows), percent, short), "runs")
+    lists = met.filter("others is not null").select(*_PAIR_LISTS)
+    long = met.filter("others is null").select("column", F.col("owner").alias("doc"), "last", "n")
+    links, roots = None, None
+    if not long.isEmpty():
+        state = long.withColumn("root", F.col("doc"))
+        for salt in range(rounds + 1):
+            if roots is not None:
+                state = long.join(roots.toDF("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+            left = written(mixed(state), "left")
+            if salt == rounds or left.isEmpty():
+                break
+            found = multiplied(written(stars(left, rows, percent, salt), "stars"), texts, width, percent, block)
+            links = found if links is None else links.unionByName(found)
+            if found.isEmpty():
+                break
+            roots = written(components(links), "roots")
+        lists = lists.unionByName(crossing(left, percent, size))
+    candidates = written(bounded(lists, percent), "candidates")
+    found = multiplied(candidates, texts, width, percent, block)
+    roots = components(found if links is None else links.unionByName(found))
 
     keyed = each.join(rows.select("set_key", "doc"), "set_key", "left").join(roots, F.col("doc") == F.col("node"), "left")
     alone = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id"))
@@ -438,10 +603,11 @@ def join(
     )
 
 
-def keep_one(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each component: that with the smallest id; rows that repeat an id are one document."""
-    joined = join(documents, id_col, **options)
-    keep = joined.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("kept__")).distinct()
-    nameless = documents.filter(F.col(id_col).isNull())
-    kept = documents.join(keep, documents[id_col] == keep["kept__"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(nameless)
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component: that with the smallest id, and where rows repeat it, the one with the smallest text. Rows
+    without an id are kept."""
+    joined = join(documents, id_col, text_col, **options)
+    keep = joined.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("id__")).distinct()
+    named = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row__"), F.col(id_col).alias("id__"), F.col(text_col).alias("text__"))
+    kept = named.join(keep, "id__", "left_semi").groupBy("id__").agg(F.min_by("row__", F.coalesce("text__", F.lit(""))).alias("row__")).select("row__.*")
+    return kept.unionByName(documents.filter(F.col(id_col).isNull()))

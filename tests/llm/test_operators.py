@@ -124,20 +124,44 @@ def near(rng, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("hot", "block"), [(ngram_join.HOT, ngram_join.LIST), (2, 2)])
-def test_ngram_join(spark, monkeypatch, hot, block):
-    monkeypatch.setattr(ngram_join, "LIST", block)
-    rng = random.Random(hot)
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "block": 4, "short": 2, "size": 3, "rounds": 1}, {"hot": 2, "max_hot": 1, "block": 2, "short": 3, "size": 2, "rounds": 0}])
+def test_ngram_join(spark, options):
+    rng = random.Random(len(options))
     texts = [None, "", " \t\n", "one", "ONE", "one two three", "one  two three", "a b c d", "a b c d"]
     for _ in range(6):
         base = prose(rng, rng.randrange(30, 90))
         texts += [base] * 3 + [near(rng, base, rng.randrange(4)) for _ in range(6)] + [base.upper().replace(" ", "\n")]
     passage = prose(rng, 12)
     texts += [f"{passage} {prose(rng, 40)}" for _ in range(10)] + [f"{passage} {i}" for i in range(5)] + [prose(rng, 20000)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, texts), hot=hot, block=4).collect()}
+    # Chains in which only neighbours link, and copies of which few link with each other.
+    walk = prose(rng, 80).split()
+    for i in range(12):
+        walk[6 * i] = f"step{i}"
+        texts.append(" ".join(walk))
+    texts += [near(rng, base, 3) for _ in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs(spark, texts), **options).collect()}
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
-    kept = sorted(r.doc_id for r in ngram_join.keep_one(docs(spark, texts)).collect())
-    assert kept == sorted({c for _, c in brute_components(texts)})
+    if not options:
+        kept = sorted(r.doc_id for r in ngram_join.keep_one(docs(spark, texts)).collect())
+        assert kept == sorted({c for _, c in brute_components(texts)})
+
+
+def test_ngram_join_near_copies_stay_linear(spark, monkeypatch):
+    """Pairs that blocks multiply, and owners in a block, for near copies of one text."""
+    seen = []
+    real = ngram_join._blocks
+
+    def counted(candidates, block):
+        out = real(candidates, block)
+        seen.append((candidates.agg(F.sum(F.size("others"))).first()[0] or 0, out.groupBy("block").agg(F.count_distinct("owner").alias("n")).agg(F.max("n")).first()[0] or 0))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_blocks", counted)
+    rng, n = random.Random(33), 800
+    base = prose(rng, 60)
+    got = ngram_join.join(docs(spark, [base] + [near(rng, base, 1) for _ in range(n)]), block=64)
+    assert {r.component_id for r in got.collect()} == {0}
+    assert sum(pairs for pairs, _ in seen) <= 5 * n and max(most for _, most in seen) <= 128
 
 
 def test_ngram_join_odd_tables(spark):
@@ -147,6 +171,9 @@ def test_ngram_join_odd_tables(spark):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.join(twice).collect())
     assert got == {(0, 0): 2, (1, 0): 2, (None, None): 1}
     assert ngram_join.keep_one(twice).count() == 2
+    clash = d.limit(1).unionByName(d.limit(1).withColumn("text", F.lit("other words are here now"))).withColumns({"id__": F.lit(1), "row__": F.lit(2), "n": F.lit(3)})
+    (one,) = ngram_join.keep_one(clash).collect()
+    assert one.text == "a b c d e" and one.row__ == 2 and ngram_join.keep_one(clash).columns == clash.columns
 
 
 def test_components(spark):
