@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import join_small, tokens, utf8, written
+from corpusloom.llm.common import BROADCAST_ROWS, join_small, tokens, utf8, written
 from corpusloom.llm.components import components
 
 HOT = 64
 MAX_HOT = 1_000_000
 SHORT = 32
-ROUNDS = 3
+ROUNDS = 1
 LIST = 256
 BLOCK = 512
 #: N-grams to a row of a block on average, at most.
@@ -524,8 +524,9 @@ def multiplied(candidates: DataFrame, texts: DataFrame, width: int, percent: int
     """The links (a, b) among candidates (owner, n, others, sizes), a written table, by their whole sets."""
     blocks = written(_blocks(candidates, block), "blocks")
     members = written(_members(blocks), "members")
-    needed = members.select(F.col("doc").alias("id")).distinct()
-    sets = _sets(texts.join(needed, "id", "left_semi"), width).distinct().join(members, "doc")
+    needed = written(members.select(F.col("doc").alias("id")).distinct(), "needed")
+    found = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "id", "left_semi")
+    sets = _sets(found, width).distinct().join(members, "doc")
     return written(_links(blocks, sets, percent), "links")
 
 
@@ -574,24 +575,22 @@ def join(
     met = written(runs(entries(rows), percent, short), "runs")
     lists = met.filter("others is not null").select(*_PAIR_LISTS)
     long = met.filter("others is null").select("column", F.col("owner").alias("doc"), "last", "n")
-    links, roots = None, None
+    roots = None
     if not long.isEmpty():
-        state = long.withColumn("root", F.col("doc"))
-        for salt in range(rounds + 1):
-            if roots is not None:
-                state = long.join(roots.toDF("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-            left = written(mixed(state), "left")
-            if salt == rounds or left.isEmpty():
-                break
+        left = long.withColumn("root", F.col("doc"))
+        for salt in range(rounds):
             found = multiplied(written(stars(left, rows, percent, salt), "stars"), texts, width, percent, block)
-            links = found if links is None else links.unionByName(found)
             if found.isEmpty():
                 break
-            roots = written(components(links), "roots")
-        lists = lists.unionByName(crossing(left, percent, size))
+            roots = written(components(found if roots is None else found.unionByName(roots.toDF("a", "b"))), "roots")
+            left = written(mixed(long.join(roots.toDF("doc", "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))), "left")
+        if "major" not in left.columns:
+            left = written(mixed(left), "left")
+        if not left.isEmpty():
+            lists = lists.unionByName(crossing(left, percent, size))
     candidates = written(bounded(lists, percent), "candidates")
     found = multiplied(candidates, texts, width, percent, block)
-    roots = components(found if links is None else links.unionByName(found))
+    roots = components(found if roots is None else found.unionByName(roots.toDF("a", "b")))
 
     keyed = each.join(rows.select("set_key", "doc"), "set_key", "left").join(roots, F.col("doc") == F.col("node"), "left")
     alone = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id"))

@@ -9,8 +9,8 @@ offset is arithmetic and a reader resumes anywhere. A task writes a shard under
 manifest is a table of what finished tasks wrote.
 
 Each text is encoded once. The sequences of a partition are written in compressed runs of ``RUN`` to a table, which also
-gives their numbers; a task then deals its sequences to shards, in one compressed row for each shard, so the shuffle
-moves compressed ids, too. A shard is in memory as a whole when it is written (records * length ids).
+gives their numbers; a task then deals its sequences to shards, in compressed rows of up to ``RUN`` of one shard, so the
+shuffle moves compressed ids, too. A shard is in memory as a whole when it is written (records * length ids).
 
 Defined cases: a null text is an empty one and gives only `end`; repeated rows are encoded each; a document may span
 many sequences, and a sequence many documents, whatever a text's length; an empty table writes no shard and gives no
@@ -46,9 +46,9 @@ RECORDS = 8192
 ROUNDS = 6
 END = 50256
 #: Sequences that are compressed together, and bytes of ids that a task holds before it deals them to shards.
-RUN = 256
-HELD = 32 << 20
-LEVEL = 3
+RUN = 128
+HELD = 8 << 20
+LEVEL = 7
 
 
 # --- the permutation
@@ -146,8 +146,9 @@ def _packed(texts: DataFrame, ranks, length: int, end: int, width: int) -> DataF
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.extend(encode(text or ""))
+            # Texts are taken one by one, as a batch of them is large.
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.extend(encode(text.as_py() or ""))
                 held.append(end)
                 docs.append(i)
                 ends.append(len(held))
@@ -162,7 +163,7 @@ def _packed(texts: DataFrame, ranks, length: int, end: int, width: int) -> DataF
 
 
 def _dealt(packed: DataFrame, starts, layout: Layout) -> DataFrame:
-    """(shard, slots, sequences, docs, many, ids): a task's sequences of one shard in a row, ordered by slot."""
+    """(shard, slots, sequences, docs, many, ids): a task's sequences of one shard together, ordered by slot, in rows of RUN."""
     kind = f"<u{layout.width}"
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,9 @@ def _dealt(packed: DataFrame, starts, layout: Layout) -> DataFrame:
             o = np.argsort(slot)
             slot, sequence, many, ids, docs = slot[o], sequence[o], many[o], ids[o], docs.take(pa.array(o))
             shard = slot // layout.records
-            at = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
+            first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            within = np.arange(len(shard)) - np.repeat(first, np.diff(np.r_[first, len(shard)]))
+            at = np.r_[np.flatnonzero(within % RUN == 0), len(shard)]
             offsets = pa.array(at, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, c if isinstance(c, pa.Array) else pa.array(c)) for c in (slot, sequence, docs, many)]
             blocks = pa.array([compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
@@ -209,15 +212,20 @@ def _write(rows: DataFrame, path: str, layout: Layout) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             slot, sequence, docs, many = (pa.concat_arrays([h[i] for h in held]) for i in range(4))
-            ids = np.concatenate([np.frombuffer(h[4], kind).reshape(-1, layout.length) for h in held])
             o = np.argsort(slot.to_numpy())
-            slot, sequence, docs, many, ids = slot.take(pa.array(o)), sequence.take(pa.array(o)), docs.take(pa.array(o)), many.take(pa.array(o)), ids[o]
+            slot, sequence, docs, many = (c.take(pa.array(o)) for c in (slot, sequence, docs, many))
+            place = np.empty(len(o), np.int64)
+            place[o] = np.arange(len(o))
+            ids, at = np.empty((len(o), layout.length), kind), 0
+            for h in held:
+                ids[place[at : at + len(h[0])]] = np.frombuffer(expand(h[4]), kind).reshape(-1, layout.length)
+                at += len(h[0])
             due = np.arange(shard * layout.records, min((shard + 1) * layout.records, layout.sequences))
             if not np.array_equal(slot.to_numpy(), due):
                 raise RuntimeError(f"shard {shard} has not the slots that are due")
             temporary = f"{folder}/{uuid.uuid4().hex}.tmp"
             with fs.open_output_stream(temporary, compression=None) as sink:
-                sink.write(ids.tobytes())
+                sink.write(memoryview(ids).cast("B"))
             fs.move(temporary, f"{folder}/shard-{shard:08d}.bin")
             crc = pa.array([zlib.crc32(r) for r in ids], pa.int64())
             return pa.record_batch([slot, pa.array(np.full(len(o), shard)), sequence, docs, many, crc], ["slot", "shard", "sequence", "doc_id", "docs", "crc"])
@@ -228,7 +236,7 @@ def _write(rows: DataFrame, path: str, layout: Layout) -> DataFrame:
                     if held:
                         yield close()
                     shard, held = s, []
-                held.append([*(batch.column(k)[i].values for k in (1, 2, 3, 4)), expand(batch.column(5)[i].as_py())])
+                held.append([*(batch.column(k)[i].values for k in (1, 2, 3, 4)), batch.column(5)[i].as_py()])
         if held:
             yield close()
 
