@@ -2,17 +2,21 @@
 
 Targets: the mix takes ``share`` (1.5) times the words of the corpus. Sources in code point order (null last) have the
 weights 3, 1, 2, repeating; a target stops at ``most`` (2) times its source's words and the excess goes to the others by
-weight. Each source is cut into ``BLOCKS`` blocks by a keyed hash of its documents' ids. As many whole passes over a
-source are taken as its target allows, and of one more pass the documents that come first in hash order, as long as
-their words fit: the place where they end is found by descending through ever finer hash bins, so no group of rows has
-to be sorted. A draw is a block of one pass; the draws of all sources are dealt to the output shards by a splitting
-tree: at each node, the draws stand in a keyed permutation and the left half goes left, so each source's quota on either
-side is a draw from the multivariate hypergeometric distribution, and quotas add up exactly. Within a shard, rows stand
-in the order of another keyed hash.
-
-Defined cases: a null or empty text has size 0, and its document goes with every whole pass; repeated rows of an id share
-one hash and are taken or left together; a null source is a source; ties in the hash share one fate; an empty table
-gives no rows. Reruns give the same result.
+weight. Each source is cut into blocks by a keyed hash of its documents' ids. As many whole passes over a source are taken
+as its target allows, and of one more pass the documents that come first in hash order, as long as their words fit, and the
+next one if that ends nearer to the target: the place where they end is found by descending through ever finer hash bins,
+so no group of rows has to be sorted.
+
+A draw is a block of one pass, and a source's draws are its quota. A splitting tree deals the quotas to the output shards,
+by counts only: a node's left half of draws is taken from an urn with the quotas of all sources, so each source's share of
+it is a draw from the multivariate hypergeometric distribution, and the quotas of both halves add up exactly. Then the
+source's draws, in a keyed permutation of their own, go to the shards in runs as long as its quotas there, so they are
+disjoint. Within a shard, rows stand in the order of another keyed hash (position).
+
+Defined cases: a null or empty text has size 0, and its document goes with every whole pass; texts are counted whole,
+however long; repeated rows of an id share one hash and are taken or left together; a null source is a source; ties in the
+hash share one fate; an empty table gives no rows. Reruns give the same result. Only the named columns are read; where
+`documents` has columns that repeated() adds, its own stay and the new ones go by another name (a parameter).
 """
 
 from __future__ import annotations
@@ -69,26 +73,29 @@ def passes(sources: DataFrame) -> DataFrame:
 
 
 def cut(measured: DataFrame, sources: DataFrame) -> DataFrame:
-    """sources with `cut`: documents whose hash is below it fit into `need`."""
+    """sources with `cut`: documents whose hash is below it are taken once more."""
     state = sources.withColumn("cut", F.lit(0).cast("bigint")).withColumn("left", F.col("need")).withColumn("open", F.lit(True))
     done = 0
     for bits in BITS:
         done += bits
         shift = HASH_BITS - done
-        inside = join_small(measured, written(state, "cut"), ["source_key"], F.col("hash"))
+        inside = join_small(measured, state, ["source_key"], F.col("hash"))
         inside = inside.filter(F.col("open") & (F.shiftright("hash", shift + bits) == F.shiftright("cut", shift + bits)))
         bins = inside.groupBy("source_key", F.shiftright("hash", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        # A source has 2 ** bits bins at most.
         by = Window.partitionBy("source_key").orderBy("bin")
         bins = bins.withColumn("upto", F.sum("words").over(by)).join(state, "source_key")
-        over = F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before"))))
+        over = F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "words")))
         ends = bins.groupBy("source_key").agg(over.alias("end"))
         # Where every bin fits, the whole parent is taken and the descent ends.
         beyond = F.shiftleft(F.shiftright("cut", shift + bits) + 1, shift + bits)
+        rest = F.col("left") - F.col("end.before")
+        nearer = (F.col("end.words") < 2 * rest).cast("int") if shift == 0 else F.lit(0)
         state = (
             state.join(ends, "source_key", "left")
             .withColumn("stays", F.col("open") & F.col("end").isNotNull())
-            .withColumn("cut", F.when(F.col("stays"), F.shiftleft("end.bin", shift)).when(F.col("open"), beyond).otherwise(F.col("cut")))
-            .withColumn("left", F.when(F.col("stays"), F.col("left") - F.col("end.before")).otherwise(F.col("left")))
+            .withColumn("cut", F.when(F.col("stays"), F.shiftleft("end.bin", shift) + nearer).when(F.col("open"), beyond).otherwise(F.col("cut")))
+            .withColumn("left", F.when(F.col("stays"), rest).otherwise(F.col("left")))
             .withColumn("open", F.col("stays"))
             .drop("end", "stays")
         )
@@ -96,16 +103,47 @@ def cut(measured: DataFrame, sources: DataFrame) -> DataFrame:
     return state.drop("left", "open")
 
 
-def splitting_tree(draws: DataFrame, levels: int = LEVELS, seed: str = SEED) -> DataFrame:
-    """draws (source_key, block, copy) with `shard`. Bounded by the blocks of all sources."""
-    out = draws.withColumn("shard", F.lit(0))
+def splitting_tree(quotas: DataFrame, levels: int = LEVELS, seed: str = SEED) -> DataFrame:
+    """quotas (source_key, quota) -> (source_key, shard, quota): each quota dealt to 2 ** levels shards. Counts only: a row
+    of a node holds one number for each source, and its urn is emptied draw by draw."""
+    out = quotas.select(F.lit(0).alias("shard"), "source_key", F.col("quota").cast("bigint").alias("quota"))
     for level in range(levels):
-        node = Window.partitionBy("shard")
-        order = keyed(f"{seed}|{level}", F.col("source_key"), F.col("block"), F.col("copy"))
-        rank = F.row_number().over(node.orderBy(order, "source_key", "block", "copy"))
-        right = (rank > F.ceil(F.count("*").over(node) / 2)).cast("int")
-        out = out.withColumn("right", right).withColumn("shard", F.col("shard") * 2 + F.col("right")).drop("right")
-    return out
+        nodes = out.filter("quota > 0").groupBy("shard").agg(
+            F.sort_array(F.collect_list(F.struct("source_key", "quota"))).alias("q"), F.sum("quota").alias("n")
+        )
+
+        def drawn(level=level):
+            def one(state: Column, source: Column) -> Column:
+                goes = lambda b, j: F.pmod(keyed(f"{seed}|{level}", F.col("shard"), source["source_key"], j), b["n"]) < b["l"]
+                urn = F.aggregate(
+                    F.sequence(F.lit(1).cast("bigint"), source["quota"]),
+                    F.struct(state["n"].alias("n"), state["l"].alias("l")),
+                    lambda b, j: F.struct((b["n"] - 1).alias("n"), (b["l"] - goes(b, j).cast("bigint")).alias("l")),
+                )
+                taken = F.concat(state["out"], F.array(F.struct(source["source_key"].alias("source_key"), source["quota"].alias("quota"), (state["l"] - urn["l"]).alias("left"))))
+                return F.struct(urn["n"].alias("n"), urn["l"].alias("l"), taken.alias("out"))
+
+            none = F.array().cast("array<struct<source_key:string,quota:bigint,left:bigint>>")
+            start = F.struct(F.col("n").alias("n"), F.ceil(F.col("n") / 2).cast("bigint").alias("l"), none.alias("out"))
+            return F.aggregate("q", start, one, lambda state: state["out"])
+
+        split = written(nodes.select("shard", F.explode(drawn()).alias("s")), "quotas")
+        halves = F.array(F.struct(F.lit(0).alias("side"), F.col("s.left").alias("quota")), F.struct(F.lit(1).alias("side"), (F.col("s.quota") - F.col("s.left")).alias("quota")))
+        out = split.select("shard", "s.source_key", F.explode(halves).alias("h")).select((F.col("shard") * 2 + F.col("h.side")).alias("shard"), "source_key", "h.quota")
+    return out.filter("quota > 0").select("source_key", "shard", "quota")
+
+
+def dealt(draws: DataFrame, levels: int = LEVELS, seed: str = SEED) -> DataFrame:
+    """draws (source_key, block, copy) with `shard`: a source's draws in keyed order, in runs of its quotas."""
+    quotas = draws.groupBy("source_key").agg(F.count("*").alias("quota"))
+    shares = splitting_tree(quotas, levels, seed)
+    # As many rows a source as there are shards, and as it has draws.
+    upto = F.sum("quota").over(Window.partitionBy("source_key").orderBy("shard"))
+    ends = shares.withColumn("upto", upto).groupBy("source_key").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("ends"))
+    order = keyed(f"{seed}|blocks", F.col("source_key"), F.col("block"), F.col("copy"))
+    place = F.row_number().over(Window.partitionBy("source_key").orderBy(order, "block", "copy"))
+    placed = draws.withColumn("place", place).join(ends, "source_key")
+    return placed.select("source_key", "block", "copy", F.get(F.filter("ends", lambda e: e["upto"] >= F.col("place")), F.lit(0))["shard"].alias("shard"))
 
 
 def mix(
@@ -119,7 +157,8 @@ def mix(
     seed: str = SEED,
     levels: int = LEVELS,
 ) -> DataFrame:
-    """Per row: the id, source_key, size, source_size, target, copies, taken (words), shard_1 and shard_2."""
+    """Per row: the id, source_key, size, source_size, target, copies, taken (words), and of each copy its shard and its
+    position there (shard_1, position_1, …)."""
     source = null_key(F.col(source_col))
     measured = written(
         documents.select(
@@ -137,8 +176,7 @@ def mix(
     placed = placed.withColumns({"block": F.shiftright("hash", HASH_BITS - BITS[0]), "copies": copies})
     drawn = placed.groupBy("source_key", "block").agg(F.max("copies").alias("copies"))
     draws = drawn.select("source_key", "block", F.explode(F.sequence(F.lit(0), "copies")).alias("copy")).filter("copy > 0")
-    dealt = splitting_tree(draws, levels, seed)
-    shards = dealt.groupBy("source_key", "block").agg(
+    shards = dealt(written(draws, "draws"), levels, seed).groupBy("source_key", "block").agg(
         *[F.max(F.when(F.col("copy") == c, F.col("shard"))).alias(f"shard_{c}") for c in range(1, most + 1)]
     )
     rows = placed.join(shards, ["source_key", "block"], "left")
@@ -151,21 +189,20 @@ def mix(
         "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
         *[F.when(F.col("copies") >= c, F.col(f"shard_{c}")).alias(f"shard_{c}") for c in range(1, most + 1)],
+        *[F.when(F.col("copies") >= c, keyed(f"{seed}|local", F.col(id_col), F.lit(c))).alias(f"position_{c}") for c in range(1, most + 1)],
     )
 
 
-def repeated(documents: DataFrame, most: int = MOST, seed: str = SEED, **options) -> DataFrame:
-    """The rows of the mix: a document's row once for each copy, with `shard` and `position` (its keyed order there)."""
-    if clash := {"shard", "position", "copy__", "id__", "shards__"} & set(documents.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already; rename them first")
-    copies = mix(documents, most=most, seed=seed, **options)
-    taken = F.filter(F.array(*[F.col(f"shard_{c}") for c in range(1, most + 1)]), lambda s: s.isNotNull())
+def repeated(documents: DataFrame, most: int = MOST, seed: str = SEED, id_col: str = "doc_id", shard: str = "shard", position: str = "position", **options) -> DataFrame:
+    """The rows of the mix: a document's row once for each copy, with its shard and its keyed position there. Where
+    `documents` has columns of these names, pass others; its own aren't touched (of two columns of one name both stay)."""
+    copies = mix(documents, id_col=id_col, most=most, seed=seed, **options)
+    each = F.array(*[F.struct(F.col(f"shard_{c}").alias("s"), F.col(f"position_{c}").alias("p")) for c in range(1, most + 1)])
     # Rows that repeat an id share its copies.
-    plan = copies.select(F.col("doc_id").alias("id__"), taken.alias("shards__")).dropDuplicates(["id__"])
-    joined = documents.join(plan, documents["doc_id"].eqNullSafe(plan["id__"])).select(
-        *documents.columns, F.posexplode("shards__").alias("copy__", "shard")
-    )
-    return joined.withColumn("position", keyed(f"{seed}|local", F.col("doc_id"), F.col("copy__"))).drop("copy__")
+    plan = copies.select(F.col(id_col).alias("id"), F.filter(each, lambda x: x["s"].isNotNull()).alias("copies")).dropDuplicates(["id"])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(id_col).alias("own"))
+    joined = rows.join(plan, rows["own"].eqNullSafe(plan["id"])).select("row", F.explode("copies").alias("copy"))
+    return joined.select("row.*", F.col("copy.s").alias(shard), F.col("copy.p").alias(position))
 
 
 def write_mix(rows: DataFrame, path: str, parts: int = 16) -> None:

@@ -111,19 +111,21 @@ def _keyed(seed: str, *columns: str) -> str:
 
 
 def _tree() -> str:
-    out, before = [], "draws"
-    for level in range(mixing.LEVELS):
-        order = f"{_keyed(f'{mixing.SEED}|{level}', 'sk', 'block', 'copy')}, sk, block, copy"
+    """The urn of each node, emptied draw by draw; level by level."""
+    out = ["m0 AS (SELECT 0 AS node, sk, count(*) AS q FROM draws GROUP BY sk)"]
+    for k in range(mixing.LEVELS):
         out.append(f"""
-tree{level} AS (SELECT sk, block, copy, shard * 2 + (rn > ceil(n / 2))::INT AS shard FROM (
-  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {order}) AS rn, count(*) OVER (PARTITION BY shard) AS n FROM {before}))""")
-        before = f"tree{level}"
+u{k} AS (SELECT node, sk, row_number() OVER (PARTITION BY node ORDER BY sk, j) AS i, count(*) OVER (PARTITION BY node) AS n, {_keyed(f"{mixing.SEED}|{k}", "node", "sk", "j")} AS h
+  FROM m{k}, unnest(range(1, q + 1)) AS t(j)),
+r{k}(node, i, l) AS (SELECT DISTINCT node, 0::BIGINT, ceil(n / 2)::BIGINT FROM u{k}
+  UNION ALL SELECT r.node, u.i, l - (h % (n - r.i) < l)::BIGINT FROM r{k} r JOIN u{k} u ON u.node = r.node AND u.i = r.i + 1),
+m{k + 1} AS (SELECT u.node * 2 + 1 - (a.l - b.l) AS node, sk, count(*) AS q FROM u{k} u JOIN r{k} a ON a.node = u.node AND a.i = u.i - 1 JOIN r{k} b ON b.node = u.node AND b.i = u.i GROUP BY ALL)""")
     return ",".join(out)
 
 
 _TOP = mixing.HASH_BITS - mixing.BITS[0]
 OP7 = f"""
-WITH m AS (SELECT doc_id, source, coalesce('=' || source, '') AS sk, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))::BIGINT AS size FROM documents),
+WITH RECURSIVE m AS (SELECT doc_id, source, coalesce('=' || source, '') AS sk, len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))::BIGINT AS size FROM documents),
 h AS (SELECT *, {_keyed(mixing.SEED, "sk", "doc_id")} AS hash FROM m),
 s AS (SELECT sk, source, sum(size)::BIGINT AS source_size FROM m GROUP BY ALL),
 w AS (SELECT *, ({list(mixing.WEIGHTS)})[((row_number() OVER (ORDER BY encode(source) NULLS LAST)) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight FROM s),
@@ -135,13 +137,18 @@ f AS (SELECT level AS free FROM v WHERE level <= ratio ORDER BY ratio, sk LIMIT
 t AS (SELECT sk, source_size, least(source_size * {float(mixing.MOST)}, weight * free)::DOUBLE AS target FROM v, f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 1 END AS full_ FROM t),
 n AS (SELECT *, target - full_ * source_size AS need FROM p),
-k AS (SELECT h.*, n.* EXCLUDE (sk), full_ + (sum(size) OVER (PARTITION BY sk ORDER BY hash) <= need)::INT AS copies FROM h JOIN n USING (sk)),
-draws AS (SELECT DISTINCT sk, hash >> {_TOP} AS block, copy, 0 AS shard FROM (
+c AS (SELECT h.*, n.* EXCLUDE (sk), sum(size) OVER (PARTITION BY sk ORDER BY hash) AS upto, sum(size) OVER (PARTITION BY sk, hash) AS words FROM h JOIN n USING (sk)),
+k AS (SELECT *, full_ + (upto <= need OR (upto - words <= need AND words < 2 * (need - (upto - words))))::INT AS copies FROM c),
+draws AS (SELECT DISTINCT sk, hash >> {_TOP} AS block, copy FROM (
   SELECT sk, hash, full_, max(copies) OVER (PARTITION BY sk, hash >> {_TOP}) AS most FROM k), unnest(range(1, most::INT + 1)) AS u(copy)),
-{_tree()}
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, a.shard AS shard_1, b.shard AS shard_2
-FROM k LEFT JOIN tree{mixing.LEVELS - 1} a ON a.sk = k.sk AND a.block = k.hash >> {_TOP} AND a.copy = 1 AND copies >= 1
-LEFT JOIN tree{mixing.LEVELS - 1} b ON b.sk = k.sk AND b.block = k.hash >> {_TOP} AND b.copy = 2 AND copies >= 2
+{_tree()},
+e AS (SELECT sk, node AS shard, sum(q) OVER (PARTITION BY sk ORDER BY node) AS upto, q FROM m{mixing.LEVELS}),
+o AS (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY {_keyed(f"{mixing.SEED}|blocks", "sk", "block", "copy")}, block, copy) AS place FROM draws),
+g AS (SELECT o.sk, block, copy, shard::INT AS shard FROM o JOIN e ON e.sk = o.sk AND place <= upto AND place > upto - q)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, a.shard AS shard_1, b.shard AS shard_2,
+       CASE WHEN copies >= 1 THEN {_keyed(f"{mixing.SEED}|local", "doc_id", "1")} END AS position_1, CASE WHEN copies >= 2 THEN {_keyed(f"{mixing.SEED}|local", "doc_id", "2")} END AS position_2
+FROM k LEFT JOIN g a ON a.sk = k.sk AND a.block = k.hash >> {_TOP} AND a.copy = 1 AND copies >= 1
+LEFT JOIN g b ON b.sk = k.sk AND b.block = k.hash >> {_TOP} AND b.copy = 2 AND copies >= 2
 """
 
 OP10 = """

@@ -6,10 +6,14 @@ curve fitted on labelled texts that the dictionaries haven't seen turns it, toge
 bytes (which shows repetition), into a calibrated probability of label 1.
 
 Bounds of what is fitted on, all documented parameters: at most ``rows`` labelled rows a class (those with the smallest
-hash of their id), none over ``max_bytes``; every second one goes to the dictionaries, the others to the curve.
-
-Defined cases: a null text scores as an empty one, whose features are 0; repeated rows score alike; without labels of
-both classes every score is the share of label 1 (0.5 without any label). Only the text enters a score.
+hash of their id), of which texts over ``max_bytes`` are left out (they are scored whole all the same); every second one
+goes to the dictionaries, the others to the curve. There, a row weighs as many as its class has labels for each of its
+rows, so the probability follows the labels' shares, whatever the bounds leave of a class.
+
+Defined cases: a null text scores as an empty one, whose features are 0; texts are scored whole, however long; repeated
+rows score alike; an id with both labels counts as 0; without labels of both classes every score is the share of label 1
+(0.5 without any label); an empty table gives no rows. Only the text enters a score, and a score is a column under a name
+of the caller's, so no name can clash.
 """
 
 from __future__ import annotations
@@ -79,15 +83,17 @@ def _dictionary(samples: list[bytes], block: int, size: int) -> bytes:
         return joined if len(joined) >= 8 else joined.ljust(8)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method with a small ridge."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted logistic regression by Newton's method with a small ridge."""
     mean, scale = x.mean(0), x.std(0)
     scale[scale == 0] = 1
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
+    # The intercept isn't drawn to 0, so that the mean probability is the weighted share of label 1.
+    ridge = np.diag([1.0] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.eye(len(w)), z.T @ (y - p) - w)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p))[:, None]) + ridge, z.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -126,14 +132,16 @@ def fit(
         .collect()
     )
     kept = {y: [bytes(r.t) for r in sample if r.y == y] for y in (0, 1)}
-    prior = (len(kept[1]) + 1) / (len(sample) + 2)
+    # Two rows: how many labels either class has.
+    labelled = {0: 0, 1: 0} | {r.y: r.n for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = (labelled[1] + 1) / (labelled[0] + labelled[1] + 2)
     if min(len(kept[0]), len(kept[1])) < 2:
         return Model(b"", b"", level, block, (), (), (), prior)
     bad, good = (_dictionary(kept[y][::2], block, dictionary_bytes) for y in (0, 1))
-    # The classes are sampled apart; the curve weighs them evenly and so doesn't depend on their shares.
     held = [(t, y) for y in (0, 1) for t in kept[y][1::2]]
-    x = np.array([features(t, good, bad, level, block) for t, _ in held])
-    mean, scale, w = _curve(x, np.array([float(y) for _, y in held]))
+    x, y = np.array([features(t, good, bad, level, block) for t, _ in held]), np.array([float(y) for _, y in held])
+    weight = np.where(y == 1, labelled[1] / max(1, y.sum()), labelled[0] / max(1, (1 - y).sum()))
+    mean, scale, w = _curve(x, y, weight * len(y) / weight.sum())
     return Model(good, bad, level, block, tuple(mean), tuple(scale), tuple(w), prior)
 
 

@@ -48,7 +48,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard_1", "shard_2")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shard_1", "shard_2", "position_1", "position_2")
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
