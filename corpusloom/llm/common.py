@@ -38,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that all executors see, spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
@@ -82,6 +84,13 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], salt: Column,
     return big.withColumn("salt__", at).join(salted, [*keys, "salt__"], "left").drop("salt__")
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """The name, with as many underscores behind it as it takes to clash with no column of df."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def null_key(column: Column) -> Column:
     """A text that holds null apart from every value."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))

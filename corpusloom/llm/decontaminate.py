@@ -6,7 +6,8 @@ give back the offsets in the original text (``spans``).
 
 Defined cases: a null or empty text has no words; repeated rows each get their own result; an item without words matches
 nothing; two items with the same words are both found; an item whose id is null marks words but isn't listed; an empty
-benchmark leaves every text clean. Other columns of ``documents`` pass through untouched.
+benchmark leaves every text clean; texts are scanned whole, however long; an empty table stays empty. Other columns of
+``documents`` pass through untouched; where one has the name of the result, the result gets an underscore behind its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, utf8, words, written
+from corpusloom.llm.common import WORD, free_name, utf8, words, written
 
 #: Words of a pattern.
 WINDOW = 10
@@ -123,18 +124,18 @@ def scan(
     One block (the usual case) is scanned without any shuffle. With more, the rows that a block hits are joined back by
     the text's digest; so no more than one automaton is in a worker's memory.
     """
-    if clash := {out, f"{out}_key"} & set(documents.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already; pass another name")
+    out = free_name(out, documents)
     spark = documents.sparkSession
     parts = blocks(benchmark, window, block_chars, item_col, item_text_col)
     raw = utf8(F.col(text_col))
     if len(parts) == 1:
         return documents.withColumn(out, _scanner(parts[0], window, spark)(raw))
-    keyed = documents.withColumn(f"{out}_key", F.sha2(raw, 256))
-    distinct = keyed.select(f"{out}_key", raw.alias("t")).dropDuplicates([f"{out}_key"])
+    key = free_name("key", documents)
+    keyed = documents.withColumn(key, F.sha2(raw, 256))
+    distinct = keyed.select(key, raw.alias("t")).dropDuplicates([key])
     found = None
     for part in parts:
-        one = distinct.select(F.col(f"{out}_key").alias("k"), _scanner(part, window, spark)("t").alias("r"))
+        one = distinct.select(F.col(key).alias("k"), _scanner(part, window, spark)("t").alias("r"))
         one = written(one.filter(F.size("r.hits") > 0), "scan")
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("k").agg(
@@ -142,11 +143,11 @@ def scan(
             F.max("r.n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("r.hits")))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("r.items")))).alias("items"),
-        ).alias("found")
+        ).alias(out)
     )
     clean = _scanner((), window, spark)(raw)
-    joined = keyed.join(merged, keyed[f"{out}_key"] == merged["k"], "left")
-    return joined.withColumn(out, F.coalesce("found", clean)).drop("found", "k", f"{out}_key")
+    joined = keyed.join(merged.withColumnRenamed("k", key), key, "left")
+    return joined.select(*[f"`{c}`" for c in documents.columns], F.coalesce(out, clean).alias(out))
 
 
 def runs(text: str | None, hits: list[int] | None) -> list[dict]:
@@ -185,8 +186,9 @@ def _folded(text: str) -> str:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any occurrence of a benchmark window."""
-    found = scan(documents, benchmark, out="contamination__", **options)
-    return found.filter(F.size("contamination__.hits") == 0).drop("contamination__")
+    out = free_name("contamination", documents)
+    found = scan(documents, benchmark, out=out, **options)
+    return found.filter(F.size(f"{out}.hits") == 0).drop(out)
 
 
 def digest(result: Column) -> list[Column]:

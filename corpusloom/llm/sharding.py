@@ -5,8 +5,10 @@ its name). The shards take turns; in its turn a shard claims the first slot of i
 hashes to a slot, and a broadcast join with the table (bounded by its size) gives the shard. When a shard joins or
 leaves, few of the other slots change hands.
 
-Defined cases: a null key hashes like an empty text; repeated rows land on the same shard; an empty table stays empty;
-``slot`` and ``shard`` can be renamed where columns of those names exist (a clash raises ValueError).
+Defined cases: a null key hashes like an empty text, and keys of several columns are told apart by the column that is null;
+repeated rows land on the same shard; an empty table stays empty; texts aren't read; where columns named ``slot`` or
+``shard`` exist, they stay, and the new ones get an underscore behind their names. More than ``MAX_SLOTS`` slots (20,000
+shards) raise ValueError, as the table is a literal of the plan.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import md5_long
+from corpusloom.llm.common import free_name, md5_long
 
 #: Slots to a shard at least; shares of the shards then differ by about a hundredth.
 SLOTS_PER_SHARD = 100
@@ -59,7 +61,7 @@ def lookup_table(names: list[str], size: int) -> list[int]:
 
 
 def slot_of(size: int, *keys: Column | str) -> Column:
-    return F.pmod(md5_long(*keys), F.lit(size))
+    return F.pmod(md5_long(*[F.coalesce(F.col(k) if isinstance(k, str) else k, F.lit("")) for k in keys]), F.lit(size))
 
 
 def assign(
@@ -71,15 +73,15 @@ def assign(
     per_shard: int = SLOTS_PER_SHARD,
 ) -> DataFrame:
     """df with the columns `slot` and `shard` (the shard's name). No shuffle."""
-    if clash := {slot, shard} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already; pass other names")
+    slot, shard = free_name(slot, df), free_name(shard, df)
     size = table_size(len(names), per_shard)
     owners = F.from_json(F.lit(json.dumps(lookup_table(names, size))), "array<int>")
     named = F.from_json(F.lit(json.dumps(names)), "array<string>")
     spread = df.sparkSession.range(1).select(F.posexplode(owners).alias("slot__", "owner__"))
     spread = spread.select(F.col("slot__").cast("bigint").alias("slot__"), F.get(named, F.col("owner__")).alias(shard))
+    spread = spread.withColumnRenamed("slot__", slot)
     placed = df.withColumn(slot, slot_of(size, *[F.col(k).cast("string") for k in keys]))
-    return placed.join(F.broadcast(spread), placed[slot] == spread["slot__"]).drop("slot__")
+    return placed.join(F.broadcast(spread), slot).select(*[f"`{c}`" for c in df.columns], slot, shard)
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", files_per_shard: int = 1, key: str = "doc_id") -> None:

@@ -2,17 +2,19 @@
 
 An ARC container starts with a ``filedesc`` record that names its version; a record is a header line (5 fields in version
 1, 10 in version 2), as many bytes as the line declares, and a newline. The converter parses lines and lengths, then
-makes for each record a WARC record of the same HTTP block: an identifier, the timestamp in ISO form, a type and SHA-256
-digests of payload and block. Of records with equal payloads of at least ``SMALL`` bytes the one with the smallest id is
-a response; the others are revisits that name it and carry the HTTP header only. A dedup index (digest -> smallest id)
-joined to the records decides that.
+makes for each record a WARC record of the same block: an identifier, the line's timestamp in ISO form, a type and SHA-256
+digests of payload and block. An HTTP block is a response, any other (dns, ftp, …) a resource of the content type that the
+line names. Of responses with equal payloads of at least ``SMALL`` bytes the one with the smallest id stays one; the others
+are revisits that name it and carry the HTTP header only. A dedup index (digest -> smallest id) joined to the records
+decides that. A container's filedesc becomes the name and version in the warcinfo record that each archive begins with.
 
 Archives are gzip members, one a record, in the shared folder; a task writes each file under a temporary name and moves
 it, and only files named by finished tasks are read.
 
-Defined cases: a null html has an empty payload; a null or blank url becomes ``urn:page:<id>``, white space in one is
-percent-encoded; a null page_id is kept as such and sorts after all others; rows that repeat the smallest id of a payload
-are all responses; an empty table gives no archive and no rows.
+Defined cases: a null html has an empty payload, and payloads are whole, however long; a null or blank url becomes
+``urn:page:<id>``, white space in one is percent-encoded, and so is what an id holds beyond letters and digits; a null
+page_id is kept as such and sorts after all others; rows that repeat the smallest id of a payload are all responses; an
+empty table gives no archive and no rows. Only the named columns are read, so no other name can clash.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,6 +36,8 @@ from corpusloom.llm.common import new_path, utf8, written
 SMALL = 100
 ARC_BYTES = 4 << 20
 FILE_BYTES = 64 << 20
+#: Tasks that read archives back, at most; each takes several files then.
+MAX_READERS = 4096
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -49,14 +54,14 @@ def arc_start(name: str, version: int, date: str) -> bytes:
     return f"filedesc://{name} 0.0.0.0 {date} text/plain{rest} {len(block)}\n".encode() + block + b"\n"
 
 
-def arc_record(version: int, url: str, date: str, block: bytes, name: str, offset: int, ip: str = "0.0.0.0") -> bytes:
+def arc_record(version: int, url: str, date: str, block: bytes, name: str, offset: int, ip: str = "0.0.0.0", kind: str = "text/html") -> bytes:
     rest = "" if version == 1 else f" 200 - - {offset} {name}"
-    return f"{url} {ip} {date} text/html{rest} {len(block)}\n".encode() + block + b"\n"
+    return f"{url} {ip} {date} {kind}{rest} {len(block)}\n".encode() + block + b"\n"
 
 
 def arc_records(raw: bytes) -> Iterator[dict]:
-    """Records of one container, the filedesc left out. Fields are taken from the right: old URLs hold blanks."""
-    at, version = 0, 0
+    """Records of one container, with its name and version. Fields are taken from the right: old URLs hold blanks."""
+    at, version, name = 0, 0, ""
     while at < len(raw):
         if raw[at : at + 1] == b"\n":
             at += 1
@@ -68,14 +73,15 @@ def arc_records(raw: bytes) -> Iterator[dict]:
         if len(block) < length:
             raise ValueError(f"record is cut off: {line[:200]}")
         if line.startswith("filedesc://"):
-            version = int(block.split(b" ", 1)[0])
+            version, name = int(block.split(b" ", 1)[0]), line.split(" ", 1)[0].removeprefix("filedesc://")
             continue
         names = FIELDS[version].split()
-        yield dict(zip(names, line.rsplit(" ", len(names) - 1), strict=True)) | {"block": block}
+        yield dict(zip(names, line.rsplit(" ", len(names) - 1), strict=True)) | {"block": block, "arc": f"{name} version {version}"}
 
 
-def http_block(page: str, payload: bytes) -> bytes:
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+def http_block(page: str | None, payload: bytes) -> bytes:
+    named = "" if page is None else f"X-Page-Id: {quote(page, safe='')}\r\n"
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{named}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
 
 
 def header(block: bytes, name: bytes) -> str | None:
@@ -83,9 +89,17 @@ def header(block: bytes, name: bytes) -> str | None:
     return m and m[1].decode()
 
 
-def page_url(url: str | None, page: str) -> str:
+def is_http(block: bytes) -> bool:
+    return block.startswith(b"HTTP/")
+
+
+def payload_of(block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if is_http(block) else block
+
+
+def page_url(url: str | None, page: str | None) -> str:
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", (url or "").strip())
-    return clean or f"urn:page:{page}"
+    return clean or f"urn:page:{quote(page, safe='') if page is not None else ''}"
 
 
 def to_arc(pages: DataFrame, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -99,7 +113,6 @@ def to_arc(pages: DataFrame, date: str = "20240101000000", id_col: str = "page_i
                     name = f"{uuid.uuid4().hex}.arc"
                     version = 2 if version == 1 else 1
                     buffer = bytearray(arc_start(name, version, date))
-                page = "null" if page is None else page
                 buffer += arc_record(version, page_url(url, page), date, http_block(page, payload or b""), name, len(buffer))
                 if len(buffer) >= ARC_BYTES:
                     yield pa.record_batch([pa.array([name]), pa.array([bytes(buffer)], pa.binary())], ["name", "content"])
@@ -111,48 +124,74 @@ def to_arc(pages: DataFrame, date: str = "20240101000000", id_col: str = "page_i
     return rows.toDF("page", "url", "payload").mapInArrow(pack, "name string, content binary")
 
 
+_RECORD = "page string, url string, ip string, date string, kind string, arc string, block binary, digest string"
+
+
 def parse_arc(arcs: DataFrame, content_col: str = "content") -> DataFrame:
-    """ARC containers (as the binaryFile source reads them) as records: page, url, date, block, digest of the payload."""
+    """ARC containers (as the binaryFile source reads them) as records: page, url, ip, date, kind (the content type), arc
+    (the container), block, digest of the payload."""
+    names = [part.split()[0] for part in _RECORD.split(", ")]
+    kinds = [pa.binary() if n == "block" else pa.string() for n in names]
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.columns[0].to_pylist():
                 rows = []
                 for r in arc_records(raw):
-                    payload = r["block"].partition(b"\r\n\r\n")[2]
-                    rows.append((header(r["block"], b"X-Page-Id"), r["URL"], r["Archive-date"], r["block"], hashlib.sha256(payload).hexdigest()))
-                kinds = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string())
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page", "url", "date", "block", "digest"])
+                    page = header(r["block"], b"X-Page-Id") if is_http(r["block"]) else None
+                    digest = hashlib.sha256(payload_of(r["block"])).hexdigest()
+                    rows.append((None if page is None else unquote(page), r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], r["arc"], r["block"], digest))
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return arcs.select(content_col).mapInArrow(parse, "page string, url string, date string, block binary, digest string")
+    return arcs.select(content_col).mapInArrow(parse, _RECORD)
 
 
 # --- WARC
 
 
-def record_id(page: str) -> str:
-    return f"<urn:corpus-page:{page}>"
-
-
-def warc_record(page: str, url: str, date: str, block: bytes, digest: str, refers_to: str | None) -> bytes:
-    d = date.ljust(14, "0")
-    head, _, payload = block.partition(b"\r\n\r\n")
-    kept = block if refers_to is None else head + b"\r\n\r\n"
-    lines = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page)}",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Block-Digest: sha256:{hashlib.sha256(kept).hexdigest()}",
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(kept)}",
+def record_id(page: str | None, *parts: str) -> str:
+    """The identifier of a page's record; of one without an id, made from url, date and digest."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(parts))}>" if page is None else f"<urn:corpus-page:{quote(page, safe='')}>"
+
+
+def page_of(identifier: str) -> str | None:
+    return unquote(identifier[17:-1]) if identifier.startswith("<urn:corpus-page:") else None
+
+
+def iso_date(date: str) -> str:
+    d = date + "00000101000000"[len(date) :]
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+def _lines(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    fields = [*fields, ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"), ("Content-Length", str(len(block)))]
+    return "\r\n".join(["WARC/1.1", *[f"{k}: {v}" for k, v in fields]]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def warcinfo_record(name: str, date: str, arc: str) -> tuple[str, bytes]:
+    """(identifier, record) that an archive begins with."""
+    identifier = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+    block = f"software: corpusloom\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC, the first container being {arc}\r\n".encode()
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", identifier), ("WARC-Date", iso_date(date)), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return identifier, _lines(fields, block)
+
+
+def warc_record(page: str | None, url: str, date: str, block: bytes, digest: str, refers_to: str | None, ip: str = "0.0.0.0", kind: str = "text/html", info: str | None = None) -> bytes:
+    http = is_http(block)
+    kept = block if refers_to is None else block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
+    fields = [
+        ("WARC-Type", "resource" if not http else "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", record_id(page, url, date, digest)),
+        ("WARC-Date", iso_date(date)),
+        ("WARC-Target-URI", url),
+        ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("Content-Type", "application/http; msgtype=response" if http else kind),
     ]
-    if refers_to is not None:
-        lines[7:7] = [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}", "WARC-Truncated: length"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + kept + b"\r\n\r\n"
+    fields += [("WARC-IP-Address", ip)] if ip not in ("", "0.0.0.0") else []
+    fields += [("WARC-Warcinfo-ID", info)] if info else []
+    fields += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", PROFILE), ("WARC-Truncated", "length")] if refers_to is not None else []
+    return _lines(fields, kept)
 
 
 def gzip_members(chunks: Iterable[bytes]) -> Iterator[bytes]:
@@ -169,8 +208,8 @@ def gzip_members(chunks: Iterable[bytes]) -> Iterator[bytes]:
         raise ValueError("archive is cut off")
 
 
-def read_record(raw: bytes) -> tuple[str, int, str, str, str | None]:
-    """(page, payload bytes, payload digest, type, page referred to), with lengths and digests checked."""
+def read_record(raw: bytes) -> tuple[str | None, int, str, str, str | None] | None:
+    """(page, payload bytes, payload digest, type, page referred to), with lengths and digests checked; None of a warcinfo."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -178,13 +217,15 @@ def read_record(raw: bytes) -> tuple[str, int, str, str, str | None]:
         raise ValueError("declared length doesn't hold")
     if fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
         raise ValueError("block digest doesn't hold")
-    page, digest = fields["WARC-Record-ID"][17:-1], fields["WARC-Payload-Digest"][7:]
-    if fields["WARC-Type"] == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise ValueError("payload digest doesn't hold")
-        return page, len(payload), digest, "response", None
-    return page, int(header(block, b"Content-Length")), digest, "revisit", fields["WARC-Refers-To"][17:-1]
+    if fields["WARC-Type"] == "warcinfo":
+        return None
+    page, digest = page_of(fields["WARC-Record-ID"]), fields["WARC-Payload-Digest"][7:]
+    if fields["WARC-Type"] == "revisit":
+        return page, int(header(block, b"Content-Length")), digest, "revisit", page_of(fields["WARC-Refers-To"])
+    payload = block if fields["WARC-Type"] == "resource" else payload_of(block)
+    if hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError("payload digest doesn't hold")
+    return page, len(payload), digest, fields["WARC-Type"], None
 
 
 def dedup_index(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", small: int = SMALL) -> DataFrame:
@@ -201,18 +242,23 @@ def write_warc(records: DataFrame, index: DataFrame, path: str, file_bytes: int
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(path)
         fs.create_dir(folder)
-        sink = done = None
+        sink = done = info = None
         size = 0
+
+        def put(record: bytes) -> int:
+            member = zlib.compressobj(level, zlib.DEFLATED, 31)
+            return sink.write(member.compress(record) + member.flush())
+
         for batch in batches:
-            for page, url, date, block, digest, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for page, url, ip, date, kind, arc, block, digest, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if sink is None:
-                    done = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    done = f"{folder}/{name}"
                     sink, size = fs.open_output_stream(f"{done}.tmp", compression=None), 0
-                member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                refers_to = None if first is None or first == page else first
-                raw = member.compress(warc_record(page, url, date, block, digest, refers_to)) + member.flush()
-                sink.write(raw)
-                size += len(raw)
+                    info, record = warcinfo_record(name, date, arc)
+                    size += put(record)
+                refers_to = None if first is None or first == page or not is_http(block) else first
+                size += put(warc_record(page, url, date, block, digest, refers_to, ip, kind, info))
                 if size >= file_bytes:
                     sink.close()
                     fs.move(f"{done}.tmp", done)
@@ -223,7 +269,7 @@ def write_warc(records: DataFrame, index: DataFrame, path: str, file_bytes: int
             fs.move(f"{done}.tmp", done)
             yield pa.record_batch([pa.array([done])], ["file"])
 
-    joined = records.join(index, "digest", "left").select("page", "url", "date", "block", "digest", "first")
+    joined = records.join(index, "digest", "left").select("page", "url", "ip", "date", "kind", "arc", "block", "digest", "first")
     return written(joined.mapInArrow(write, "file string"), "warc-files")
 
 
@@ -240,14 +286,15 @@ def read_warc(files: DataFrame, path: str) -> DataFrame:
                 rows = []
                 with fs.open_input_stream(file, compression=None) as source:
                     for raw in gzip_members(iter(lambda s=source: s.read(1 << 20), b"")):
-                        rows.append(read_record(raw))
+                        if (row := read_record(raw)) is not None:
+                            rows.append(row)
                         if len(rows) == 4096:
                             yield make(rows)
                             rows = []
                 if rows:
                     yield make(rows)
 
-    spread = files.repartition(max(1, files.count()))
+    spread = files.repartition(max(1, min(files.count(), MAX_READERS)))
     return spread.mapInArrow(read, "page string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 
@@ -258,5 +305,4 @@ def convert(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     records = parse_arc(to_arc(pages, id_col=id_col, html_col=html_col, **options))
     files = write_warc(records, dedup_index(pages, id_col, html_col), path)
     back = read_warc(files, path)
-    as_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return back.select(as_id("page").alias(id_col), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+    return back.select(F.col("page").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

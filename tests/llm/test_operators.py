@@ -67,8 +67,11 @@ def test_decontaminate(spark):
     assert digest.items_sha256 == hashlib.sha256(b"").hexdigest() and not digest.contaminated
     assert decontaminate.scan(d.limit(0), b).count() == 0
     assert decontaminate.scan(d, b.limit(0)).filter(F.size("contamination.hits") > 0).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.scan(d.withColumn("contamination", F.lit(1)), b)
+    clash = d.withColumns({"contamination": F.lit(1), "key": F.lit(2)})
+    for block in (decontaminate.BLOCK_CHARS, 400):
+        got = decontaminate.scan(clash, b, block_chars=block)
+        assert got.columns == [*clash.columns, "contamination_"] and got.agg(F.sum("contamination"), F.sum("key")).first() == (len(texts), 2 * len(texts))
+    assert decontaminate.drop_contaminated(clash, b).columns == clash.columns
 
 
 # --- 2
@@ -312,8 +315,11 @@ def test_sharding(spark):
     assert len(rows) == 5004 and all(r.shard == names[slots[r.slot]] for r in rows)
     assert len({(r.doc_id, r.shard) for r in rows}) == 5001
     assert sharding.assign(d.limit(0), names, ["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        sharding.assign(got, names, ["doc_id"])
+    again = sharding.assign(got, names, ["doc_id"])
+    assert again.columns == [*got.columns, "slot_", "shard_"] and again.filter("shard <> shard_ or slot <> slot_").count() == 0
+    pairs = spark.createDataFrame([("a", None), (None, "a"), ("a", "")], "x string, y string")
+    a, b, c = (r.slot for r in sharding.assign(pairs, names, ["x", "y"]).collect())
+    assert a != b and a == c
     path = new_path(spark, "shards")
     sharding.write_shards(got, path)
     assert spark.read.parquet(path).count() == 5004
@@ -619,9 +625,42 @@ def test_warc(spark):
         assert tuple(got[page]) == (page, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first if revisit else None)
     odd = spark.createDataFrame([(None, None, "a" * 100), (1, None, "a" * 100), (1, "u", "a" * 100)], "page_id bigint, url string, html string")
     assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc.convert(odd).collect()) == {(None, "revisit", 1): 1, (1, "response", None): 2}
+    named = spark.createDataFrame([("null", None, "a" * 100, 1), ("a>b\r\nc é", None, "a" * 100, 2), (None, None, "b", 3)], "page_id string, url string, html string, digest int")
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc.convert(named).collect()) == {("null", "revisit", "a>b\r\nc é"): 1, ("a>b\r\nc é", "response", None): 1, (None, "response", None): 1}
+    long = spark.createDataFrame([(1, "u", "é" * 3_000_000)], "page_id bigint, url string, html string")
+    assert warc.convert(long).first().payload_bytes == 6_000_000
     assert warc.convert(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_warc_from_arc(spark, version):
+    """A container with pages of other hands: dns and ftp records, dates and addresses of the lines, equal payloads."""
+    page = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"x" * 120
+    blocks = [("dns:example.org", "19990102030405", "text/dns", b"19990102030405\nexample.org. 60 IN A 10.0.0.1\n"), ("http://example.org/", "19990102030406", "text/html", page), ("ftp://example.org/a", "1999", "application/octet-stream", b"\0\1\r\n\r\n\2"), ("http://example.org/b c", "20000102030406", "text/html", page)]
+    raw = warc.arc_start("old.arc", version, "19990101000000")
+    for url, date, kind, block in blocks:
+        raw += warc.arc_record(version, url, date, block, "old.arc", len(raw), "10.0.0.1", kind)
+    records = warc.parse_arc(spark.createDataFrame([(raw,)], "content binary"))
+    assert {r.arc for r in records.collect()} == {f"old.arc version {version}"}
+    path = new_path(spark, "warc")
+    files = warc.write_warc(records, spark.createDataFrame([], "digest string, first string"), path)
+    (file,) = [r.file for r in files.collect()]
+    with open(file, "rb") as f:
+        members = list(warc.gzip_members([f.read()]))
+    fields = [dict(line.split(": ", 1) for line in m.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for m in members]
+    assert fields[0]["WARC-Type"] == "warcinfo" and b"old.arc" in members[0]
+    by = {f["WARC-Target-URI"]: f for f in fields[1:]}
+    assert {u: (f["WARC-Type"], f["Content-Type"]) for u, f in by.items()} == {
+        "dns:example.org": ("resource", "text/dns"), "http://example.org/": ("response", "application/http; msgtype=response"),
+        "ftp://example.org/a": ("resource", "application/octet-stream"), "http://example.org/b c": ("response", "application/http; msgtype=response"),
+    }
+    assert by["dns:example.org"]["WARC-Date"] == "1999-01-02T03:04:05Z" and by["ftp://example.org/a"]["WARC-Date"] == "1999-01-01T00:00:00Z"
+    assert all(f["WARC-IP-Address"] == "10.0.0.1" and f["WARC-Warcinfo-ID"] == fields[0]["WARC-Record-ID"] for f in fields[1:])
+    assert len({f["WARC-Record-ID"] for f in fields}) == 5
+    back = {(r.record_type, r.payload_bytes) for r in warc.read_warc(files, path).collect()}
+    assert back == {("resource", len(blocks[0][3])), ("response", 120), ("resource", len(blocks[2][3]))}
+
+
 def test_arc_lines():
     for version in (1, 2):
         block = warc.http_block("7", b"pay\nload")

@@ -37,6 +37,15 @@ def test_pipeline(spark, data):
     assert sharded.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
 
 
+def test_pipeline_with_clashing_names(spark, data, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        d = spark.read.parquet(f"{data}/{name}.parquet")
+        d = d.limit(60).withColumns({c: F.lit(7) for c in ("slot", "shard", "position", "contamination", "id__", "n", "size", "key")}) if name == "documents" else d
+        d.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert {"slot_", "shard_"} <= set(got.columns) and {(r.slot, r.shard, r.position, r.size) for r in got.collect()} == {(7, 7, 7, 7)}
+
+
 def test_pipeline_on_empty_documents(spark, data, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
