@@ -484,7 +484,7 @@ def _members(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "owner", "others").mapInArrow(unique, "block bigint, doc bigint").distinct()
 
 
-def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(blocks: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links between each block's documents."""
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -497,11 +497,12 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             edges = []
-            for at, doc, data, others in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for at, doc, texts, others in zip(*batch.columns, strict=True):
+                at, doc, texts, others = at.as_py(), doc.as_py(), texts.as_py(), others.as_py()
                 if at != block:
                     block, have, parent = at, {}, {}
-                if data is not None:
-                    have.setdefault(doc, []).append(np.frombuffer(data, np.uint64))
+                if texts is not None:
+                    have[doc] = [shingle_set(raw, width) for raw in texts]
                     continue
                 for other in others:
                     if root(doc) == root(other):
@@ -514,9 +515,9 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if edges:
                 yield _rows(["a", "b"], *[pa.array(c, pa.int64()) for c in zip(*edges, strict=True)])
 
-    rows = sets.select("block", "doc", "data", F.lit(None).cast("array<bigint>").alias("others"))
-    rows = rows.unionByName(blocks.select("block", F.col("owner").alias("doc"), F.lit(None).cast("binary").alias("data"), "others"))
-    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("data").isNull(), "doc")
+    rows = members.select("block", "doc", "texts", F.lit(None).cast("array<bigint>").alias("others"))
+    rows = rows.unionByName(blocks.select("block", F.col("owner").alias("doc"), F.lit(None).cast("array<binary>").alias("texts"), "others"))
+    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("texts").isNull(), "doc")
     return dealt.mapInArrow(multiply, "a bigint, b bigint")
 
 
@@ -526,17 +527,9 @@ def multiplied(candidates: DataFrame, texts: DataFrame, width: int, percent: int
     members = written(_members(blocks), "members")
     needed = written(members.select(F.col("doc").alias("id")).distinct(), "needed")
     found = texts.join(F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed, "id", "left_semi")
-    sets = _sets(found, width).distinct().join(members, "doc")
-    return written(_links(blocks, sets, percent), "links")
-
-
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [shingle_set(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
-            yield _rows(["doc", "data"], batch.column(0), pa.array(data, pa.binary()))
-
-    return texts.select("id", "raw").mapInArrow(hashed, "doc bigint, data binary")
+    # Texts are a third of their n-grams, so these are made in the blocks. The join needs no other shuffle of the texts.
+    each = found.groupBy(F.col("id").alias("doc")).agg(F.collect_set("raw").alias("texts")).join(members, "doc")
+    return written(_links(blocks, each, width, percent), "links")
 
 
 def range_bits(texts: DataFrame) -> int:
