@@ -28,15 +28,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS = "turns AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
 
 
-
-def short_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each turn, as many as the turn's number leaves over 5."""
-    n = (F.col("turn") % 5 + 1).cast("int")
+def plain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as lower-cased words between single blanks."""
     w = F.filter(F.split(F.lower("text"), " "), lambda x: F.length(x) > 0)
-    return turns(spark, sf_dir).select(*KEYS, F.array_join(F.slice(w, F.lit(1), n), " ").alias("text"))
+    return turns(spark, sf_dir).select(*KEYS, F.array_join(w, " ").alias("text"))
 
 
-SHORT = f"""{TURNS}, short AS (SELECT conv_id, turn, array_to_string(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0)[1:turn % 5 + 1], ' ') AS text FROM turns)"""
+PLAIN = f"""{TURNS}, plain AS (SELECT conv_id, turn, array_to_string(list_filter(string_split(lower(text), ' '), lambda x: length(x) > 0), ' ') AS text FROM turns)"""
 
 
 @query()
@@ -105,7 +103,7 @@ def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PHRASES = ", ".join(f"('{g}', '{p}', {len(p.split())})" for g, ps in PHRASES.items() for p in ps)
-MATCH = f"""{SHORT}, ph(grp, phrase, n_words) AS (VALUES {_PHRASES}), w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: length(x) > 0) AS w FROM short),
+MATCH = f"""{PLAIN}, ph(grp, phrase, n_words) AS (VALUES {_PHRASES}), w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: length(x) > 0) AS w FROM plain),
 g AS (SELECT conv_id, turn, w, i AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) AS a(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS b(i)),
 mt AS (SELECT conv_id, turn, w, pos, phrase, grp, n_words FROM g JOIN ph USING (phrase)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n_words DESC, length(phrase) DESC, pos, grp DESC) AS rn FROM mt) WHERE rn = 1),
@@ -114,7 +112,7 @@ lm AS (SELECT conv_id, turn, phrase, grp, (pos - 1)::INT AS start_, n_words::INT
 
 @query(f"WITH {MATCH} SELECT conv_id, turn, phrase, grp, start_ AS \"start\", n_words, array_to_string(rest, ' ') AS remainder FROM lm")
 def longest_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.longest_phrase_match(short_turns(spark, sf_dir), Q.phrase_table(spark, PHRASES), KEYS)
+    return Q.longest_phrase_match(plain_turns(spark, sf_dir), Q.phrase_table(spark, PHRASES), KEYS)
 
 
 @query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: x IN {D.PROFANITY}))), ',') AS words FROM documents")
@@ -154,15 +152,15 @@ def token_gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {SHORT}, {TOKENS.replace("FROM conversations)", "FROM short)", 1)}, e AS (SELECT conv_id, turn, trim(text) AS s, unnest(list_filter(string_split(translate(trim(text), '_', ' '), ' '), lambda x: length(x) > 0)) AS token FROM short),
+    rf"""WITH {PLAIN}, {TOKENS.replace("FROM conversations)", "FROM plain)", 1)}, e AS (SELECT conv_id, turn, trim(text) AS s, unnest(list_filter(string_split(translate(trim(text), '_', ' '), ' '), lambda x: length(x) > 0)) AS token FROM plain),
 j AS (SELECT e.*, confidence, known, known AND length(t) >= 5 AS content FROM e JOIN conf USING (token) JOIN tg USING (token)),
 a AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (confidence >= 0.7) AS bad, count(*) FILTER (content) AS n_content, count(*) FILTER (confidence < 0.7 AND (known OR regexp_matches(token, '^[0-9]+$'))) AS n_known,
   count(*) FILTER (confidence >= 0.7 OR (known AND NOT content)) AS structural FROM j GROUP BY ALL)
 SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN FALSE WHEN NOT regexp_matches(trim(text), '[\pL\pN]') THEN TRUE WHEN NOT regexp_matches(trim(text), '\pL') AND length(trim(text)) >= 6 THEN TRUE
-WHEN coalesce(n, 0) = 0 OR n_content > 0 THEN FALSE WHEN n = 1 THEN bad = 1 ELSE 2 * bad >= n OR structural = n OR n_known < 0.35 * n END AS gibberish FROM short LEFT JOIN a USING (conv_id, turn)"""
+WHEN coalesce(n, 0) = 0 OR n_content > 0 THEN FALSE WHEN n = 1 THEN bad = 1 ELSE 2 * bad >= n OR structural = n OR n_known < 0.35 * n END AS gibberish FROM plain LEFT JOIN a USING (conv_id, turn)"""
 )
 def flag_gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.flag_gibberish(short_turns(spark, sf_dir), known_words(spark, sf_dir), known_words(spark, sf_dir, 5), KEYS)
+    return Q.flag_gibberish(plain_turns(spark, sf_dir), known_words(spark, sf_dir), known_words(spark, sf_dir, 5), KEYS)
 
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, {ladder_sql('lower(text)', D.INTENTS, 'Unknown')} AS intent FROM turns")
@@ -174,12 +172,12 @@ OPENINGS = ("hello", "thanks for", "what is", "how to", "hi there compare", "",
 
 
 def opened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short turns after openings that name an intent."""
+    """Turns after openings that name an intent."""
     first = F.get(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS)).cast("int"))
-    return short_turns(spark, sf_dir).select(*KEYS, Q.simple_ascii(F.concat_ws(" ", first, "text")).alias("norm"))
+    return plain_turns(spark, sf_dir).select(*KEYS, Q.simple_ascii(F.concat_ws(" ", first, "text")).alias("norm"))
 
 
-OPENED = rf"""{SHORT}, opened AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(({list(OPENINGS)})[(conv_id + turn) % {len(OPENINGS)} + 1] || ' ' || text), '[^a-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM short)"""
+OPENED = rf"""{PLAIN}, opened AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(({list(OPENINGS)})[(conv_id + turn) % {len(OPENINGS)} + 1] || ' ' || text), '[^a-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM plain)"""
 
 
 def _fast(value) -> str:
@@ -205,25 +203,25 @@ _ENTRIES = ", ".join(f"({i}, '{e[0]}', '{e[1]}', {e[2]}, {e[3]}, {e[4]}::DOUBLE)
 
 
 @query(
-    f"""WITH {SHORT}, en(place, intent_id, title, keywords, phrases, threshold) AS (VALUES {_ENTRIES}), q AS (SELECT conv_id, turn, trim(text) AS q, list_distinct(list_filter(string_split(trim(text), ' '), lambda x: length(x) > 0)) AS w FROM short),
+    f"""WITH {PLAIN}, en(place, intent_id, title, keywords, phrases, threshold) AS (VALUES {_ENTRIES}), q AS (SELECT conv_id, turn, trim(text) AS q, list_distinct(list_filter(string_split(trim(text), ' '), lambda x: length(x) > 0)) AS w FROM plain),
 s AS (SELECT conv_id, turn, place, intent_id, threshold, (CASE WHEN q IN (title, lower(replace(intent_id, '_', ' '))) OR list_contains(phrases, q) THEN 1.0
   WHEN len(list_filter(phrases, lambda p: contains(p, ' ') AND contains(' ' || q || ' ', ' ' || p || ' '))) > 0 THEN 0.99 WHEN len(list_intersect(w, keywords)) >= 2 THEN 0.95 WHEN len(list_intersect(w, keywords)) = 1 THEN 0.82
   WHEN len(list_filter(w, lambda x: length(x) >= 3 AND len(list_filter(keywords, lambda k: contains(k, x) OR contains(x, k))) > 0)) > 0 THEN 0.63 ELSE 0.0 END)::DOUBLE AS score FROM q, en)
 SELECT conv_id, turn, intent_id, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, place) AS rn FROM s WHERE score >= threshold) WHERE rn = 1"""
 )
 def score_knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.score_knowledge(short_turns(spark, sf_dir), Q.knowledge_table(spark, ENTRIES), KEYS)
+    return Q.score_knowledge(plain_turns(spark, sf_dir), Q.knowledge_table(spark, ENTRIES), KEYS)
 
 
 @query()
 def score_knowledge_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.score_knowledge(short_turns(spark, sf_dir), Q.knowledge_table(spark, ENTRIES), KEYS, fuzzy=True)
+    return Q.score_knowledge(plain_turns(spark, sf_dir), Q.knowledge_table(spark, ENTRIES), KEYS, fuzzy=True)
 
 
 @query()
 def route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") + F.col("turn")) % len(OPENINGS)).cast("int"))
-    asked = short_turns(spark, sf_dir).select(*KEYS, F.concat_ws(" ", first, "text").alias("text"))
+    asked = plain_turns(spark, sf_dir).select(*KEYS, F.concat_ws(" ", first, "text").alias("text"))
     indexed = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower(F.regexp_extract("text", r"^[^.\n]*", 0)), " ")).alias("term"))
     return Q.route(asked, known_words(spark, sf_dir), known_words(spark, sf_dir, 5), Q.knowledge_table(spark), indexed, KEYS)
 
@@ -235,13 +233,13 @@ WHEN list_has_any(r, {BUSINESS}) THEN 'PREFIX_QUERY' ELSE 'PREFIX_GARBAGE' END A
 (CASE WHEN len(list_filter(r, lambda x: regexp_matches(x, '[0-9]'))) > 0 THEN 0.95 WHEN phrase = grp THEN 1.0 ELSE 0.98 END)::DOUBLE AS confidence FROM f"""
 )
 def flow_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.flow_partition(short_turns(spark, sf_dir), Q.phrase_table(spark, PHRASES), BUSINESS, KEYS)
+    return Q.flow_partition(plain_turns(spark, sf_dir), Q.phrase_table(spark, PHRASES), BUSINESS, KEYS)
 
 
 @query()
 def greeting_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get(F.array(*[F.lit(o) for o in ("hi i am", "hello", "my name is", "")]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
-    asked = short_turns(spark, sf_dir).select(*KEYS, F.concat_ws(" ", first, "text").alias("text"))
+    asked = plain_turns(spark, sf_dir).select(*KEYS, F.concat_ws(" ", first, "text").alias("text"))
     return Q.greeting_flow(asked, Q.phrase_table(spark, D.GREETINGS), BUSINESS, KEYS)
 
 
@@ -264,14 +262,14 @@ _BROAD = ("the", "and", "of", "is")
 
 
 @query(
-    rf"""WITH {SHORT}, w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM short), c AS (SELECT conv_id, turn, list_sort(list_intersect(w, {list(_BROAD)}))[1] AS concept FROM w WHERE len(w) <= 4),
+    rf"""WITH {PLAIN}, w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM plain), c AS (SELECT conv_id, turn, list_sort(list_intersect(w, {list(_BROAD)}))[1] AS concept FROM w WHERE len(w) <= 4),
 b AS (SELECT unnest({list(_BROAD)}) AS concept), h AS (SELECT DISTINCT lower(regexp_extract(text, '^[^.\n]*', 0)) AS heading FROM documents),
 r AS (SELECT concept, heading, row_number() OVER (PARTITION BY concept ORDER BY length(heading) DESC, heading) AS rank FROM b, h WHERE contains(heading, concept)),
 o AS (SELECT concept, string_agg(heading, '|' ORDER BY rank) AS options FROM r WHERE rank <= 4 GROUP BY concept) SELECT conv_id, turn, concept, options FROM c LEFT JOIN o USING (concept) WHERE concept IS NOT NULL"""
 )
 def flag_clarification(spark: SparkSession, sf_dir: str) -> DataFrame:
     headings = table(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("heading"))
-    return Q.flag_clarification(short_turns(spark, sf_dir), headings, KEYS, _BROAD)
+    return Q.flag_clarification(plain_turns(spark, sf_dir), headings, KEYS, _BROAD)
 
 
 _FRIENDLY = "CASE upper(event_type) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**D.FRIENDLY, "VIEW": "View"}.items()) + " ELSE upper(event_type[1]) || lower(event_type[2:]) END"

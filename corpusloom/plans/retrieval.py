@@ -14,15 +14,28 @@ from corpusloom.sources.tables import spread, table
 K = 10
 
 
-def passages(spark: SparkSession, sf_dir: str, words: int | None = 4) -> DataFrame:
-    """(query_id, text): the first words of each benchmark passage, or all."""
-    text = F.col("text") if words is None else F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)), 1, words), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+def passages(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    """(query_id, text): every sentence of every benchmark passage is a query; with parts=False, every passage is one."""
+    items = table(spark, sf_dir, "benchmark")
+    if not parts:
+        return items.select(F.col("item_id").alias("query_id"), "text")
+    each = items.select("item_id", F.posexplode(F.split("text", SENTENCE)).alias("i", "text"))
+    return each.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), F.trim("text").alias("text")).filter("text <> ''")
 
 
-def q_sql(words: int | None = 4, name: str = "q") -> str:
-    text = "text" if words is None else rf"array_to_string((regexp_extract_all(text, '[^\s]+'))[1:{words}], ' ')"
-    return f"{name} AS (SELECT item_id AS query_id, {text} AS text FROM benchmark)"
+SENTENCE = r"[.!?\n]+"
+
+
+def of_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): the whole passage that a query of passages() is a sentence of."""
+    whole = passages(spark, sf_dir, False).withColumnRenamed("query_id", "item_id")
+    return passages(spark, sf_dir).select("query_id", F.expr("query_id div 1000").alias("item_id")).join(whole, "item_id").select("query_id", "text")
+
+
+def q_sql(parts: bool = True, name: str = "q") -> str:
+    if not parts:
+        return f"{name} AS (SELECT item_id AS query_id, text FROM benchmark)"
+    return rf"""{name} AS (SELECT item_id * 1000 + i - 1 AS query_id, trim(l[i]) AS text FROM (SELECT item_id, string_split_regex(text, '{SENTENCE}') AS l FROM benchmark), unnest(range(1, len(l) + 1)) AS t(i) WHERE trim(l[i]) <> '')"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +84,9 @@ def keyword_sql(k: int, q: str = "q", name: str = "keyword") -> str:
 
 def metadata_sql(k: int, q: str, name: str = "metadata") -> str:
     return f"""{name}_hit AS (SELECT query_id, chunk_id, (CASE WHEN contains(lower(filename), lower(trim(q.text))) THEN 0.95 WHEN contains(lower(heading), lower(trim(q.text))) THEN 0.92
-  WHEN contains(lower(section), lower(trim(q.text))) THEN 0.88 END)::DOUBLE AS score FROM {q} q, chunks WHERE trim(q.text) <> ''),
+  WHEN contains(lower(section), lower(trim(q.text))) THEN 0.88
+  WHEN len(list_filter(string_split(lower(trim(q.text)), ' '), lambda w: length(w) >= 4 AND contains(lower(filename) || ' ' || lower(heading) || ' ' || lower(section), w))) > 0 THEN 0.80 END)::DOUBLE AS score
+  FROM {q} q, chunks WHERE trim(q.text) <> ''),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {name}_hit WHERE score IS NOT NULL) WHERE rank <= {k})"""
 
 
@@ -101,10 +116,10 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_topk(passages(spark, sf_dir), chunks(spark, sf_dir), K)
 
 
-@query(f"WITH {q_sql(None)}, {CHUNKS}, {keyword_sql(K)} SELECT * FROM keyword")
+@query(f"WITH {q_sql(False)}, {CHUNKS}, {keyword_sql(K)} SELECT * FROM keyword")
 def keyword_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole passages: finds the chunks that hold all of a passage's words."""
-    return R.keyword_topk(passages(spark, sf_dir, None), chunks(spark, sf_dir), K)
+    return R.keyword_topk(passages(spark, sf_dir, False), chunks(spark, sf_dir), K)
 
 
 @query()
@@ -116,9 +131,9 @@ def keyword_topk_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_topk_websearch(each.select("query_id", text.alias("text")), chunks(spark, sf_dir))
 
 
-@query(f"WITH {q_sql(2)}, {CHUNKS}, {metadata_sql(K, 'q')} SELECT * FROM metadata")
+@query(f"WITH {q_sql()}, {CHUNKS}, {metadata_sql(K, 'q')} SELECT * FROM metadata")
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.metadata_search(passages(spark, sf_dir, 2), chunks(spark, sf_dir), K)
+    return R.metadata_search(passages(spark, sf_dir), chunks(spark, sf_dir), K, match="words")
 
 
 def _fuse_sql(legs: str, top: int = K) -> str:
@@ -127,8 +142,8 @@ def _fuse_sql(legs: str, top: int = K) -> str:
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused) WHERE rank <= {top})"""
 
 
-LEGS = f"""{q_sql(2, "q2")}, {q_sql(4)}, {CHUNKS}, {metadata_sql(50, "q2")}, {keyword_sql(50)},
-vq AS (SELECT item_id AS query_id, embedding AS e FROM benchmark JOIN embeddings ON vec_id = item_id),
+LEGS = f"""{q_sql(True, "q2")}, {q_sql()}, {CHUNKS}, {metadata_sql(50, "q2")}, {keyword_sql(50)},
+vq AS (SELECT query_id, embedding AS e FROM q JOIN embeddings ON vec_id = query_id // 1000),
 vs AS (SELECT query_id, vec_id || '-0' AS chunk_id, vec_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]))
   / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM vq, embeddings),
 vector AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs) WHERE rank <= 50),
@@ -137,12 +152,12 @@ legs AS (SELECT query_id, 'metadata' AS leg, rank, chunk_id, score FROM metadata
 
 
 def legs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The three legs of the short passages; vec_id stands for the document and for the passage of that number."""
+    """The three legs of the sentences; vec_id stands for the document and for the passage of that number."""
     parts, every = chunks(spark, sf_dir), table(spark, sf_dir, "embeddings")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).join(every, "vec_id")
-    near = R.dense_topk(asked.select(F.col("vec_id").alias("query_id"), "embedding"), every.select(F.col("vec_id").alias("chunk_id"), "embedding"), 50)
+    asked = passages(spark, sf_dir).select("query_id", F.expr("query_id div 1000").alias("vec_id")).join(every, "vec_id")
+    near = R.dense_topk(asked.select("query_id", "embedding"), every.select(F.col("vec_id").alias("chunk_id"), "embedding"), 50)
     return {
-        "metadata": R.metadata_search(passages(spark, sf_dir, 2), parts, 50),
+        "metadata": R.metadata_search(passages(spark, sf_dir), parts, 50, match="words"),
         "keyword": R.keyword_topk(passages(spark, sf_dir), parts, 50),
         "vector": near.withColumn("chunk_id", F.concat("chunk_id", F.lit("-0"))),
     }
@@ -166,9 +181,9 @@ _MIXED = "asked_q AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'page ' ||
 
 
 def mixed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two words of each passage, some with a word that names a document or a complex question."""
+    """Each sentence, some with a word that names a document or a complex question."""
     text = F.expr("CASE query_id % 4 WHEN 0 THEN 'page ' || text WHEN 1 THEN 'how ' || text ELSE text END")
-    return passages(spark, sf_dir, 2).select("query_id", text.alias("text"))
+    return passages(spark, sf_dir).select("query_id", text.alias("text"))
 
 
 @query(f"WITH {LEGS}, {_MIXED}, {_ASKED.format('asked_q')}, {PLAN}, on_ AS (SELECT l.* FROM legs l JOIN plan USING (query_id) WHERE CASE leg WHEN 'metadata' THEN use_metadata WHEN 'keyword' THEN use_keyword ELSE use_vector END), {_fuse_sql('on_')} SELECT * FROM best")
@@ -176,7 +191,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hybrid_search(R.plan_retrieval(mixed_queries(spark, sf_dir)), legs(spark, sf_dir))
 
 
-@query(f"WITH {q_sql(2, 'q2')}, {_MIXED}, {_ASKED.format('asked_q')}, {PLAN} SELECT * FROM plan")
+@query(f"WITH {q_sql(True, 'q2')}, {_MIXED}, {_ASKED.format('asked_q')}, {PLAN} SELECT * FROM plan")
 def plan_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.plan_retrieval(mixed_queries(spark, sf_dir))
 
@@ -234,71 +249,72 @@ _SYN = "syn AS (SELECT unnest({}) AS word, unnest({}) AS topic)".format(list(SYN
 
 
 @query(
-    rf"""WITH {q_sql(12)}, {_SYN}, w AS (SELECT query_id, i, regexp_replace(l[i], '^[?,.!:;()"'']+|[?,.!:;()"'']+$', '', 'g') AS word FROM (SELECT query_id, regexp_extract_all(lower(text), '[^\s]+') AS l FROM q), unnest(range(1, len(l) + 1)) AS t(i)),
+    rf"""WITH {q_sql(False)}, {_SYN}, w AS (SELECT query_id, i, regexp_replace(l[i], '^[?,.!:;()"'']+|[?,.!:;()"'']+$', '', 'g') AS word FROM (SELECT query_id, regexp_extract_all(lower(text), '[^\s]+') AS l FROM q), unnest(range(1, len(l) + 1)) AS t(i)),
 m AS (SELECT w.*, topic, min(i) OVER (PARTITION BY query_id, topic) AS first FROM w LEFT JOIN syn USING (word)),
 j AS (SELECT query_id, string_agg(coalesce(topic, word), ' ' ORDER BY topic IS NULL, i) AS t, count(topic) AS n FROM m WHERE topic IS NULL OR i = first GROUP BY query_id)
 SELECT query_id, CASE WHEN n > 0 THEN trim(t) ELSE lower(text) END AS expanded FROM q LEFT JOIN j USING (query_id)"""
 )
 def expand_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = R.dimension(spark, list(SYNONYMS.items()), "word string, topic string")
-    return R.expand_synonyms(passages(spark, sf_dir, 12), words)
+    return R.expand_synonyms(passages(spark, sf_dir, False), words)
 
 
 @query(
-    rf"""WITH {q_sql(16)}, s AS (SELECT query_id, lower(text) AS low, CASE WHEN contains(lower(text), ' as well as ') THEN string_split(lower(text), ' as well as ') WHEN contains(lower(text), ' along with ') THEN string_split(lower(text), ' along with ')
+    rf"""WITH {q_sql(False)}, s AS (SELECT query_id, lower(text) AS low, CASE WHEN contains(lower(text), ' as well as ') THEN string_split(lower(text), ' as well as ') WHEN contains(lower(text), ' along with ') THEN string_split(lower(text), ' along with ')
   WHEN contains(lower(text), ' and ') THEN string_split(lower(text), ' and ') WHEN contains(lower(text), ' or ') THEN string_split(lower(text), ' or ') ELSE [lower(text)] END AS l FROM q),
 e AS (SELECT query_id, i, CASE WHEN len(regexp_extract_all(l[i], '[^\s]+')) < 3 THEN low ELSE trim(l[i]) END AS text FROM s, unnest(range(1, len(l) + 1)) AS t(i)),
 d AS (SELECT query_id, text, min(i) AS i FROM e GROUP BY ALL)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INT AS sub_query, text FROM d"""
 )
 def split_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.split_multi_query(passages(spark, sf_dir, 16))
+    return R.split_multi_query(passages(spark, sf_dir, False))
 
 
 @query(
-    rf"""WITH {q_sql(16)}, i AS (SELECT query_id, text, CASE WHEN query_id % 2 = 0 AND regexp_matches(lower(text), '\band\b') THEN
+    rf"""WITH {q_sql(False)}, i AS (SELECT query_id, text, CASE WHEN query_id % 2 = 0 AND regexp_matches(lower(text), '\band\b') THEN
   list_transform(list_filter(list_transform(string_split_regex(lower(text), '\band\b'), lambda x: trim(x)), lambda x: length(x) > 0), lambda x: x || ' features') ELSE [] END AS l FROM q), e AS (SELECT query_id, list_prepend(text, l) AS l FROM i)
 SELECT query_id, (i - 1)::INT AS sub_query, l[i] AS text FROM e, unnest(range(1, len(l) + 1)) AS t(i)"""
 )
 def comparison_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = passages(spark, sf_dir, 16).withColumn("intent", F.when(F.col("query_id") % 2 == 0, "Comparison").otherwise("Definition"))
+    asked = passages(spark, sf_dir, False).withColumn("intent", F.when(F.col("query_id") % 2 == 0, "Comparison").otherwise("Definition"))
     return R.comparison_subqueries(asked)
 
 
 @query(
-    f"""WITH {q_sql(2, "q2")}, {q_sql(4)}, {CHUNKS}, {keyword_sql(K, "q2", "k0")}, {keyword_sql(K, "q", "k1")},
+    f"""WITH {q_sql()}, q2 AS (SELECT query_id, b.text FROM q JOIN benchmark b ON item_id = query_id // 1000), {CHUNKS}, {keyword_sql(K, "q", "k0")}, {keyword_sql(K, "q2", "k1")},
 h AS (SELECT query_id, 0 AS sub_query, rank, chunk_id, text FROM k0 JOIN chunks USING (chunk_id) UNION ALL SELECT query_id, 1, rank, chunk_id, text FROM k1 JOIN chunks USING (chunk_id))
 SELECT query_id, sub_query, rank, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY sub_query, rank, chunk_id) AS rn FROM h) WHERE rn = 1"""
 )
 def union_dedupe_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chunks(spark, sf_dir)
-    found = [R.keyword_topk(passages(spark, sf_dir, n), parts, K).withColumn("sub_query", F.lit(i)) for i, n in enumerate((2, 4))]
+    asked = (passages(spark, sf_dir), of_passages(spark, sf_dir))
+    found = [R.keyword_topk(q, parts, K).withColumn("sub_query", F.lit(i)) for i, q in enumerate(asked)]
     hits = found[0].unionByName(found[1]).join(parts.select("chunk_id", "text"), "chunk_id")
     return R.union_dedupe_hits(hits).select("query_id", "sub_query", "rank", "chunk_id")
 
 
 @query(
-    f"""WITH {q_sql(None)}, {CHUNKS}, {keyword_sql(K)}, none AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM keyword)),
+    f"""WITH {q_sql(False)}, {CHUNKS}, {keyword_sql(K)}, none AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM keyword)),
 f AS (SELECT query_id, array_to_string([x FOR x IN l IF TRUE][1:3], ' ') AS text FROM (SELECT query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN {STOP_WORDS} AND length(x) > 3) AS a FROM none),
   LATERAL (SELECT list(x ORDER BY i) AS l FROM (SELECT x, min(i) AS i FROM (SELECT a[i] AS x, i FROM unnest(range(1, len(a) + 1)) AS t(i)) GROUP BY x)) WHERE len(a) > 0),
 {keyword_sql(K, "f", "again")} SELECT query_id, chunk_id, bm25, score, rank FROM again"""
 )
 def keyword_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, asked = chunks(spark, sf_dir), passages(spark, sf_dir, None)
+    parts, asked = chunks(spark, sf_dir), passages(spark, sf_dir, False)
     return R.keyword_fallback(asked, R.keyword_topk(asked, parts, K), parts, K)
 
 
 @query()
 def static_fuzzy_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages found in no chunk against a small registry of first words."""
-    asked = passages(spark, sf_dir, None)
+    asked = passages(spark, sf_dir, False)
     hits = R.keyword_topk(asked, chunks(spark, sf_dir), K)
     names = [(e,) for e in ("the reason and the", "of the other", "in that", "with one and")]
-    return R.static_fuzzy_fallback(passages(spark, sf_dir, 6), hits, R.dimension(spark, names, "entry string"))
+    return R.static_fuzzy_fallback(passages(spark, sf_dir, False), hits, R.dimension(spark, names, "entry string"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword hits of the short passages with what is known of their chunks."""
+    """Keyword hits of the sentences with what is known of their chunks."""
     parts, asked = chunks(spark, sf_dir), passages(spark, sf_dir)
     found = R.keyword_topk(asked, parts, K)
     return found.join(parts, "chunk_id").join(asked.select("query_id", F.col("text").alias("query")), "query_id")

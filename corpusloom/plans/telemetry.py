@@ -65,13 +65,13 @@ def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {q_sql(None)}, {CHUNKS}, {keyword_sql(K)}, e AS (SELECT b.item_id AS query_id, CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, d.doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    f"""WITH {q_sql(False)}, {CHUNKS}, {keyword_sql(K)}, e AS (SELECT b.item_id AS query_id, CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, d.doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 h AS (SELECT query_id, split_part(chunk_id, '-', 1)::BIGINT AS item, min(rank) AS rank FROM keyword GROUP BY ALL), m AS (SELECT category, query_id, count(rank) / count(*) AS recall, min(rank) AS first FROM e LEFT JOIN h USING (query_id, item) GROUP BY ALL)
 SELECT category, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg((first IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM m GROUP BY category"""
 )
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search with whole passages against the documents that hold them."""
-    asked = passages(spark, sf_dir, None)
+    asked = passages(spark, sf_dir, False)
     found = R.keyword_topk(asked, chunks(spark, sf_dir), K)
     documents = found.groupBy("query_id", F.split_part("chunk_id", F.lit("-"), F.lit(1)).cast("bigint").alias("item")).agg(F.min("rank").alias("rank"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("document"))
