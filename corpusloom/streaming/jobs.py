@@ -40,9 +40,10 @@ def ingest(files: DataFrame, registry_path: str, chunk_path: str) -> None:
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
+        there = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
             known = spark.read.parquet(registry_path)
-        except Exception:
+        else:
             known = spark.createDataFrame([], "checksum string, filename string, version_number bigint, version_id string, batch bigint")
         known = known.filter(F.col("batch") != number)
         marked = registry.dedupe(batch.withColumn("checksum", registry.checksum(F.col("text"))), known)
@@ -71,6 +72,8 @@ SESSION = "conv_id bigint, turns bigint, first_turn bigint, last_turn bigint, gr
 def sessions(turns: DataFrame, idle: str = "1 hour", keep: int = 20) -> DataFrame:
     """turns (conv_id, turn, role, text, ts) -> the running state of each session; an idle session's state is dropped."""
 
+    patience = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -85,7 +88,7 @@ def sessions(turns: DataFrame, idle: str = "1 hour", keep: int = 20) -> DataFram
             lines.append(f"{role}: {text}")
         lines = lines[-keep:]
         state.update((int(n), int(first), int(last), int(greetings), "\x1e".join(lines)))
-        state.setTimeoutTimestamp(max(int(parts["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
+        state.setTimeoutTimestamp(max(int(parts["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + patience)
         yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "first_turn": [first], "last_turn": [last], "greetings": [greetings], "history": [lines]})
 
     return (
