@@ -26,11 +26,13 @@ TOPICS = {
     "Hr": ("leave", "payroll", "benefits", "reimbursement", "vacation"),
     "Security": ("cybersecurity", "infosec", "iso27001", "authentication", "zero trust"),
 }
+#: Patterns of each content flag.
 FLAGS = {
     "contains_faq": r"\bfaq\b|\bfrequently asked questions\b|\bq\s*&\s*a\b",
     "contains_workflow": r"\bworkflow\b|\bprocess flow\b|\bstep \d+\b",
     "contains_architecture": r"\barchitecture\b|\bsystem design\b",
 }
+#: Fixed value: pattern of a technical name.
 TECH = r"\b(?:[A-Z][a-z]*){1,}(?:[A-Z]|[0-9]+)\b"
 
 

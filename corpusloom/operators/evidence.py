@@ -54,6 +54,13 @@ def confidence_tier(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return joined.withColumn("tier", F.when(F.col("best") < REJECT, "LOW").when(F.col("best") < MEDIUM, "MEDIUM").otherwise("HIGH"))
 
 
+def logit_tier(queries: DataFrame, hits: DataFrame, medium: float = 0.0, high: float = 2.0) -> DataFrame:
+    """As confidence_tier, from the reranker's logits (hits.logit): over `high` HIGH, over `medium` MEDIUM."""
+    best = hits.groupBy("query_id").agg(F.max("logit").alias("best"))
+    joined = queries.select("query_id").join(best, "query_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    return joined.withColumn("tier", F.when(F.col("best") > high, "HIGH").when(F.col("best") > medium, "MEDIUM").otherwise("LOW"))
+
+
 def adaptive_select(hits: DataFrame, tiers: DataFrame) -> DataFrame:
     """Hits in order of score until the tier's stop: HIGH with two or more once their sum is over 1.5, MEDIUM with four, any
     with six."""
@@ -143,9 +150,11 @@ def build_context(hits: DataFrame, most: int = 4) -> DataFrame:
 
 
 def fit_token_window(context: DataFrame, budget: int = 8000) -> DataFrame:
-    """context (query_id, chunk_id, relevance, tokens): the most relevant ones while their running total fits."""
+    """context (query_id, chunk_id, relevance, tokens, version_id, chunk_index): the most relevant ones while their running
+    total fits, with their place in reading order."""
     by = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return context.withColumn("used", F.sum("tokens").over(by)).filter(F.col("used") <= budget)
+    reading = Window.partitionBy("query_id").orderBy("version_id", "chunk_index")
+    return context.withColumn("used", F.sum("tokens").over(by)).filter(F.col("used") <= budget).withColumn("place", F.row_number().over(reading))
 
 
 def truncate_to_budget(context: DataFrame, window: int = 4096, reserved: int = 512) -> DataFrame:
@@ -232,17 +241,35 @@ PLANS = {
     "Clarification": ("short_answer", 200, 180, 1, "low"),
     "AssistantIdentity": ("paragraph", 1000, 40, 5, "low"),
 }
-DEFAULT_PLAN = ("paragraph", 1000, 180, 5, "low")
-PLAN_COLUMNS = ("format", "token_budget", "max_words", "max_chunks", "compression")
+#: intent -> sections of the reply, other than "Answer" (fixed values).
+SECTIONS = {
+    "Summary": "Executive Summary", "Timeline": "Chronology", "Comparison": "Comparison Table|Summary", "Table": "Table", "List": "Key Points", "Advantages": "Key Points",
+    "Disadvantages": "Key Points", "Steps": "Procedure", "FAQ": "Questions and Answers", "Explanation": "Explanation|Details",
+}
+#: intent -> structure of the reply, other than "Standard" (fixed values).
+STRATEGIES = {
+    "Comparison": "Comparison Table", "Procedure": "Workflow", "Architecture": "Architecture Overview", "Policy": "Checklist", "Troubleshooting": "Debug Steps",
+    "Definition": "Standard Definition",
+}
+PLAN_ROWS = {k: (*v, SECTIONS.get(k, "Answer")) for k, v in PLANS.items()}
+DEFAULT_PLAN = ("paragraph", 1000, 180, 5, "low", "Answer")
+PLAN_COLUMNS = ("format", "token_budget", "max_words", "max_chunks", "compression", "sections")
 
 
 def plan_response(queries: DataFrame) -> DataFrame:
-    """queries (intent) with format, budgets and compression."""
-    table = dimension(queries.sparkSession, [(k, *v) for k, v in PLANS.items()], "intent string, format string, token_budget int, max_words int, max_chunks int, compression string")
+    """queries (intent) with format, budgets, compression and sections (joined by |)."""
+    kinds = ("string", "int", "int", "int", "string", "string")
+    schema = ", ".join(f"{c} {kind}" for c, kind in zip(PLAN_COLUMNS, kinds, strict=True))
+    table = dimension(queries.sparkSession, [(k, *v) for k, v in PLAN_ROWS.items()], f"intent string, {schema}")
     joined = queries.join(F.broadcast(table), "intent", "left")
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip(PLAN_COLUMNS, DEFAULT_PLAN, strict=True)})
 
 
+def plan_strategy(intent: Column) -> Column:
+    """The structure that an intent calls for."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in STRATEGIES.items() for x in pair])[intent], F.lit("Standard"))
+
+
 #: format -> words that ask for it, in order (fixed values).
 FORMATS = {
     "Markdown table": ("compare", "difference between", "vs"),

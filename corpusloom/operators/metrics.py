@@ -75,6 +75,18 @@ def retrieval_eval(expected: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     )
 
 
+def expectation_agreement(expected: DataFrame, answered: DataFrame) -> DataFrame:
+    """expected (query_id, category, intent, format, citations), answered (query_id, the same) -> per category: queries and
+    the shares whose intent and format are the expected ones and that cite as many sources or more."""
+    got = answered.select("query_id", *[F.col(c).alias(f"{c}__") for c in ("intent", "format", "citations")])
+    both = expected.join(got, "query_id", "left")
+    share = lambda ok: F.round(F.count_if(ok) / F.count("*"), 6)
+    return both.groupBy("category").agg(
+        F.count("*").alias("queries"), share(F.col("intent") == F.col("intent__")).alias("intent_agreement"), share(F.col("format") == F.col("format__")).alias("format_agreement"),
+        share(F.coalesce("citations__", F.lit(0)) >= F.col("citations")).alias("citation_agreement"),
+    )
+
+
 def route_confusion(rows: DataFrame, decisions: list[str]) -> DataFrame:
     return rows.groupBy("expected").pivot("predicted", decisions).count().na.fill(0)
 

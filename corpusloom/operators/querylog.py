@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import difflib
 import re
-import unicodedata
 from itertools import product
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 from corpusloom.functions import dictionaries as D
 from corpusloom.functions import text as T
 from corpusloom.operators.retrieve import dimension
+from corpusloom.sources.tables import counted
 
 KEYWORD_STOP = (*T.STOP_WORDS, "please", "tell", "me", "about", "show", "give", "provide", "details", "information")
 
@@ -24,7 +26,7 @@ def nfkc(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+        return pc.utf8_normalize(pa.array(s, pa.string(), from_pandas=True), form="NFKC").to_pandas()
 
     return run(text)
 
@@ -125,7 +127,7 @@ def fuzzy_correct(tokens: DataFrame, vocabulary: DataFrame, least: float = 0.75,
     left = each.join(vocabulary.select(F.col("word").alias("token")), "token", "left_anti").withColumn("g", F.explode(grams(F.col("token"))))
     right = vocabulary.select("word", F.explode(grams(F.col("word"))).alias("g"))
     fits = F.least(F.length("token"), F.length("word")) * 2 >= least * (F.length("token") + F.length("word"))
-    pairs = left.join(F.broadcast(right), "g").filter(fits).select("token", "word").distinct()
+    pairs = left.join(counted(right), "g").filter(fits).select("token", "word").distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -170,15 +172,15 @@ def longest_phrase_match(turns: DataFrame, phrases: DataFrame, keys: list[str],
         return F.when(F.size("w") >= n, of).otherwise(none)
 
     grams = w.withColumn("g", F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)]))).select(*keys, "w", "g.start", "g.phrase")
-    met = grams.join(F.broadcast(phrases), "phrase")
+    met = grams.join(counted(phrases), "phrase")
     best = met.groupBy(*keys).agg(F.max_by(F.struct("phrase", "grp", "start", "n_words", "w"), F.struct("n_words", F.length("phrase"), -F.col("start"), "grp")).alias("b"))
     rest = F.concat(F.slice("b.w", F.lit(1), F.col("b.start") - 1), F.slice("b.w", F.col("b.start") + F.col("b.n_words"), F.size("b.w")))
     return best.select(*keys, "b.phrase", "b.grp", (F.col("b.start") - 1).alias("start"), "b.n_words", F.array_join(rest, " ").alias("remainder"))
 
 
-def profane_words(text: Column) -> Column:
+def profane_words(text: Column, profane: tuple[str, ...] = D.PROFANITY) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+"), F.lit(0))
-    return F.array_sort(F.array_intersect(words, F.array(*[F.lit(w) for w in D.PROFANITY])))
+    return F.array_sort(F.array_intersect(words, F.array(*[F.lit(w) for w in profane])))
 
 
 def prompt_injection(text: Column) -> Column:
@@ -286,7 +288,7 @@ def score_knowledge(turns: DataFrame, entries: DataFrame, keys: list[str], fuzzy
     0.82, part of one 0.63; with `fuzzy`, near phrases 0.90 and near keywords count, a single word alone doesn't, and two
     entries less than 0.15 apart below 0.99 give none. The entries are a small table, so each turn meets all of them."""
     q = turns.select(*keys, F.trim(F.lower("text")).alias("q"), F.array_distinct(tokenize(F.trim(F.lower("text")))).alias("w"))
-    pairs = q.crossJoin(F.broadcast(entries))
+    pairs = q.crossJoin(counted(entries))
     title = F.array(F.lower("title"), F.lower(F.translate("intent_id", "_", " ")))
     padded = F.concat(F.lit(" "), "q", F.lit(" "))
     exact = F.array_contains(F.concat(title, "phrases"), F.col("q"))
@@ -353,11 +355,17 @@ def split_multi_intent(turns: DataFrame, keys: list[str]) -> DataFrame:
     return turns.select(*keys, F.posexplode(parts).alias("part", "text"))
 
 
-def flag_clarification(turns: DataFrame, headings: DataFrame, keys: list[str], broad: tuple[str, ...] = D.BROAD) -> DataFrame:
-    """Turns of four distinct words or fewer with a broad concept, with up to four of the longest headings that hold it."""
+def flag_clarification(turns: DataFrame, headings: DataFrame, keys: list[str], broad: tuple[str, ...] = D.BROAD, unsure: DataFrame | None = None) -> DataFrame:
+    """Turns of four distinct words or fewer with a broad concept, with up to four of the longest headings that hold it; also
+    those that `unsure` (keys, needs_clarification) marks, whose concept is the first of `broad` if they have none."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda w: F.length(w) > 0))
     concept = F.get(F.array_sort(F.array_intersect(words, F.array(*[F.lit(b) for b in broad]))), F.lit(0))
-    asked = turns.select(*keys, concept.alias("concept"), F.size(words).alias("n")).filter("n <= 4 and concept is not null")
+    asked = turns.select(*keys, concept.alias("concept"), F.size(words).alias("n"))
+    if unsure is None:
+        asked = asked.filter("n <= 4 and concept is not null")
+    else:
+        asked = asked.join(unsure.select(*keys, "needs_clarification"), keys, "left").filter("(n <= 4 and concept is not null) or needs_clarification")
+        asked = asked.withColumn("concept", F.coalesce("concept", F.lit(broad[0])))
     # Headings meet the few concepts, not the turns; each concept keeps four.
     concepts = dimension(turns.sparkSession, [(b,) for b in broad], "concept string")
     met = headings.select("heading").distinct().crossJoin(F.broadcast(concepts)).filter(F.contains("heading", F.col("concept")))

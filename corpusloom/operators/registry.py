@@ -87,6 +87,19 @@ def stale_versions(versions: DataFrame, model: str) -> DataFrame:
     return versions.filter((F.col("status") == READY) & (F.col("embedding_model") != model))
 
 
+def reindex_report(versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """versions (version_id, text), chunks (version_id) -> version_id, chunks, error: what came of each version; one without
+    text or without chunks is reported, not raised."""
+    stored = chunks.groupBy("version_id").agg(F.count("*").alias("chunks"))
+    joined = versions.join(stored, "version_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    return joined.select("version_id", "chunks", failure(F.col("text"), F.col("chunks")).alias("error"))
+
+
+def failure(text: Column, chunks: Column) -> Column:
+    """Why a version can't be searched; null if it can."""
+    return F.when(~F.coalesce(text, F.lit("")).rlike(r"\S"), "no text").when(chunks == 0, "no chunks")
+
+
 def reindex_status(versions: DataFrame, model: str) -> DataFrame:
     ready = F.col("status") == READY
     outdated = F.count_if(ready & (F.col("embedding_model") != model))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
-from corpusloom.sources.tables import written
+from corpusloom.sources.tables import counted, written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -183,9 +183,20 @@ def keyword_topk_websearch(queries: DataFrame, chunks: DataFrame, k: int = 40) -
     return top_k(full.select("query_id", "chunk_id", "score"), k)
 
 
+#: Characters at the start of a word or query by which it meets the metadata that hold it.
+GRAM = 4
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The runs of n characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+
+
 def metadata_search(queries: DataFrame, chunks: DataFrame, k: int, match: str = "whole") -> DataFrame:
     """(query_id, chunk_id, score, rank): the query's text in the filename (0.95), heading (0.92) or section (0.88); with
-    match="words", any word of it of 4 letters or more (0.80). Distinct metadata are compared, chunks join afterwards."""
+    match="words", any word of it of 4 letters or more (0.80). Distinct metadata are compared, chunks join afterwards. What is
+    looked for and the metadata that hold it share its first GRAM characters, so they meet by an equal key."""
     names = ["filename", "heading", "section"]
     meta = chunks.select(*names).distinct()
     low = [F.lower(F.coalesce(c, F.lit(""))) for c in names]
@@ -194,7 +205,13 @@ def metadata_search(queries: DataFrame, chunks: DataFrame, k: int, match: str =
     if match == "words":
         words = F.filter(F.split("q", " "), lambda w: F.length(w) >= 4)
         score = score.when(F.exists(words, lambda w: F.contains(F.concat_ws(" ", *low), w)), 0.80)
-    met = meta.crossJoin(F.broadcast(q)).withColumn("score", score).filter("score is not null")
+    starts = F.array(F.substring("q", 1, GRAM))
+    if match == "words":
+        starts = F.array_union(starts, F.transform(words, lambda w: F.substring(w, F.lit(1), F.lit(GRAM))))
+    every = F.concat_ws(" ", *low)
+    parts = F.array_distinct(F.concat(*[_grams(every, n) for n in range(1, GRAM + 1)]))
+    near = meta.withColumn("key", F.explode(parts)).join(q.withColumn("key", F.explode(starts)), "key")
+    met = near.select("query_id", "q", *names).distinct().withColumn("score", score).filter("score is not null")
     joined = chunks.select("chunk_id", *names).join(met, [chunks[c].eqNullSafe(met[c]) for c in names])
     return top_k(joined.select("query_id", "chunk_id", "score"), k)
 
@@ -303,7 +320,7 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """query_id, expanded: canonical topics in order of appearance, then the other words. synonyms: (word, topic)."""
     words = queries.select("query_id", F.posexplode(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 0)).alias("at", "raw"))
     words = words.withColumn("word", F.regexp_replace("raw", r"^[?,.!:;()\"']+|[?,.!:;()\"']+$", ""))
-    met = words.join(F.broadcast(synonyms), "word", "left")
+    met = words.join(counted(synonyms), "word", "left")
     first = F.min("at").over(Window.partitionBy("query_id", "topic"))
     kept = met.withColumn("first", first).filter(F.col("topic").isNull() | (F.col("at") == F.col("first")))
     item = F.struct(F.col("topic").isNull().alias("rest"), "at", F.coalesce("topic", "word").alias("w"))
@@ -380,7 +397,7 @@ def static_fuzzy_fallback(queries: DataFrame, hits: DataFrame, entries: DataFram
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([max(partial_ratio(x, y), token_set_ratio(x, y)) for x, y in zip(a, b, strict=True)])
 
-    pairs = none.select("query_id", F.lower("text").alias("q")).crossJoin(F.broadcast(entries.select("entry", F.lower("entry").alias("e"))))
+    pairs = none.select("query_id", F.lower("text").alias("q")).crossJoin(counted(entries.select("entry", F.lower("entry").alias("e"))))
     scored = pairs.select("query_id", "entry", F.round(score("q", "e"), 4).alias("ratio")).filter(F.col("ratio") > least)
     best = scored.groupBy("query_id").agg(F.max_by(F.struct("entry", "ratio"), F.struct("ratio", "entry")).alias("b"))
     return best.select("query_id", "b.entry", "b.ratio", (F.col("b.ratio") > exact).alias("exact"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from corpusloom.operators.querylog import classify_intent
+
+#: Words that point back, words that ask for a summary, topics with their patterns.
 PRONOUNS = ("it", "they", "he", "she", "this", "that", "its", "their")
 SUMMARY_WORDS = ("brief", "summarize", "short", "summary", "detail")
 TOPICS = (("Policy", "policy"), ("Company Info", "project|service"), ("HR Policies", "hr|leave"), ("Security", "security"))
@@ -107,6 +110,23 @@ def session_tokens(turns: DataFrame, limit: int = 4000) -> DataFrame:
     return run.groupBy("conv_id").agg(F.max("total").alias("tokens"), F.min(F.when(F.col("total") > limit, F.col("turn"))).alias("over_turn"))
 
 
+def session_memory(turns: DataFrame, limit: int = 4000) -> DataFrame:
+    """(conv_id, kept, tokens, summaries): a session's memory after its last turn. Whenever its tokens pass the limit, the
+    older half of its messages makes way for a summary and the tokens are halved. A fold over the session's token counts."""
+    counts = F.floor(_words(F.col("text")) * 1.3).cast("bigint")
+    lists = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", counts.alias("n")))).alias("l"))
+    state = lambda kept, tokens, summaries: F.struct(kept.cast("bigint").alias("kept"), tokens.cast("bigint").alias("tokens"), summaries.cast("bigint").alias("summaries"))
+
+    def step(s: Column, x: Column) -> Column:
+        kept, tokens = s["kept"] + 1, s["tokens"] + x["n"]
+        over = tokens > limit
+        return state(
+            F.when(over, kept - F.floor(kept / 2)).otherwise(kept), F.when(over, F.floor(tokens / 2)).otherwise(tokens), s["summaries"] + over.cast("bigint")
+        )
+
+    return lists.select("conv_id", F.aggregate("l", state(F.lit(0), F.lit(0), F.lit(0)), step).alias("s")).select("conv_id", "s.*")
+
+
 def compress_sessions(turns: DataFrame, most: int = 20, keep: int = 4, topics: tuple = (("Policy", "policy"), ("Projects", "project"))) -> DataFrame:
     """(conv_id, kept, summary) of sessions over `most` messages: the last ones stay, of the rest the topics."""
     last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
@@ -123,13 +143,15 @@ def filter_pleasantries(turns: DataFrame) -> DataFrame:
 
 
 def session_profile(turns: DataFrame) -> DataFrame:
-    """Per session: turns, first and last turn, greetings, the name introduced last, a preview of the last answer."""
+    """Per session: turns, first and last turn, greetings, the name introduced last, the last user turn's intent, a preview of
+    the last answer."""
     greeting = (F.col("role") == "user") & F.lower("text").rlike(r"^(hi|hello|hey|good (morning|afternoon|evening))\b")
     name = F.nullif(F.regexp_extract(F.lower("text"), r"\bmy name is ([a-z]+)", 1), F.lit(""))
     answer = F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn")))
     out = turns.groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(greeting).alias("greetings"),
         F.max_by(name, F.when(name.isNotNull(), F.col("turn"))).alias("name"), answer.alias("answer"),
+        F.max_by(classify_intent(F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("last_intent"),
     )
     preview = F.when(F.length("answer") > 200, F.concat(F.substring("answer", 1, 200), F.lit("..."))).otherwise(F.col("answer"))
     return out.withColumn("preview", preview).drop("answer")

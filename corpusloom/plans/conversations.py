@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sessions as S
-from corpusloom.plans.base import query
+from corpusloom.functions import dictionaries as D
+from corpusloom.plans.base import ladder_sql, query
 from corpusloom.sources.tables import table
 
 KEYS = ["conv_id", "turn"]
@@ -63,10 +64,11 @@ def topic_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.topic_switches(turns(spark, sf_dir), TOPICS).select(*KEYS, "topic", "active_topic", "switched")
 
 
-@query(
-    rf"""WITH {SWITCH}, c AS (SELECT conv_id, turn, least(CASE WHEN regexp_matches(lower(text), '^(what about|and) ') AND coalesce(topic, active_topic) IS NULL THEN 0.3 ELSE 1.0 END,
-CASE WHEN NOT pronoun THEN 1.0 WHEN recent_entity IS NOT NULL THEN 0.8 WHEN coalesce(topic, active_topic) IS NOT NULL THEN 0.7 ELSE 0.2 END)::DOUBLE AS confidence FROM sw) SELECT *, confidence < 0.5 AS needs_clarification FROM c"""
-)
+RESOLVED = rf"""{SWITCH}, resolved AS (SELECT conv_id, turn, least(CASE WHEN regexp_matches(lower(text), '^(what about|and) ') AND coalesce(topic, active_topic) IS NULL THEN 0.3 ELSE 1.0 END,
+CASE WHEN NOT pronoun THEN 1.0 WHEN recent_entity IS NOT NULL THEN 0.8 WHEN coalesce(topic, active_topic) IS NOT NULL THEN 0.7 ELSE 0.2 END)::DOUBLE AS confidence FROM sw)"""
+
+
+@query(f"WITH {RESOLVED} SELECT *, confidence < 0.5 AS needs_clarification FROM resolved")
 def resolution_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.resolution_confidence(turns(spark, sf_dir), ENTITIES, TOPICS).select(*KEYS, "confidence", "needs_clarification")
 
@@ -79,6 +81,16 @@ def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.session_tokens(turns(spark, sf_dir), 100)
 
 
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, floor({_WORDS} * 1.3::DOUBLE)::BIGINT AS n FROM conversations),
+m AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS kept, 0::BIGINT AS tokens, 0::BIGINT AS summaries FROM t WHERE i = 1
+UNION ALL SELECT conv_id, t.i, CASE WHEN tokens + n > 100 THEN kept + 1 - (kept + 1) // 2 ELSE kept + 1 END, CASE WHEN tokens + n > 100 THEN (tokens + n) // 2 ELSE tokens + n END, summaries + (tokens + n > 100)::INT FROM m JOIN t USING (conv_id) WHERE t.i = m.i + 1)
+SELECT conv_id, arg_max(kept, i) AS kept, arg_max(tokens, i) AS tokens, arg_max(summaries, i) AS summaries FROM m GROUP BY conv_id"""
+)
+def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.session_memory(turns(spark, sf_dir), 100)
+
+
 @query(
     """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS last, count(*) OVER (PARTITION BY conv_id) AS size FROM conversations),
 a AS (SELECT conv_id, count(*) FILTER (last <= 2) AS kept, max('First') FILTER (last > 2 AND regexp_matches(lower(text), 'eren')) AS a, max('Second') FILTER (last > 2 AND regexp_matches(lower(text), 'with')) AS b FROM t WHERE size > 4 GROUP BY conv_id)
@@ -96,10 +108,11 @@ def filter_pleasantries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn % 3 = 0 THEN 'Hello my name is ann ' || text ELSE text END AS text FROM conversations),
+    rf"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' AND turn % 3 = 0 THEN 'Hello my name is ann ' || text ELSE text END AS text FROM conversations),
 a AS (SELECT conv_id, count(*) AS turns, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (role = 'user' AND regexp_matches(lower(text), '^(hi|hello|hey|good (morning|afternoon|evening))\b')) AS greetings,
-  arg_max(nullif(regexp_extract(lower(text), '\bmy name is ([a-z]+)', 1), ''), turn) AS name, arg_max(text, turn) FILTER (role = 'assistant') AS answer FROM t GROUP BY conv_id)
-SELECT conv_id, turns, first_turn, last_turn, greetings, name, CASE WHEN length(answer) > 200 THEN substr(answer, 1, 200) || '...' ELSE answer END AS preview FROM a"""
+  arg_max(nullif(regexp_extract(lower(text), '\bmy name is ([a-z]+)', 1), ''), turn) AS name, arg_max(text, turn) FILTER (role = 'assistant') AS answer,
+  arg_max({ladder_sql("lower(text)", D.INTENTS, "Unknown")}, turn) FILTER (role = 'user') AS last_intent FROM t GROUP BY conv_id)
+SELECT conv_id, turns, first_turn, last_turn, greetings, name, last_intent, CASE WHEN length(answer) > 200 THEN substr(answer, 1, 200) || '...' ELSE answer END AS preview FROM a"""
 )
 def session_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.when((F.col("role") == "user") & (F.col("turn") % 3 == 0), F.concat(F.lit("Hello my name is ann "), "text")).otherwise(F.col("text"))

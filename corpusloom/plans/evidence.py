@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import dictionaries as D
 from corpusloom.functions import text as T
 from corpusloom.operators import evidence as E
-from corpusloom.plans.base import query
+from corpusloom.operators.querylog import classify_intent
+from corpusloom.plans.base import ladder_sql, query
 from corpusloom.plans.retrieval import HITS, hits, overlap_sql, passages, terms_sql
 from corpusloom.sources.tables import table
 
@@ -50,6 +52,16 @@ def confidence_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.confidence_tier(passages(spark, sf_dir), scored(spark, sf_dir))
 
 
+@query(
+    f"""WITH {SCORED}, b AS (SELECT query_id, max(round((evidence_score - 0.8) * 40, 4)) AS best FROM scored GROUP BY 1)
+SELECT q.query_id, coalesce(best, 0.0)::DOUBLE AS best, CASE WHEN best > 2 THEN 'HIGH' WHEN best > 0 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM q LEFT JOIN b USING (query_id)"""
+)
+def confidence_tier_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line through the evidence score stands for the reranker's logits."""
+    logits = scored(spark, sf_dir).withColumn("logit", F.round((F.col("evidence_score") - 0.8) * 40, 4))
+    return E.logit_tier(passages(spark, sf_dir), logits)
+
+
 @query(
     f"""WITH {TIERS}, r AS (SELECT s.*, tier, row_number() OVER w AS place, coalesce(round(sum(evidence_score) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6), 0) AS before
 FROM scored s JOIN tiers USING (query_id) WHERE evidence_score >= {E.REJECT} WINDOW w AS (PARTITION BY query_id ORDER BY evidence_score DESC, chunk_id))
@@ -124,11 +136,11 @@ def build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SCORED}, t AS (SELECT *, length(text) // 4 AS tokens FROM scored),
-u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY evidence_score DESC, chunk_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM t) SELECT query_id, chunk_id, used FROM u WHERE used <= 2000"""
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY evidence_score DESC, chunk_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM t) SELECT query_id, chunk_id, used, row_number() OVER (PARTITION BY query_id ORDER BY version_id, chunk_index) AS place FROM u WHERE used <= 2000"""
 )
 def fit_token_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumns({"tokens": T.estimate_tokens(F.col("text")), "relevance": F.col("evidence_score")})
-    return E.fit_token_window(rows, 2000).select("query_id", "chunk_id", "used")
+    return E.fit_token_window(rows, 2000).select("query_id", "chunk_id", "used", "place")
 
 
 @query(
@@ -156,7 +168,7 @@ def compress_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plan_case(i: int) -> str:
     show = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
-    return "CASE intent " + " ".join(f"WHEN '{k}' THEN {show(v[i])}" for k, v in E.PLANS.items()) + f" ELSE {show(E.DEFAULT_PLAN[i])} END"
+    return "CASE intent " + " ".join(f"WHEN '{k}' THEN {show(v[i])}" for k, v in E.PLAN_ROWS.items()) + f" ELSE {show(E.DEFAULT_PLAN[i])} END"
 
 
 _PLANNED = ", ".join(f"({_plan_case(i)}){'::INT' if i in (1, 2, 3) else ''} AS {c}" for i, c in enumerate(E.PLAN_COLUMNS))
@@ -169,10 +181,19 @@ def plan_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.plan_response(table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", intent.alias("intent")))
 
 
-_FORMATS = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in terms)} THEN '{k}'" for k, terms in E.FORMATS.items()) + " ELSE 'Paragraph' END"
+_STRATEGIES = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.STRATEGIES.items()) + " ELSE 'Standard' END"
+
+
+@query(f"WITH i AS (SELECT conv_id, turn, {ladder_sql('lower(text)', D.INTENTS, 'Unknown')} AS intent FROM conversations WHERE role = 'user') SELECT *, {_STRATEGIES} AS strategy FROM i")
+def plan_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("intent", classify_intent(F.col("text")))
+    return turns.select("conv_id", "turn", "intent", E.plan_strategy(F.col("intent")).alias("strategy"))
+
+
+FORMATS = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{t}{chr(39)})' for t in terms)} THEN '{k}'" for k, terms in E.FORMATS.items()) + " ELSE 'Paragraph' END"
 
 
-@query(f"SELECT conv_id, turn, {_FORMATS} AS format FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, {FORMATS} AS format FROM conversations WHERE role = 'user'")
 def plan_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     return turns.select("conv_id", "turn", E.plan_format(F.col("text")).alias("format"))

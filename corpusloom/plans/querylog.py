@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dictionaries as D
 from corpusloom.operators import querylog as Q
+from corpusloom.operators import sessions as S
 from corpusloom.operators.registry import corpus_words as words_of
 from corpusloom.operators.retrieve import dimension
-from corpusloom.plans.base import query
+from corpusloom.plans import conversations as C
+from corpusloom.plans.base import ladder_sql, query
 from corpusloom.sources.tables import spread, table
 
 KEYS = ["conv_id", "turn"]
@@ -47,23 +47,15 @@ def normalize_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select(*KEYS, Q.normalize_ascii(F.col("text")).alias("text"))
 
 
-def bounded(pattern: str) -> str:
-    """A pattern whose word bounds count letters beyond ASCII, for an engine whose own don't."""
-    return re.sub(r"\\b(?=[a-z(])", r"(?:^|[^\\pL\\pN_])", pattern).replace(r"\b", r"(?:$|[^\pL\pN_])")
-
-
-def ladder_sql(column: str, patterns: dict[str, str], otherwise: str) -> str:
-    patterns = {k: bounded(p) for k, p in patterns.items()}
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{p}') THEN '{k}'" for k, p in patterns.items()) + f" ELSE '{otherwise}' END"
-
-
 @query(
     rf"""WITH {TURNS}, n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(trim(lower(text)), '\s+', ' ', 'g'), '’‘', ''''''), '\?+$', ''),
 '\bhi+\b', 'hi', 'g'), '\bhe+y+\b', 'hey', 'g'), '\bhe+l+o+\b', 'hello', 'g') AS normalized FROM turns)
-SELECT conv_id, turn, normalized, {ladder_sql("normalized", D.QUESTION_TYPES, "statement")} AS question_type, {ladder_sql("normalized", D.EXPECTATIONS, "standard")} AS expectation FROM n"""
+SELECT conv_id, turn, normalized, {ladder_sql("normalized", D.QUESTION_TYPES, "statement")} AS question_type, {ladder_sql("normalized", D.EXPECTATIONS, "standard")} AS expectation,
+array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[\pL\pN_]+'), lambda x: regexp_matches(x, '^[A-Z]{{2,}}$')))), '|') AS abbreviations FROM n"""
 )
 def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.query_analysis(turns(spark, sf_dir)).select(*KEYS, "normalized", "question_type", "expectation")
+    out = Q.query_analysis(turns(spark, sf_dir)).withColumn("abbreviations", F.array_join(F.array_sort("abbreviations"), "|"))
+    return out.select(*KEYS, "normalized", "question_type", "expectation", "abbreviations")
 
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ' '), lambda x: length(x) > 0), '|') AS tokens FROM turns")
@@ -272,6 +264,20 @@ def flag_clarification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.flag_clarification(plain_turns(spark, sf_dir), headings, KEYS, _BROAD)
 
 
+@query(
+    rf"""WITH {C.RESOLVED}, {PLAIN}, w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[^\s]+')) AS w FROM plain), m AS (SELECT conv_id, turn, len(w) AS n, list_sort(list_intersect(w, {list(_BROAD)}))[1] AS own FROM w),
+c AS (SELECT conv_id, turn, coalesce(own, '{_BROAD[0]}') AS concept FROM m JOIN resolved USING (conv_id, turn) WHERE (n <= 4 AND own IS NOT NULL) OR confidence < 0.5),
+b AS (SELECT unnest({list(_BROAD)}) AS concept), h AS (SELECT DISTINCT lower(regexp_extract(text, '^[^.\n]*', 0)) AS heading FROM documents),
+r AS (SELECT concept, heading, row_number() OVER (PARTITION BY concept ORDER BY length(heading) DESC, heading) AS rank FROM b, h WHERE contains(heading, concept)),
+o AS (SELECT concept, string_agg(heading, '|' ORDER BY rank) AS options FROM r WHERE rank <= 4 GROUP BY concept) SELECT conv_id, turn, concept, options FROM c LEFT JOIN o USING (concept)"""
+)
+def flag_clarification_unsure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also the turns whose resolution within the session is unsure."""
+    headings = table(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("heading"))
+    unsure = S.resolution_confidence(C.turns(spark, sf_dir), C.ENTITIES, C.TOPICS)
+    return Q.flag_clarification(plain_turns(spark, sf_dir), headings, KEYS, _BROAD, unsure)
+
+
 _FRIENDLY = "CASE upper(event_type) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**D.FRIENDLY, "VIEW": "View"}.items()) + " ELSE upper(event_type[1]) || lower(event_type[2:]) END"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import chunk, embed
 from corpusloom.operators import registry as R
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import append_upload_log, scan_files, scratch, table, write_chunks, written
+from corpusloom.sources.tables import append_upload_log, scan_expectations, scan_files, scratch, table, write_chunks, written
 
 MODEL = "hash-2"
 STAGES = ("extract_ms", "chunk_ms", "embed_ms")
@@ -278,8 +278,10 @@ def scan_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_json_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's passages as golden queries in JSON files, scanned."""
     path = scratch(spark, "golden")
-    table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query")).write.json(path)
-    golden = spark.read.schema("id string, query string, expected_chunks array<string>").json(path)
+    items = table(spark, sf_dir, "benchmark").withColumn("file", F.expr("item_id div 20"))
+    files = items.groupBy("file").agg(F.to_json(F.collect_list(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query")))).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    golden = scan_expectations(spark, path)
     return golden.select("id", "query", (F.size(F.regexp_extract_all("query", F.lit("[^ ]+"), F.lit(0))) > 40).alias("is_long"))
 
 
@@ -292,5 +294,5 @@ def reindex_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = docs.join(R.stale_versions(versions(spark, sf_dir), MODEL).select("version_id"), "version_id", "left_semi")
     fresh = written(embed.embed(chunk.reindex(stale), "text").select("version_id", "chunk_index", "text", "embedding"), "fresh")
     write_chunks(fresh, path)
-    done = spark.read.parquet(path).join(stale.select("version_id"), "version_id")
-    return done.groupBy("version_id").agg(F.count("*").alias("chunks"), F.count_if(F.size("embedding") == embed.DIMENSION).alias("embedded"))
+    done = spark.read.parquet(path).join(stale.select("version_id"), "version_id").filter(F.size("embedding") == embed.DIMENSION)
+    return R.reindex_report(stale, done)

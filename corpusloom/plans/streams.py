@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.plans.base import query
-from corpusloom.plans.querylog import ladder_sql
+from corpusloom.plans.base import ladder_sql, query
 from corpusloom.functions import dictionaries as D
 from corpusloom.sources.tables import scratch
 from corpusloom.streaming import jobs
@@ -53,5 +52,6 @@ def stream_dedupe_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "metrics")
     events = jobs.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    jobs.drain(jobs.metrics(events), lambda batch, number: batch.write.mode("overwrite").parquet(path), "complete")
-    return spark.read.parquet(path).select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    jobs.drain(jobs.metrics(events), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), "update")
+    last = spark.read.parquet(path).groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
+    return last.select("window", "event_type", "s.*").select(F.col("window.start").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

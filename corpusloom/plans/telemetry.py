@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators import evidence as E
 from corpusloom.operators import metrics as M
 from corpusloom.operators import querylog as Q
 from corpusloom.operators import retrieve as R
-from corpusloom.plans.base import query
-from corpusloom.plans.querylog import TURNS, ladder_sql, turns
+from corpusloom.plans.base import ladder_sql, query
+from corpusloom.plans.evidence import FORMATS
+from corpusloom.plans.querylog import TURNS, turns
 from corpusloom.plans.retrieval import CHUNKS, HITS, K, chunks, hits, keyword_sql, passages, q_sql
 from corpusloom.functions import dictionaries as D
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import counted, table
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'rag' WHEN 'view' THEN 'rag' WHEN 'click' THEN 'cache_hit' WHEN 'error' THEN 'fallback' ELSE 'fast' END"
 
@@ -75,11 +77,35 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.keyword_topk(asked, chunks(spark, sf_dir), K)
     documents = found.groupBy("query_id", F.split_part("chunk_id", F.lit("-"), F.lit(1)).cast("bigint").alias("item")).agg(F.min("rank").alias("rank"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("document"))
-    truth = docs.join(F.broadcast(asked), F.contains("document", F.col("text")))
+    truth = docs.join(counted(asked), F.contains("document", F.col("text")))
     expected = truth.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), "item")
     return M.retrieval_eval(expected, documents, K)
 
 
+_INTENT = ladder_sql("lower(text)", D.INTENTS, "Unknown")
+_CITED = "cited AS (SELECT query_id, count(DISTINCT version_id || '-' || chunk_index) AS citations FROM hits GROUP BY query_id)"
+
+
+@query(
+    f"""WITH {HITS}, {_CITED}, a AS (SELECT query_id, {_INTENT} AS intent, {FORMATS} AS format FROM q),
+e AS (SELECT *, 'c' || query_id % 3 AS category, ['Unknown', 'Policy'][query_id % 2 + 1] AS want_intent, ['Paragraph', 'Bullet list'][query_id % 2 + 1] AS want_format, query_id % 4 AS want FROM a LEFT JOIN cited USING (query_id))
+SELECT category, count(*) AS queries, round(count(*) FILTER (intent = want_intent) / count(*), 6) AS intent_agreement, round(count(*) FILTER (format = want_format) / count(*), 6) AS format_agreement,
+round(count(*) FILTER (coalesce(citations, 0) >= want) / count(*), 6) AS citation_agreement FROM e GROUP BY category"""
+)
+def expectation_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expectations that alternate over the queries against what the rules and the keyword search give."""
+    asked, n = passages(spark, sf_dir), F.col("query_id")
+    cited = E.citation_index(hits(spark, sf_dir).select("query_id", "rank", F.col("version_id").alias("filename"), F.col("chunk_index").alias("page")))
+    answered = asked.select("query_id", Q.classify_intent(F.col("text")).alias("intent"), E.plan_format(F.col("text")).alias("format"))
+    answered = answered.join(cited.groupBy("query_id").agg(F.count("*").alias("citations")), "query_id", "left")
+    odd = n % 2 == 1
+    expected = asked.select(
+        "query_id", F.concat(F.lit("c"), n % 3).alias("category"), F.when(odd, "Policy").otherwise("Unknown").alias("intent"),
+        F.when(odd, "Bullet list").otherwise("Paragraph").alias("format"), (n % 4).alias("citations"),
+    )
+    return M.expectation_agreement(expected, answered)
+
+
 _DECISIONS = [*D.INTENTS, "Unknown"]
 
 

@@ -28,6 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a side that is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has no more than `most` rows; else the join is left to adaptive execution."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share, deleted when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -81,7 +90,8 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
         touched = fresh.select("version_bucket").distinct()
         rest = old.join(F.broadcast(touched), "version_bucket", "left_semi").join(fresh.select("version_id").distinct(), "version_id", "left_anti")
         fresh = written(fresh.unionByName(rest), "chunks")
-    writer = fresh.repartition("version_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # Rebalancing splits a large bucket over several tasks and files, and joins small ones.
+    writer = fresh.hint("rebalance", "version_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("version_bucket").parquet(path)
 
 

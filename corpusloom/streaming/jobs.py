@@ -35,8 +35,9 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
 
 
 def ingest(files: DataFrame, registry_path: str, chunk_path: str) -> None:
-    """files (arrival, filename, text): new texts are registered with a version, cleaned, cut, embedded and stored. A batch
-    that is run again finds its checksums registered by itself and changes nothing."""
+    """files (arrival, filename, text): new texts are registered with a version, cleaned, cut, embedded and stored; one
+    without text is registered with its error and gets no chunks. A batch that is run again finds its checksums registered by
+    itself and changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -44,15 +45,16 @@ def ingest(files: DataFrame, registry_path: str, chunk_path: str) -> None:
         if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
             known = spark.read.parquet(registry_path)
         else:
-            known = spark.createDataFrame([], "checksum string, filename string, version_number bigint, version_id string, batch bigint")
+            known = spark.createDataFrame([], "checksum string, filename string, version_number bigint, version_id string, error string, batch bigint")
         known = known.filter(F.col("batch") != number)
-        marked = registry.dedupe(batch.withColumn("checksum", registry.checksum(F.col("text"))), known)
+        marked = registry.dedupe(batch.withColumn("checksum", registry.checksum(F.coalesce("text", F.lit("")))), known)
         fresh = marked.filter("not duplicate").drop("duplicate")
         latest = known.groupBy("filename").agg(F.max("version_number").alias("latest_version"))
-        fresh = registry.assign_versions(fresh, latest).withColumn("version_id", F.sha2(F.concat_ws("|", "filename", "checksum"), 256)).persist()
-        pieces = chunk.chunk_recursive(fresh.withColumn("text", T.clean_page(F.col("text"))), "version_id")
+        fresh = registry.assign_versions(fresh, latest).withColumn("version_id", F.sha2(F.concat_ws("|", "filename", "checksum"), 256))
+        fresh = fresh.withColumn("error", registry.failure(F.col("text"), F.lit(1))).persist()
+        pieces = chunk.chunk_recursive(fresh.filter("error is null").withColumn("text", T.clean_page(F.col("text"))), "version_id")
         write_chunks(embed.embed(pieces, "text").select("version_id", "chunk_index", "text", "hash", "embedding"), chunk_path)
-        entry = fresh.select("checksum", "filename", F.col("version_number").cast("bigint").alias("version_number"), "version_id", F.lit(number).cast("bigint").alias("batch"))
+        entry = fresh.select("checksum", "filename", F.col("version_number").cast("bigint").alias("version_number"), "version_id", "error", F.lit(number).cast("bigint").alias("batch"))
         # One folder a batch: written again, it is replaced.
         entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(registry_path)
         fresh.unpersist()
@@ -122,6 +124,7 @@ def dedupe_ttl(requests: DataFrame, ttl: str = "1 hour", keys: list[str] | None
 
 
 def metrics(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Requests and values per hour and type; rows later than `late` are dropped."""
+    """Requests and values per hour and type; rows later than `late` are dropped, and so is the state of windows before
+    that. In update mode a batch gives the windows that it changed."""
     by = F.window("ts", size)
     return events.withWatermark("ts", late).groupBy(by, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
