@@ -110,3 +110,19 @@ def test_reasons(spark):
     df = table(spark, [("fine answer",), ("has chunk_id in it",), ("score: 0.9",), ("```x",), ("- a\n- a",), ("",)], "t string")
     got = [r[0] for r in df.select(E.answer_quality(F.col("t"))).collect()]
     assert got == [None, "leak", "score", "fence", "bullets", "empty"]
+
+
+def test_metadata_search_finds_short_and_inner_words(spark):
+    chunks = table(spark, [("a", "notes.txt", "On whales", None), ("b", "x.md", "Seasons", "Ice"), ("c", "x.md", None, None)], "chunk_id string, filename string, heading string, section string")
+    asked = table(spark, [(1, "x"), (2, "whales"), (3, "big whales"), (4, "ice"), (5, " "), (6, None), (7, "asons of")], "query_id int, text string")
+    got = {(r.query_id, r.chunk_id): r.score for r in R.metadata_search(asked, chunks, 5, match="words").collect()}
+    assert got == {(1, "a"): 0.95, (1, "b"): 0.95, (1, "c"): 0.95, (2, "a"): 0.92, (3, "a"): 0.80, (4, "b"): 0.88, (7, "b"): 0.80}
+
+
+def test_logit_tiers_and_reports(spark):
+    hits = table(spark, [(1, 2.5), (2, 0.5), (3, -1.0)], "query_id int, logit double")
+    got = E.logit_tier(table(spark, [(i,) for i in (1, 2, 3, 4)], "query_id int"), hits).collect()
+    assert {r.query_id: r.tier for r in got} == {1: "HIGH", 2: "MEDIUM", 3: "LOW", 4: "LOW"}
+    versions = table(spark, [(1, "text"), (2, ""), (3, "text")], "version_id int, text string")
+    report = registry.reindex_report(versions, table(spark, [(1,), (1,)], "version_id int")).collect()
+    assert {r.version_id: (r.chunks, r.error) for r in report} == {1: (2, None), 2: (0, "no text"), 3: (0, "no chunks")}

@@ -111,3 +111,27 @@ def test_dedupe_ttl_against_the_batch_cache(spark, tmp_path):
         stream = jobs.table_stream(spark, str(tmp_path), name, 1)
         jobs.drain(jobs.dedupe_ttl(stream), lambda batch, number: got.extend(batch.collect()))
         assert Counter(r.key for r in got) == want and max(want.values()) > 1
+
+
+def test_memory_halves(spark):
+    words = [(1, i, "user", "a b c d e f g h i j") for i in range(5)] + [(2, 0, "user", "")]
+    got = {r.conv_id: (r.kept, r.tokens, r.summaries) for r in S.session_memory(spark.createDataFrame(words, "conv_id int, turn int, role string, text string"), 30).collect()}
+    # 13, 26, 39 -> 19 with two of three messages, 32 -> 16 with two of three, 29 with three.
+    assert got == {1: (3, 29, 2), 2: (1, 0, 0)}
+
+
+def test_unsure_turns_ask_back(spark):
+    said = turns(spark, ["policy", "tell me all about the big long thing", "and what of it then my friend"])
+    unsure = spark.createDataFrame([(1, 0, False), (1, 1, False), (1, 2, True)], "conv_id int, turn int, needs_clarification boolean")
+    headings = spark.createDataFrame([("leave policy",), ("other",)], "heading string")
+    got = Q.flag_clarification(said, headings, KEYS, ("policy", "security"), unsure).orderBy("turn").collect()
+    assert [(r.turn, r.concept, r.options) for r in got] == [(0, "policy", "leave policy"), (2, "policy", "leave policy")]
+
+
+def test_ingest_reports_texts_that_fail(spark, tmp_path):
+    rows = [(1, "a", "Some words. And more."), (2, "b", None), (3, "c", " \n "), (4, "d", "Some words. And more.")]
+    spark.createDataFrame(rows, "arrival int, filename string, text string").coalesce(1).write.parquet(f"{tmp_path}/files.parquet")
+    jobs.ingest(jobs.table_stream(spark, str(tmp_path), "files"), f"{tmp_path}/entries", f"{tmp_path}/store")
+    entries = {r.filename: r.error for r in spark.read.parquet(f"{tmp_path}/entries").collect()}
+    assert entries == {"a": None, "b": "no text", "c": "no text"}
+    assert spark.read.parquet(f"{tmp_path}/store").select("version_id").distinct().count() == 1
