@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,36 +34,62 @@ def stage_latency(traces: DataFrame, budget: float = BUDGET_MS) -> DataFrame:
     )
 
 
+def _stretches(calls: DataFrame) -> DataFrame:
+    """calls (provider, at, ok), dealt by ranges of provider and time, so that a busy provider is walked in several tasks.
+    Each leaves a stretch: its failures, the runs of them at its head and tail and the longest one, the health it gives as
+    clamp(x + d, low, high) of the health x before it, and the least x at which no failure in it falls under 30. What maps
+    one stretch to the next composes, so fold() gives what a walk from end to end would."""
+
+    def walk(it):
+        part, out, now = TaskContext.get().partitionId(), [], None
+        for pdf in it:
+            for provider, ok in zip(pdf["provider"].tolist(), pdf["ok"].tolist(), strict=True):
+                if now is None or provider != out[-1][0]:
+                    out += [[*out.pop(), *now]] if now else []
+                    out.append([provider, part])
+                    n = failures = head = run = longest = 0
+                    d, low, high, least = 0.0, 0.0, 100.0, 0.0
+                step = 2 if ok else -15
+                d, low, high = d + step, min(100.0, max(0.0, low + step)), min(100.0, max(0.0, high + step))
+                n, failures, run = n + 1, failures + (not ok), 0 if ok else run + 1
+                longest, head = max(longest, run), run if run == n else head
+                if not ok and low < 30:
+                    least = max(least, 30 - d if high >= 30 else 101.0)
+                now = (n, failures, head, run, longest, d, low, high, least)
+        if now:
+            yield pd.DataFrame([*out[:-1], [*out[-1], *now]], columns=names)
+
+    kind = calls.schema["provider"].dataType.simpleString()
+    fields = [("provider", kind), ("part", "int"), *[(c, "bigint") for c in ("n", "failures", "head", "tail", "longest")], *[(c, "double") for c in ("d", "low", "high", "least")]]
+    names = [c for c, _ in fields]
+    ordered = calls.select("provider", "at", "ok").filter("provider is not null").repartitionByRange("provider", "at").sortWithinPartitions("provider", "at")
+    return ordered.mapInPandas(walk, ", ".join(f"{c} {t}" for c, t in fields))
+
+
+def _fold(stretches: DataFrame) -> DataFrame:
+    """(provider, failures, s: health, run, longest, active): one stretch a task at most is in a provider's list."""
+    parts = stretches.groupBy("provider").agg(F.sum("failures").alias("failures"), F.array_sort(F.collect_list(F.struct(*stretches.columns[1:]))).alias("parts"))
+    start = F.struct(F.lit(100.0).alias("health"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("longest"), F.lit(True).alias("active"))
+
+    def step(s: Column, p: Column) -> Column:
+        longest = F.greatest(s["longest"], p["longest"], s["run"] + p["head"])
+        return F.struct(
+            F.least(p["high"], F.greatest(p["low"], s["health"] + p["d"])).alias("health"), F.when(p["failures"] == p["n"], s["run"] + p["n"]).otherwise(p["tail"]).alias("run"),
+            longest.alias("longest"), (s["active"] & (longest < 5) & (s["health"] >= p["least"])).alias("active"),
+        )
+
+    return parts.select("provider", "failures", F.aggregate("parts", start, step).alias("s"))
+
+
 def failure_runs(calls: DataFrame) -> DataFrame:
-    """calls (provider, at, ok) -> per provider: failures and the longest run of them."""
-    by = Window.partitionBy("provider").orderBy("at")
-    runs = calls.withColumn("island", F.sum(F.col("ok").cast("int")).over(by)).filter("not ok")
-    sized = runs.groupBy("provider", "island").agg(F.count("*").alias("n"))
-    return sized.groupBy("provider").agg(F.sum("n").alias("failures"), F.max("n").alias("longest_run"))
+    """calls (provider, at, ok) -> per provider that failed: failures and the longest run of them."""
+    return _fold(_stretches(calls)).filter("failures > 0").select("provider", "failures", F.col("s.longest").alias("longest_run"))
 
 
 def provider_health(calls: DataFrame) -> DataFrame:
     """(provider, health, active): a walk from 100, +2 a success and -15 a failure between 0 and 100; five failures in a row or
-    less than 30 disable. A provider's calls are walked in time order, in one pass of batches."""
-
-    def steps(it):
-        provider, health, run, active = None, 100.0, 0, True
-        for pdf in it:
-            done = []
-            for p, ok in zip(pdf["provider"].tolist(), pdf["ok"].tolist(), strict=True):
-                if p != provider:
-                    done += [(provider, health, active)] if provider is not None else []
-                    provider, health, run, active = p, 100.0, 0, True
-                health, run = (min(100.0, health + 2), 0) if ok else (max(0.0, health - 15), run + 1)
-                active = active and (ok or not (run >= 5 or health < 30))
-            if done:
-                yield pd.DataFrame(done, columns=["provider", "health", "active"])
-        if provider is not None:
-            yield pd.DataFrame([(provider, health, active)], columns=["provider", "health", "active"])
-
-    ordered = calls.select("provider", "at", "ok").repartition("provider").sortWithinPartitions("provider", "at")
-    kind = calls.schema["provider"].dataType.simpleString()
-    return ordered.mapInPandas(steps, f"provider {kind}, health double, active boolean")
+    less than 30 disable."""
+    return _fold(_stretches(calls)).select("provider", "s.health", "s.active")
 
 
 def retrieval_eval(expected: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -117,7 +144,7 @@ def cache_simulate(log: DataFrame, ttl: float = TTL) -> DataFrame:
         if state:
             yield pd.DataFrame([(k, n, h) for k, (n, h, _) in state.items()], columns=["key", "requests", "hits"])
 
-    ordered = log.select("key", "at", "failed").repartition("key").sortWithinPartitions("key", "at")
+    ordered = log.select("key", "at", "failed").repartition("key").sortWithinPartitions("key", "at", "failed")
     kind = log.schema["key"].dataType.simpleString()
     return ordered.mapInPandas(steps, f"key {kind}, requests bigint, hits bigint")
 

@@ -89,7 +89,7 @@ def fuzzy_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.fuzzy_correct(tokens, dimension(spark, vocabulary, "word string"))
 
 
-@query()
+@query(rf"WITH {TURNS} SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '\bof the\b', 'of_the', 'gi'), '\bthe\b', 'article', 'gi'), '\band\b', 'join', 'gi') AS text FROM turns")
 def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select(*KEYS, Q.resolve_aliases(F.col("text"), {"of the": "of_the", "the": "article", "and": "join"}).alias("text"))
 

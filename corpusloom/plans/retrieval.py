@@ -122,7 +122,15 @@ def keyword_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_topk(passages(spark, sf_dir, False), chunks(spark, sf_dir), K)
 
 
-@query()
+@query(
+    f"""WITH {CHUNKS}, b AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+g AS (SELECT query_id, kind, place, w[i] AS term FROM b, (VALUES ('phrase', 0, 1), ('phrase', 1, 2), ('any', 0, 3), ('any', 1, 4), ('not', 0, 5)) AS p(kind, place, i) WHERE len(w) >= 5),
+t AS (SELECT chunk_id, l[i] AS term, i FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM chunks), unnest(range(1, len(l) + 1)) AS u(i)),
+s AS (SELECT query_id, chunk_id, kind, count(DISTINCT place) AS places, count(*) AS times FROM t JOIN g USING (term) GROUP BY query_id, chunk_id, kind, CASE kind WHEN 'phrase' THEN i - place END),
+h AS (SELECT query_id, chunk_id, sum(times)::DOUBLE AS score FROM s WHERE kind <> 'phrase' OR places = 2 GROUP BY query_id, chunk_id
+  HAVING count(DISTINCT kind) FILTER (kind <> 'not') = 2 AND count(*) FILTER (kind = 'not') = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h) WHERE rank <= 40"""
+)
 def keyword_topk_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two words as a phrase, the third or the fourth, but not the fifth."""
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))

@@ -39,7 +39,11 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("conv_id", "s.turns", "s.first_turn", "s.last_turn")
 
 
-@query()
+@query(
+    """WITH RECURSIVE m AS (SELECT user_id, event_type, min(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY ALL
+UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM m JOIN events e ON e.user_id = m.user_id AND e.event_type = m.event_type AND e.ts > m.ts + INTERVAL 1 HOUR GROUP BY e.user_id, e.event_type)
+SELECT user_id, event_type, count(*) AS misses FROM m GROUP BY ALL"""
+)
 def stream_dedupe_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "misses")
     events = jobs.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

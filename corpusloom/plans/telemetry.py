@@ -61,7 +61,14 @@ def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.failure_runs(calls(spark, sf_dir))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id AS provider, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT DISTINCT user_id AS provider, 0::BIGINT AS i, 100::DOUBLE AS health, 0 AS run, TRUE AS active FROM events
+UNION ALL SELECT provider, i, health, run, active AND (ok OR (run < 5 AND health >= 30)) FROM (
+  SELECT provider, c.i, CASE WHEN ok THEN least(100, health + 2) ELSE greatest(0, health - 15) END::DOUBLE AS health, CASE WHEN ok THEN 0 ELSE run + 1 END AS run, active, ok
+  FROM w JOIN c USING (provider) WHERE c.i = w.i + 1))
+SELECT provider, arg_max(health, i) AS health, arg_max(active, i) AS active FROM w GROUP BY provider"""
+)
 def provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.provider_health(calls(spark, sf_dir))
 
@@ -125,7 +132,13 @@ def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), at.alias("at"), (F.col("event_type") == "error").alias("failed"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "at", failed) AS i FROM (SELECT user_id AS key, epoch_us(ts) / 1e6 AS "at", event_type = 'error' AS failed FROM events)),
+w AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::DOUBLE AS stored, FALSE AS hit FROM c
+UNION ALL SELECT key, i, CASE WHEN hit THEN stored WHEN NOT failed THEN "at" END, hit FROM (
+  SELECT key, c.i, c."at", c.failed, stored, coalesce(c."at" - stored <= 86400, FALSE) AS hit FROM w JOIN c USING (key) WHERE c.i = w.i + 1))
+SELECT key, max(i) AS requests, count(*) FILTER (hit) AS hits FROM w GROUP BY key"""
+)
 def cache_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cache_simulate(cache_log(spark, sf_dir), 86_400)
 

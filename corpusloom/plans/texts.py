@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import clean, embed
-from corpusloom.plans.base import query
+from corpusloom.plans.base import SQL, query
 from corpusloom.sources.tables import spread, table
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -60,20 +60,35 @@ def repair_hyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.repair_hyphenation(broken).alias("text"))
 
 
-@query()
+def _unwrapped(x: str) -> str:
+    """Twice, as a single letter between two breaks is used up by the first."""
+    for _ in range(2):
+        x = rf"regexp_replace({x}, '([a-zA-Z,])\n([a-z])', '\1 \2', 'g')"
+    return x
+
+
+def _without_singles(x: str) -> str:
+    for _ in range(2):
+        x = f"regexp_replace({x}, ' [b-hj-zB-HJ-Z] ', '  ', 'g')"
+    return x
+
+
+@query(f"SELECT doc_id, {_unwrapped("replace(text, ', ', ',' || chr(10))")} AS text FROM documents")
 def merge_wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.merge_wrapped_lines(F.regexp_replace("text", ", ", ",\n")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.merge_wrapped_lines(F.replace("text", F.lit(", "), F.lit(",\n"))).alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, {_without_singles("replace(text, ' the ', ' x the ')")} AS text FROM documents")
 def drop_ocr_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.drop_ocr_singletons(F.regexp_replace("text", " the ", " x the ")).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.drop_ocr_singletons(F.replace("text", F.lit(" the "), F.lit(" x the "))).alias("text"))
 
 
-@query(
-    f"""WITH l AS (SELECT doc_id, list_transform(string_split(replace({_DIRTY}, chr(13), ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))) AS l FROM documents)
-SELECT doc_id, trim(regexp_replace(array_to_string(l, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM l"""
-)
+def _collapsed(x: str) -> str:
+    lines = f"list_transform(string_split(replace({x}, chr(13), ''), chr(10)), lambda y: trim(regexp_replace(y, '[ \\t]+', ' ', 'g')))"
+    return f"trim(regexp_replace(array_to_string({lines}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"SELECT doc_id, {_collapsed(_DIRTY)} AS text FROM documents")
 def collapse_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.collapse_whitespace(_dirty()).alias("text"))
 
@@ -86,14 +101,24 @@ def sanitize_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.sanitize_extracted(F.translate(_dirty(), "\r", "")).alias("text"))
 
 
-@query()
+_PLAIN = "regexp_replace(translate(regexp_replace(text, '[' || chr(8203) || chr(8204) || chr(8205) || chr(65279) || ']', '', 'g'), '’‘”“–—', '''''\"\"--'), '\\.{4,}', '...', 'g')"
+_JOINED = rf"regexp_replace({_PLAIN}, '([\pL\pM\pN_]+)-\s*\n\s*([\pL\pM\pN_]+)', '\1\2', 'g')"
+
+
+@query(f"SELECT doc, page, {_collapsed(_without_singles(_unwrapped(_JOINED)))} AS text FROM ({SQL['strip_headers_footers']})")
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_corpus(source_pages(spark, sf_dir), 0.1).select("doc", "page", "text")
 
 
-@query()
+@query(
+    r"""WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, ' the ', ' [1] <b>**the**</b> '), '\[.*?\]|<[^>]+>', ' ', 'g'), '[#*|_`]', '', 'g') AS x FROM documents),
+s AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM b)
+SELECT doc_id, array_to_string(list_filter(l, lambda y: length(y) > 0)[1:3], ' ') AS excerpt FROM s"""
+)
 def clean_markdown_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.clean_markdown_excerpt(F.col("text")).alias("excerpt"))
+    """Some words put in brackets, tags and marks."""
+    marked = F.replace("text", F.lit(" the "), F.lit(" [1] <b>**the**</b> "))
+    return _docs(spark, sf_dir).select("doc_id", T.clean_markdown_excerpt(marked).alias("excerpt"))
 
 
 #: Patterns that occur in the invented prose stand for the type and topic terms.
@@ -137,9 +162,21 @@ def content_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", *T.content_flags(F.col("text")))
 
 
-@query()
+def _tech(x: str) -> str:
+    """(doc_id, technologies). Whole words are matched, as this engine's word bounds know ASCII only."""
+    pattern = T.TECH.replace(r"\b", "")
+    words = rf"SELECT doc_id, list_filter(regexp_extract_all({x}, '[\pL\pM\pN_]+'), lambda y: regexp_full_match(y, '{pattern}')) AS w FROM documents"
+    return f"SELECT doc_id, array_to_string(list_filter(w, lambda y, i: list_position(w, y) = i)[1:15], ',') AS technologies FROM ({words})"
+
+
+_NAMED = "replace(text, ' the ', ' GPU SparkSQL Http2 GPU ')"
+
+
+@query(_tech(_NAMED))
 def extract_tech_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.tech_entities(F.col("text")).alias("technologies"))
+    """Some words made technical names."""
+    named = F.replace("text", F.lit(" the "), F.lit(" GPU SparkSQL Http2 GPU "))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.tech_entities(named), ",").alias("technologies"))
 
 
 @query(
@@ -150,9 +187,14 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.document_stats(_docs(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH k AS (SELECT doc_id, string_agg(word, ',' ORDER BY rank) AS keywords FROM ({SQL["top_keywords"]}) GROUP BY doc_id)
+SELECT doc_id, document_type, 'en' AS language, coalesce(keywords, '') AS keywords, topics, technologies, {", ".join(T.FLAGS)}
+FROM ({_tech("text")}) JOIN ({SQL["detect_doc_type"]}) USING (doc_id) JOIN ({SQL["detect_topics"]}) USING (doc_id) JOIN ({SQL["content_flags"]}) USING (doc_id) LEFT JOIN k USING (doc_id)"""
+)
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.document_metadata(_docs(spark, sf_dir))
+    flat = clean.document_metadata(_docs(spark, sf_dir)).select("doc_id", "metadata.*")
+    return flat.withColumns({c: F.array_join(c, ",") for c in ("keywords", "topics", "technologies")})
 
 
 @query(r"SELECT doc_id, coalesce(nullif(trim(regexp_extract('# ' || text, '(?m)^#[ \t]+(.+)$', 1)), ''), source) AS title FROM documents")

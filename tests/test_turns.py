@@ -94,6 +94,20 @@ def test_walks(spark):
     calls = spark.createDataFrame([("p", i, i % 7 > 4) for i in range(12)] + [("q", i, True) for i in range(3)], "provider string, at int, ok boolean")
     got = {r.provider: (r.health, r.active) for r in M.provider_health(calls).collect()}
     assert got["q"] == (100.0, True) and got["p"][1] is False
+    rng = random.Random(3)
+    many = [("hot" if rng.random() < 0.7 else f"p{rng.randrange(9)}", i, rng.random() > 0.2) for i in range(3000)] + [("off", i, i % 9 < 8) for i in range(90)]
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        calls = spark.createDataFrame(many, "provider string, at int, ok boolean")
+        health = {r.provider: (r.health, r.active) for r in M.provider_health(calls).collect()}
+        runs = {r.provider: (r.failures, r.longest_run) for r in M.failure_runs(calls).collect()}
+        for p in {p for p, _, _ in many}:
+            h, run, active, failures, longest = 100.0, 0, True, 0, 0
+            for _, _, ok in sorted(c for c in many if c[0] == p):
+                h, run = (min(100.0, h + 2), 0) if ok else (max(0.0, h - 15), run + 1)
+                active, failures, longest = active and (ok or (run < 5 and h >= 30)), failures + (not ok), max(longest, run)
+            assert health[p] == (h, active) and runs[p] == (failures, longest)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     log = spark.createDataFrame([("k", 0.0, False), ("k", 10.0, False), ("k", 15.0, False), ("k", 21.0, False), ("f", 0.0, True), ("f", 1.0, False)], "key string, at double, failed boolean")
     hits = {r.key: (r.requests, r.hits) for r in M.cache_simulate(log, 10).collect()}
     assert hits == {"k": (4, 2), "f": (2, 0)}
