@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.sources.tables import written
+
 EXTENSIONS = ("pdf", "docx", "txt", "md", "markdown")
 MIME_TYPES = (
     "application/pdf",
@@ -45,10 +47,18 @@ def dedupe(batch: DataFrame, registry: DataFrame, arrival: str = "arrival") -> D
 
 
 def assign_versions(batch: DataFrame, latest: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """batch with version_number: on from the latest one of its filename (filename, latest_version), in arrival order."""
-    row = F.row_number().over(Window.partitionBy("filename").orderBy(arrival))
-    numbered = batch.withColumn("row__", row).join(latest, "filename", "left")
-    return numbered.withColumn("version_number", F.col("row__") + F.coalesce("latest_version", F.lit(0))).drop("row__", "latest_version")
+    """batch with version_number: on from the latest one of its filename (filename, latest_version), in arrival order. Rows
+    are dealt by ranges of filename and arrival and numbered within a range, so a filename of many rows is no one task's
+    work; ranges of a filename go on from the counts of those before. Written, as ranges must not move in between."""
+    ranged = batch.repartitionByRange("filename", arrival).withColumn("part__", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    row = F.row_number().over(Window.partitionBy("filename", "part__").orderBy(arrival))
+    sizes = ranged.groupBy("filename", "part__").agg(F.count("*").alias("n__"))
+    before = F.sum("n__").over(Window.partitionBy("filename").orderBy("part__")) - F.col("n__")
+    starts = sizes.select(F.col("filename").alias("f__"), F.col("part__").alias("p__"), before.alias("before__"))
+    numbered = ranged.withColumn("row__", row).join(starts, F.col("filename").eqNullSafe(F.col("f__")) & (F.col("part__") == F.col("p__"))).join(latest, "filename", "left")
+    number = F.col("row__") + F.col("before__") + F.coalesce("latest_version", F.lit(0))
+    return numbered.withColumn("version_number", number).drop("row__", "part__", "f__", "p__", "before__", "latest_version")
 
 
 def latest_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:

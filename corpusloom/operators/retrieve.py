@@ -39,7 +39,7 @@ def _packed(df: DataFrame, id_col: str, vector: str, rows: int, names: tuple[str
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                x = np.array(part.column(1).to_pylist(), np.float64)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
                 x = x / np.where(size == 0, 1, size)
                 ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -48,6 +48,10 @@ def _packed(df: DataFrame, id_col: str, vector: str, rows: int, names: tuple[str
     return df.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint"), vector).mapInArrow(pack, "{} binary, {} binary, {} int".format(*names))
 
 
+#: Bytes of packed queries that are broadcast.
+BLOCK_BYTES = 128 << 20
+
+
 def dense_topk(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", rows: int = 2048, self_match: bool = True
 ) -> DataFrame:
@@ -68,9 +72,11 @@ def dense_topk(
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
-    q = _packed(queries, query_id, vector, rows, ("qi", "qx", "qd"))
+    # Packed once: few query blocks are broadcast to the corpus blocks; of many, both sides are read as a grid of blocks.
+    q = written(_packed(queries, query_id, vector, rows, ("qi", "qx", "qd")), "query-blocks")
     c = _packed(corpus, chunk_id, vector, rows, ("ci", "cx", "cd"))
-    pairs = c.crossJoin(q).select("qi", "qx", "qd", "ci", "cx", "cd")
+    few = q.agg(F.sum(F.octet_length("qx"))).first()[0] or 0
+    pairs = (c.crossJoin(F.broadcast(q)) if few <= BLOCK_BYTES else written(c, "corpus-blocks").crossJoin(q)).select("qi", "qx", "qd", "ci", "cx", "cd")
     return top_k(pairs.mapInArrow(product, "query_id bigint, chunk_id bigint, score double"), k)
 
 
@@ -80,23 +86,41 @@ def cells(corpus: DataFrame, n_cells: int, vector: str = "embedding", sample_row
     return np.array(KMeans(k=n_cells, seed=seed, maxIter=20).fit(sample).clusterCenters())
 
 
-def dense_topk_ann(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 16, probes: int = 10, self_match: bool = True) -> DataFrame:
-    """Approximate top k: a query is compared with the chunks of its `probes` nearest cells only."""
+def dense_topk_ann(
+    queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, probes: int | None = None, self_match: bool = True, recall: float = 0.95, asked: int = 256
+) -> DataFrame:
+    """Approximate top k: a query is compared with the chunks of its `probes` nearest cells only. There are as many cells as
+    the root of the corpus's rows (16 to 1,024), and as many probes as at most `asked` of the queries, answered exactly over
+    the whole corpus, need for this recall; either can be given."""
+    corpus, queries = corpus.filter("embedding is not null"), queries.filter("embedding is not null")
+    n_cells = n_cells or min(1024, max(16, round(corpus.count() ** 0.5)))
     centres = cells(corpus, n_cells)
+    half = (centres**2).sum(1) / 2
 
     def near(n: int):
         @F.pandas_udf("array<int>")
         def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for v in batches:
-                x = np.array(v.tolist())
-                d = ((x[:, None, :] - centres[None]) ** 2).sum(2)
+                d = half - np.array(v.tolist()).reshape(len(v), -1) @ centres.T if len(v) else np.zeros((0, len(centres)))
                 yield pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype("int32")))
 
         return nearest
 
     placed = corpus.select("chunk_id", "embedding", F.get(near(1)("embedding"), F.lit(0)).alias("cell"))
-    probing = queries.select("query_id", F.col("embedding").alias("q"), F.explode(near(probes)("embedding")).alias("cell"))
-    pairs = placed.join(probing, "cell")
+    if probes is None:
+        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(asked)
+        true = dense_topk(some, corpus, k, self_match=self_match).select("query_id", "chunk_id")
+        order = some.select("query_id", near(len(centres))("embedding").alias("order"))
+        found = placed.select("chunk_id", "cell").join(F.broadcast(true), "chunk_id").join(order, "query_id")
+        at = sorted(found.groupBy(F.array_position("order", F.col("cell")).alias("at")).count().collect())
+        probes, left = len(centres), sum(n for _, n in at) * (1 - recall)
+        # From the far end, as many cells go as the recall allows.
+        for place, n in reversed(at):
+            probes, left = place, left - n
+            if left < 0:
+                break
+    probing = queries.select("query_id", F.col("embedding").alias("q"), F.explode(near(int(probes))("embedding")).alias("cell"))
+    pairs = placed.join(counted(probing), "cell")
     score = F.round(F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
     scored = pairs.select("query_id", "chunk_id", score.alias("score"))
     return top_k(scored if self_match else scored.filter("query_id <> chunk_id"), k)
@@ -145,6 +169,22 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, text: str = "tex
     return best.select("query_id", "chunk_id", "bm25", F.round(score, 6).alias("score"), "rank")
 
 
+def holding(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """passages (query_id, text), documents (item, document) -> (query_id, item) where the document holds the passage letter by
+    letter. A passage's words but its first and last are whole words of such a document, so the two meet by the rarest of
+    them; passages of fewer than three words are held against all documents."""
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    asked = passages.filter("text is not null").withColumn("w", split("text"))
+    inner = asked.filter(F.size("w") > 2).select("query_id", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("term"))
+    words = documents.select("item", F.explode_outer(split("document")).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
+    stands = written(words.distinct(), "standing")
+    rare = stands.groupBy("term").agg(F.count("*").alias("df")).join(inner, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = stands.join(rare, "term").select("query_id", "item").join(asked.select("query_id", "text").distinct(), "query_id")
+    met = near.join(documents, "item")
+    short = documents.join(counted(asked.filter(F.size("w") < 3).select("query_id", "text").distinct()), F.contains("document", F.col("text")))
+    return met.filter(F.contains("document", F.col("text"))).select("query_id", "item").unionByName(short.select("query_id", "item"))
+
+
 def web_groups(queries: DataFrame) -> DataFrame:
     """(query_id, gid, kind, offset, n, term) of web-search texts: a quoted phrase, "a or b", -term, plain terms; two or more
     capitals in a row count as a term that may be missing."""

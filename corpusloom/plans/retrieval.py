@@ -9,7 +9,7 @@ from corpusloom.functions.text import STOP_WORDS
 from corpusloom.operators import chunk
 from corpusloom.operators import retrieve as R
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import spread, table
+from corpusloom.sources.tables import spread, table, written
 
 K = 10
 
@@ -111,6 +111,15 @@ def dense_topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_topk_ann(*vectors(spark, sf_dir), K, self_match=False)
 
 
+@query(f"SELECT count(*) AS queries, TRUE AS enough FROM embeddings WHERE vec_id % 100 = 0 AND (SELECT count(*) FROM embeddings) > {K}")
+def dense_topk_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate search finds 90 % of what the exact one does."""
+    asked, every = vectors(spark, sf_dir)
+    exact = R.dense_topk(asked, every, K, self_match=False).select("query_id", "chunk_id")
+    both = exact.join(R.dense_topk_ann(asked, every, K, self_match=False).select("query_id", "chunk_id", F.lit(1).alias("met")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("met") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query(f"WITH {q_sql()}, {CHUNKS}, {keyword_sql(K)} SELECT * FROM keyword")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_topk(passages(spark, sf_dir), chunks(spark, sf_dir), K)
@@ -325,7 +334,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword hits of the sentences with what is known of their chunks."""
     parts, asked = chunks(spark, sf_dir), passages(spark, sf_dir)
     found = R.keyword_topk(asked, parts, K)
-    return found.join(parts, "chunk_id").join(asked.select("query_id", F.col("text").alias("query")), "query_id")
+    # Written, as evidence queries use the hits more than once.
+    return written(found.join(parts, "chunk_id").join(asked.select("query_id", F.col("text").alias("query")), "query_id"), "hits")
 
 
 HITS = f"{q_sql()}, {CHUNKS}, {keyword_sql(K)}, hits AS (SELECT k.*, c.* EXCLUDE (chunk_id), q.text AS query FROM keyword k JOIN chunks c USING (chunk_id) JOIN q USING (query_id))"

@@ -14,7 +14,7 @@ from corpusloom.plans.evidence import FORMATS
 from corpusloom.plans.querylog import TURNS, turns
 from corpusloom.plans.retrieval import CHUNKS, HITS, K, chunks, hits, keyword_sql, passages, q_sql
 from corpusloom.functions import dictionaries as D
-from corpusloom.sources.tables import counted, table
+from corpusloom.sources.tables import table
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'rag' WHEN 'view' THEN 'rag' WHEN 'click' THEN 'cache_hit' WHEN 'error' THEN 'fallback' ELSE 'fast' END"
 
@@ -84,7 +84,7 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.keyword_topk(asked, chunks(spark, sf_dir), K)
     documents = found.groupBy("query_id", F.split_part("chunk_id", F.lit("-"), F.lit(1)).cast("bigint").alias("item")).agg(F.min("rank").alias("rank"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("document"))
-    truth = docs.join(counted(asked), F.contains("document", F.col("text")))
+    truth = R.holding(asked, docs)
     expected = truth.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), "item")
     return M.retrieval_eval(expected, documents, K)
 
