@@ -169,10 +169,12 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, text: str = "tex
     return best.select("query_id", "chunk_id", "bm25", F.round(score, 6).alias("score"), "rank")
 
 
-def holding(passages: DataFrame, documents: DataFrame) -> DataFrame:
+def holding(passages: DataFrame, documents: DataFrame, few: int = 2_000) -> DataFrame:
     """passages (query_id, text), documents (item, document) -> (query_id, item) where the document holds the passage letter by
-    letter. A passage's words but its first and last are whole words of such a document, so the two meet by the rarest of
-    them; passages of fewer than three words are held against all documents."""
+    letter. As few passages as this are held against all documents. Of more, a passage's words but its first and last are
+    whole words of such a document, so the two meet by the rarest of them; only passages of fewer than three words don't."""
+    if passages.limit(few + 1).count() <= few:
+        return documents.join(F.broadcast(passages.select("query_id", "text").distinct()), F.contains("document", F.col("text"))).select("query_id", "item")
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     asked = passages.filter("text is not null").withColumn("w", split("text"))
     inner = asked.filter(F.size("w") > 2).select("query_id", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("term"))

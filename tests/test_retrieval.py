@@ -126,3 +126,13 @@ def test_logit_tiers_and_reports(spark):
     versions = table(spark, [(1, "text"), (2, ""), (3, "text")], "version_id int, text string")
     report = registry.reindex_report(versions, table(spark, [(1,), (1,)], "version_id int")).collect()
     assert {r.version_id: (r.chunks, r.error) for r in report} == {1: (2, None), 2: (0, "no text"), 3: (0, "no chunks")}
+
+
+def test_holding_is_the_same_by_words_and_by_product(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("item"), F.col("text").alias("document"))
+    docs = docs.unionByName(docs.limit(3)).unionByName(table(spark, [(-1, None), (-2, "")], "item long, document string"))
+    asked = spark.read.parquet(f"{data}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    parts = docs.filter("item >= 0").select((F.col("item") + 1_000_000).alias("query_id"), F.substring("document", 3, 40).alias("text"))
+    asked = asked.unionByName(parts).unionByName(table(spark, [(-1, "the"), (-2, None), (-3, "a b")], "query_id long, text string"))
+    some, every = (sorted((r.query_id, r.item) for r in R.holding(asked, docs, few).collect()) for few in (0, 10**6))
+    assert some == every and len(some) > 200
