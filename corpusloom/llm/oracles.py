@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import mixing, quality_rules, sharding
+from corpusloom.llm import fill_middle, mixing, quality_rules, sharding
 from corpusloom.llm.queries import SHARDS
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -161,5 +161,20 @@ FROM f
 """
 
 
+_DRAWS = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+_MARKED = " OR ".join(f"contains(t, '{m}')" for m in (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE))
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, {_DRAWS} FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR {_MARKED} OR h3 % 100 >= {fill_middle.RATE} THEN 'plain' WHEN h4 % 100 < {fill_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1, n - b) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_sharding": OP5, "op6_quality_rules": OP6, "op7_mixing": OP7, "op10_warc": OP10}
+    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_sharding": OP5, "op6_quality_rules": OP6, "op7_mixing": OP7, "op10_warc": OP10, "op13_fill_middle": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, license_scan, mixing, ngram_join, passages, quality_classifier, quality_rules, sharding, token_shards, warc
+from corpusloom.llm import decontaminate, fill_middle, license_scan, mixing, ngram_join, passages, quality_classifier, quality_rules, sharding, token_shards, warc
 from corpusloom.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -63,5 +63,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", fill_middle.transform(F.col("doc_id"), F.col("text")).alias("r"))
+    return docs.select("doc_id", *fill_middle.digest(F.col("r")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
