@@ -161,6 +161,55 @@ FROM f
 """
 
 
+_SHIFTS = "c"
+for _ in range(8):
+    _SHIFTS = f"list_transform({_SHIFTS}, lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+_CRC32 = f"(SELECT {_SHIFTS} FROM (SELECT range(0, 256) AS c))"
+
+
+def _then(cost: str, letter: str, *states: str) -> str:
+    """The least of the states' costs and audits (the cost in nine digits), after one more edit."""
+    return f"least({', '.join(f"lpad((substr({x}, 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}'" for x in states)}, NULL)"
+
+
+#: States: nothing yet, after s, after u, after a; i: with letters inserted.
+_ENTERED = f"n0 AS i0, n1 AS i1, least(n2, {_then('3', 'I', 'n0', 'n1', 'n3')}) AS i2, least(n3, {_then('3', 'I', f'least(n2, {_then("3", "I", "n0", "n1", "n3")})')}) AS i3"
+
+
+def _moved(target: str, letter: str, sources: list[str]) -> str:
+    if not sources:
+        return _then("4", "D", target)
+    keep = f"CASE WHEN fault < 2 AND initial = '{letter}' THEN {_then('extra', 'K', *sources)} END"
+    turn = f"CASE WHEN fault < 2 THEN {_then('3 + extra', 'R', *sources)} END" if letter != "s" else "NULL"
+    return f"least({_then('4', 'D', target)}, {keep}, {turn})"
+
+
+OP11 = f"""
+WITH RECURSIVE t AS (SELECT conv_id, coalesce('=' || conv_id::VARCHAR, '') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key, {_CRC32} AS crc FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS hit FROM t),
+r AS (SELECT k, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM h, unnest(range(0, CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, md5(text)) AS i, left(role, 1) AS initial,
+             rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM r),
+f AS (SELECT *, CASE WHEN said = '' THEN 2 WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 3 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+             lag(initial) OVER (PARTITION BY k ORDER BY i) || initial AS pair FROM o),
+g AS (SELECT k, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 2) AS blank, count_if(fault = 3) AS duplicate,
+             count_if(fault = 1) AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k),
+s(k, i, n0, n1, n2, n3) AS (SELECT k, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM g
+  UNION ALL SELECT k, i, {_moved("i0", "-", [])}, {_moved("i1", "s", ["i0"])}, {_moved("i2", "u", ["i0", "i1", "i3"])}, {_moved("i3", "a", ["i2"])}
+  FROM (SELECT f.k, f.i, fault, initial, CASE fault WHEN 1 THEN 3 ELSE 0 END AS extra, {_ENTERED} FROM s JOIN f ON f.k = s.k AND f.i = s.i + 1) AS e),
+b AS (SELECT k, least(i0, i3) AS best FROM (SELECT s.k, {_ENTERED} FROM s JOIN g ON g.k = s.k AND g.n = s.i) AS e),
+a AS (SELECT k, substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit FROM b),
+l AS (SELECT k, p, audit[p] AS edit, count_if(audit[p] <> 'I') OVER w AS i, count_if(audit[p] <> 'D') OVER w - 1 - length(replace(audit, 'D', '')) % 2 AS place
+      FROM a, unnest(range(1, length(audit) + 1)) AS u(p) WINDOW w AS (PARTITION BY k ORDER BY p)),
+m AS (SELECT l.k, string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS text
+      FROM l LEFT JOIN f ON f.k = l.k AND f.i = l.i WHERE edit <> 'D' GROUP BY l.k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(m.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM t) AS c LEFT JOIN g USING (k) LEFT JOIN a USING (k) LEFT JOIN m USING (k)
+"""
+
 _DRAWS = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
 _MARKED = " OR ".join(f"contains(t, '{m}')" for m in (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE))
 OP13 = f"""
@@ -177,4 +226,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_sharding": OP5, "op6_quality_rules": OP6, "op7_mixing": OP7, "op10_warc": OP10, "op13_fill_middle": OP13}
+    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_sharding": OP5, "op6_quality_rules": OP6, "op7_mixing": OP7, "op10_warc": OP10, "op11_turn_repair": OP11, "op13_fill_middle": OP13}
