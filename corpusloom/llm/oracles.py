@@ -210,6 +210,8 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 FROM (SELECT DISTINCT conv_id, k FROM t) AS c LEFT JOIN g USING (k) LEFT JOIN a USING (k) LEFT JOIN m USING (k)
 """
 
+OP12 = f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({OP3.replace('w[i:i + 3]', 'w[i:i + 2]').replace('len(w) - 3', 'len(w) - 2')}) AS c"
+
 _DRAWS = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
 _MARKED = " OR ".join(f"contains(t, '{m}')" for m in (fill_middle.PREFIX, fill_middle.SUFFIX, fill_middle.MIDDLE))
 OP13 = f"""
@@ -226,4 +228,4 @@ FROM p
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_sharding": OP5, "op6_quality_rules": OP6, "op7_mixing": OP7, "op10_warc": OP10, "op11_turn_repair": OP11, "op13_fill_middle": OP13}
+    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_sharding": OP5, "op6_quality_rules": OP6, "op7_mixing": OP7, "op10_warc": OP10, "op11_turn_repair": OP11, "op12_minhash_forest": OP12, "op13_fill_middle": OP13}

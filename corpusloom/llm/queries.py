@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, fill_middle, license_scan, mixing, ngram_join, passages, quality_classifier, quality_rules, sharding, token_shards, turn_repair, warc
+from corpusloom.llm import decontaminate, fill_middle, license_scan, minhash_forest, mixing, ngram_join, passages, quality_classifier, quality_rules, sharding, token_shards, turn_repair, warc
 from corpusloom.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
@@ -68,6 +68,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.report(turn_repair.damage(turns), turns)
 
 
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", fill_middle.transform(F.col("doc_id"), F.col("text")).alias("r"))
     return docs.select("doc_id", *fill_middle.digest(F.col("r")))
