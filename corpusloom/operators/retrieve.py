@@ -23,7 +23,7 @@ RRF_K = 60
 WEIGHTS = {"metadata": 3.0, "keyword": 2.0, "vector": 1.0}
 
 
-def top_k(hits: DataFrame, k: int, score: str = "score", item: str = "chunk_id", by: str = "query_id", rank: str = "rank") -> DataFrame:
+def top_k(hits: DataFrame, k: int, score: str | Column = "score", item: str = "chunk_id", by: str = "query_id", rank: str = "rank") -> DataFrame:
     """The best k hits of each query; row_number with a bound keeps k a task before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.desc(score), item)
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= k)
@@ -225,37 +225,68 @@ def keyword_topk_websearch(queries: DataFrame, chunks: DataFrame, k: int = 40) -
     return top_k(full.select("query_id", "chunk_id", "score"), k)
 
 
-#: Characters at the start of a word or query by which it meets the metadata that hold it.
-GRAM = 4
+#: Characters of the runs by which a searched text meets those that hold it.
+GRAM = 3
 
 
 def _grams(text: Column, n: int) -> Column:
-    """The runs of n characters of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    """Hashes of the runs of n characters of a text. Its characters are an array that is bound once, so a run costs no walk
+    from the text's start."""
+    run = lambda c: lambda i: F.xxhash64(F.array_join(F.slice(c, i, F.lit(n)), ""))
+    runs = F.transform(F.array(F.split(text, "")), lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), run(c))))
+    return F.coalesce(F.get(runs, F.lit(0)), F.array().cast("array<bigint>"))
+
+
+def held(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
+    """needles (needle), texts (item, text) -> (item, needle) where the text holds the needle, letter by letter.
+
+    A needle meets texts by one run of `size` of its characters only (of all of them, if it has fewer): that which the fewest
+    texts hold. One pass counts the runs that needles have, a second one takes the rare ones; needles with a run that no
+    text holds are gone in between. Needles and items are distinct values."""
+    long = F.least(F.length("needle"), F.lit(size))
+    asked = written(needles.filter("needle <> ''").distinct().withColumn("n", long), "needles")
+    widths = sorted(r.n for r in asked.select("n").distinct().collect())
+    if not widths:
+        return texts.select("item").join(asked.select("needle"), F.lit(False))
+    each = F.lit(None).cast("array<bigint>")
+    for n in widths:
+        each = F.when(F.col("n") == n, _grams(F.col("needle"), n)).otherwise(each)
+    parts = asked.select("needle", F.explode(F.array_distinct(each)).alias("gram"))
+    spread = texts.select("item", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in widths]))).alias("gram"))
+    known = spread.join(counted(parts.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    least = parts.join(known, "gram", "left").groupBy("needle").agg(F.count_if(F.col("df").isNull()).alias("missing"), F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    rare = written(least.filter("missing = 0").select("needle", "gram"), "rare-runs")
+    near = spread.join(counted(rare), "gram").select("item", "needle")
+    return near.join(texts, "item").filter(F.contains("text", F.col("needle"))).select("item", "needle")
+
+
+#: Where a query's text is found -> score; a word of it anywhere.
+FIELDS = {"filename": 0.95, "heading": 0.92, "section": 0.88}
+WORD_SCORE = 0.80
 
 
 def metadata_search(queries: DataFrame, chunks: DataFrame, k: int, match: str = "whole") -> DataFrame:
     """(query_id, chunk_id, score, rank): the query's text in the filename (0.95), heading (0.92) or section (0.88); with
-    match="words", any word of it of 4 letters or more (0.80). Distinct metadata are compared, chunks join afterwards. What is
-    looked for and the metadata that hold it share its first GRAM characters, so they meet by an equal key."""
-    names = ["filename", "heading", "section"]
-    meta = chunks.select(*names).distinct()
-    low = [F.lower(F.coalesce(c, F.lit(""))) for c in names]
+    match="words", any word of it of 4 letters or more (0.80).
+
+    Distinct values meet distinct texts to look for. All chunks of a value score alike, so the k smallest ids stand for
+    them before anything is joined: k a value, then k a text and field, then k a query."""
+    values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.col(f)).alias("value")) for f in FIELDS]))
+    named = chunks.select("chunk_id", values.alias("v")).select("chunk_id", "v.field", "v.value", F.md5("v.value").alias("item")).filter("value <> ''")
+    first = F.row_number().over(Window.partitionBy("field", "item").orderBy("chunk_id"))
+    best = written(named.withColumn("at", first).filter(F.col("at") <= k).drop("at"), "metadata")
     q = queries.select("query_id", F.lower(F.trim("text")).alias("q")).filter("q <> ''")
-    score = F.when(F.contains(low[0], F.col("q")), 0.95).when(F.contains(low[1], F.col("q")), 0.92).when(F.contains(low[2], F.col("q")), 0.88)
+    asked = q.select("query_id", F.col("q").alias("needle"), F.lit("whole").alias("kind"))
     if match == "words":
-        words = F.filter(F.split("q", " "), lambda w: F.length(w) >= 4)
-        score = score.when(F.exists(words, lambda w: F.contains(F.concat_ws(" ", *low), w)), 0.80)
-    starts = F.array(F.substring("q", 1, GRAM))
-    if match == "words":
-        starts = F.array_union(starts, F.transform(words, lambda w: F.substring(w, F.lit(1), F.lit(GRAM))))
-    every = F.concat_ws(" ", *low)
-    parts = F.array_distinct(F.concat(*[_grams(every, n) for n in range(1, GRAM + 1)]))
-    near = meta.withColumn("key", F.explode(parts)).join(q.withColumn("key", F.explode(starts)), "key")
-    met = near.select("query_id", "q", *names).distinct().withColumn("score", score).filter("score is not null")
-    joined = chunks.select("chunk_id", *names).join(met, [chunks[c].eqNullSafe(met[c]) for c in names])
-    return top_k(joined.select("query_id", "chunk_id", "score"), k)
+        words = F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) >= 4))
+        asked = asked.unionByName(q.select("query_id", F.explode(words).alias("needle"), F.lit("word").alias("kind")))
+    met = held(asked.select("needle"), best.select("item", F.col("value").alias("text")).distinct())
+    some = top_k(met.join(best.drop("value"), "item").withColumn("at", F.struct("needle", "field")), k, F.lit(0), by="at").select("needle", "field", "chunk_id")
+    score = F.lit(None).cast("double")
+    for field, value in FIELDS.items():
+        score = F.when(F.col("field") == field, value).otherwise(score)
+    scored = some.join(asked, "needle").select("query_id", "chunk_id", F.when(F.col("kind") == "word", WORD_SCORE).otherwise(score).alias("score"))
+    return top_k(scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
 
 
 # --- fusion
