@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import chunk, embed
 from corpusloom.operators import registry as R
 from corpusloom.plans.base import query
-from corpusloom.sources.tables import append_upload_log, scan_expectations, scan_files, scratch, table, write_chunks, written
+from corpusloom.sources.snapshots import read_chunks, write_chunks
+from corpusloom.sources.tables import append_upload_log, scan_expectations, scan_files, scratch, table, written
 
 MODEL = "hash-2"
 STAGES = ("extract_ms", "chunk_ms", "embed_ms")
@@ -150,15 +151,18 @@ def document_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {VERSIONS}, {CHUNKS}, gone AS (SELECT DISTINCT source AS document_id FROM documents WHERE lang = 'es' AND n_chars > 10000),
 v AS (SELECT * FROM versions WHERE document_id NOT IN (SELECT document_id FROM gone))
 SELECT 'versions' AS kind, document_id, count(*) AS n FROM v GROUP BY ALL UNION ALL
-SELECT 'chunks', source, count(*) FROM chunks WHERE version_id IN (SELECT version_id FROM v) GROUP BY ALL"""
+SELECT 'chunks', source, count(*) FROM chunks WHERE version_id IN (SELECT version_id FROM v) GROUP BY ALL UNION ALL
+SELECT 'jobs ' || status, document_id, count(*) FROM v GROUP BY ALL"""
 )
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ids = docs.filter("lang = 'es' AND n_chars > 10000").select(F.col("source").alias("document_id")).distinct()
     every = docs.select(F.col("source").alias("document_id")).distinct()
-    _, v, c = R.delete_documents(ids, every, versions(spark, sf_dir), chunks(spark, sf_dir))
+    jobs = versions(spark, sf_dir).select("version_id", "document_id", F.concat(F.lit("jobs "), "status").alias("kind"))
+    _, v, c, j = R.delete_documents(ids, every, versions(spark, sf_dir), chunks(spark, sf_dir), jobs)
     of = lambda df, kind, key: df.groupBy(F.lit(kind).alias("kind"), F.col(key).alias("document_id")).agg(F.count("*").alias("n"))
-    return of(v, "versions", "document_id").unionByName(of(c, "chunks", "source"))
+    left = of(v, "versions", "document_id").unionByName(of(c, "chunks", "source"))
+    return left.unionByName(j.groupBy("kind", "document_id").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {VERSIONS}, {CHUNKS} SELECT version_id, chunk_index FROM chunks WHERE version_id IN (SELECT version_id FROM versions WHERE status = '{R.READY}')")
@@ -253,7 +257,7 @@ def sink_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, rows = scratch(spark, "chunk-table"), chunks(spark, sf_dir)
     write_chunks(rows, path)
     write_chunks(rows.filter("source = 'src1'"), path)
-    return spark.read.parquet(path).groupBy("version_id").agg(F.count("*").alias("chunks"))
+    return read_chunks(spark, path).groupBy("version_id").agg(F.count("*").alias("chunks"))
 
 
 @query(f"WITH {UPLOADS} SELECT filename, status, count(*) AS uploads FROM uploads, (SELECT unnest(['processing', 'duplicate']) AS status) GROUP BY ALL")
@@ -294,5 +298,5 @@ def reindex_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     stale = docs.join(R.stale_versions(versions(spark, sf_dir), MODEL).select("version_id"), "version_id", "left_semi")
     fresh = written(embed.embed(chunk.reindex(stale), "text").select("version_id", "chunk_index", "text", "embedding"), "fresh")
     write_chunks(fresh, path)
-    done = spark.read.parquet(path).join(stale.select("version_id"), "version_id").filter(F.size("embedding") == embed.DIMENSION)
+    done = read_chunks(spark, path).join(stale.select("version_id"), "version_id").filter(F.size("embedding") == embed.DIMENSION)
     return R.reindex_report(stale, done)

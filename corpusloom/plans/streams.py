@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.base import ladder_sql, query
 from corpusloom.functions import dictionaries as D
+from corpusloom.sources.snapshots import read_chunks
 from corpusloom.sources.tables import scratch
 from corpusloom.streaming import jobs
 
@@ -17,8 +18,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries, store = scratch(spark, "registry"), scratch(spark, "chunk-store")
     files = jobs.table_stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), F.col("source").alias("filename"), "text")
     jobs.ingest(files, entries, store)
-    stored = spark.read.parquet(store).select("version_id").distinct()
-    return spark.read.parquet(entries).join(stored, "version_id", "left_semi").groupBy("filename").agg(F.count("*").alias("versions"))
+    stored = read_chunks(spark, store).select("version_id").distinct()
+    return jobs.registered(spark, entries).join(stored, "version_id", "left_semi").groupBy("filename").agg(F.count("*").alias("versions"))
 
 
 @query(f"SELECT conv_id, turn, {ladder_sql('lower(text)', D.INTENTS, 'Unknown')} AS intent FROM conversations WHERE role = 'user'")

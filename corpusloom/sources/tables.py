@@ -1,4 +1,4 @@
-"""Sources and sinks: the corpus tables, raw files, expectation files, and the chunk and audit tables."""
+"""Sources and sinks: the corpus tables, raw files, expectation files, and the audit table."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a chunk table's partitions.
-BUCKETS = 32
 EXPECTATION = (
     "id string, category string, query string, expected_chunks array<string>, expected_intent string, "
     "expected_confidence string, expected_citations int, expected_format string, required_intent string"
@@ -76,24 +74,5 @@ def scan_expectations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(EXPECTATION).json(path)
 
 
-def version_bucket(version: str = "version_id"):
-    return F.pmod(F.xxhash64(version), F.lit(BUCKETS)).cast("int")
-
-
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replaces the versions that `chunks` holds: buckets are read with the other versions' chunks and swapped whole."""
-    spark = chunks.sparkSession
-    fresh = chunks.withColumn("version_bucket", version_bucket())
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-        old = spark.read.parquet(path).select(*fresh.columns)
-        touched = fresh.select("version_bucket").distinct()
-        rest = old.join(F.broadcast(touched), "version_bucket", "left_semi").join(fresh.select("version_id").distinct(), "version_id", "left_anti")
-        fresh = written(fresh.unionByName(rest), "chunks")
-    # Rebalancing splits a large bucket over several tasks and files, and joins small ones.
-    writer = fresh.hint("rebalance", "version_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("version_bucket").parquet(path)
-
-
 def append_upload_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)

@@ -7,14 +7,15 @@ import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunk, embed, querylog, registry
-from corpusloom.sources.tables import scratch, write_chunks
+from corpusloom.sources.snapshots import write_chunks
+from corpusloom.sources.tables import scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -34,30 +35,56 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
     return query
 
 
+#: Parts of the registry, by checksum and by filename; a batch reads those that it may meet.
+PARTS = 256
+
+
+def part_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def _known(batch: DataFrame, path: str, key: str, schema: str, number: int) -> DataFrame:
+    """What earlier batches have registered in the parts of the batch's keys."""
+    spark = batch.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    parts = [r.part for r in batch.select(part_of(key).alias("part")).distinct().collect()]
+    return spark.read.schema(f"{schema}, part int, batch bigint").parquet(path).filter(F.col("part").isin(parts) & (F.col("batch") != number)).drop("part", "batch")
+
+
+ENTRY = "checksum string, filename string, version_number bigint, version_id string, error string"
+
+
+def registered(spark: SparkSession, registry_path: str) -> DataFrame:
+    """The registry that ingest() keeps: (checksum, filename, version_number, version_id, error)."""
+    return spark.read.schema(f"{ENTRY}, part int, batch bigint").parquet(f"{registry_path}/checksums").drop("part", "batch")
+
+
 def ingest(files: DataFrame, registry_path: str, chunk_path: str) -> None:
     """files (arrival, filename, text): new texts are registered with a version, cleaned, cut, embedded and stored; one
-    without text is registered with its error and gets no chunks. A batch that is run again finds its checksums registered by
-    itself and changes nothing."""
+    without text is registered with its error and gets no chunks. The registry lies in parts of checksums, and the latest
+    versions in parts of filenames, so a batch reads the parts that it may meet, not all. A batch that is run again leaves
+    out what it has registered itself and changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        there = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
-        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-            known = spark.read.parquet(registry_path)
-        else:
-            known = spark.createDataFrame([], "checksum string, filename string, version_number bigint, version_id string, error string, batch bigint")
-        known = known.filter(F.col("batch") != number)
-        marked = registry.dedupe(batch.withColumn("checksum", registry.checksum(F.coalesce("text", F.lit("")))), known)
-        fresh = marked.filter("not duplicate").drop("duplicate")
-        latest = known.groupBy("filename").agg(F.max("version_number").alias("latest_version"))
+        batch = batch.withColumn("checksum", registry.checksum(F.coalesce("text", F.lit("")))).persist()
+        known = _known(batch, f"{registry_path}/checksums", "checksum", ENTRY, number)
+        fresh = registry.dedupe(batch, known).filter("not duplicate").drop("duplicate")
+        latest = _known(batch, f"{registry_path}/names", "filename", "filename string, version_number bigint", number)
+        latest = latest.groupBy("filename").agg(F.max("version_number").alias("latest_version"))
         fresh = registry.assign_versions(fresh, latest).withColumn("version_id", F.sha2(F.concat_ws("|", "filename", "checksum"), 256))
         fresh = fresh.withColumn("error", registry.failure(F.col("text"), F.lit(1))).persist()
         pieces = chunk.chunk_recursive(fresh.filter("error is null").withColumn("text", T.clean_page(F.col("text"))), "version_id")
         write_chunks(embed.embed(pieces, "text").select("version_id", "chunk_index", "text", "hash", "embedding"), chunk_path)
-        entry = fresh.select("checksum", "filename", F.col("version_number").cast("bigint").alias("version_number"), "version_id", "error", F.lit(number).cast("bigint").alias("batch"))
-        # One folder a batch: written again, it is replaced.
-        entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(registry_path)
+        entry = fresh.select("checksum", "filename", F.col("version_number").cast("bigint").alias("version_number"), "version_id", "error")
+        names = entry.groupBy("filename").agg(F.max("version_number").alias("version_number"))
+        for name, key, rows in (("names", "filename", names), ("checksums", "checksum", entry)):
+            # One folder a part and batch: written again, it is replaced.
+            placed = rows.withColumns({"part": part_of(key), "batch": F.lit(number).cast("bigint")}).hint("rebalance", "part")
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(f"{registry_path}/{name}")
         fresh.unpersist()
+        batch.unpersist()
 
     drain(files, each)
 

@@ -8,7 +8,7 @@ from corpusloom.operators import evidence as E
 from corpusloom.operators import registry
 from corpusloom.operators import retrieve as R
 from corpusloom.plans.retrieval import vectors
-from corpusloom.sources.tables import scan_files, scratch, write_chunks
+from corpusloom.sources.tables import scan_files
 
 
 def table(spark, rows, schema):
@@ -91,15 +91,6 @@ def test_registry(spark):
     assert {r.arrival: r.version_number for r in registry.assign_versions(batch, latest).collect()} == {1: 5, 2: 6, 3: 1}
 
 
-def test_sink_replaces_versions(spark):
-    path = scratch(spark, "t")
-    rows = lambda text, vs: table(spark, [(v, i, text) for v in vs for i in range(2)], "version_id string, chunk_index int, text string")
-    write_chunks(rows("old", ["a", "b", "c"]), path)
-    write_chunks(rows("new", ["b"]), path)
-    assert {(r.version_id, r.text) for r in spark.read.parquet(path).collect()} == {("a", "old"), ("b", "new"), ("c", "old")}
-    assert spark.read.parquet(path).count() == 6
-
-
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"ok \xff\xfe end")
     (tmp_path / "b.bin").write_bytes(b"no")

@@ -10,6 +10,7 @@ from corpusloom.operators import metrics as M
 from corpusloom.operators import querylog as Q
 from corpusloom.operators import sessions as S
 from corpusloom.operators.retrieve import dimension
+from corpusloom.sources.snapshots import read_chunks
 from corpusloom.streaming import jobs
 
 KEYS = ["conv_id", "turn"]
@@ -146,6 +147,6 @@ def test_ingest_reports_texts_that_fail(spark, tmp_path):
     rows = [(1, "a", "Some words. And more."), (2, "b", None), (3, "c", " \n "), (4, "d", "Some words. And more.")]
     spark.createDataFrame(rows, "arrival int, filename string, text string").coalesce(1).write.parquet(f"{tmp_path}/files.parquet")
     jobs.ingest(jobs.table_stream(spark, str(tmp_path), "files"), f"{tmp_path}/entries", f"{tmp_path}/store")
-    entries = {r.filename: r.error for r in spark.read.parquet(f"{tmp_path}/entries").collect()}
+    entries = {r.filename: r.error for r in jobs.registered(spark, f"{tmp_path}/entries").collect()}
     assert entries == {"a": None, "b": "no text", "c": "no text"}
-    assert spark.read.parquet(f"{tmp_path}/store").select("version_id").distinct().count() == 1
+    assert read_chunks(spark, f"{tmp_path}/store").select("version_id").distinct().count() == 1
