@@ -142,16 +142,28 @@ def filter_pleasantries(turns: DataFrame) -> DataFrame:
     return turns.filter(~F.trim(F.lower("text")).isin(*PLEASANTRIES))
 
 
+def greets(role: Column, text: Column) -> Column:
+    return (role == "user") & F.lower(text).rlike(r"^(hi|hello|hey|good (morning|afternoon|evening))\b")
+
+
+def name_in(text: Column) -> Column:
+    """The name that a turn introduces, or null."""
+    return F.nullif(F.regexp_extract(F.lower(text), r"\bmy name is ([a-z]+)", 1), F.lit(""))
+
+
+def preview_of(answer: Column) -> Column:
+    return F.when(F.length(answer) > 200, F.concat(F.substring(answer, 1, 200), F.lit("..."))).otherwise(answer)
+
+
 def session_profile(turns: DataFrame) -> DataFrame:
     """Per session: turns, first and last turn, greetings, the name introduced last, the last user turn's intent, a preview of
     the last answer."""
-    greeting = (F.col("role") == "user") & F.lower("text").rlike(r"^(hi|hello|hey|good (morning|afternoon|evening))\b")
-    name = F.nullif(F.regexp_extract(F.lower("text"), r"\bmy name is ([a-z]+)", 1), F.lit(""))
-    answer = F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn")))
+    name = name_in(F.col("text"))
+    answered = (F.col("role") == "assistant") & F.col("text").isNotNull()
+    answer = F.max_by(F.when(answered, F.col("text")), F.when(answered, F.col("turn")))
     out = turns.groupBy("conv_id").agg(
-        F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(greeting).alias("greetings"),
+        F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count_if(greets(F.col("role"), F.col("text"))).alias("greetings"),
         F.max_by(name, F.when(name.isNotNull(), F.col("turn"))).alias("name"), answer.alias("answer"),
         F.max_by(classify_intent(F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("last_intent"),
     )
-    preview = F.when(F.length("answer") > 200, F.concat(F.substring("answer", 1, 200), F.lit("..."))).otherwise(F.col("answer"))
-    return out.withColumn("preview", preview).drop("answer")
+    return out.withColumn("preview", preview_of(F.col("answer"))).drop("answer")

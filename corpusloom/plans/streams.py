@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.plans.base import ladder_sql, query
+from corpusloom.plans.conversations import TOPICS
 from corpusloom.functions import dictionaries as D
 from corpusloom.sources.snapshots import read_chunks
 from corpusloom.sources.tables import scratch
 from corpusloom.streaming import jobs
 
+#: Some user turns introduce themselves.
+NAMED = "CASE WHEN role = 'user' AND turn % 3 = 0 THEN 'Hello my name is ann ' || text ELSE text END"
+
 
 @query("WITH f AS (SELECT source, text, min(doc_id) AS doc_id FROM documents GROUP BY ALL), u AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) SELECT source AS filename, count(*) AS versions FROM u JOIN documents USING (doc_id) GROUP BY source")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,26 +33,34 @@ def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("conv_id", "turn", "intent")
 
 
-@query("SELECT conv_id, count(*) AS turns, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+_TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in TOPICS) + " END"
+
+
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, role, {NAMED} AS text FROM conversations),
+l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM t),
+a AS (SELECT conv_id, count(*) AS turns, min(turn) AS first_turn, max(turn) AS last_turn, count(*) FILTER (role = 'user' AND regexp_matches(lower(text), '^(hi|hello|hey|good (morning|afternoon|evening))\b')) AS greetings,
+  arg_max(nullif(regexp_extract(lower(text), '\bmy name is ([a-z]+)', 1), ''), turn) AS name, arg_max({ladder_sql("lower(text)", D.INTENTS, "Unknown")}, turn) FILTER (role = 'user') AS last_intent,
+  arg_max(text, turn) FILTER (role = 'assistant') AS answer, arg_max({_TOPIC}, turn) FILTER (role = 'user') AS topic, string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (back <= 3) AS history FROM l GROUP BY conv_id)
+SELECT * EXCLUDE (answer), CASE WHEN length(answer) > 200 THEN substr(answer, 1, 200) || '...' ELSE answer END AS preview FROM a"""
+)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn comes a minute after the one before; the last state of each session is its profile."""
+    """A turn comes a minute after the one before; the last state of each session is its profile, with the last three
+    messages."""
     path = scratch(spark, "sessions")
     ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60)
-    turns = jobs.table_stream(spark, sf_dir, "conversations").withColumn("ts", ts)
-    jobs.drain(jobs.sessions(turns), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), "update")
-    last = spark.read.parquet(path).groupBy("conv_id").agg(F.max_by(F.struct("turns", "first_turn", "last_turn"), "batch").alias("s"))
-    return last.select("conv_id", "s.turns", "s.first_turn", "s.last_turn")
+    turns = jobs.table_stream(spark, sf_dir, "conversations").withColumns({"ts": ts, "text": F.expr(NAMED)})
+    jobs.drain(jobs.sessions(turns, keep=3, topics=TOPICS), lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), "update")
+    last = spark.read.parquet(path).groupBy("conv_id").agg(F.max_by(F.struct("*"), "batch").alias("s")).select("s.*")
+    return last.drop("batch").withColumn("history", F.array_join("history", "\n"))
 
 
-@query(
-    """WITH RECURSIVE m AS (SELECT user_id, event_type, min(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY ALL
-UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM m JOIN events e ON e.user_id = m.user_id AND e.event_type = m.event_type AND e.ts > m.ts + INTERVAL 1 HOUR GROUP BY e.user_id, e.event_type)
-SELECT user_id, event_type, count(*) AS misses FROM m GROUP BY ALL"""
-)
+@query("SELECT user_id, event_type, count(DISTINCT date_trunc('hour', ts)) AS misses FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_dedupe_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer serves its user and type until the hour ends."""
     path = scratch(spark, "misses")
     events = jobs.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    misses = jobs.dedupe_ttl(events, keys=["user_id", "event_type"])
+    misses = jobs.dedupe_ttl(events, keys=["user_id", "event_type"], fixed=True)
     jobs.drain(misses, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
     return spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.count("*").alias("misses"))
 

@@ -3,21 +3,25 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.functions import text as T
 from corpusloom.operators import chunk, embed, querylog, registry
+from corpusloom.operators import sessions as S
 from corpusloom.sources.snapshots import write_chunks
 from corpusloom.sources.tables import scratch
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
     """A Parquet table, file by file; a table of one file is picked from its folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
@@ -29,8 +33,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
 
 
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
-    """Runs `each` on every micro-batch of what is there."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(stream.sparkSession, "stream")).trigger(availableNow=True).foreachBatch(each).start()
+    """Runs `each` on every micro-batch of what is there. State is kept in RocksDB, beyond what memory holds."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKSDB)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(stream.sparkSession, "stream")).trigger(availableNow=True).foreachBatch(each).start()
+    finally:
+        # A query has its own copy of the settings.
+        conf.unset(STORE) if before is None else conf.set(STORE, before)
     query.awaitTermination()
     return query
 
@@ -95,59 +106,74 @@ def route(turns: DataFrame, path: str) -> None:
     drain(classified, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
 
 
-SESSION = "conv_id bigint, turns bigint, first_turn bigint, last_turn bigint, greetings bigint, history array<string>"
-
-
-def sessions(turns: DataFrame, idle: str = "1 hour", keep: int = 20) -> DataFrame:
-    """turns (conv_id, turn, role, text, ts) -> the running state of each session; an idle session's state is dropped."""
-
+#: What a session's state holds: totals, and of the last name, intent, answer and topic the turn they come from.
+_LAST = ("name", "last_intent", "preview", "topic")
+_PROFILE = f"turns bigint, first_turn bigint, last_turn bigint, greetings bigint, {', '.join(f'{c} string, {c}_turn bigint' for c in _LAST)}"
+SESSION = f"conv_id bigint, turns bigint, first_turn bigint, last_turn bigint, greetings bigint, {', '.join(f'{c} string' for c in _LAST)}, history array<string>"
+
+
+class _Session(StatefulProcessor):
+    """Merges a session's turns into its profile; what a turn says has been worked out before. A timer `patience` behind the
+    session's last turn drops its state."""
+
+    def __init__(self, patience: int, keep: int):
+        self.patience, self.keep = patience, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.profile = handle.getValueState("profile", _PROFILE)
+        self.lines = handle.getListState("lines", "turn bigint, line string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows)).sort_values("turn", kind="stable")
+        n, first, last, greetings, *lasts = self.profile.get() if self.profile.exists() else (0, 2**62, -(2**62), 0, *[None] * 8)
+        n, greetings = n + len(fresh), greetings + int(fresh["greeting"].sum())
+        first, last = min(first, int(fresh["turn"].min())), max(last, int(fresh["turn"].max()))
+        for i, c in enumerate(_LAST):
+            some = fresh[fresh[c].notna()]
+            if len(some) and (lasts[2 * i + 1] is None or some["turn"].iloc[-1] >= lasts[2 * i + 1]):
+                lasts[2 * i : 2 * i + 2] = some[c].iloc[-1], int(some["turn"].iloc[-1])
+        lines = [*(self.lines.get() if self.lines.exists() else []), *zip(fresh["turn"].astype(int).tolist(), fresh["line"], strict=True)]
+        lines = sorted(lines, key=lambda x: x[0])[-self.keep :]
+        self.profile.update((n, first, last, greetings, *lasts))
+        self.lines.put([(int(t), x) for t, x in lines])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(fresh["ts"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.patience)
+        values = {"turns": n, "first_turn": first, "last_turn": last, "greetings": greetings, **dict(zip(_LAST, lasts[::2], strict=True)), "history": [x for _, x in lines]}
+        yield pd.DataFrame({"conv_id": [key[0]], **{k: [v] for k, v in values.items()}})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.profile.clear()
+        self.lines.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(turns: DataFrame, idle: str = "1 hour", keep: int = 20, topics: tuple = S.TOPICS) -> DataFrame:
+    """turns (conv_id, turn, role, text, ts) -> the running profile of each session, as session_profile() gives it, with its
+    last topic and last `keep` messages. An idle session's state is dropped by an event-time timer."""
+    role, text = F.col("role"), F.col("text")
+    said = turns.withWatermark("ts", idle).select(
+        "conv_id", "turn", "ts", F.concat_ws(": ", "role", "text").alias("line"), F.coalesce(S.greets(role, text), F.lit(False)).alias("greeting"), S.name_in(text).alias("name"),
+        F.when(role == "user", querylog.classify_intent(text)).alias("last_intent"), F.when(role == "assistant", S.preview_of(text)).alias("preview"),
+        F.when(role == "user", S.topic_of(text, topics)).alias("topic"),
+    )
     patience = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, first, last, greetings, history = state.get if state.exists else (0, 2**62, -1, 0, "")
-        lines = history.split("\x1e") if history else []
-        parts = pd.concat(list(batches)).sort_values("turn")
-        for turn, role, text in zip(parts["turn"], parts["role"], parts["text"], strict=True):
-            low = (text or "").lower()
-            n, first, last = n + 1, min(first, turn), max(last, turn)
-            greetings += role == "user" and low.split(" ")[0].strip(",.!?") in ("hi", "hello", "hey")
-            lines.append(f"{role}: {text}")
-        lines = lines[-keep:]
-        state.update((int(n), int(first), int(last), int(greetings), "\x1e".join(lines)))
-        state.setTimeoutTimestamp(max(int(parts["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + patience)
-        yield pd.DataFrame({"conv_id": [key[0]], "turns": [n], "first_turn": [first], "last_turn": [last], "greetings": [greetings], "history": [lines]})
-
-    return (
-        turns.withWatermark("ts", idle)
-        .groupBy("conv_id")
-        .applyInPandasWithState(step, SESSION, "n bigint, first bigint, last bigint, greetings bigint, history string", "update", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
-def dedupe_ttl(requests: DataFrame, ttl: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
-    """The requests (ts) that a cache with this time to live would have to answer anew. Each batch is walked in time order;
-    a request is a hit if an answer was stored at most ttl before it, and the clock restarts on a miss only. A key's state
-    is the times of its stored answers, so no row is dropped as late: one that comes in a later batch than its time is held
-    against the answers stored up to its own time, and verdicts given before stand."""
-    keep = pd.Timedelta(ttl).value // 1000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = [int(t) for t in state.get[0].split(",")] if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        missed = []
-        for at in rows["ts"].to_numpy("datetime64[us]").astype("int64").tolist():
-            i = bisect.bisect_right(stored, at)
-            missed.append(not i or at - stored[i - 1] > keep)
-            if missed[-1]:
-                stored.insert(i, at)
-        state.update((",".join(map(str, stored)),))
-        yield rows[missed]
-
-    grouped = requests.filter("ts is not null").groupBy(*(keys or ["key"]))
-    return grouped.applyInPandasWithState(step, requests.schema, "stored string", "append", GroupStateTimeout.NoTimeout)
+    return said.groupBy("conv_id").transformWithStateInPandas(_Session(patience, keep), SESSION, "Update", "EventTime")
+
+
+def dedupe_ttl(requests: DataFrame, ttl: str = "1 hour", keys: list[str] | None = None, fixed: bool = False) -> DataFrame:
+    """The first of the requests (ts) of a key within `ttl`, at least: a key's answer serves until the watermark, `ttl` behind the
+    latest request, has passed it by `ttl`, and then its state goes. With `fixed`, it serves until its period of this
+    length ends (by the clock), so the result doesn't depend on how requests come in batches."""
+    keyed, by = requests.filter("ts is not null").withWatermark("ts", ttl), list(keys or ["key"])
+    if not fixed:
+        return keyed.dropDuplicatesWithinWatermark(by)
+    period = F.floor(F.unix_micros("ts") / F.lit(pd.Timedelta(ttl).value // 1000))
+    return keyed.withColumn("period__", period).dropDuplicatesWithinWatermark([*by, "period__"]).drop("period__")
 
 
 def metrics(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

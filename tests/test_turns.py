@@ -1,6 +1,7 @@
 """Query-log, session, telemetry and streaming operators on small tables."""
 
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -114,18 +115,54 @@ def test_walks(spark):
     assert hits == {"k": (4, 2), "f": (2, 0)}
 
 
-def test_dedupe_ttl_against_the_batch_cache(spark, tmp_path):
-    rng = random.Random(3)
-    rows = sorted(((rng.randrange(4), 1_700_000_000 + rng.randrange(40) * 1800) for _ in range(200)), key=lambda r: r[1])
-    frame = spark.createDataFrame(rows, "key int, at long").withColumn("ts", F.timestamp_seconds("at"))
-    want = {r.key: r.requests - r.hits for r in M.cache_simulate(frame.withColumn("failed", F.lit(False)), 3600).collect()}
-    for name, cuts in (("one", [0, 200]), ("two", [0, 90, 200])):
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            spark.createDataFrame(rows[a:b], "key int, at long").withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}.parquet")
-        got = []
-        stream = jobs.table_stream(spark, str(tmp_path), name, 1)
-        jobs.drain(jobs.dedupe_ttl(stream), lambda batch, number: got.extend(batch.collect()))
-        assert Counter(r.key for r in got) == want and max(want.values()) > 1
+def batches(spark, folder, name, parts, schema):
+    """A stream of one batch for each part."""
+    for part in parts:
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.mode("append").parquet(f"{folder}/{name}.parquet")
+        time.sleep(1.1)
+    return jobs.table_stream(spark, str(folder), name, 1)
+
+
+def states(query):
+    """Rows of state after each batch."""
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_dedupe_ttl_forgets(spark, tmp_path):
+    t, hour = 1_700_000_000, 3600
+    parts = [[("a", t), ("a", t + 600)] + [(f"k{i}", t) for i in range(50)], [("a", t + 1800), ("b", t + 5 * hour)], [("b", t + 5 * hour + 60)], [("a", t + 5 * hour + 120)]]
+    got = []
+    query = jobs.drain(jobs.dedupe_ttl(batches(spark, tmp_path, "r", parts, "key string, at long")), lambda batch, number: got.extend(batch.collect()))
+    assert sorted((r.key, r["at"]) for r in got if r.key in "ab") == [("a", t), ("a", t + 5 * hour + 120), ("b", t + 5 * hour)]
+    assert max(states(query)) >= 51 and states(query)[-1] <= 2
+    fixed = []
+    stream = jobs.dedupe_ttl(jobs.table_stream(spark, str(tmp_path), "r", 1), fixed=True)
+    jobs.drain(stream, lambda batch, number: fixed.extend(batch.collect()))
+    asked = [(k, at // hour) for part in parts for k, at in part]
+    assert Counter((r.key, r["at"] // hour) for r in fixed) == Counter(set(asked))
+
+
+def test_stream_sessions_against_the_batch(spark, tmp_path):
+    rng = random.Random(8)
+    t, texts = 1_700_000_000, ["Hello there", "hi", "what is the policy", "how do I apply for leave", "my name is Ann", "ok", "good morning, my name is bob", None, "x" * 300]
+    rows = [(c, i, ("user", "assistant", "system")[0 if rng.random() < 0.5 else rng.randrange(3)], rng.choice(texts), t + 60 * i) for c in range(12) for i in range(9)]
+    order = sorted(rows, key=lambda r: (r[1] // 3, rng.random()))
+    parts = [order[:36], order[36:72], order[72:], [(99, 0, "user", "bye", t + 10**6)], [(99, 1, "user", "bye", t + 10**6 + 60)]]
+    seen = {}
+    stream = batches(spark, tmp_path, "turns", parts, "conv_id long, turn long, role string, text string, at long")
+    query = jobs.drain(jobs.sessions(stream, keep=4), lambda batch, number: seen.update({r.conv_id: r for r in batch.collect()}), "update")
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at long")
+    want = {r.conv_id: r for r in S.session_profile(frame).collect()}
+    topics = {}
+    for r in S.topic_switches(frame).orderBy("turn").collect():
+        topics[r.conv_id] = r.topic or topics.get(r.conv_id)
+    for c, w in want.items():
+        assert {k: seen[c][k] for k in w.asDict()} == w.asDict()
+        assert seen[c].topic == topics.get(c)
+        assert seen[c].history == [": ".join(x for x in (role, text) if x is not None) for _, _, role, text, _ in sorted(r for r in rows if r[0] == c)][-4:]
+    assert seen[99].turns == 2
+    # Idle sessions have no state any more.
+    assert max(states(query)) >= 24 and states(query)[-1] <= 2
 
 
 def test_memory_halves(spark):
