@@ -9,8 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,11 +50,8 @@ def _packed(df: DataFrame, id_col: str, vector: str, rows: int, names: tuple[str
 BLOCK_BYTES = 128 << 20
 
 
-def dense_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", rows: int = 2048, self_match: bool = True
-) -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact cosine top k. Query blocks meet corpus blocks; a pair of blocks is one
-    matrix product that gives k rows a query, so what is shuffled doesn't grow with the corpus block."""
+def block_product(k: int, self_match: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best of each query of pairs of blocks (qi, qx, qd, ci, cx, cd): ids, unit vectors and lengths."""
 
     def product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,58 +67,20 @@ def dense_topk(
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
+    return product
+
+
+def dense_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding", rows: int = 2048, self_match: bool = True
+) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exact cosine top k. Query blocks meet corpus blocks; a pair of blocks is one
+    matrix product that gives k rows a query, so what is shuffled doesn't grow with the corpus block."""
     # Packed once: few query blocks are broadcast to the corpus blocks; of many, both sides are read as a grid of blocks.
     q = written(_packed(queries, query_id, vector, rows, ("qi", "qx", "qd")), "query-blocks")
     c = _packed(corpus, chunk_id, vector, rows, ("ci", "cx", "cd"))
     few = q.agg(F.sum(F.octet_length("qx"))).first()[0] or 0
     pairs = (c.crossJoin(F.broadcast(q)) if few <= BLOCK_BYTES else written(c, "corpus-blocks").crossJoin(q)).select("qi", "qx", "qd", "ci", "cx", "cd")
-    return top_k(pairs.mapInArrow(product, "query_id bigint, chunk_id bigint, score double"), k)
-
-
-def cells(corpus: DataFrame, n_cells: int, vector: str = "embedding", sample_rows: int = 20_000, seed: int = 7) -> np.ndarray:
-    """Centres of k-means on at most sample_rows rows."""
-    sample = corpus.orderBy(F.xxhash64(vector)).limit(sample_rows).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    return np.array(KMeans(k=n_cells, seed=seed, maxIter=20).fit(sample).clusterCenters())
-
-
-def dense_topk_ann(
-    queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, probes: int | None = None, self_match: bool = True, recall: float = 0.95, asked: int = 256
-) -> DataFrame:
-    """Approximate top k: a query is compared with the chunks of its `probes` nearest cells only. There are as many cells as
-    the root of the corpus's rows (16 to 1,024), and as many probes as at most `asked` of the queries, answered exactly over
-    the whole corpus, need for this recall; either can be given."""
-    corpus, queries = corpus.filter("embedding is not null"), queries.filter("embedding is not null")
-    n_cells = n_cells or min(1024, max(16, round(corpus.count() ** 0.5)))
-    centres = cells(corpus, n_cells)
-    half = (centres**2).sum(1) / 2
-
-    def near(n: int):
-        @F.pandas_udf("array<int>")
-        def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for v in batches:
-                d = half - np.array(v.tolist()).reshape(len(v), -1) @ centres.T if len(v) else np.zeros((0, len(centres)))
-                yield pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :n].astype("int32")))
-
-        return nearest
-
-    placed = corpus.select("chunk_id", "embedding", F.get(near(1)("embedding"), F.lit(0)).alias("cell"))
-    if probes is None:
-        some = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(asked)
-        true = dense_topk(some, corpus, k, self_match=self_match).select("query_id", "chunk_id")
-        order = some.select("query_id", near(len(centres))("embedding").alias("order"))
-        found = placed.select("chunk_id", "cell").join(F.broadcast(true), "chunk_id").join(order, "query_id")
-        at = sorted(found.groupBy(F.array_position("order", F.col("cell")).alias("at")).count().collect())
-        probes, left = len(centres), sum(n for _, n in at) * (1 - recall)
-        # From the far end, as many cells go as the recall allows.
-        for place, n in reversed(at):
-            probes, left = place, left - n
-            if left < 0:
-                break
-    probing = queries.select("query_id", F.col("embedding").alias("q"), F.explode(near(int(probes))("embedding")).alias("cell"))
-    pairs = placed.join(counted(probing), "cell")
-    score = F.round(F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
-    scored = pairs.select("query_id", "chunk_id", score.alias("score"))
-    return top_k(scored if self_match else scored.filter("query_id <> chunk_id"), k)
+    return top_k(pairs.mapInArrow(block_product(k, self_match), "query_id bigint, chunk_id bigint, score double"), k)
 
 
 # --- keywords

@@ -23,13 +23,6 @@ def test_dense_topk_grows_by_k(spark, data):
     assert small == {(r.query_id, r.chunk_id, r.rank) for r in one.collect()}
 
 
-def test_ann_recall(spark, data):
-    q, c = vectors(spark, data)
-    exact = {(r.query_id, r.chunk_id) for r in R.dense_topk(q, c, 10).collect()}
-    near = {(r.query_id, r.chunk_id) for r in R.dense_topk_ann(q, c, 10).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_rrf_ignores_the_order_of_legs(spark):
     rows = [(1, "metadata", 1, "a", 0.9), (1, "keyword", 1, "b", 0.8), (1, "keyword", 2, "a", 0.7), (1, "vector", 1, "c", 0.6)]
     results = []
