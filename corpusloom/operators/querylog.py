@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 from itertools import product
 
 import pandas as pd
@@ -15,8 +14,8 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import dictionaries as D
 from corpusloom.functions import text as T
-from corpusloom.operators.retrieve import dimension
-from corpusloom.sources.tables import counted
+from corpusloom.operators.retrieve import dimension, held
+from corpusloom.sources.tables import counted, written
 
 KEYWORD_STOP = (*T.STOP_WORDS, "please", "tell", "me", "about", "show", "give", "provide", "details", "information")
 
@@ -142,18 +141,55 @@ def _phrases(*groups: dict[str, list[str]]) -> list[str]:
     return sorted({p for g in groups for ps in g.values() for p in ps}, key=lambda p: (-len(p.split()), -len(p), p))
 
 
-def resolve_aliases(text: Column, aliases: dict[str, str] = D.ALIASES) -> Column:
-    """Whole alias phrases replaced, longest first; conversational phrases stay as they are."""
-    protected = _phrases(D.GREETINGS, D.GOODBYES, D.THANKS, D.SMALL_TALK)
-    order = sorted(aliases, key=lambda a: (-len(a.split()), -len(a), a))
-    pattern = r"\b(?:(?P<keep>" + "|".join(map(re.escape, protected)) + ")|(?P<alias>" + "|".join(map(re.escape, order)) + r"))\b"
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        one = re.compile(pattern, re.I)
-        return s.map(lambda x: one.sub(lambda m: m[0] if m["keep"] else aliases[m[0].lower()], x), na_action="ignore")
-
-    return run(text)
+def alias_table(spark, aliases: dict[str, str] = D.ALIASES) -> DataFrame:
+    """(alias, replacement)."""
+    return dimension(spark, list(aliases.items()), "alias string, replacement string")
+
+
+def resolve_aliases(texts: DataFrame, aliases: DataFrame | None = None, protected: tuple[str, ...] | None = None, text: str = "text", out: str = "resolved") -> DataFrame:
+    """texts with `out`: whole alias phrases (alias, replacement) replaced, conversational phrases (`protected`) left as they are.
+
+    Words and what stands between them are pieces; runs of pieces meet aliases by an equal key, so their number costs
+    nothing. From left to right, the first hit counts, at one place a protected one before aliases and longer ones before
+    shorter ones; what overlaps a hit that counts is left out. Case is ignored. Distinct texts are resolved once."""
+    spark = texts.sparkSession
+    aliases = alias_table(spark) if aliases is None else aliases
+    kept = _phrases(D.GREETINGS, D.GOODBYES, D.THANKS, D.SMALL_TALK) if protected is None else protected
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+|[^\w]+"), F.lit(0))
+    table = aliases.select(F.lower("alias").alias("run"), "replacement", F.lit(1).alias("kind"))
+    if kept:
+        table = table.unionByName(dimension(spark, [(p.lower(),) for p in kept], "run string").select("run", F.lit(None).cast("string").alias("replacement"), F.lit(0).alias("kind")))
+    # Of equal phrases the protected one, else the least replacement.
+    table = table.filter("run <> ''").groupBy("run").agg(F.min_by("replacement", F.struct("kind", "replacement")).alias("replacement"), F.min("kind").alias("kind"))
+    table = written(table.withColumn("n", F.size(pieces(F.col("run")))), "aliases")
+    lengths = sorted(r.n for r in table.select("n").distinct().collect())
+    each = texts.select(F.col(text).alias("text__")).filter("text__ is not null").distinct()
+    each = written(each.select(F.md5("text__").alias("tid"), pieces(F.col("text__")).alias("pieces"), pieces(F.lower("text__")).alias("low")), "pieces")
+    none = F.array().cast("array<struct<start:int,n:int,run:string>>")
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("low") - n + 1), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice("low", i, F.lit(n)), "").alias("run")))
+    runs = F.concat(none, *[F.coalesce(F.when(F.size("low") >= n, run(n)), none) for n in lengths])
+    hits = each.select("tid", F.explode(runs).alias("r")).select("tid", "r.*").join(counted(table.select("run", "replacement", "kind")), "run")
+    n_words = F.size(F.split("run", " "))
+    order = F.struct("start", "kind", (-n_words).alias("words"), (-F.length("run")).alias("chars"), "n", "replacement")
+    found = hits.groupBy("tid").agg(F.sort_array(F.collect_list(order)).alias("hits"))
+    part = "struct<at:int,parts:array<string>>"
+    both = each.join(found, "tid")
+
+    def step(p: Column):
+        def choose(s: Column, h: Column) -> Column:
+            before = F.array_join(F.slice(p, s["at"], h["start"] - s["at"]), "")
+            own = F.coalesce(h["replacement"], F.array_join(F.slice(p, h["start"], h["n"]), ""))
+            taken = F.struct((h["start"] + h["n"]).cast("int").alias("at"), F.concat(s["parts"], F.array(before, own)).alias("parts"))
+            return F.when(h["start"] >= s["at"], taken).otherwise(s)
+
+        return choose
+
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts")).cast(part)
+    walked = both.select("tid", "pieces", F.aggregate("hits", begin, step(F.col("pieces"))).alias("s"))
+    rest = F.array_join(F.slice("pieces", F.col("s.at"), F.size("pieces")), "")
+    done = walked.select("tid", F.concat(F.array_join("s.parts", ""), rest).alias("new__"))
+    named = texts.withColumn("tid__", F.md5(F.col(text)))
+    return named.join(done.withColumnRenamed("tid", "tid__"), "tid__", "left").withColumn(out, F.coalesce("new__", text)).drop("tid__", "new__")
 
 
 def phrase_table(spark, groups: dict[str, list[str]]) -> DataFrame:
@@ -283,40 +319,97 @@ def knowledge_table(spark, entries=D.KNOWLEDGE) -> DataFrame:
     return flat.withColumns({"keywords": F.split("keywords", r"\|"), "phrases": F.split("phrases", r"\|")})
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """Ratcliff/Obershelp similarity of a and b, 0 to 1."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, j, i, autojunk=False).ratio() for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
+
+
+def _alike(x: str, y: str, least: float) -> Column:
+    """Whether lengths allow the ratio."""
+    return 2 * F.least(F.length(x), F.length(y)) >= least * (F.length(x) + F.length(y))
+
+
+def _word_relations(tokens: DataFrame, keywords: DataFrame, fuzzy: bool) -> DataFrame:
+    """(token, keyword, kind) of distinct tokens and keywords: equal (same), and with fuzzy near (from five letters, the first
+    three alike), else with one inside the other (part)."""
+    same = tokens.join(keywords, F.col("token") == F.col("keyword")).select("token", "keyword", F.lit("same").alias("kind"))
+    if fuzzy:
+        long = tokens.filter(F.length("token") > 4).withColumn("start", F.left("token", F.lit(3)))
+        met = long.join(keywords.withColumn("start", F.left("keyword", F.lit(3))), "start").filter((F.abs(F.length("token") - F.length("keyword")) <= 2) & _alike("token", "keyword", 0.8))
+        near = met.filter(_ratio(F.col("token"), F.col("keyword")) >= 0.8)
+        return same.unionByName(near.select("token", "keyword", F.lit("near").alias("kind")))
+    words = tokens.filter(F.length("token") >= 3)
+    inner = held(words.select(F.col("token").alias("needle")), keywords.select(F.col("keyword").alias("item"), F.col("keyword").alias("text")))
+    outer = held(keywords.select(F.col("keyword").alias("needle")), words.select(F.col("token").alias("item"), F.col("token").alias("text")))
+    part = inner.select(F.col("needle").alias("token"), F.col("item").alias("keyword")).unionByName(outer.select(F.col("item").alias("token"), F.col("needle").alias("keyword")))
+    return same.unionByName(part.select("token", "keyword", F.lit("part").alias("kind")))
+
+
+def _knowledge_evidence(texts: DataFrame, entries: DataFrame, fuzzy: bool) -> DataFrame:
+    """(qid, place, kind, word): what texts (qid, q, pieces, w) share with entries. Texts meet an entry by its whole names,
+    by its phrases as runs of words, or by words that its keywords or phrases hold; nothing else is compared."""
+    words = texts.select("qid", F.explode("w").alias("token"))
+    keywords = entries.select("place", F.explode(F.array_distinct("keywords")).alias("keyword")).filter("keyword <> ''")
+    related = _word_relations(words.select("token").distinct(), keywords.select("keyword").distinct(), fuzzy)
+    found = words.join(related, "token").join(counted(keywords), "keyword").select("qid", "place", "kind", F.col("keyword").alias("word"))
+
+    names = F.concat(F.array(F.lower("title"), F.lower(F.translate("intent_id", "_", " "))), "phrases")
+    full = counted(entries.select("place", F.explode(F.array_distinct(names)).alias("q")))
+    found = found.unionByName(texts.join(full, "q").select("qid", "place", F.lit("exact").alias("kind"), F.lit("").alias("word")))
+
+    phrases = entries.select("place", F.explode(F.array_distinct("phrases")).alias("phrase")).filter(F.trim("phrase") != "")
+    several = phrases.filter(F.contains("phrase", F.lit(" "))).withColumn("n", F.size(F.split("phrase", " ")))
+    lengths = sorted(r.n for r in several.select("n").distinct().collect())
+    if lengths:
+        run = lambda n: F.when(F.size("pieces") >= n, F.transform(F.sequence(F.lit(1), F.size("pieces") - n + 1), lambda i: F.array_join(F.slice("pieces", i, F.lit(n)), " ")))
+        runs = F.concat(*[F.coalesce(run(n), F.array().cast("array<string>")) for n in lengths])
+        said = texts.select("qid", F.explode(F.array_distinct(runs)).alias("phrase")).join(counted(several.select("place", "phrase")), "phrase")
+        found = found.unionByName(said.select("qid", "place", F.lit("phrase").alias("kind"), F.lit("").alias("word")))
+    if fuzzy:
+        of = phrases.select("phrase").distinct().withColumn("token", F.explode(F.array_distinct(F.split(F.trim("phrase"), r"\s+"))))
+        sized = texts.filter(F.length("q") > 4).select("qid", F.length("q").alias("long"), F.explode("w").alias("token"))
+        fits = 2 * F.least("long", F.length("phrase")) >= 0.85 * (F.col("long") + F.length("phrase"))
+        pairs = sized.join(counted(of), "token").filter(fits).select("qid", "phrase").distinct()
+        near = pairs.join(texts.select("qid", "q"), "qid").filter(_ratio(F.col("q"), F.col("phrase")) >= 0.85)
+        near = near.select("qid", "phrase").join(counted(phrases), "phrase")
+        found = found.unionByName(near.select("qid", "place", F.lit("near phrase").alias("kind"), F.lit("").alias("word")))
+    return found
+
+
 def score_knowledge(turns: DataFrame, entries: DataFrame, keys: list[str], fuzzy: bool = False) -> DataFrame:
     """keys, intent_id, score: the best entry that reaches its threshold. Exact 1.00, phrase 0.99, two keywords 0.95, one
     0.82, part of one 0.63; with `fuzzy`, near phrases 0.90 and near keywords count, a single word alone doesn't, and two
-    entries less than 0.15 apart below 0.99 give none. The entries are a small table, so each turn meets all of them."""
-    q = turns.select(*keys, F.trim(F.lower("text")).alias("q"), F.array_distinct(tokenize(F.trim(F.lower("text")))).alias("w"))
-    pairs = q.crossJoin(counted(entries))
-    title = F.array(F.lower("title"), F.lower(F.translate("intent_id", "_", " ")))
-    padded = F.concat(F.lit(" "), "q", F.lit(" "))
-    exact = F.array_contains(F.concat(title, "phrases"), F.col("q"))
-    phrase = F.exists("phrases", lambda p: F.contains(p, F.lit(" ")) & F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))
-    shared = F.size(F.array_intersect("w", "keywords"))
-    score = F.when(exact, 1.0).when(phrase, 0.99)
+    entries less than 0.15 apart below 0.99 give none. An entry that shares nothing with a turn has no score, nor have empty
+    keywords. Distinct texts are scored, and only against the entries that they share something with."""
+    q = F.trim(F.lower("text"))
+    said = turns.select(*keys, q.alias("q")).filter("q is not null").withColumn("qid", F.md5("q"))
+    texts = said.select("qid", "q").distinct().select("qid", "q", F.split("q", " ").alias("pieces"), F.array_distinct(tokenize(F.col("q"))).alias("w"))
+    texts = written(texts, "asked")
+    has = lambda kind: F.count_if(F.col("kind") == kind) > 0
+    sums = _knowledge_evidence(texts, entries, fuzzy).groupBy("qid", "place").agg(
+        has("exact").alias("exact"), has("phrase").alias("phrase"), has("near phrase").alias("near_phrase"), has("near").alias("near"), has("part").alias("part"),
+        F.count_distinct(F.when(F.col("kind") == "same", F.col("word"))).alias("shared"),
+    )
+    known = sums.join(counted(entries.select("place", "intent_id", "threshold", F.size("keywords").alias("n_keywords"))), "place")
+    known = known.join(texts.select("qid", F.size("w").alias("n_words")), "qid")
+    score = F.when(F.col("exact"), 1.0).when(F.col("phrase"), 0.99)
     if fuzzy:
-
-        @F.pandas_udf("struct<phrase:boolean,word:boolean>")
-        def near(text: pd.Series, words: pd.Series, phrases: pd.Series, keywords: pd.Series) -> pd.DataFrame:
-            alike = lambda a, b, least: difflib.SequenceMatcher(None, b, a, autojunk=False).ratio() >= least
-            by_phrase = [len(t) > 4 and any(set(p.split()) & set(w) and alike(t, p, 0.85) for p in ps) for t, w, ps in zip(text, words, phrases, strict=True)]
-            fits = lambda x, k: len(x) > 4 and abs(len(x) - len(k)) <= 2 and (x.startswith(k[:3]) or k.startswith(x[:3])) and alike(x, k, 0.8)
-            by_word = [any(fits(x, k) for x in w for k in ks) for w, ks in zip(words, keywords, strict=True)]
-            return pd.DataFrame({"phrase": by_phrase, "word": by_word})
-
-        pairs = pairs.withColumn("near", near("q", "w", "phrases", "keywords"))
-        one = (shared == 1) | ((shared == 0) & F.col("near.word"))
-        score = score.when(F.col("near.phrase"), 0.90).when(shared >= 2, 0.95).when(one & (F.size("w") == 1) & (F.size("keywords") > 1), 0.0).when(one, 0.82).otherwise(0.0)
+        one = (F.col("shared") == 1) | ((F.col("shared") == 0) & F.col("near"))
+        alone = one & (F.col("n_words") == 1) & (F.col("n_keywords") > 1)
+        score = score.when(F.col("near_phrase"), 0.90).when(F.col("shared") >= 2, 0.95).when(alone, 0.0).when(one, 0.82).otherwise(0.0)
     else:
-        part = F.exists("w", lambda w: (F.length(w) >= 3) & F.exists("keywords", lambda k: F.contains(k, w) | F.contains(w, k)))
-        score = score.when(shared >= 2, 0.95).when(shared == 1, 0.82).when(part, 0.63).otherwise(0.0)
-    ok = pairs.withColumn("score", score).filter(F.col("score") >= F.col("threshold"))
-    by = Window.partitionBy(*keys).orderBy(F.desc("score"), "place")
+        score = score.when(F.col("shared") >= 2, 0.95).when(F.col("shared") == 1, 0.82).when(F.col("part"), 0.63).otherwise(0.0)
+    ok = known.withColumn("score", score).filter((F.col("score") >= F.col("threshold")) & (F.col("score") > 0))
+    by = Window.partitionBy("qid").orderBy(F.desc("score"), "place")
     ranked = ok.withColumn("rn", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).filter("rn = 1")
     if fuzzy:
         ranked = ranked.filter(~(F.col("score").between(0.80, 0.9899) & (F.col("next") > 0) & (F.col("score") - F.col("next") < 0.15)) | F.col("next").isNull())
-    return ranked.select(*keys, "intent_id", "score")
+    return said.select(*keys, "qid").join(ranked.select("qid", "intent_id", "score"), "qid").select(*keys, "intent_id", "score")
 
 
 def flow_partition(turns: DataFrame, phrases: DataFrame, business: list[str], keys: list[str]) -> DataFrame:

@@ -91,7 +91,8 @@ def fuzzy_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"WITH {TURNS} SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '\bof the\b', 'of_the', 'gi'), '\bthe\b', 'article', 'gi'), '\band\b', 'join', 'gi') AS text FROM turns")
 def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).select(*KEYS, Q.resolve_aliases(F.col("text"), {"of the": "of_the", "the": "article", "and": "join"}).alias("text"))
+    aliases = Q.alias_table(spark, {"of the": "of_the", "the": "article", "and": "join"})
+    return Q.resolve_aliases(turns(spark, sf_dir), aliases).select(*KEYS, F.col("resolved").alias("text"))
 
 
 _PHRASES = ", ".join(f"('{g}', '{p}', {len(p.split())})" for g, ps in PHRASES.items() for p in ps)
