@@ -334,16 +334,23 @@ def _alike(x: str, y: str, least: float) -> Column:
     return 2 * F.least(F.length(x), F.length(y)) >= least * (F.length(x) + F.length(y))
 
 
-def _word_relations(tokens: DataFrame, keywords: DataFrame, fuzzy: bool) -> DataFrame:
+#: The score of a text that shares but a part of a word with an entry.
+PART = 0.63
+
+
+def _word_relations(tokens: DataFrame, keywords: DataFrame, low: DataFrame, fuzzy: bool) -> DataFrame:
     """(token, keyword, kind) of distinct tokens and keywords: equal (same), and with fuzzy near (from five letters, the first
-    three alike), else with one inside the other (part)."""
+    three alike), else, of the keywords in `low`, with one inside the other (part)."""
     same = tokens.join(keywords, F.col("token") == F.col("keyword")).select("token", "keyword", F.lit("same").alias("kind"))
     if fuzzy:
         long = tokens.filter(F.length("token") > 4).withColumn("start", F.left("token", F.lit(3)))
         met = long.join(keywords.withColumn("start", F.left("keyword", F.lit(3))), "start").filter((F.abs(F.length("token") - F.length("keyword")) <= 2) & _alike("token", "keyword", 0.8))
         near = met.filter(_ratio(F.col("token"), F.col("keyword")) >= 0.8)
         return same.unionByName(near.select("token", "keyword", F.lit("near").alias("kind")))
-    words = tokens.filter(F.length("token") >= 3)
+    if low.isEmpty():
+        return same
+    words = written(tokens.filter(F.length("token") >= 3), "tokens")
+    keywords = low
     inner = held(words.select(F.col("token").alias("needle")), keywords.select(F.col("keyword").alias("item"), F.col("keyword").alias("text")))
     outer = held(keywords.select(F.col("keyword").alias("needle")), words.select(F.col("token").alias("item"), F.col("token").alias("text")))
     part = inner.select(F.col("needle").alias("token"), F.col("item").alias("keyword")).unionByName(outer.select(F.col("item").alias("token"), F.col("needle").alias("keyword")))
@@ -355,7 +362,9 @@ def _knowledge_evidence(texts: DataFrame, entries: DataFrame, fuzzy: bool) -> Da
     by its phrases as runs of words, or by words that its keywords or phrases hold; nothing else is compared."""
     words = texts.select("qid", F.explode("w").alias("token"))
     keywords = entries.select("place", F.explode(F.array_distinct("keywords")).alias("keyword")).filter("keyword <> ''")
-    related = _word_relations(words.select("token").distinct(), keywords.select("keyword").distinct(), fuzzy)
+    # A part of a word alone scores PART, so only entries that take so little need these pairs.
+    low = keywords.join(entries.filter(F.col("threshold") <= PART).select("place"), "place", "left_semi").select("keyword").distinct()
+    related = _word_relations(words.select("token").distinct(), keywords.select("keyword").distinct(), low, fuzzy)
     found = words.join(related, "token").join(counted(keywords), "keyword").select("qid", "place", "kind", F.col("keyword").alias("word"))
 
     names = F.concat(F.array(F.lower("title"), F.lower(F.translate("intent_id", "_", " "))), "phrases")
@@ -403,7 +412,7 @@ def score_knowledge(turns: DataFrame, entries: DataFrame, keys: list[str], fuzzy
         alone = one & (F.col("n_words") == 1) & (F.col("n_keywords") > 1)
         score = score.when(F.col("near_phrase"), 0.90).when(F.col("shared") >= 2, 0.95).when(alone, 0.0).when(one, 0.82).otherwise(0.0)
     else:
-        score = score.when(F.col("shared") >= 2, 0.95).when(F.col("shared") == 1, 0.82).when(F.col("part"), 0.63).otherwise(0.0)
+        score = score.when(F.col("shared") >= 2, 0.95).when(F.col("shared") == 1, 0.82).when(F.col("part"), PART).otherwise(0.0)
     ok = known.withColumn("score", score).filter((F.col("score") >= F.col("threshold")) & (F.col("score") > 0))
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "place")
     ranked = ok.withColumn("rn", F.row_number().over(by)).withColumn("next", F.lead("score").over(by)).filter("rn = 1")

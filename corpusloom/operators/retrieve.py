@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
-from corpusloom.sources.tables import counted, written
+from corpusloom.sources.tables import counted, spread, written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -208,12 +208,12 @@ def held(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
     each = F.lit(None).cast("array<bigint>")
     for n in widths:
         each = F.when(F.col("n") == n, _grams(F.col("needle"), n)).otherwise(each)
-    parts = asked.select("needle", F.explode(F.array_distinct(each)).alias("gram"))
-    spread = texts.select("item", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in widths]))).alias("gram"))
-    known = spread.join(counted(parts.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    parts = written(asked.select("needle", F.explode(F.array_distinct(each)).alias("gram")), "runs")
+    held_runs = spread(texts).select("item", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in widths]))).alias("gram"))
+    known = held_runs.join(counted(parts.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
     least = parts.join(known, "gram", "left").groupBy("needle").agg(F.count_if(F.col("df").isNull()).alias("missing"), F.min_by("gram", F.struct("df", "gram")).alias("gram"))
     rare = written(least.filter("missing = 0").select("needle", "gram"), "rare-runs")
-    near = spread.join(counted(rare), "gram").select("item", "needle")
+    near = held_runs.join(counted(rare), "gram").select("item", "needle")
     return near.join(texts, "item").filter(F.contains("text", F.col("needle"))).select("item", "needle")
 
 
@@ -237,7 +237,7 @@ def metadata_search(queries: DataFrame, chunks: DataFrame, k: int, match: str =
     if match == "words":
         words = F.array_distinct(F.filter(F.split("q", " "), lambda w: F.length(w) >= 4))
         asked = asked.unionByName(q.select("query_id", F.explode(words).alias("needle"), F.lit("word").alias("kind")))
-    met = held(asked.select("needle"), best.select("item", F.col("value").alias("text")).distinct())
+    met = held(asked.select("needle"), written(best.select("item", F.col("value").alias("text")).distinct(), "values"))
     some = top_k(met.join(best.drop("value"), "item").withColumn("at", F.struct("needle", "field")), k, F.lit(0), by="at").select("needle", "field", "chunk_id")
     score = F.lit(None).cast("double")
     for field, value in FIELDS.items():
