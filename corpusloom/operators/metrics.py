@@ -26,14 +26,23 @@ def pipeline_metrics(log: DataFrame) -> DataFrame:
 
 
 def stage_latency(traces: DataFrame, budget: float = BUDGET_MS) -> DataFrame:
-    """traces (trace: array of (engine, handled, ms)) -> per engine: calls, handled, mean, largest, share over the budget."""
+    """traces (trace: array of (engine, handled, ms)) -> per engine: calls, handled, mean, largest, share over the budget, and
+    the median, 95th and 99th percentile. (quantiles.sketched keeps them by hour, to be merged.)"""
     each = traces.select(F.explode("trace").alias("t")).select("t.*")
     return each.groupBy("engine").agg(
         F.count("*").alias("calls"), F.count_if("handled").alias("handled"), F.round(F.avg("ms"), 6).alias("mean_ms"), F.max("ms").alias("max_ms"),
-        F.round(F.count_if(F.col("ms") > budget) / F.count("*"), 6).alias("over_budget"),
+        F.round(F.count_if(F.col("ms") > budget) / F.count("*"), 6).alias("over_budget"), *percentiles("ms"),
     )
 
 
+#: Inverse of the relative rank error of percentiles.
+ACCURACY = 100_000
+
+
+def percentiles(column: str) -> list[Column]:
+    return [F.percentile_approx(column, p / 100, ACCURACY).alias(f"p{p}") for p in (50, 95, 99)]
+
+
 def _stretches(calls: DataFrame) -> DataFrame:
     """calls (provider, at, ok), dealt by ranges of provider and time, so that a busy provider is walked in several tasks.
     Each leaves a stretch: its failures, the runs of them at its head and tail and the longest one, the health it gives as

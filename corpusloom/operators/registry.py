@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.metrics import percentiles
 from corpusloom.sources.tables import written
 
 EXTENSIONS = ("pdf", "docx", "txt", "md", "markdown")
@@ -133,9 +134,9 @@ def job_progress(stages: DataFrame, now: Column) -> DataFrame:
 
 
 def stage_timings(versions: DataFrame, stages: list[str]) -> DataFrame:
-    """stage -> runs, total, mean, largest milliseconds over all versions."""
+    """stage -> runs, total, mean, largest milliseconds over all versions, and the median, 95th and 99th percentile."""
     pairs = versions.unpivot(["version_id"], stages, "stage", "ms")
-    return pairs.groupBy("stage").agg(F.count("ms").alias("runs"), F.sum("ms").alias("total_ms"), F.round(F.avg("ms"), 6).alias("avg_ms"), F.max("ms").alias("max_ms"))
+    return pairs.groupBy("stage").agg(F.count("ms").alias("runs"), F.sum("ms").alias("total_ms"), F.round(F.avg("ms"), 6).alias("avg_ms"), F.max("ms").alias("max_ms"), *percentiles("ms"))
 
 
 def indexed_vocabulary(chunks: DataFrame) -> DataFrame:

@@ -217,7 +217,8 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {VERSIONS}, u AS (UNPIVOT (SELECT version_id, {', '.join(STAGES)} FROM versions) ON {', '.join(STAGES)} INTO NAME stage VALUE ms) "
-    "SELECT stage, count(ms) AS runs, sum(ms)::BIGINT AS total_ms, round(avg(ms), 6) AS avg_ms, max(ms) AS max_ms FROM u GROUP BY stage"
+    "SELECT stage, count(ms) AS runs, sum(ms)::BIGINT AS total_ms, round(avg(ms), 6) AS avg_ms, max(ms) AS max_ms, "
+    "quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99 FROM u GROUP BY stage"
 )
 def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stage_timings(versions(spark, sf_dir), list(STAGES))

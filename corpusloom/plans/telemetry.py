@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evidence as E
 from corpusloom.operators import metrics as M
 from corpusloom.operators import querylog as Q
+from corpusloom.operators import quantiles
 from corpusloom.operators import retrieve as R
 from corpusloom.plans.base import ladder_sql, query
 from corpusloom.plans.evidence import FORMATS
 from corpusloom.plans.querylog import TURNS, turns
 from corpusloom.plans.retrieval import CHUNKS, HITS, K, chunks, hits, keyword_sql, passages, q_sql
 from corpusloom.functions import dictionaries as D
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import table, written
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'rag' WHEN 'view' THEN 'rag' WHEN 'click' THEN 'cache_hit' WHEN 'error' THEN 'fallback' ELSE 'fast' END"
 
@@ -41,7 +42,8 @@ def pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT event_type AS engine, value IS NOT NULL AS handled, value AS ms FROM events UNION ALL SELECT 'total', TRUE, value + 1 FROM events)
-SELECT engine, count(*) AS calls, count(*) FILTER (handled) AS handled, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms, round(count(*) FILTER (ms > 25) / count(*), 6) AS over_budget FROM t GROUP BY engine"""
+SELECT engine, count(*) AS calls, count(*) FILTER (handled) AS handled, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms, round(count(*) FILTER (ms > 25) / count(*), 6) AS over_budget,
+quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99 FROM t GROUP BY engine"""
 )
 def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda e, h, ms: F.struct(e.alias("engine"), h.alias("handled"), ms.alias("ms"))
@@ -49,6 +51,20 @@ def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stage_latency(table(spark, sf_dir, "events").select(trace.alias("trace")))
 
 
+@query("SELECT event_type AS engine, date_trunc('day', ts)::TIMESTAMP AS period, count(value) AS n, TRUE AS within FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def latency_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by hour, merged to days; whether the day's 50th, 95th and 99th percentiles stand at their rank."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("engine"), "ts", "value")
+    hours = written(quantiles.sketched(events, ["engine"], F.col("value"), F.date_trunc("hour", "ts")), "hours")
+    days = quantiles.quantiles(quantiles.merged(hours, ["engine"], F.date_trunc("day", "period")), ["engine"])
+    each = events.select("engine", F.date_trunc("day", "ts").alias("period"), F.col("value").cast("double").alias("value")).filter("value is not null")
+    met = each.join(F.broadcast(days), ["engine", "period"])
+    ranks = met.groupBy("engine", "period", "n").agg(*[F.count_if(F.col("value") < F.col(f"p{p}")).alias(f"below{p}") for p in (50, 95, 99)], *[F.count_if(F.col("value") <= F.col(f"p{p}")).alias(f"upto{p}") for p in (50, 95, 99)])
+    error = quantiles.RANK_ERROR * F.col("n") + 1
+    fits = [(F.col(f"below{p}") <= p / 100 * F.col("n") + error) & (F.col(f"upto{p}") >= p / 100 * F.col("n") - error) for p in (50, 95, 99)]
+    return ranks.select("engine", "period", "n", (fits[0] & fits[1] & fits[2]).alias("within"))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("provider"), F.struct("ts", "event_id").alias("at"), (F.col("event_type") != "error").alias("ok"))
 
