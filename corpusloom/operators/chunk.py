@@ -175,11 +175,31 @@ def link_neighbors(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"previous_chunk": F.lag("chunk_id").over(by), "next_chunk": F.lead("chunk_id").over(by)})
 
 
+def _walk(document: str | None, texts: list[str | None]) -> list[int]:
+    """Where each text begins, or -1: the first place behind the start of the one found before."""
+    out, at = [], 0
+    for t in texts:
+        start = document.find(t, at) if document and t else -1
+        out.append(start)
+        at = start + 1 if start >= 0 else at
+    return out
+
+
 def chunk_offsets(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """start and end of a chunk in its document, 0 where it isn't found."""
-    at = F.instr(F.col("document"), F.col("text"))
-    joined = chunks.join(documents.select("doc_id", F.col("text").alias("document")), "doc_id")
-    return joined.withColumn("start", F.greatest(at - 1, F.lit(0))).withColumn("end", F.when(at > 0, at - 1 + F.length("text")).otherwise(0)).drop("document")
+    """start and end of a chunk in its document, 0 where it isn't found. The chunks of a document, which together are about as
+    long as it is, meet it once and are found in one walk by chunk_index, so equal texts get ascending places."""
+    rows = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", F.struct(*[F.col(c) for c in chunks.columns if c not in ("chunk_index", "chunk_id", "doc_id")]).alias("r"))))
+    grouped = chunks.groupBy("doc_id").agg(rows.alias("rows")).join(documents.select("doc_id", F.col("text").alias("document")), "doc_id")
+
+    @F.arrow_udf("array<int>")
+    def starts(document: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([_walk(d, t) for d, t in zip(document.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    placed = grouped.select("doc_id", F.explode(F.arrays_zip("rows", starts("document", "rows.r.text").alias("at"))).alias("x"))
+    found = F.col("x.at") >= 0
+    start = F.when(found, F.col("x.at")).otherwise(0)
+    flat = placed.select("doc_id", "x.rows.chunk_index", "x.rows.chunk_id", "x.rows.r.*", start.alias("start"), F.when(found, F.col("x.at") + F.length("x.rows.r.text")).otherwise(0).alias("end"))
+    return flat.select(*chunks.columns, "start", "end")
 
 
 def chunk_profile(chunks: DataFrame, text: Column) -> DataFrame:

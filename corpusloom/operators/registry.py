@@ -47,19 +47,23 @@ def dedupe(batch: DataFrame, registry: DataFrame, arrival: str = "arrival") -> D
     return marked.withColumn("duplicate", F.col("known__").isNotNull() | (F.col(arrival) > F.col("first__"))).drop("first__", "known__")
 
 
+def numbered(df: DataFrame, key: str, *order: Column | str, name: str = "number") -> DataFrame:
+    """df with each row's number (from 1) within its key. Rows are dealt by ranges of key and order and numbered within a
+    range, so a key of many rows is no one task's work; ranges of a key go on from the counts of those before. Written, as
+    ranges must not move in between."""
+    ranged = written(df.repartitionByRange(key, *order).withColumn("part__", F.spark_partition_id()), "ranges")
+    row = F.row_number().over(Window.partitionBy(key, "part__").orderBy(*order))
+    sizes = ranged.groupBy(key, "part__").agg(F.count("*").alias("n__"))
+    before = F.sum("n__").over(Window.partitionBy(key).orderBy("part__")) - F.col("n__")
+    starts = sizes.select(F.col(key).alias("k__"), F.col("part__").alias("p__"), before.alias("before__"))
+    both = ranged.withColumn("row__", row).join(starts, F.col(key).eqNullSafe(F.col("k__")) & (F.col("part__") == F.col("p__")))
+    return both.withColumn(name, F.col("row__") + F.col("before__")).drop("row__", "part__", "k__", "p__", "before__")
+
+
 def assign_versions(batch: DataFrame, latest: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """batch with version_number: on from the latest one of its filename (filename, latest_version), in arrival order. Rows
-    are dealt by ranges of filename and arrival and numbered within a range, so a filename of many rows is no one task's
-    work; ranges of a filename go on from the counts of those before. Written, as ranges must not move in between."""
-    ranged = batch.repartitionByRange("filename", arrival).withColumn("part__", F.spark_partition_id())
-    ranged = written(ranged, "ranges")
-    row = F.row_number().over(Window.partitionBy("filename", "part__").orderBy(arrival))
-    sizes = ranged.groupBy("filename", "part__").agg(F.count("*").alias("n__"))
-    before = F.sum("n__").over(Window.partitionBy("filename").orderBy("part__")) - F.col("n__")
-    starts = sizes.select(F.col("filename").alias("f__"), F.col("part__").alias("p__"), before.alias("before__"))
-    numbered = ranged.withColumn("row__", row).join(starts, F.col("filename").eqNullSafe(F.col("f__")) & (F.col("part__") == F.col("p__"))).join(latest, "filename", "left")
-    number = F.col("row__") + F.col("before__") + F.coalesce("latest_version", F.lit(0))
-    return numbered.withColumn("version_number", number).drop("row__", "part__", "f__", "p__", "before__", "latest_version")
+    """batch with version_number: on from the latest one of its filename (filename, latest_version), in arrival order."""
+    each = numbered(batch, "filename", arrival, name="version_number").join(latest, "filename", "left")
+    return each.withColumn("version_number", F.col("version_number") + F.coalesce("latest_version", F.lit(0))).drop("latest_version")
 
 
 def latest_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
@@ -73,14 +77,24 @@ def latest_versions(documents: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
-def document_details(versions: DataFrame, chunks: DataFrame, jobs: DataFrame) -> DataFrame:
-    """document_id -> versions (newest first), each with its latest job's status and its chunks by index."""
-    # Bounded by what one document has.
-    by_version = chunks.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_hash"))).alias("chunks"))
+#: Chunks of a page of document_details().
+PAGE_ROWS = 1000
+
+
+def document_details(versions: DataFrame, chunks: DataFrame, jobs: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(document_id, page, n_versions, n_chunks, rows): page 0 heads a document with its counts; the pages from 1 on hold its
+    chunks in up to page_rows rows (version_number, status, job_status, chunk_index, chunk_hash), newest version first, with its
+    latest job's status; a version without chunks has one row. So no row holds all of a large document."""
     job = jobs.groupBy("version_id").agg(F.max_by("job_status", F.struct("start_time", "job_id")).alias("job_status"))
-    full = versions.join(by_version, "version_id", "left").join(job, "version_id", "left")
-    item = F.struct("version_number", "status", "job_status", "chunks")
-    return full.groupBy("document_id").agg(F.sort_array(F.collect_list(item), asc=False).alias("versions"))
+    full = versions.join(job, "version_id", "left").join(chunks, "version_id", "left")
+    rows = full.select("document_id", "version_number", "status", "job_status", "chunk_index", "chunk_hash")
+    placed = numbered(rows, "document_id", F.desc("version_number"), F.asc_nulls_first("chunk_index"), name="place")
+    item = F.struct("place", "version_number", "status", "job_status", "chunk_index", "chunk_hash")
+    paged = placed.groupBy("document_id", (F.floor((F.col("place") - 1) / page_rows) + 1).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    none = F.lit(None).cast("bigint")
+    pages = paged.select("document_id", "page", none.alias("n_versions"), none.alias("n_chunks"), F.transform("rows", lambda r: r.dropFields("place")).alias("rows"))
+    heads = versions.groupBy("document_id").agg(F.count("*").alias("n_versions")).join(rows.groupBy("document_id").agg(F.count("chunk_index").alias("n_chunks")), "document_id")
+    return pages.unionByName(heads.withColumns({"page": F.lit(0).cast("bigint"), "rows": F.lit(None)}).withColumn("rows", F.col("rows").cast(pages.schema["rows"].dataType)))
 
 
 def delete_documents(ids: DataFrame, documents: DataFrame, versions: DataFrame, *children: DataFrame) -> list[DataFrame]:

@@ -126,45 +126,32 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, text: str = "tex
     return best.select("query_id", "chunk_id", "bm25", F.round(score, 6).alias("score"), "rank")
 
 
-def holding(passages: DataFrame, documents: DataFrame, few: int = 2_000) -> DataFrame:
-    """passages (query_id, text), documents (item, document) -> (query_id, item) where the document holds the passage letter by
-    letter. As few passages as this are held against all documents. Of more, a passage's words but its first and last are
-    whole words of such a document, so the two meet by the rarest of them; only passages of fewer than three words don't."""
-    if passages.limit(few + 1).count() <= few:
-        return documents.join(F.broadcast(passages.select("query_id", "text").distinct()), F.contains("document", F.col("text"))).select("query_id", "item")
-    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    asked = passages.filter("text is not null").withColumn("w", split("text"))
-    inner = asked.filter(F.size("w") > 2).select("query_id", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("term"))
-    words = documents.select("item", F.explode_outer(split("document")).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
-    stands = written(words.distinct(), "standing")
-    rare = stands.groupBy("term").agg(F.count("*").alias("df")).join(inner, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = stands.join(rare, "term").select("query_id", "item").join(asked.select("query_id", "text").distinct(), "query_id")
-    met = near.join(documents, "item")
-    short = documents.join(counted(asked.filter(F.size("w") < 3).select("query_id", "text").distinct()), F.contains("document", F.col("text")))
-    return met.filter(F.contains("document", F.col("text"))).select("query_id", "item").unionByName(short.select("query_id", "item"))
-
-
 def web_groups(queries: DataFrame) -> DataFrame:
-    """(query_id, gid, kind, offset, n, term) of web-search texts: a quoted phrase, "a or b", -term, plain terms; two or more
-    capitals in a row count as a term that may be missing."""
+    """(query_id, gid, kind, offset, n, term) of web-search texts: a quoted phrase, "a or b", -term, plain terms (any). A word of
+    two or more capitals, an abbreviation, adds to the score but may be missing (may), unless the query has nothing else."""
     text = F.col("text")
     phrases = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
     rest = F.regexp_replace(F.regexp_replace(text, '"[^"]*"', " "), r"(?i)\s+or\s+", "|")
     tokens = F.filter(F.split(rest, r"\s+"), lambda t: F.length(t) > 0)
-    group = lambda kind, words: F.struct(F.lit(kind).alias("kind"), words.alias("words"))
+    group = lambda kind, words: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), words.alias("words"))
     split = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0))
     groups = F.concat(
         F.transform(phrases, lambda p: group("phrase", split(p))),
         F.transform(F.filter(tokens, lambda t: t.startswith("-")), lambda t: group("not", split(t))),
-        F.transform(F.filter(tokens, lambda t: ~t.startswith("-")), lambda t: group("any", split(t))),
+        F.transform(F.filter(tokens, lambda t: ~t.startswith("-")), lambda t: group(F.when(t.rlike(r"^\W*[A-Z]{2,}\W*$"), "may").otherwise("any"), split(t))),
     )
-    each = queries.select("query_id", F.posexplode(F.filter(groups, lambda g: F.size(g["words"]) > 0)).alias("gid", "g"))
+    some = queries.select("query_id", F.filter(groups, lambda g: F.size(g["words"]) > 0).alias("groups"))
+    needed = F.exists("groups", lambda g: g["kind"].isin("phrase", "any"))
+    kind = lambda g: F.when((g["kind"] == "may") & ~F.col("needed"), "any").otherwise(g["kind"])
+    some = some.withColumn("needed", needed).select("query_id", F.transform("groups", lambda g: F.struct(kind(g).alias("kind"), g["words"].alias("words"))).alias("groups"))
+    each = some.select("query_id", F.posexplode("groups").alias("gid", "g"))
     flat = each.select("query_id", "gid", F.col("g.kind").alias("kind"), F.size("g.words").alias("n"), F.posexplode("g.words").alias("offset", "term"))
-    return flat.filter(~((F.col("kind") == "any") & (F.col("n") == 1) & F.col("term").isin(*T.STOP_WORDS)))
+    return flat.filter(~(F.col("kind").isin("any", "may") & (F.col("n") == 1) & F.col("term").isin(*T.STOP_WORDS)))
 
 
 def keyword_topk_websearch(queries: DataFrame, chunks: DataFrame, k: int = 40) -> DataFrame:
-    """(query_id, chunk_id, score, rank): all plain terms and phrases, one of each "or", none of the excluded; by occurrences."""
+    """(query_id, chunk_id, score, rank): all plain terms and phrases, one of each "or", none of the excluded; by occurrences,
+    abbreviations' too."""
     groups = web_groups(queries)
     words = chunks.select("chunk_id", F.posexplode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("at", "term"))
     asked = words.join(groups.select("term").distinct(), "term", "left_semi")
@@ -175,9 +162,9 @@ def keyword_topk_websearch(queries: DataFrame, chunks: DataFrame, k: int = 40) -
     )
     good = starts.filter((F.col("kind") != "phrase") | (F.col("offsets") == F.col("n")))
     hits = good.groupBy("query_id", "chunk_id").agg(
-        F.count_distinct(F.when(F.col("kind") != "not", F.col("gid"))).alias("got"), F.count_if(F.col("kind") == "not").alias("excluded"), F.sum("times").cast("double").alias("score")
+        F.count_distinct(F.when(F.col("kind").isin("phrase", "any"), F.col("gid"))).alias("got"), F.count_if(F.col("kind") == "not").alias("excluded"), F.sum("times").cast("double").alias("score")
     )
-    needed = groups.filter("kind <> 'not'").groupBy("query_id").agg(F.count_distinct("gid").alias("needed"))
+    needed = groups.filter("kind in ('phrase', 'any')").groupBy("query_id").agg(F.count_distinct("gid").alias("needed"))
     full = hits.join(needed, "query_id").filter("got = needed AND excluded = 0")
     return top_k(full.select("query_id", "chunk_id", "score"), k)
 
@@ -194,29 +181,51 @@ def _grams(text: Column, n: int) -> Column:
     return F.coalesce(F.get(runs, F.lit(0)), F.array().cast("array<bigint>"))
 
 
-def held(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
-    """needles (needle), texts (item, text) -> (item, needle) where the text holds the needle, letter by letter.
+def _word_runs(words: Column, n: int) -> Column:
+    """Hashes of the runs of n words."""
+    run = lambda w: lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " "))
+    runs = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), run(w))))
+    return F.coalesce(F.get(runs, F.lit(0)), F.array().cast("array<bigint>"))
+
 
-    A needle meets texts by one run of `size` of its characters only (of all of them, if it has fewer): that which the fewest
-    texts hold. One pass counts the runs that needles have, a second one takes the rare ones; needles with a run that no
-    text holds are gone in between. Needles and items are distinct values."""
-    long = F.least(F.length("needle"), F.lit(size))
-    asked = written(needles.filter("needle <> ''").distinct().withColumn("n", long), "needles")
+def _met(asked: DataFrame, texts: DataFrame, of_needle: Callable[[int], Column], of_text: Callable[[int], Column]) -> DataFrame:
+    """(item, needle) where a text holds a needle, for asked (needle, n, ...), a written table: a needle meets texts by the one
+    of its runs of length n that the fewest texts hold. One pass counts the runs that needles have, a second one takes the rare
+    ones; needles with a run that no text holds are gone in between."""
     widths = sorted(r.n for r in asked.select("n").distinct().collect())
     if not widths:
         return texts.select("item").join(asked.select("needle"), F.lit(False))
     each = F.lit(None).cast("array<bigint>")
     for n in widths:
-        each = F.when(F.col("n") == n, _grams(F.col("needle"), n)).otherwise(each)
+        each = F.when(F.col("n") == n, of_needle(n)).otherwise(each)
     parts = written(asked.select("needle", F.explode(F.array_distinct(each)).alias("gram")), "runs")
-    held_runs = spread(texts).select("item", F.explode(F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in widths]))).alias("gram"))
-    known = held_runs.join(counted(parts.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    every = spread(texts).select("item", F.explode(F.array_distinct(F.concat(*[of_text(n) for n in widths]))).alias("gram"))
+    known = every.join(counted(parts.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
     least = parts.join(known, "gram", "left").groupBy("needle").agg(F.count_if(F.col("df").isNull()).alias("missing"), F.min_by("gram", F.struct("df", "gram")).alias("gram"))
     rare = written(least.filter("missing = 0").select("needle", "gram"), "rare-runs")
-    near = held_runs.join(counted(rare), "gram").select("item", "needle")
+    near = every.join(counted(rare), "gram").select("item", "needle")
     return near.join(texts, "item").filter(F.contains("text", F.col("needle"))).select("item", "needle")
 
 
+def held(needles: DataFrame, texts: DataFrame, size: int = GRAM) -> DataFrame:
+    """needles (needle), texts (item, text) -> (item, needle) where the text holds the needle, letter by letter; they meet by
+    runs of `size` characters (of all of them, if a needle has fewer). Items are distinct."""
+    asked = written(needles.filter("needle <> ''").distinct().withColumn("n", F.least(F.length("needle"), F.lit(size))), "needles")
+    return _met(asked, texts, lambda n: _grams(F.col("needle"), n), lambda n: _grams(F.col("text"), n))
+
+
+def held_passages(needles: DataFrame, texts: DataFrame, size: int = 5) -> DataFrame:
+    """held() for longer needles and texts: they meet by runs of `size` words, of all but a needle's first and last word,
+    which are whole words of each text that holds it. Needles of fewer than three words go by characters."""
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    asked = needles.filter("needle <> ''").distinct().withColumn("w", split("needle"))
+    asked = written(asked.withColumn("n", F.least(F.size("w") - 2, F.lit(size))), "passages")
+    inner = lambda n: _word_runs(F.slice("w", F.lit(2), F.size("w") - 2), n)
+    long = _met(asked.filter("n > 0"), texts, inner, lambda n: _word_runs(split("text"), n))
+    short = asked.filter("n <= 0").select("needle")
+    return long if short.isEmpty() else long.unionByName(held(short, texts))
+
+
 #: Where a query's text is found -> score; a word of it anywhere.
 FIELDS = {"filename": 0.95, "heading": 0.92, "section": 0.88}
 WORD_SCORE = 0.80

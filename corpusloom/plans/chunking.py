@@ -65,8 +65,11 @@ def link_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {FIXED}, j AS (SELECT chunk_id, c.text AS t, instr(d.text, c.text) AS pos FROM chunks c JOIN documents d USING (doc_id))
-SELECT chunk_id, greatest(pos - 1, 0)::INT AS "start", (CASE WHEN pos > 0 THEN pos - 1 + length(t) ELSE 0 END)::INT AS "end" FROM j"""
+    f"""WITH RECURSIVE {FIXED}, c AS (SELECT doc_id, chunk_id, c.text AS t, d.text AS d, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS i FROM chunks c JOIN documents d USING (doc_id)),
+w AS (SELECT doc_id, ''::VARCHAR AS chunk_id, 0::BIGINT AS i, 0::BIGINT AS upto, -1::BIGINT AS start, 0::BIGINT AS n FROM (SELECT DISTINCT doc_id FROM c)
+UNION ALL SELECT doc_id, chunk_id, i, CASE WHEN pos > 0 THEN upto + pos ELSE upto END, CASE WHEN pos > 0 THEN upto + pos - 1 ELSE -1 END, n
+FROM (SELECT c.doc_id, c.chunk_id, c.i, w.upto, instr(substr(d, w.upto + 1), t) AS pos, length(t) AS n FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1))
+SELECT chunk_id, greatest(start, 0)::INT AS "start", (CASE WHEN start >= 0 THEN start + n ELSE 0 END)::INT AS "end" FROM w WHERE i > 0"""
 )
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_offsets(fixed(spark, sf_dir), _docs(spark, sf_dir)).select("chunk_id", "start", "end")

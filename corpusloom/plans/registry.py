@@ -130,21 +130,21 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VERSIONS}, {CHUNKS}, c AS (SELECT version_id, list({{'chunk_index': chunk_index, 'chunk_hash': sha256(text)}} ORDER BY chunk_index) AS chunks FROM chunks GROUP BY ALL)
-SELECT document_id, count(*) AS n_versions, string_agg(version_number || ':' || status, ',' ORDER BY version_number DESC) AS states,
-  sha256(string_agg(list_reduce(list_transform(chunks, lambda x: x.chunk_hash), lambda a, b: a || b), ',' ORDER BY version_number DESC)) AS digest
-FROM versions LEFT JOIN c USING (version_id) GROUP BY document_id"""
+    f"""WITH {VERSIONS}, {CHUNKS}, r AS (SELECT document_id, version_number, status, chunk_index, sha256(text) AS chunk_hash,
+  row_number() OVER (PARTITION BY document_id ORDER BY version_number DESC, chunk_index NULLS FIRST) AS place FROM versions LEFT JOIN chunks USING (version_id)),
+p AS (SELECT document_id, (place - 1) // 50 + 1 AS page, count(*) AS n, sha256(string_agg(concat_ws(':', version_number, status, status, chunk_index, chunk_hash), ',' ORDER BY place)) AS digest FROM r GROUP BY ALL)
+SELECT document_id, page, NULL::BIGINT AS n_versions, NULL::BIGINT AS n_chunks, n, digest FROM p
+UNION ALL SELECT document_id, 0, count(DISTINCT version_number), count(chunk_index), NULL, NULL FROM r GROUP BY document_id"""
 )
 def document_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of fifty chunks."""
     parts = chunks(spark, sf_dir).select("version_id", "chunk_index", R.checksum(F.col("text")).alias("chunk_hash"))
     v = versions(spark, sf_dir)
     jobs = v.select("version_id", F.col("version_id").alias("job_id"), F.lit(0).alias("start_time"), F.col("status").alias("job_status"))
-    full = R.document_details(v, parts, jobs)
-    hashes = F.transform("versions", lambda x: F.array_join(F.transform(x["chunks"], lambda c: c["chunk_hash"]), ""))
-    states = F.transform("versions", lambda x: F.concat_ws(":", x["version_number"], x["job_status"]))
-    return full.select(
-        "document_id", F.size("versions").cast("bigint").alias("n_versions"), F.array_join(states, ",").alias("states"), F.sha2(F.array_join(hashes, ","), 256).alias("digest")
-    )
+    full = R.document_details(v, parts, jobs, 50)
+    lines = F.transform("rows", lambda r: F.concat_ws(":", *[r[c].cast("string") for c in ("version_number", "status", "job_status", "chunk_index", "chunk_hash")]))
+    n = F.when(F.col("rows").isNotNull(), F.size("rows")).cast("bigint")
+    return full.select("document_id", "page", "n_versions", "n_chunks", n.alias("n"), F.sha2(F.array_join(lines, ","), 256).alias("digest"))
 
 
 @query(

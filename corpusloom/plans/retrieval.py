@@ -138,20 +138,26 @@ def keyword_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CHUNKS}, b AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
-g AS (SELECT query_id, kind, place, w[i] AS term FROM b, (VALUES ('phrase', 0, 1), ('phrase', 1, 2), ('any', 0, 3), ('any', 1, 4), ('not', 0, 5)) AS p(kind, place, i) WHERE len(w) >= 5),
+    f"""WITH {CHUNKS}, b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+p AS (SELECT item_id * 1000 + j AS query_id, w[6 * j + 1:6 * j + 6] AS w FROM b, unnest(range(0, len(w) // 6)) AS t(j)),
+g AS (SELECT query_id, kind, place, w[i] AS term FROM p, (VALUES ('phrase', 0, 1), ('phrase', 1, 2), ('any', 0, 3), ('any', 1, 4), ('not', 0, 5), ('may', 0, 6)) AS v(kind, place, i)
+  WHERE kind <> 'may' OR (length(w[6]) > 1 AND w[6] NOT IN {STOP_WORDS})),
 t AS (SELECT chunk_id, l[i] AS term, i FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM chunks), unnest(range(1, len(l) + 1)) AS u(i)),
 s AS (SELECT query_id, chunk_id, kind, count(DISTINCT place) AS places, count(*) AS times FROM t JOIN g USING (term) GROUP BY query_id, chunk_id, kind, CASE kind WHEN 'phrase' THEN i - place END),
 h AS (SELECT query_id, chunk_id, sum(times)::DOUBLE AS score FROM s WHERE kind <> 'phrase' OR places = 2 GROUP BY query_id, chunk_id
-  HAVING count(DISTINCT kind) FILTER (kind <> 'not') = 2 AND count(*) FILTER (kind = 'not') = 0)
+  HAVING count(DISTINCT kind) FILTER (kind IN ('phrase', 'any')) = 2 AND count(*) FILTER (kind = 'not') = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM h) WHERE rank <= 40"""
 )
 def keyword_topk_websearch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words as a phrase, the third or the fourth, but not the fifth."""
+    """Every six words of a passage: the first two as a phrase, the third or the fourth, not the fifth, and the sixth as an
+    abbreviation that may be missing."""
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    each = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).filter(F.size("w") >= 5)
-    text = F.format_string('"%s %s" %s or %s -%s', *[F.get("w", F.lit(i)) for i in range(5)])
-    return R.keyword_topk_websearch(each.select("query_id", text.alias("text")), chunks(spark, sf_dir))
+    each = table(spark, sf_dir, "benchmark").select("item_id", w.alias("w")).filter(F.size("w") >= 6)
+    cut = each.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 6).cast("int") - 1)).alias("j"))
+    cut = cut.select((F.col("item_id") * 1000 + F.col("j")).alias("query_id"), F.slice("w", 6 * F.col("j") + 1, F.lit(6)).alias("w"))
+    last = F.get("w", F.lit(5))
+    text = F.format_string('"%s %s" %s or %s -%s %s', *[F.get("w", F.lit(i)) for i in range(5)], F.when(F.length(last) > 1, F.upper(last)).otherwise(""))
+    return R.keyword_topk_websearch(cut.select("query_id", text.alias("text")), chunks(spark, sf_dir))
 
 
 @query(f"WITH {q_sql()}, {CHUNKS}, {metadata_sql(K, 'q')} SELECT * FROM metadata")

@@ -99,8 +99,8 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = passages(spark, sf_dir, False)
     found = R.keyword_topk(asked, chunks(spark, sf_dir), K)
     documents = found.groupBy("query_id", F.split_part("chunk_id", F.lit("-"), F.lit(1)).cast("bigint").alias("item")).agg(F.min("rank").alias("rank"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("document"))
-    truth = R.holding(asked, docs)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    truth = R.held_passages(asked.select(F.col("text").alias("needle")), docs).join(asked.withColumnRenamed("text", "needle"), "needle")
     expected = truth.select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), "item")
     return M.retrieval_eval(expected, documents, K)
 

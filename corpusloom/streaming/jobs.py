@@ -47,7 +47,7 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
 
 
 #: Parts of the registry, by checksum and by filename; a batch reads those that it may meet.
-PARTS = 256
+PARTS = 64
 
 
 def part_of(key: str) -> Column:

@@ -47,6 +47,9 @@ def test_websearch(spark):
     assert ask('"red apple" tea or coffee') == {"a", "c"}
     assert ask('"red apple" tea or coffee -milk') == {"a"}
     assert ask("missing") == set()
+    assert ask("apple TEA") == {"a", "b", "c", "d"} and ask("TEA") == {"a"} and ask("apple tea") == {"a"} and ask("apple -milk TEA") == {"a", "b", "d"}
+    scored = R.keyword_topk_websearch(table(spark, [(1, "apple TEA")], "query_id int, text string"), chunks).collect()
+    assert {r.chunk_id: r.score for r in scored} == {"a": 2.0, "b": 1.0, "c": 1.0, "d": 1.0}
 
 
 def test_fuzzy(spark):
@@ -112,11 +115,11 @@ def test_logit_tiers_and_reports(spark):
     assert {r.version_id: (r.chunks, r.error) for r in report} == {1: (2, None), 2: (0, "no text"), 3: (0, "no chunks")}
 
 
-def test_holding_is_the_same_by_words_and_by_product(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("item"), F.col("text").alias("document"))
-    docs = docs.unionByName(docs.limit(3)).unionByName(table(spark, [(-1, None), (-2, "")], "item long, document string"))
-    asked = spark.read.parquet(f"{data}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    parts = docs.filter("item >= 0").select((F.col("item") + 1_000_000).alias("query_id"), F.substring("document", 3, 40).alias("text"))
-    asked = asked.unionByName(parts).unionByName(table(spark, [(-1, "the"), (-2, None), (-3, "a b")], "query_id long, text string"))
-    some, every = (sorted((r.query_id, r.item) for r in R.holding(asked, docs, few).collect()) for few in (0, 10**6))
-    assert some == every and len(some) > 200
+def test_held_passages_against_containment(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("item"), "text")
+    docs = docs.unionByName(docs.limit(3).withColumn("item", F.col("item") + 10**6)).unionByName(table(spark, [(-1, None), (-2, "")], "item long, text string"))
+    texts = {r.item: r.text or "" for r in docs.collect()}
+    needles = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()] + [t[3:43] for t in texts.values()] + [t[-7:] for t in texts.values()] + ["the", None, "", "a b", "é"]
+    got = sorted((r.needle, r.item) for r in R.held_passages(table(spark, [(n,) for n in needles], "needle string"), docs).collect())
+    want = sorted((n, i) for n in {n for n in needles if n} for i, t in texts.items() if n in t)
+    assert got == want and len(got) > 200
