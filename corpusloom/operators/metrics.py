@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 BUDGET_MS = 25
 TTL = 3600
+#: Marks of an answer that failed.
 FAILURES = ("unknown query", "information unavailable", "couldn't find enough information", "fallback", "timeout", "clarification", "database", "failure", "error")
 
 

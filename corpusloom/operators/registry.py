@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corpusloom.operators.metrics import percentiles
 from corpusloom.sources.tables import written
 
+#: File types and sizes that are admitted.
 EXTENSIONS = ("pdf", "docx", "txt", "md", "markdown")
 MIME_TYPES = (
     "application/pdf",
@@ -19,7 +20,7 @@ MIME_TYPES = (
 )
 MAX_BYTES = 10 * 1024 * 1024
 READY = "ready_for_search"
-#: Stage of a job -> percent done.
+#: Stage of a job -> percent done.
 PROGRESS = (("uploaded", 5), ("extracting", 20), ("cleaning", 40), ("understanding", 50), ("chunking", 60), ("embedding", 80), ("storing", 95), ("completed", 100))
 
 

@@ -284,6 +284,7 @@ def hybrid_search(plan: DataFrame, legs: dict[str, DataFrame], top: int = 10, **
 # --- planning
 
 
+#: Questions for the list of documents, words that name a document, words of complex questions.
 LISTING = ("what documents are uploaded", "show uploaded")
 DOCUMENT_WORDS = ("document", "file", "pdf", "page", "show uploaded", "what is uploaded", "what documents")
 COMPLEX_WORDS = ("how", "why", "explain", "describe", "summarize", "reimbursement", "policy", "process")
