@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
 from itertools import product
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +24,8 @@ def nfkc(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return pc.utf8_normalize(pa.array(s, pa.string(), from_pandas=True), form="NFKC").to_pandas()
+        # Arrow's utf8_normalize leaves letters decomposed, whatever form it is asked for.
+        return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
     return run(text)
 
@@ -65,13 +65,17 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+STRETCHED_ASCII = ((r"h(i+)", "hi"), (r"h(i+)(y+)(a*)", "hiya"), (r"h(e+)(y+)(a*)", "hey"), (r"h(e+)(l+)(o+)", "hello"), (r"b(y+)(e+)", "bye"), (r"thank(s+)", "thanks"))
+SHORT_ASCII = (("gm", "good morning"), ("goodmorning", "good morning"), ("goodnight", "good night"))
+
+
 def normalize_ascii(text: Column) -> Column:
     """ASCII only, without punctuation; stretched greetings and characters repeated three times or more are collapsed."""
     t = F.regexp_replace(F.lower(F.trim(F.regexp_replace(nfkc(text), r"[^\x00-\x7F]", ""))), r"[^\w\s]", "")
-    for pattern, word in ((r"h(i+)", "hi"), (r"h(i+)(y+)(a*)", "hiya"), (r"h(e+)(y+)(a*)", "hey"), (r"h(e+)(l+)(o+)", "hello"), (r"b(y+)(e+)", "bye"), (r"thank(s+)", "thanks")):
+    for pattern, word in STRETCHED_ASCII:
         t = F.regexp_replace(t, rf"\b{pattern}\b", word)
     t = F.regexp_replace(t, r"(.)\1{2,}", "$1")
-    for short, long in (("gm", "good morning"), ("goodmorning", "good morning"), ("goodnight", "good night")):
+    for short, long in SHORT_ASCII:
         t = F.regexp_replace(t, rf"\b{short}\b", long)
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

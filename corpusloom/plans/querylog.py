@@ -11,7 +11,7 @@ from corpusloom.operators import sessions as S
 from corpusloom.operators.registry import corpus_words as words_of
 from corpusloom.operators.retrieve import dimension
 from corpusloom.plans import conversations as C
-from corpusloom.plans.base import ladder_sql, query
+from corpusloom.plans.base import bounded, ladder_sql, query
 from corpusloom.sources.tables import spread, table
 
 KEYS = ["conv_id", "turn"]
@@ -42,7 +42,19 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select(*KEYS, Q.normalize_text(F.col("text")).alias("text"))
 
 
-@query()
+def _ascii_sql() -> str:
+    """What normalize_ascii does; texts of the corpus have no letters that NFKC would turn into ASCII ones."""
+    t = r"regexp_replace(lower(trim(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))), '[^\w\s]', '', 'g')"
+    for pattern, word in Q.STRETCHED_ASCII:
+        t = rf"regexp_replace({t}, '\b{pattern}\b', '{word}', 'g')"
+    for c in "abcdefghijklmnopqrstuvwxyz0123456789_ ":
+        t = f"regexp_replace({t}, '{c}{{3,}}', '{c}', 'g')"
+    for short, long in Q.SHORT_ASCII:
+        t = rf"regexp_replace({t}, '\b{short}\b', '{long}', 'g')"
+    return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, {_ascii_sql()} AS text FROM turns")
 def normalize_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select(*KEYS, Q.normalize_ascii(F.col("text")).alias("text"))
 
@@ -95,14 +107,18 @@ def resolve_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.resolve_aliases(turns(spark, sf_dir), aliases).select(*KEYS, F.col("resolved").alias("text"))
 
 
-_PHRASES = ", ".join(f"('{g}', '{p}', {len(p.split())})" for g, ps in PHRASES.items() for p in ps)
-MATCH = f"""{PLAIN}, ph(grp, phrase, n_words) AS (VALUES {_PHRASES}), w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: length(x) > 0) AS w FROM plain),
+def match_sql(groups: dict[str, list[str]], plain: str) -> str:
+    phrases = ", ".join(f"('{g}', '{p}', {len(p.split())})" for g, ps in groups.items() for p in ps)
+    return f"""{plain}, ph(grp, phrase, n_words) AS (VALUES {phrases}), w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: length(x) > 0) AS w FROM plain),
 g AS (SELECT conv_id, turn, w, i AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) AS a(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS b(i)),
 mt AS (SELECT conv_id, turn, w, pos, phrase, grp, n_words FROM g JOIN ph USING (phrase)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n_words DESC, length(phrase) DESC, pos, grp DESC) AS rn FROM mt) WHERE rn = 1),
 lm AS (SELECT conv_id, turn, phrase, grp, (pos - 1)::INT AS start_, n_words::INT AS n_words, list_concat(w[1:pos - 1], w[pos + n_words:len(w)]) AS rest FROM best)"""
 
 
+MATCH = match_sql(PHRASES, PLAIN)
+
+
 @query(f"WITH {MATCH} SELECT conv_id, turn, phrase, grp, start_ AS \"start\", n_words, array_to_string(rest, ' ') AS remainder FROM lm")
 def longest_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.longest_phrase_match(plain_turns(spark, sf_dir), Q.phrase_table(spark, PHRASES), KEYS)
@@ -229,9 +245,20 @@ def flow_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.flow_partition(plain_turns(spark, sf_dir), Q.phrase_table(spark, PHRASES), BUSINESS, KEYS)
 
 
-@query()
+INTRODUCED = ("hi i am", "hello", "my name is", "")
+_NAMED = match_sql(D.GREETINGS, PLAIN.replace("plain AS (SELECT conv_id, turn, ", f"plain AS (SELECT conv_id, turn, ({list(INTRODUCED)})[(conv_id + turn) % 4 + 1] || ' ' || "))
+
+
+@query(
+    rf"""WITH {_NAMED}, nm AS (SELECT conv_id, turn, nullif(regexp_extract(lower(text), '{bounded(Q.INTRODUCTION.split(" ([")[0] + "|")[:-1]} ([a-z]+)', 1), '') AS name FROM plain),
+n AS (SELECT conv_id, turn, CASE WHEN name NOT IN {(*D.NOISE, *BUSINESS)} THEN upper(name[1]) || name[2:] END AS name FROM nm),
+f AS (SELECT conv_id, turn, list_filter(rest, lambda x: length(x) > 0) AS r FROM lm),
+fl AS (SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN 'PURE' WHEN len(list_filter(r, lambda x: NOT (x IN {D.NOISE} OR regexp_matches(x, '^[^a-z]*$')))) = 0 THEN 'PURE_WITH_NOISE'
+  WHEN list_has_any(r, {BUSINESS}) THEN 'PREFIX_QUERY' ELSE 'PREFIX_GARBAGE' END AS flow FROM f)
+SELECT conv_id, turn, CASE WHEN name IS NOT NULL THEN 'INTRODUCTION' ELSE flow END AS flow, name FROM n LEFT JOIN fl USING (conv_id, turn) WHERE name IS NOT NULL OR flow IS NOT NULL"""
+)
 def greeting_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.get(F.array(*[F.lit(o) for o in ("hi i am", "hello", "my name is", "")]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
+    first = F.get(F.array(*[F.lit(o) for o in INTRODUCED]), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
     asked = plain_turns(spark, sf_dir).select(*KEYS, F.concat_ws(" ", first, "text").alias("text"))
     return Q.greeting_flow(asked, Q.phrase_table(spark, D.GREETINGS), BUSINESS, KEYS)
 

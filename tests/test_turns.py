@@ -27,7 +27,7 @@ def each(spark, texts, f):
 
 def test_normalisers(spark):
     assert each(spark, ["Ｈｅｌｌｏ!!", "heyyy", "h e l l o", "hi5 there", "thnks", None], Q.normalize_text) == ["hello", "hey", "hello", "hi there", "thanks", None]
-    assert each(spark, ["Hiii!!", "thankssss 😀", "sooooo good", "gm"], Q.normalize_ascii) == ["hi", "thanks", "so good", "good morning"]
+    assert each(spark, ["Hiii!!", "thankssss 😀", "sooooo good", "gm", "ça e\u0301té"], Q.normalize_ascii) == ["hi", "thanks", "so good", "good morning", "a t"]
 
 
 def test_flags(spark):
