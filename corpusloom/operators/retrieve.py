@@ -111,14 +111,17 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, text: str = "text") -> DataFrame:
     """(query_id, chunk_id, bm25, score, rank): chunks that hold all terms of the query, by BM25; the score is twice the share
     of the query's best, 0.95 at most, and 0.5 where that is nothing."""
-    terms = query_terms(queries, text)
+    terms = written(query_terms(queries, text), "terms")
     found = postings(chunks, terms)
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    frequency = written(found.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    # A query meets the chunks of its rarest term, and only these are looked up for the others.
+    known = terms.join(frequency, "term", "left").groupBy("query_id").agg(F.count_if(F.col("df").isNull()).alias("missing"), F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = found.select("term", "chunk_id").join(counted(known.filter("missing = 0").select("query_id", "term")), "term").select("query_id", "chunk_id")
     sized = frequency.crossJoin(F.broadcast(corpus_size(chunks)))
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = found.join(sized.select("term", idf.alias("idf"), "avg_len"), "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = weighed.select("term", "chunk_id", part.alias("part")).join(terms, "term")
+    scored = near.join(terms, "query_id").join(weighed.select("term", "chunk_id", part.alias("part")), ["term", "chunk_id"])
     hits = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"), F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
     best = top_k(hits.filter("n = n_terms"), k, "bm25")
     share = F.col("bm25") / F.max("bm25").over(Window.partitionBy("query_id"))
