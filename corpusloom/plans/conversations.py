@@ -40,7 +40,22 @@ def resolve_followup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.resolve_followup(turns(spark, sf_dir)).select(*KEYS, "resolved")
 
 
-@query()
+_WORDS_AND_GAPS = r"regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+')"
+
+
+def _put(words: str, value: str) -> str:
+    return f"WHEN list_has_any(list_transform(l, lambda x: lower(x)), {words}) THEN array_to_string(list_transform(l, lambda x: CASE WHEN list_contains({words}, lower(x)) THEN {value} ELSE x END), '')"
+
+
+_OWNED = _put("['its', 'their']", "noun || chr(39) || 's'")
+_SAID = _put("['it', 'they', 'this', 'that', 'he', 'she']", "noun")
+
+
+@query(
+    rf"""WITH u AS (SELECT conv_id, turn, text, {_WORDS_AND_GAPS} AS l, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations WHERE role = 'user'),
+n AS (SELECT *, coalesce(trim(replace(regexp_replace(b, '^(what|who|where|when|why|how|tell me about|explain|summarize) (is|was|are|does|the|a|an)?\s*', '', 'i'), '?', '')), '') AS noun FROM u)
+SELECT conv_id, turn, CASE WHEN noun = '' THEN text {_OWNED} {_SAID} ELSE text || ' of ' || noun END AS rewritten FROM n"""
+)
 def substitute_pronoun(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.substitute_pronoun(turns(spark, sf_dir)).select(*KEYS, "rewritten")
 

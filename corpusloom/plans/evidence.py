@@ -208,11 +208,33 @@ def compose_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.compose_extract(hits(spark, sf_dir), plans(spark, sf_dir))
 
 
-@query()
+ANSWER_FORMATS = [*E.FORMATS, "Paragraph"]
+_HEAD = "CASE WHEN section = 'General' THEN '' ELSE '{} ' || section || chr(10) END"
+_END = "CASE WHEN section = 'General' THEN '' ELSE chr(10) END"
+_NUMBERED = "array_to_string(list_transform(range(1, len(texts) + 1), lambda i: (before + i)::BIGINT || '. ' || texts[i] || chr(10)), '')"
+_BULLETS = "array_to_string(list_transform(texts, lambda x: '- ' || x || chr(10)), '')"
+_FLAT = "array_to_string(texts, ' ')"
+
+
+@query(
+    rf"""WITH {SENTENCES}, x AS (SELECT r.query_id, h.section, r.place, r.sentence FROM ranked r JOIN (SELECT query_id, rank, section FROM hits) h USING (query_id, rank)),
+g AS (SELECT query_id, section, min(place) AS first, list(sentence ORDER BY place) AS texts FROM x GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(len(texts)) OVER (PARTITION BY query_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+fm AS (SELECT query_id, ({ANSWER_FORMATS})[query_id % {len(ANSWER_FORMATS)} + 1] AS format FROM q),
+p AS (SELECT query_id, any_value(format) AS format, string_agg(CASE format WHEN 'Markdown table' THEN '| **' || section || '** | ' || {_FLAT} || ' |' || chr(10)
+  WHEN 'Numbered steps' THEN {_HEAD.format('###')} || {_NUMBERED} || {_END} WHEN 'Bullet list' THEN {_HEAD.format('###')} || {_BULLETS} || {_END}
+  WHEN 'FAQ' THEN CASE WHEN section = 'General' THEN '' ELSE '**Q: What about ' || section || '?**' || chr(10) END || 'A: ' || {_FLAT} || chr(10) || chr(10)
+  WHEN 'Policy' THEN {_HEAD.format('####')} || {_FLAT} || chr(10) || chr(10) ELSE {_HEAD.format('###')} || {_FLAT} || chr(10) || chr(10) END, '' ORDER BY first) AS body FROM b JOIN fm USING (query_id) GROUP BY query_id),
+f AS (SELECT query_id, filename, chunk_index + 1 AS page, min(rank) AS first FROM hits GROUP BY ALL),
+c AS (SELECT query_id, filename, page, row_number() OVER (PARTITION BY query_id ORDER BY first, filename, page) AS citation FROM f),
+s AS (SELECT query_id, string_agg('[' || citation || '] ' || filename || ', page ' || page, chr(10) ORDER BY citation) AS sources FROM c GROUP BY query_id)
+SELECT query_id, regexp_replace(CASE format WHEN 'Markdown table' THEN '| Section | Detail |' || chr(10) || '|---------|--------|' || chr(10) ELSE '' END || body || coalesce(chr(10) || '**Sources:**' || chr(10) || sources, ''), '\A\s+|\s+\z', '', 'g') AS answer
+FROM p LEFT JOIN s USING (query_id)"""
+)
 def format_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits(spark, sf_dir)
     sentences = E.rank_sentences(rows).join(rows.select("query_id", "rank", "section"), ["query_id", "rank"])
-    names = [*E.FORMATS, "Paragraph"]
+    names = ANSWER_FORMATS
     formats = passages(spark, sf_dir).select("query_id", F.get(F.array(*[F.lit(n) for n in names]), (F.col("query_id") % len(names)).cast("int")).alias("format"))
     return E.format_answer(sentences, formats, E.citation_index(rows.withColumn("page", F.col("chunk_index") + 1)))
 
