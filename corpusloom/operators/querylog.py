@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import dictionaries as D
 from corpusloom.functions import text as T
-from corpusloom.operators.retrieve import dimension, held
+from corpusloom.operators.retrieve import char_runs, dimension, held
 from corpusloom.sources.tables import counted, written
 
 KEYWORD_STOP = (*T.STOP_WORDS, "please", "tell", "me", "about", "show", "give", "provide", "details", "information")
@@ -340,6 +340,8 @@ def _alike(x: str, y: str, least: float) -> Column:
 
 #: The score of a text that shares but a part of a word with an entry.
 PART = 0.63
+#: Characters of a keyword whose parts are listed.
+LONG_WORD = 32
 
 
 def _word_relations(tokens: DataFrame, keywords: DataFrame, low: DataFrame, fuzzy: bool) -> DataFrame:
@@ -351,12 +353,20 @@ def _word_relations(tokens: DataFrame, keywords: DataFrame, low: DataFrame, fuzz
         met = long.join(keywords.withColumn("start", F.left("keyword", F.lit(3))), "start").filter((F.abs(F.length("token") - F.length("keyword")) <= 2) & _alike("token", "keyword", 0.8))
         near = met.filter(_ratio(F.col("token"), F.col("keyword")) >= 0.8)
         return same.unionByName(near.select("token", "keyword", F.lit("near").alias("kind")))
-    if low.isEmpty():
+    # Keywords are words: their parts are few, and tokens are cut to their lengths only. Longer ones go by the index.
+    words, usual = tokens.filter(F.length("token") >= 3), low.filter(F.length("keyword") <= LONG_WORD)
+    lengths = sorted(r.n for r in usual.select(F.length("keyword").alias("n")).distinct().collect())
+    if lengths:
+        parts = F.concat(*[char_runs(F.col("keyword"), n) for n in range(3, lengths[-1] + 1)]) if lengths[-1] >= 3 else F.array().cast("array<string>")
+        inner = usual.select("keyword", F.explode(F.array_distinct(parts)).alias("token")).join(words, "token").select("token", "keyword")
+        cuts = F.concat(*[char_runs(F.col("token"), n) for n in lengths])
+        outer = words.select("token", F.explode(F.array_distinct(cuts)).alias("keyword")).join(counted(usual), "keyword").select("token", "keyword")
+        same = same.unionByName(inner.unionByName(outer).select("token", "keyword", F.lit("part").alias("kind")))
+    large = low.filter(F.length("keyword") > LONG_WORD)
+    if large.isEmpty():
         return same
-    words = written(tokens.filter(F.length("token") >= 3), "tokens")
-    keywords = low
-    inner = held(words.select(F.col("token").alias("needle")), keywords.select(F.col("keyword").alias("item"), F.col("keyword").alias("text")))
-    outer = held(keywords.select(F.col("keyword").alias("needle")), words.select(F.col("token").alias("item"), F.col("token").alias("text")))
+    inner = held(words.select(F.col("token").alias("needle")), large.select(F.col("keyword").alias("item"), F.col("keyword").alias("text")))
+    outer = held(large.select(F.col("keyword").alias("needle")), words.select(F.col("token").alias("item"), F.col("token").alias("text")))
     part = inner.select(F.col("needle").alias("token"), F.col("item").alias("keyword")).unionByName(outer.select(F.col("item").alias("token"), F.col("needle").alias("keyword")))
     return same.unionByName(part.select("token", "keyword", F.lit("part").alias("kind")))
 

@@ -176,12 +176,17 @@ def keyword_topk_websearch(queries: DataFrame, chunks: DataFrame, k: int = 40) -
 GRAM = 3
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Hashes of the runs of n characters of a text. Its characters are an array that is bound once, so a run costs no walk
-    from the text's start."""
-    run = lambda c: lambda i: F.xxhash64(F.array_join(F.slice(c, i, F.lit(n)), ""))
+def char_runs(text: Column, n: int, of: Callable[[Column], Column] = lambda run: run, kind: str = "string") -> Column:
+    """The runs of n characters of a text (or `of` them). Its characters are an array that is bound once, so a run costs no
+    walk from the text's start."""
+    run = lambda c: lambda i: of(F.array_join(F.slice(c, i, F.lit(n)), ""))
     runs = F.transform(F.array(F.split(text, "")), lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), run(c))))
-    return F.coalesce(F.get(runs, F.lit(0)), F.array().cast("array<bigint>"))
+    return F.coalesce(F.get(runs, F.lit(0)), F.array().cast(f"array<{kind}>"))
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Hashes of the runs of n characters of a text."""
+    return char_runs(text, n, F.xxhash64, "bigint")
 
 
 def _word_runs(words: Column, n: int) -> Column:

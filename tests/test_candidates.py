@@ -43,7 +43,7 @@ def plain_knowledge(text, entries, fuzzy):
 @pytest.mark.parametrize("fuzzy", [False, True])
 def test_knowledge_against_all_entries(spark, fuzzy):
     rng = random.Random(fuzzy)
-    stems = ["leave", "vacation", "policy", "travel", "office", "secur", "hr", "pay", "é", "contract"]
+    stems = ["leave", "vacation", "policy", "travel", "office", "secur", "hr", "pay", "é", "contract", "x" * 40, "x" * 35]
     word = lambda: rng.choice(stems) + rng.choice(["", "", "s", "ing", "x"])
     entries = [(f"ENTRY_{i}", f"{word()} {word()}", list(dict.fromkeys(word() for _ in range(rng.randrange(1, 4)))), [" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(2)], rng.choice([0.6, 0.7, 0.9])) for i in range(60)]
     texts = [" ".join(word() for _ in range(rng.randrange(1, 6))) for _ in range(150)] + [e[1].upper() for e in entries[:5]] + [f"so {e[3][0]} now" for e in entries[:20]]
@@ -51,7 +51,7 @@ def test_knowledge_against_all_entries(spark, fuzzy):
     turns = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id int, turn int, text string").repartition(3)
     got = {r.conv_id: (r.intent_id, r.score) for r in Q.score_knowledge(turns, Q.knowledge_table(spark, entries), ["conv_id", "turn"], fuzzy).collect()}
     want = {i: found for i, t in enumerate(texts) if t is not None and (found := plain_knowledge(t, entries, fuzzy))}
-    assert got == want and len(want) > 60
+    assert got == want and len(want) > 40
 
 
 def test_no_product_of_turns_and_entries(spark):
