@@ -377,8 +377,8 @@ def _knowledge_evidence(texts: DataFrame, entries: DataFrame, fuzzy: bool) -> Da
     words = texts.select("qid", F.explode("w").alias("token"))
     keywords = entries.select("place", F.explode(F.array_distinct("keywords")).alias("keyword")).filter("keyword <> ''")
     # A part of a word alone scores PART, so only entries that take so little need these pairs.
-    low = keywords.join(entries.filter(F.col("threshold") <= PART).select("place"), "place", "left_semi").select("keyword").distinct()
-    related = _word_relations(words.select("token").distinct(), keywords.select("keyword").distinct(), low, fuzzy)
+    low = entries.filter(F.col("threshold") <= PART).select(F.explode("keywords").alias("keyword")).filter("keyword <> ''").distinct()
+    related = _word_relations(written(words.select("token").distinct(), "tokens"), keywords.select("keyword").distinct(), low, fuzzy)
     found = words.join(related, "token").join(counted(keywords), "keyword").select("qid", "place", "kind", F.col("keyword").alias("word"))
 
     names = F.concat(F.array(F.lower("title"), F.lower(F.translate("intent_id", "_", " "))), "phrases")
@@ -412,7 +412,7 @@ def score_knowledge(turns: DataFrame, entries: DataFrame, keys: list[str], fuzzy
     q = F.trim(F.lower("text"))
     said = turns.select(*keys, q.alias("q")).filter("q is not null").withColumn("qid", F.md5("q"))
     texts = said.select("qid", "q").distinct().select("qid", "q", F.split("q", " ").alias("pieces"), F.array_distinct(tokenize(F.col("q"))).alias("w"))
-    texts = written(texts, "asked")
+    texts, entries = written(texts, "asked"), written(entries, "entries")
     has = lambda kind: F.count_if(F.col("kind") == kind) > 0
     sums = _knowledge_evidence(texts, entries, fuzzy).groupBy("qid", "place").agg(
         has("exact").alias("exact"), has("phrase").alias("phrase"), has("near phrase").alias("near_phrase"), has("near").alias("near"), has("part").alias("part"),
