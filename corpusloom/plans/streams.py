@@ -55,14 +55,19 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.drop("batch").withColumn("history", F.array_join("history", "\n"))
 
 
-@query("SELECT user_id, event_type, count(DISTINCT date_trunc('hour', ts)) AS misses FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@query(
+    """WITH RECURSIVE m AS (SELECT user_id, event_type, min(ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY ALL
+UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM m JOIN events e ON e.user_id IS NOT DISTINCT FROM m.user_id AND e.event_type IS NOT DISTINCT FROM m.event_type AND e.ts > m.ts + INTERVAL 1 HOUR GROUP BY e.user_id, e.event_type)
+SELECT user_id, event_type, count(*) AS misses FROM m GROUP BY ALL"""
+)
 def stream_dedupe_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer serves its user and type until the hour ends."""
+    """An answer serves its user and type for an hour from its request, across the clock's hours; the files of the table may
+    come in any order of time."""
     path = scratch(spark, "misses")
     events = jobs.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    misses = jobs.dedupe_ttl(events, keys=["user_id", "event_type"], fixed=True)
-    jobs.drain(misses, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
-    return spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.count("*").alias("misses"))
+    misses = jobs.answered_anew(events, keys=["user_id", "event_type"], late=None)
+    jobs.drain(misses, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), "update")
+    return spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.sum("change").alias("misses"))
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -4,6 +4,7 @@ import random
 import time
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dictionaries as D
@@ -11,6 +12,7 @@ from corpusloom.operators import metrics as M
 from corpusloom.operators import querylog as Q
 from corpusloom.operators import sessions as S
 from corpusloom.operators.retrieve import dimension
+from corpusloom.plans import catalog
 from corpusloom.sources.snapshots import read_chunks
 from corpusloom.streaming import jobs
 
@@ -141,6 +143,71 @@ def test_dedupe_ttl_forgets(spark, tmp_path):
     assert Counter((r.key, r["at"] // hour) for r in fixed) == Counter(set(asked))
 
 
+def anew(asked, ttl):
+    """(key, time) of the requests that no answer given at most ttl before serves."""
+    out, answered = [], {}
+    for k, at in sorted(set(asked), key=lambda r: (str(r[0]), r[1])):
+        if k not in answered or at - answered[k] > ttl:
+            answered[k] = at
+            out.append((k, at))
+    return Counter(out)
+
+
+def said(rows):
+    """(key, second) -> the sum of its changes, without zeros."""
+    total = Counter()
+    for r in rows:
+        total[r.key, r["at"] / 1e6] += r.change
+    return {k: n for k, n in total.items() if n}
+
+
+def test_stream_dedupe_ttl_across_hours(spark, tmp_path):
+    t = 1_700_000_000 // 3600 * 3600
+    # Two minutes over a full hour; exactly an hour, and a second more; unknown users and types; before 1970.
+    at = [t + s for s in (3540, 3660, 7140, 7141, 10741, 10800, 14400, 14401)]
+    rows = [(u, e, x) for u, e in ((1, "view"), (None, "view"), (2, None)) for x in at] + [(3, "view", None)] + [(4, "view", x) for x in (-7200, -600, 600)]
+    table = spark.createDataFrame(rows, "user_id long, event_type string, at long").select("user_id", "event_type", F.timestamp_seconds("at").alias("ts"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.user_id, r.event_type): r.misses for r in catalog.queries()["stream_dedupe_ttl"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "view"): 4, (None, "view"): 4, (2, None): 4, (4, "view"): 2}
+    con = duckdb.connect()
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == {(u, e): n for u, e, n in con.execute(catalog.oracle_sql()["stream_dedupe_ttl"]).fetchall()}
+
+
+def test_answered_anew_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    t, hour = 1_700_000_000, 3600
+    asked = [(k, t + rng.randrange(12 * hour)) for k in ("a", "b", None) for _ in range(60)] + [("c", t), ("c", t + hour), ("c", t + hour + 1)]
+    rng.shuffle(asked)
+    parts = [asked[i::4] for i in range(4)]
+    got, after = [], []
+
+    def each(batch, number):
+        got.extend(batch.collect())
+        after.append(said(got))
+
+    stream = batches(spark, tmp_path, "r", parts, "key string, at long")
+    jobs.drain(jobs.answered_anew(stream, late=None), each, "update")
+    # Right after every batch, not only at the end, though batches are in no order of time.
+    for i in range(4):
+        assert after[i] == anew([r for part in parts[: i + 1] for r in part], hour)
+    assert any(r.change < 0 for r in got)
+
+
+def test_answered_anew_forgets(spark, tmp_path):
+    t, hour = 1_700_000_000, 3600
+    # Within a batch and up to 30 minutes behind the latest, times are in any order.
+    parts = [[("a", t + 600), ("a", t)] + [(f"k{i}", t) for i in range(50)], [("a", t + 4200), ("a", t - 600), ("b", t + 4000)], [("b", t + 3600), ("a", t + 3500)],
+             [("z", t + 9 * hour)], [("a", t + 9 * hour + 5), ("b", t + 9 * hour - 900)], [("a", t + 60)]]
+    got = []
+    stream = batches(spark, tmp_path, "r", parts, "key string, at long")
+    query = jobs.drain(jobs.answered_anew(stream, late="30 minutes"), lambda batch, number: got.extend(batch.collect()), "update")
+    # The last part is later than late and dropped, as Spark does.
+    assert said(got) == anew([r for part in parts[:-1] for r in part], hour)
+    assert max(states(query)) >= 51 and states(query)[-1] <= 3
+
+
 def test_stream_sessions_against_the_batch(spark, tmp_path):
     rng = random.Random(8)
     t, texts = 1_700_000_000, ["Hello there", "hi", "what is the policy", "how do I apply for leave", "my name is Ann", "ok", "good morning, my name is bob", None, "x" * 300]
