@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import components, decontaminate, license_scan, mixing, ngram_join, passages, quality_classifier, quality_rules, sharding, token_shards, warc
-from corpusloom.llm.common import new_path, tokens, words
+from corpusloom.llm import common
+from corpusloom.llm.common import new_path, tokens, words, written
 
 DOCS = "doc_id bigint, text string, lang string, source string, extra string"
 
@@ -177,6 +178,17 @@ def test_ngram_join_near_copies_stay_linear(spark, monkeypatch):
     assert sum(pairs for pairs, _ in seen) <= 5 * n and max(most for _, most in seen) <= 128
 
 
+def test_steps_leave_no_garbage_on_the_driver(spark, monkeypatch):
+    """A step that ends with a heap grown beyond its share drops what it has left there."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    for most, more in ((0.0, 1), (1.0, 0)):
+        monkeypatch.setattr(common, "MOST_HEAP", most)
+        before = whole()
+        assert written(spark.range(10), "ten").count() == 10
+        assert whole() == before + more
+
+
 def test_ngram_join_odd_tables(spark):
     d = docs(spark, ["a b c d e", "a b c d e"])
     assert ngram_join.join(d.limit(0)).count() == 0
