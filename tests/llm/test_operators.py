@@ -178,6 +178,18 @@ def test_ngram_join_near_copies_stay_linear(spark, monkeypatch):
     assert sum(pairs for pairs, _ in seen) <= 5 * n and max(most for _, most in seen) <= 128
 
 
+def test_ngram_join_order_is_one_number_each(spark, monkeypatch):
+    """Of the frequent n-grams only the hashes go through the driver, the most frequent one first."""
+    asked, frame = [], type(spark.range(0))
+    real = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: asked.append(self.columns) or real(self))
+    docs = spark.createDataFrame([(i, "a b c d e f g " + "h i j k " * (i % 2) + f"x{i}") for i in range(12)], "doc_id bigint, text string")
+    assert len({r.component_id for r in ngram_join.join(docs, hot=3, percent=50).collect()}) == 2
+    assert asked == [["fp"]]
+    order = ngram_join.Order(np.array([70, 10, 30]), 32)
+    assert order.fp.tolist() == [10, 30, 70] and order.rank.tolist() == [1, 0, 2]
+
+
 def test_steps_leave_no_garbage_on_the_driver(spark, monkeypatch):
     """A step that ends with a heap grown beyond its share drops what it has left there."""
     beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
